@@ -49,7 +49,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op5_chat_format, op7_mixing, op8_url_filter)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op5_chat_format, op7_mixing, op8_url_filter, op10_jaccard_join)}
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(\[|<)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|SEP\]|/ROLE\])', '\1\\\2', 'g')"
 
