@@ -21,6 +21,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batonflow.llm.chat import format_conversations, read_back
 
@@ -55,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op5_chat_format, op7_mixing, op8_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op4_suffix_dedup, op5_chat_format, op7_mixing, op8_url_filter, op10_jaccard_join)}
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(\[|<)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|SEP\]|/ROLE\])', '\1\\\2', 'g')"
 
