@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batonflow.llm.packing import pack
 
@@ -35,6 +41,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.union(spark.createDataFrame(own, turns.schema))))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.vptree import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batonflow.llm.mixing import replicate
 
@@ -61,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing, op4_suffix_dedup, op5_chat_format, op7_mixing, op8_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_packing, op4_suffix_dedup, op5_chat_format, op6_nearest, op7_mixing, op8_url_filter, op10_jaccard_join)}
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(\[|<)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|SEP\]|/ROLE\])', '\1\\\2', 'g')"
 
@@ -81,6 +94,12 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user'
     WHEN prev = 'user' THEN role = 'assistant' ELSE false END) AND max(CASE WHEN last_no = 1 THEN role END) = 'assistant' AS valid
 FROM steps GROUP BY conv_id""",
+    "op6_nearest": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
     "op7_mixing": """
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT *, CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM n),
