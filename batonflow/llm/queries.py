@@ -68,13 +68,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_audio_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as recordings, a note a word; the turns of every hundredth conversation are asked."""
+    from batonflow.llm.audio import align, fingerprints, render
+
+    turns = table(spark, sf_dir, "conversations").withColumn("rec_id", F.col("conv_id") * (1 << 20) + F.col("turn"))
+    prints = turns.repartition("rec_id").select("rec_id", fingerprints(render(F.col("text"))).alias("prints"))
+    return align(prints, F.floor(F.col("rec_id") / (1 << 20)) % 100 == 0)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batonflow.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_packing, op4_suffix_dedup, op5_chat_format, op6_nearest, op7_mixing, op8_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_packing, op4_suffix_dedup, op5_chat_format, op6_nearest, op7_mixing, op8_url_filter, op9_audio_align, op10_jaccard_join)}
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(\[|<)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|SEP\]|/ROLE\])', '\1\\\2', 'g')"
 
