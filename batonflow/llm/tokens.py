@@ -1,14 +1,15 @@
 """Token counts: each distinct pre-token is given to the BPE model once.
 
-Documents are read in blocks. A block has a dictionary of its chunks and their
-pre-tokens, and each document's chunk frequencies in numbers of that dictionary.
-Distinct pre-tokens of all blocks are counted in pieces once, the counts are
-joined back to the blocks' dictionaries, and a document's count is the sum of
-frequency times pieces. No id of a text is ever made.
+Documents are read in blocks. A block has a dictionary of its pre-tokens, and each
+document's pre-token frequencies in numbers of that dictionary. The dictionaries
+are dealt out by pre-token, so equal ones of all blocks meet and are counted in
+pieces once; the counts go back to their blocks, and a document's count is the sum
+of frequency times pieces. No id of a text is ever made.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import count
 
 import numpy as np
@@ -19,8 +20,17 @@ from batonflow.llm.bpe import bpe, default_path
 from batonflow.staging import stage
 
 #: A block ends at so many bytes of text: what a task holds and a block's row weigh.
-BLOCK_BYTES = 12 << 20
-_BLOCK = "block string, doc_id array<long>, n_bytes array<long>, n_chunks long, ends binary, chunk binary, times binary, of_chunk binary, words array<string>"
+BLOCK_BYTES = 32 << 20
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """uint32 numbers, mostly small, by byte planes."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 class _Numbers(dict):
@@ -42,55 +52,81 @@ class _Block:
         self.ids.append(doc_id)
         self.bytes.append(size)
         self.chunk.append(at)
-        self.times.append(n.astype(np.uint32))
+        self.times.append(n)
         self.size += size
 
-    def row(self, name: str, coder) -> dict:
-        words, of_chunk = _Numbers(), []
+    def row(self, name: int, coder) -> dict:
+        """Per document, chunk frequencies become frequencies of the chunks' pre-tokens."""
+        words, own, lengths = _Numbers(), [], []
         for chunk in self.chunks:
             # A special string is one token; its word is the string, which no pre-token can be.
-            own = [chunk] if chunk in coder.specials else coder.words(chunk)
-            of_chunk.append([words[w] for w in own])
-        lengths = np.fromiter(map(len, of_chunk), np.uint32, len(of_chunk))
-        flat = np.fromiter((w for own in of_chunk for w in own), np.uint32, int(lengths.sum()))
-        empty = [np.empty(0, np.uint32)]
+            found = [chunk] if chunk in coder.specials else coder.words(chunk)
+            own += map(words.__getitem__, found)
+            lengths.append(len(found))
+        flat, length = np.array(own, np.int64), np.array(lengths, np.int64)
+        begin = np.cumsum(length) - length
+        chunk, times = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (self.chunk, self.times))
+        doc = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.chunk])
+        each = length[chunk]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[chunk], each)
+        key, group = np.unique(np.repeat(doc, each) * max(1, len(words)) + flat[place], return_inverse=True)
+        freq = np.bincount(group, weights=np.repeat(times, each), minlength=len(key)).astype(np.int64)
+        doc, word = key // max(1, len(words)), key % max(1, len(words))
+        gap = np.diff(word, prepend=0)
+        gap[np.flatnonzero(np.diff(doc, prepend=-1))] = word[np.flatnonzero(np.diff(doc, prepend=-1))]
         return {
-            "block": name, "doc_id": self.ids, "n_bytes": self.bytes, "n_chunks": len(self.chunks),
-            "ends": np.cumsum([len(x) for x in self.chunk], dtype=np.int64).tobytes(),
-            "chunk": np.concatenate(self.chunk + empty).tobytes(), "times": np.concatenate(self.times + empty).tobytes(),
-            "of_chunk": np.concatenate([lengths, flat]).tobytes(), "words": list(words),
+            "block": name, "doc_id": self.ids, "n_bytes": self.bytes, "counts": squeeze(np.bincount(doc, minlength=len(self.ids))),
+            "gaps": squeeze(gap), "freq": squeeze(freq), "words": list(words),
         }
 
 
-def _blocks(path: str):
-    schema = pa.schema([
-        ("block", pa.string()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("n_chunks", pa.int64()), ("ends", pa.binary()),
-        ("chunk", pa.binary()), ("times", pa.binary()), ("of_chunk", pa.binary()), ("words", pa.list_(pa.string())),
-    ])
+_BLOCK = "block long, doc_id array<long>, n_bytes array<long>, counts binary, gaps binary, freq binary, words array<string>"
+_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
+    ("counts", pa.binary()), ("gaps", pa.binary()), ("freq", pa.binary()), ("words", pa.list_(pa.string())),
+])
+
 
+def _blocks(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        coder, block, part, number = bpe(path), _Block(), TaskContext.get().partitionId(), count()
-        full = lambda: pa.RecordBatch.from_pylist([block.row(f"{part}-{next(number)}", coder)], schema)
+        coder, block, name = bpe(path), _Block(), count(TaskContext.get().partitionId() << 24)
         for batch in batches:
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 block.add(doc_id, text or "", coder)
                 if block.size >= BLOCK_BYTES:
-                    yield full()
+                    yield pa.RecordBatch.from_pylist([block.row(next(name), coder)], _SCHEMA)
                     block = _Block()
         if block.ids:
-            yield full()
+            yield pa.RecordBatch.from_pylist([block.row(next(name), coder)], _SCHEMA)
 
     return run
 
 
 def _pieces(path: str):
+    """Equal pre-tokens of all blocks lie in one task: each is counted once. A row for each block seen."""
+
     def run(batches):
         coder = bpe(path)
+
+        class Pieces(dict):
+            def __missing__(self, word):
+                self[word] = n = 1 if word in coder.specials else len(coder.word_ids(word))
+                return n
+
+        pieces, parts = Pieces(), []
         for batch in batches:
-            n = [1 if w in coder.specials else len(coder.word_ids(w)) for w in batch[0].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(n, pa.int32())], names=["word", "n"])
+            n = np.fromiter(map(pieces.__getitem__, batch[2].to_pylist()), np.int64)
+            parts.append((batch[0].to_numpy(), batch[1].to_numpy().astype(np.int64), n))
+        if not parts:
+            return
+        block, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, block))
+        block, at, n = block[order], at[order], n[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+        rows = [{"block": int(block[a]), "gaps": squeeze(np.diff(at[a:z], prepend=0)), "n": squeeze(n[a:z])} for a, z in zip(cuts, [*cuts[1:], len(block)], strict=True)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("n", pa.binary())]))
 
     return run
 
@@ -98,15 +134,17 @@ def _pieces(path: str):
 def _sums(batches):
     for batch in batches:
         for b in batch.to_pylist():
-            pieces = np.zeros(len(b["at"]) + 1, np.int64)
-            pieces[np.array(b["at"], np.int64)] = b["n"]
-            n_chunks, flat = b["n_chunks"], np.frombuffer(b["of_chunk"], np.uint32)
-            lengths, own = flat[:n_chunks].astype(np.int64), pieces[flat[n_chunks:]]
-            of_chunk = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(lengths)])])
-            each = of_chunk[np.frombuffer(b["chunk"], np.uint32)] * np.frombuffer(b["times"], np.uint32)
-            ends = np.frombuffer(b["ends"], np.int64)
-            total = np.concatenate([[0], np.cumsum(each)])
-            n = np.diff(np.concatenate([[0], total[ends]]))
+            found = [(np.cumsum(unsqueeze(x["gaps"])), unsqueeze(x["n"])) for x in b["found"] or []]
+            pieces = np.zeros(max((int(at[-1]) for at, _ in found), default=0) + 1, np.int64)
+            for at, n in found:
+                pieces[at] = n
+            counts, gaps, freq = (unsqueeze(b[x]) for x in ("counts", "gaps", "freq"))
+            ends = np.cumsum(counts)
+            total = np.cumsum(gaps)
+            begin = (ends - counts)[counts > 0]
+            word = total - np.repeat(total[begin] - gaps[begin], counts[counts > 0])
+            sums = np.concatenate([[0], np.cumsum(pieces[word] * freq)])
+            n = sums[ends] - sums[ends - counts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b["doc_id"], pa.int64()), pa.array(b["n_bytes"], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
             )
@@ -124,12 +162,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, ke
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks(path), _BLOCK), "token-blocks"
     )
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    pieces = words.select("word").distinct().mapInArrow(_pieces(path), "word string, n int")
-    found = words.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    # A block's dictionary is bounded by BLOCK_BYTES, and so is what collect_list gathers.
-    whole = blocks.drop("words").join(found, "block", "left")
-    whole = whole.select(
-        "doc_id", "n_bytes", "n_chunks", "ends", "chunk", "times", "of_chunk",
-        F.coalesce("found.at", F.array().cast("array<int>")).alias("at"), F.coalesce("found.n", F.array().cast("array<int>")).alias("n"),
-    )
+    pieces = words.repartition("word").mapInArrow(_pieces(path), "block long, gaps binary, n binary")
+    # One row from each task at most, and a block's dictionary is bounded by BLOCK_BYTES.
+    found = pieces.groupBy("block").agg(F.collect_list(F.struct("gaps", "n")).alias("found"))
+    whole = blocks.drop("words").join(found, "block", "left").select("doc_id", "n_bytes", "counts", "gaps", "freq", "found")
     return whole.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
