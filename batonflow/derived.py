@@ -14,7 +14,7 @@ SELECT event_id AS id, user_id % 5 AS tenant_id, user_id AS entity_id,
   CASE event_id % 5 WHEN 0 THEN 'sales' WHEN 1 THEN 'product' WHEN 2 THEN 'engineering' WHEN 3 THEN 'customer_success' ELSE 'leadership' END AS stage,
   CASE event_type WHEN 'view' THEN 'requirement' WHEN 'error' THEN 'problem' WHEN 'signup' THEN 'commitment' WHEN 'click' THEN 'constraint' ELSE 'decision' END AS type,
   CAST((event_id * 7) % 5 AS INT) AS authority,
-  CASE k % 6 WHEN 0 THEN 'required' WHEN 1 THEN 'deferred' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'done' WHEN 4 THEN 'dropped' ELSE 'rejected' END AS stance,
+  CASE CAST((event_id + k) % 6 AS INT) WHEN 0 THEN 'required' WHEN 1 THEN 'deferred' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'done' WHEN 4 THEN 'dropped' ELSE 'rejected' END AS stance,
   CASE WHEN event_id % 7 = 0 THEN 'conflicting' WHEN event_id % 11 = 0 THEN 'superseded' WHEN event_id % 13 = 0 THEN 'candidate' ELSE 'active' END AS status,
   CASE event_id % 8 WHEN 0 THEN 'customer' WHEN 1 THEN 'product' WHEN 2 THEN 'leadership' WHEN 3 THEN 'sales' WHEN 4 THEN 'engineering' ELSE 'other' END AS role,
   CAST((event_id * 13) % 101 AS INT) AS conf100, CAST(event_id % 997 AS BIGINT) AS source_id, CAST(event_id % 40 AS INT) AS person_id,

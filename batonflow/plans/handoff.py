@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from batonflow import fixed
 from batonflow.functions.scalars import band, capability_of, either, is_set, normalize, severity
 from batonflow.operators.lineage import edges, nearest_values
+from batonflow.staging import stage
 
 KEY = ["tenant_id", "entity_id", "subject_key"]
 FIELDS = "contract string, from_stage string, to_stage string, field string, check string, types array<string>, slots array<string>, importance string, least int, rule string"
@@ -66,7 +67,7 @@ def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, f
     )
     asked = pairs.where("d_id IS NOT NULL").withColumn("slot", F.explode("slots")).select(*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "slot")
     # Own value first (depth 0), else the nearest upstream one: the closure is made once for all slots.
-    near = nearest_values(relations, slots).withColumnRenamed("root", "id")
+    near = stage(nearest_values(relations, slots).withColumnRenamed("root", "id"), "nearest")
     own = slots.where(is_set(F.col("value"))).select("id", "slot", F.col("value").alias("own"))
     facts = asked.join(own, ["id", "slot"], "left").join(near, ["id", "slot"], "left")
     facts = facts.withColumn("walked", F.col("own").isNull()).withColumn("u_val", F.coalesce("own", "value")).where("u_val IS NOT NULL")
