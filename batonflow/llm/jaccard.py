@@ -11,7 +11,7 @@ is by hash otherwise. Any order gives the same result; this one keeps frequent
 shingles out of most prefixes. Documents that have them in their prefix all the
 same are nearly all common text: families of near copies. Their links are found
 from the family's most central document outward, and what is still apart is
-compared in blocks, after a bound that rests on shingles nobody else has.
+compared in blocks until it is one component or proven apart.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from batonflow.llm.bits import bit_set, holds, parted, place
 from batonflow.llm.text import LOWER, bounds, mix, shingles, slices, word_hashes
 from batonflow.operators.graph import connected_components
 from batonflow.staging import stage
@@ -31,9 +32,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 #: A shingle with more documents than this is joined as a frequent one.
 LARGE = 256
 FRAGMENTS = 8
-#: Bits that tell which documents' sets are needed. Fixed: when full, more sets are made than needed.
-NEEDED_BITS = 1 << 23
-BLOCK = 2000
+#: Shingles of one block of a family, before it meets another block.
+BLOCK = 1_000_000
 
 
 def set_of(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -151,21 +151,12 @@ def _meet(share: int, large: int):
     return run
 
 
-def _needed_bits(ids: DataFrame) -> np.ndarray:
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))
-    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) AS int))")).alias("bits")).toPandas()
-    out = np.zeros(NEEDED_BITS // 64, np.uint64)  # at most as many rows
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _fragments(words: int, bits):
     schema = pa.schema([("set_id", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            at = batch[0].to_numpy()
-            want = (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            want = holds(bits.value, batch[0].to_numpy())
             keys, parts = [], []
             for data, wanted in zip(slices(batch[1]), want, strict=True):
                 if wanted:
@@ -189,19 +180,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def _apart(share: int):
-    """Pairs of one block of a family that are in different components and may be linked by the bound."""
+    """Links inside one block of a family between sets that are still in different components.
+
+    Shingles that only one set of the block has are in no overlap and are left out.
+    Every set outside the largest component is counted against all others through
+    the lists of who has its shingles. A link joins two components, so a block
+    gives fewer rows than it has sets.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        one, two = group[group["block"] == i], group[group["block"] == j]
-        n2, u2, c2, s2 = (two[x].to_numpy() for x in ("n", "alone", "component", "set_id"))
+        keys, first, number = np.unique(group["set_id"].to_numpy(), return_index=True, return_inverse=True)
+        m, of, n = len(keys), group["component"].to_numpy()[first], group["n"].to_numpy()[first].astype(np.int64)
+        own_block = group["block"].to_numpy()[first]
+        across = group["i"].iloc[0] != group["j"].iloc[0]
+        lengths = group["grams"].map(len).to_numpy()
+        gram, who = np.concatenate([*group["grams"], np.empty(0, np.int64)]), np.repeat(number, lengths)
+        order = np.argsort(gram, kind="stable")
+        gram, who = gram[order], who[order]
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        length = np.diff(np.append(start, len(gram)))
+        which = np.repeat(np.arange(len(start)), length)
+        shared = length[which] > 1
+        by_set = np.argsort(who[shared], kind="stable")
+        lists = which[shared][by_set]
+        cuts = np.searchsorted(who[shared][by_set], np.arange(m + 1))
+        _, label = np.unique(of, return_inverse=True)
         a, b = [], []
-        for n, u, c, s in one[["n", "alone", "component", "set_id"]].itertuples(index=False):
-            most, least = np.minimum(n - u, n2 - u2), np.maximum(n + u2, n2 + u)
-            ok = (c != c2) & (most * 100 >= least * share) & ((s < s2) if i == j else True)
-            b.append(s2[ok])
-            a.append(np.full(int(ok.sum()), s))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+        for x in np.flatnonzero(label != np.bincount(label).argmax()):
+            mine = lists[cuts[x] : cuts[x + 1]]
+            times = length[mine]
+            at = np.repeat(start[mine] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            overlap = np.bincount(who[at], minlength=m)
+            linked = (overlap * (100 + share) >= share * (n + n[x])) & (label != label[x])
+            if across:
+                linked &= own_block != own_block[x]
+            for y in np.flatnonzero(linked):
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    a.append(keys[x])
+                    b.append(keys[y])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
@@ -243,14 +261,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     wanted = first.select(F.col("a").alias("set_id")).union(first.select(F.col("b"))).distinct()
     known = sketch.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = stage(known.join(wanted, "set_id", "left_semi"), "chosen")
-    bits = spark.sparkContext.broadcast(_needed_bits(chosen))
-    made = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS)).alias("at"), "text").mapInArrow(_fragments(words, bits), "set_id long, fragment int, grams array<long>")
+    words_of_bits = bit_set(chosen, "doc_id")
+    bits = spark.sparkContext.broadcast(words_of_bits)
+    made = texts.select(place(F.col("doc_id"), len(words_of_bits) * 64).alias("at"), "text").mapInArrow(_fragments(words, bits), "set_id long, fragment int, grams array<long>")
     sets = stage(made.join(chosen.drop("doc_id"), "set_id").dropDuplicates(["set_id", "fragment"]), "sets")
 
     links = stage(_verified(first.distinct(), sets, share), "links")
     families = connected_components(star, "a", "b").withColumnRenamed("component", "family")
-    apart = stage(_blocks(families, connected_components(links, "a", "b"), sets, share), "apart")
-    links = links.union(_verified(apart, sets, share))
+    links = stage(links.union(_blocks(families, connected_components(links, "a", "b"), sets, share)), "links")
 
     nodes = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), F.col("component").alias("root"))
     rows = sketch.select("doc_id", "n", "set_id").join(nodes, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -260,21 +278,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     )
 
 
-def _blocks(families: DataFrame, components: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs of a family that are still apart and may be linked.
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """`docs` (doc_id, text and any others): of each group of near duplicates the document with the smallest id.
 
-    `alone` counts a set's shingles that no other set of its family has: they are
-    in no overlap and in every union.
+    Of rows of one id one stays. Rows without words are in no group; rows without an
+    id can't be named by their group and stay too.
     """
+    found = stage(jaccard_components(docs.select("doc_id", "text"), words, share), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    sure, may = parted(docs, gone, "doc_id")
+    kept = sure.union(may.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    return kept if again.isEmpty() else kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+
+
+def _blocks(families: DataFrame, components: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links between the parts of a family that are still apart, found in blocks of a bounded number of shingles."""
     members = families.withColumnRenamed("node", "set_id").join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    split = members.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family", "size")
-    members = stage(members.join(split, "family"), "members")
-    grams = members.select("family", "set_id").join(sets.select("set_id", "n", F.explode("grams").alias("gram")), "set_id")
-    alone = grams.groupBy("family", "gram").agg(F.count("*").alias("k"), F.min("set_id").alias("set_id")).where("k = 1").groupBy("set_id").agg(F.count("*").alias("alone"))
-    sizes = sets.where("fragment = 0").select("set_id", "n")
-    able = members.join(sizes, "set_id").join(alone, "set_id", "left").fillna(0, ["alone"]).where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * share)
-    able = able.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    able = able.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    able = able.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    able = able.select("family", "i", "j", "block", "set_id", "component", "n", "alone")
-    return able.groupBy("family", "i", "j").applyInPandas(_apart(share), "a long, b long")
+    members = members.join(sets.where("fragment = 0").select("set_id", "n"), "set_id")
+    split = members.groupBy("family").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    members = members.join(split.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family")
+    members = members.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "component", "n")
+    rows = members.join(sets.select("set_id", "grams"), "set_id")
+    return rows.groupBy("family", "i", "j").applyInPandas(_apart(share), "a long, b long")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from batonflow.llm.bits import parted
 from batonflow.llm.text import _DOWN, _STEP, _UP, bounds, mix, slices, windows, word_hashes
 from batonflow.staging import stage
 
@@ -209,9 +210,9 @@ def _bits(heads: DataFrame, size: int) -> np.ndarray:
             np.bitwise_or.at(own, group, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(own.view(np.int64))], names=["word", "bits"])
 
-    found = heads.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = heads.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -246,4 +247,6 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     Every row stays, if need be with little text; white space around a cut stays.
     """
     spans = repeated_passages(docs, passage, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)
+    spans = stage(spans, "spans")
+    whole, cut = parted(docs, spans.select("doc_id"), "doc_id")
+    return whole.union(cut.join(spans, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from batonflow.llm.jaccard import jaccard_components
+from batonflow.llm.jaccard import without_near_duplicates
 from batonflow.llm.mixing import replicate
 from batonflow.llm.packing import pack
 from batonflow.llm.quality import THRESHOLD, score, train
@@ -25,10 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates. Of rows of one id one stays."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if found.groupBy("doc_id").count().where("count > 1").limit(1).count() else rows
+    return without_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
