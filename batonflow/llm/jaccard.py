@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow.llm.bits import bit_set, holds, parted, place
-from batonflow.llm.text import LOWER, bounds, mix, shingles, slices, word_hashes
+from batonflow.llm.text import LOWER, bounds, in_batches, mix, shingles, slices, word_hashes
 from batonflow.operators.graph import connected_components
 from batonflow.staging import stage
 
@@ -235,7 +235,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     Sets are told apart by 64-bit fingerprints.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = in_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sample(words), "gram long")
     top = sampled.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64)))

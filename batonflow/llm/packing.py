@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow.llm.bpe import default_path, id_cache
+from batonflow.llm.text import in_batches
 from batonflow.staging import stage
 
 SIZE, END = 2048, 1
@@ -184,7 +185,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, step: int =
     table gives an empty result. Other columns are not read.
     """
     path = path or default_path()
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = in_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = stage(
         texts.mapInArrow(_cut(path, size), "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
         .withColumn("class", F.when(F.col("length") < size, F.ceil(F.col("length") / step).cast("int")).otherwise(0)),

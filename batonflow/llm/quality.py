@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from batonflow.llm.text import bounds, slices, word_hashes
+from batonflow.llm.text import bounds, in_batches, slices, word_hashes
 
 #: Bounds of the two samples that the scorer is fitted on; the ones least by hash of all candidates are taken.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     chosen = _sample(good, most_positive).withColumn("positive", F.lit(True)).union(_sample(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), most_unlabelled).withColumn("positive", F.lit(False)))
     # At most most_positive + most_unlabelled ids, and as many rows of features to the driver.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(_columns, "doc_id long, positive boolean, features binary").toPandas()
+    picked = in_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(_columns, "doc_id long, positive boolean, features binary").toPandas()
     picked = picked.sort_values(["positive", "doc_id"], ignore_index=True)
     x = np.frombuffer(b"".join(picked["features"]), np.float32).reshape(-1, FEATURES) if len(picked) else np.empty((0, FEATURES), np.float32)
     mark = picked["positive"].to_numpy(bool)
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
 
 def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """`docs` with a score from 0 to 1 of `text` in `column` (replaced if it exists). Null text is read as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = in_batches(docs).sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:

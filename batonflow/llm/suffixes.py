@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow.llm.bits import parted
-from batonflow.llm.text import _DOWN, _STEP, _UP, bounds, mix, slices, windows, word_hashes
+from batonflow.llm.text import _DOWN, _STEP, _UP, bounds, in_batches, mix, slices, windows, word_hashes
 from batonflow.staging import stage
 
 PASSAGE, GRAM = 50, 16
@@ -184,7 +184,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM,
     over). An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = in_batches(docs).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stage(texts.mapInArrow(_stretches(passage, gram), _ROWS), "stretches")
     compared = stage(_compared(rows), "compared")
     heads = compared.where("gram = -1").select("doc_id", "first")

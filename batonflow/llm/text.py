@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,6 +23,16 @@ _STEP = 1 << 18
 _MASK = (1 << 64) - 1
 
 
+#: Bytes of one Arrow batch of texts: what Python workers hold at a time, besides arrays made of them.
+BATCH = "4m"
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, whose session from now on hands rows to Python in batches of at most BATCH, or of one row."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return docs
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
