@@ -25,7 +25,7 @@ def _stage_of(name: Column, stages: dict[str, str]) -> Column:
 
 def drive(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files, a source for each section; the first folder is the stage, "Last updated" the time."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     root = Path(path).name
     inside = F.regexp_extract("file", rf"/{root}/(.*)$", 1)
     folder = F.split_part(inside, F.lit("/"), F.lit(1))
@@ -59,7 +59,7 @@ def chat(spark: SparkSession, path: str, stages: dict[str, str], members: DataFr
 
 def calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sources, rejected): transcripts with `# key: value` headers; without given consent they are rejected and counted."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     head = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^#\s*{k}:\s*([^\n]*)$", 1)), F.lit(""))
     body = F.regexp_replace("value", r"\A(?:\s*#[^\n]*\n)*\s*", "")
     rows = files.select(
