@@ -155,7 +155,8 @@ def _neighbours(batches):
         if len(heads):
             if waiting is not None and not new_gram[heads[0]]:
                 yield _batch([np.array([x]) for x in waiting])
-            waiting = None if shared[-1] else [x[heads[-1]] for x in c]
+            # As it is yielded below: marked, for it may come out with the next batch.
+            waiting = None if shared[-1] else [-1, *(x[heads[-1]] for x in c[1:])]
         keep = ~head
         keep[heads[shared]] = True
         last, origin = (g[-1], one[-1], two[-1]), (doc[at[-1]] if at[-1] >= 0 else origin)

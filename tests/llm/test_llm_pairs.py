@@ -122,6 +122,26 @@ def test_repeats(spark, seed):
     assert suffixes.repeated_passages(table.limit(0)).count() == 0
 
 
+def shared_parts(seed: int, n: int):
+    """Texts put together from parts of one pool, so that stretches of one gram are bounded differently."""
+    rng, words = random.Random(seed), vocabulary(60)
+    pool = [[rng.choice(words) for _ in range(rng.randint(14, 40))] for _ in range(n)]
+    return [(i, " ".join([*(rng.choice(words) for _ in range(5)), *pool[i % n][rng.randrange(3) :], *(rng.choice(words) for _ in range(5))])) for i in range(2 * n)]
+
+
+@pytest.mark.parametrize("records", [1, 2, 3])
+def test_repeats_over_batch_borders(spark, records):
+    rows = shared_parts(4, 20)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        got = suffixes.repeated_passages(table, passage=12, gram=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in got) == brute_repeats(rows, 12)
+
+
 def in_order(v, x):
     """A plain running sum: sum() compensates its rounding."""
     total = 0.0
