@@ -17,6 +17,11 @@ def place(key: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(size))
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of a whole row, to put rows of one id in an order that no partitioning changes."""
+    return F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind))
+
+
 def bit_set(ids: DataFrame, key: str) -> np.ndarray:
     """64-bit words with one bit for each id. At most MOST_BITS / 64 of them come to the driver."""
     size = 1 << max(16, min(MOST_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from batonflow.llm.bits import bit_set, holds, parted, place
+from batonflow.llm.bits import bit_set, holds, parted, place, row_hash
 from batonflow.llm.text import LOWER, bounds, in_batches, mix, shingles, slices, word_hashes
 from batonflow.operators.graph import connected_components
 from batonflow.staging import stage
@@ -234,6 +234,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
     in minima. An empty table gives an empty result. Other columns are not read.
     Sets are told apart by 64-bit fingerprints.
     """
+    return _components(docs, words, share, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, words: int, share: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Components, with set_id and the `first` (doc_id, set_id) of each; a row without words has no first."""
     spark = docs.sparkSession
     texts = in_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sample(words), "gram long")
@@ -272,24 +277,51 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE,
 
     nodes = connected_components(links, "a", "b").select(F.col("node").alias("set_id"), F.col("component").alias("root"))
     rows = sketch.select("doc_id", "n", "set_id").join(nodes, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "set_id"))).alias("first"))
     return rows.join(least, "root", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "set_id", F.when(F.col("n") > 0, F.col("first")).alias("first"),
     )
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """`docs` (doc_id, text and any others): of each group of near duplicates the document with the smallest id.
 
-    Of rows of one id one stays. Rows without words are in no group; rows without an
-    id can't be named by their group and stay too.
+    Rows of one id are documents of their own: those that aren't near duplicates all
+    stay, of a group with several of its smallest id one does, the first by a hash
+    of its shingles and then of the row. Rows without words are in no group, but of
+    an id's one stays; rows without an id can't be named by their group and stay too.
     """
-    found = stage(jaccard_components(docs.select("doc_id", "text"), words, share), "components")
+    found = stage(_components(docs.select("doc_id", "text"), words, share), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    sure, may = parted(docs, gone, "doc_id")
+    again = stage(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "again")
+    once, many = docs, None
+    if not again.isEmpty():
+        once, many = parted(docs, again, "doc_id")
+        once = once.union(many.join(again, "doc_id", "left_anti").select(*docs.columns))
+        many = _firsts(many.join(again, "doc_id", "left_semi").select(*docs.columns), found.join(again, "doc_id", "left_semi"), words)
+    sure, may = parted(once, gone, "doc_id")
     kept = sure.union(may.join(gone, "doc_id", "left_anti").select(*docs.columns))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    return kept if again.isEmpty() else kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    return kept if many is None else kept.union(many)
+
+
+def _keyed(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = pa.array([set_key(set_of(data, words)) for data in slices(batch["text"])], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sets], names=[*batch.schema.names, "_set"])
+
+    return run
+
+
+def _firsts(many: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """Of `many`, rows of repeated ids: one of each id and set that is first in its group or has no words."""
+    keep = found.where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "set_id"))).select("doc_id", F.col("set_id").alias("_set")).distinct()
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*many.dtypes, ("_set", "long")])
+    keyed = in_batches(many).mapInArrow(_keyed(words), schema).withColumn("_hash", row_hash(many))
+    rows = stage(keyed.join(keep, ["doc_id", "_set"], "left_semi"), "repeated")
+    least = rows.groupBy("doc_id", "_set").agg(F.min("_hash").alias("_hash"))
+    return rows.join(least, ["doc_id", "_set", "_hash"], "left_semi").dropDuplicates(["doc_id", "_set"]).select(*many.columns)
 
 
 def _blocks(families: DataFrame, components: DataFrame, sets: DataFrame, share: int) -> DataFrame:

@@ -18,15 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from batonflow.llm.bits import parted
+from batonflow.llm.bits import parted, row_hash
 from batonflow.llm.text import _DOWN, _STEP, _UP, bounds, in_batches, mix, slices, windows, word_hashes
 from batonflow.staging import stage
 
 PASSAGE, GRAM = 50, 16
 #: Bits that tell which stretches' windows are compared: 16 a stretch up to this many, then more windows than needed.
 MOST_BITS = 1 << 27
-_NAMES = ["gram", "one", "two", "doc_id", "first", "last", "origin"]
-_ROWS = "gram long, one long, two long, doc_id long, first long, last long, origin long"
+_NAMES = ["gram", "one", "two", "doc_id", "first", "last", "origin", "row"]
+_ROWS = "gram long, one long, two long, doc_id long, first long, last long, origin long, row long"
 
 
 class Stretches:
@@ -72,12 +72,12 @@ def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=_NAMES)
 
 
-def _thinned(gram, one, two, doc, first, last) -> pa.RecordBatch:
+def _thinned(gram, one, two, doc, first, last, row) -> pa.RecordBatch:
     """All rows; those whose (one, two) came before in this batch get its document as origin, else -1.
 
     So what is dealt out for comparing holds a hot stretch once a batch.
     """
-    order = np.lexsort((first, doc, two, one))
+    order = np.lexsort((first, row, doc, two, one))
     same = np.zeros(len(order), bool)
     same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -85,17 +85,17 @@ def _thinned(gram, one, two, doc, first, last) -> pa.RecordBatch:
     origin[order] = np.where(same, doc[order][head], -1)
     known = np.zeros(len(order), np.int64)
     known[order] = same
-    return _batch([gram, one, two, doc, first, last, np.where(known, origin, np.iinfo(np.int64).min)])
+    return _batch([gram, one, two, doc, first, last, np.where(known, origin, np.iinfo(np.int64).min), row])
 
 
 def _stretches(passage: int, gram: int):
     def run(batches):
         for batch in batches:
-            docs, parts = batch[0].to_numpy(), []
-            for doc, data in zip(docs, slices(batch[1]), strict=True):
+            docs, numbers, parts = batch[0].to_numpy(), batch[2].to_numpy(), []
+            for doc, data, row in zip(docs, slices(batch[1]), numbers, strict=True):
                 s = Stretches(_words(data), passage, gram)
                 if len(s.first):
-                    parts.append((s.gram, s.one, s.two, np.full(len(s.first), doc), s.first, s.last))
+                    parts.append((s.gram, s.one, s.two, np.full(len(s.first), doc), s.first, s.last, np.full(len(s.first), row)))
             if parts:
                 yield _thinned(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -108,8 +108,8 @@ def _windows(passage: int, gram: int, bits, size: int):
     def run(batches):
         table = bits.value
         for batch in batches:
-            docs, parts = batch[0].to_numpy(), []
-            for doc, data in zip(docs, slices(batch[1]), strict=True):
+            docs, numbers, parts = batch[0].to_numpy(), batch[2].to_numpy(), []
+            for doc, data, row in zip(docs, slices(batch[1]), numbers, strict=True):
                 words = _words(data)
                 s = Stretches(words, passage, gram)
                 at = _place(doc, s.first, size)
@@ -119,7 +119,7 @@ def _windows(passage: int, gram: int, bits, size: int):
                     p = np.repeat(s.first[want] - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(long.sum())
                     one = windows(words, passage)[p]
                     two = windows(mix(words ^ np.uint64(0x5851F42D4C957F2D)), passage)[p]
-                    parts.append((one, one, two, np.full(len(p), doc), p, p))
+                    parts.append((one, one, two, np.full(len(p), doc), p, p, np.full(len(p), row)))
             if parts:
                 yield _thinned(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -131,7 +131,7 @@ def _place(doc, first: np.ndarray, size: int) -> np.ndarray:
 
 
 def _neighbours(batches):
-    """Rows sorted by (gram, one, two, doc_id, first): repeats get the origin they repeat, heads of shared grams -1.
+    """Rows sorted by (gram, one, two, doc_id, row, first): repeats get the origin they repeat, heads of shared grams -1.
 
     What is kept between batches is the last head, so a hot gram streams through.
     """
@@ -166,7 +166,7 @@ def _neighbours(batches):
 
 def _compared(rows: DataFrame) -> DataFrame:
     """`rows` that repeat (gram 1) and heads of shared grams (gram -1)."""
-    dealt = rows.where(F.col("origin") == _NONE).repartition("gram").sortWithinPartitions("gram", "one", "two", "doc_id", "first")
+    dealt = rows.where(F.col("origin") == _NONE).repartition("gram").sortWithinPartitions("gram", "one", "two", "doc_id", "row", "first")
     return dealt.mapInArrow(_neighbours, _ROWS)
 
 
@@ -184,15 +184,21 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM,
     rows of one id are taken together. Ids must not be null (such rows are passed
     over). An empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    texts = in_batches(docs).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("row"))
+    return _passages(texts, passage, gram).drop("row")
+
+
+def _passages(texts: DataFrame, passage: int, gram: int) -> DataFrame:
+    """Repeated passages of `texts` (doc_id, text, row), in the order of (doc_id, row, position), each with its row."""
+    spark = texts.sparkSession
+    texts = in_batches(texts).where("doc_id IS NOT NULL")
     rows = stage(texts.mapInArrow(_stretches(passage, gram), _ROWS), "stretches")
     compared = stage(_compared(rows), "compared")
     heads = compared.where("gram = -1").select("doc_id", "first")
     size = 1 << max(16, min(MOST_BITS.bit_length() - 1, (16 * heads.count()).bit_length()))
     bits = spark.sparkContext.broadcast(_bits(heads, size))
     shared = stage(texts.mapInArrow(_windows(passage, gram, bits, size), _ROWS), "windows")
-    repeats = lambda df: df.select("doc_id", F.col("first").alias("a"), (F.col("last") + passage).alias("z"), "origin")
+    repeats = lambda df: df.select("doc_id", "row", F.col("first").alias("a"), (F.col("last") + passage).alias("z"), "origin")
     found = repeats(rows.where(F.col("origin") != _NONE))
     for df in (compared.where("gram = 1"), shared.where(F.col("origin") != _NONE), _compared(shared).where("gram = 1")):
         found = found.union(repeats(df))
@@ -218,12 +224,12 @@ def _bits(heads: DataFrame, size: int) -> np.ndarray:
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """Overlapping and touching matches of a document as one; a document's own matches are bounded by its length."""
-    by = Window.partitionBy("doc_id").orderBy("a", "z")
+    """Overlapping and touching matches of a row as one; a row's own matches are bounded by its length."""
+    by = Window.partitionBy("doc_id", "row").orderBy("a", "z")
     far = F.max("z").over(by.rowsBetween(Window.unboundedPreceding, -1))
     parts = found.withColumn("fresh", F.when(F.col("a") <= far, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = parts.groupBy("doc_id", "island").agg(F.min("a").alias("start_word"), (F.max("z") - F.min("a")).alias("n_words"), F.min("origin").alias("origin"))
-    return merged.select("doc_id", "start_word", "n_words", "origin")
+    merged = parts.groupBy("doc_id", "row", "island").agg(F.min("a").alias("start_word"), (F.max("z") - F.min("a")).alias("n_words"), F.min("origin").alias("origin"))
+    return merged.select("doc_id", "row", "start_word", "n_words", "origin")
 
 
 def _cut(batches):
@@ -246,8 +252,27 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     """`docs` (doc_id, text and any others) with repeated passages cut out of `text`.
 
     Every row stays, if need be with little text; white space around a cut stays.
+    Rows of one id are texts of their own: the first of them, in the order of a
+    hash of the row, keeps what the others repeat.
+    """
+    rows = _numbered(docs)
+    found = _passages(rows.select(F.col("doc_id").cast("long"), "text", F.col("_row").alias("row")), passage, gram)
+    spans = stage(found.groupBy("doc_id", F.col("row").alias("_row")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans")), "spans")
+    whole, cut = parted(rows, spans.select("doc_id"), "doc_id")
+    return whole.select(*docs.columns).union(cut.join(spans, ["doc_id", "_row"], "left").select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with _row, which tells rows of one id apart: 0 where the id isn't repeated.
+
+    Only rows whose id may be repeated are written; equal rows are in any order.
     """
-    spans = repeated_passages(docs, passage, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    spans = stage(spans, "spans")
-    whole, cut = parted(docs, spans.select("doc_id"), "doc_id")
-    return whole.union(cut.join(spans, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema))
+    again = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "again")
+    zero = F.lit(0).cast("long")
+    if again.isEmpty():
+        return docs.withColumn("_row", zero)
+    once, many = parted(docs, again, "doc_id")
+    keys = ["doc_id", "_hash", "_at"]
+    many = many.withColumn("_hash", row_hash(docs)).withColumn("_at", F.monotonically_increasing_id())
+    many = many.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
+    return once.withColumn("_row", zero).union(stage(many.select(*docs.columns, "_row"), "numbered"))

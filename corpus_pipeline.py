@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates. Of rows of one id one stays."""
+    """The document with the smallest id of each group of near duplicates. Rows of one id are documents of their own."""
     return without_near_duplicates(docs)
 
 

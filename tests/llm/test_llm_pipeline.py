@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,39 @@ def test_stages(spark, folder):
     assert sorted(r.doc_tokens for r in run if r.start == 0) == sorted(r.doc_tokens for r in pieces if r.start == 0)
 
 
+@pytest.fixture(scope="module")
+def repeated_ids(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    same, other, third, passage, a, b, c = say(80), say(90), say(70), say(60), say(20), say(30), say(40)
+    # Equal rows of 1; of 2 one row repeats 1 and one doesn't; those of 3 share a passage, which 4 has too; 5 repeats 2's second.
+    rows = [(1, same), (1, same), (2, same), (2, other), (3, f"{a} {passage}"), (3, f"{passage} {b}"), (4, f"{c} {passage}"), (5, other), (6, third), (None, same)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    return table, dict(same=same, other=other, third=third, passage=passage, a=a, b=b, c=c)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_near_duplicates_of_repeated_ids(spark, repeated_ids, parts):
+    import corpus_pipeline as p
+
+    table, t = repeated_ids
+    got = [tuple(r) for r in p.near_duplicates(spark, table.repartition(parts), "").collect()]
+    want = [(1, t["same"]), (2, t["other"]), (3, f"{t['a']} {t['passage']}"), (3, f"{t['passage']} {t['b']}"), (4, f"{t['c']} {t['passage']}"), (6, t["third"]), (None, t["same"])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_passages_of_repeated_ids(spark, repeated_ids, parts):
+    import corpus_pipeline as p
+
+    table, t = repeated_ids
+    docs = table.withColumn("n_chars", F.length("text").cast("long"))
+    got = [(r.doc_id, " ".join(WORD.findall(r.text))) for r in p.repeated_passages(spark, docs.repartition(parts), "").collect()]
+    rest = [(1, t["same"]), (1, ""), (2, ""), (2, t["other"]), (4, t["c"]), (5, ""), (6, t["third"]), (None, t["same"])]
+    first = [[(3, f"{t['a']} {t['passage']}"), (3, t["b"])], [(3, t["a"]), (3, f"{t['passage']} {t['b']}")]]
+    assert sorted(map(str, got)) in [sorted(map(str, rest + f)) for f in first]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", ["op5_chat_format", "op6_nearest", "op7_mixing", "op8_url_filter"])
 def test_against_sql(spark, name):
