@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,22 +15,50 @@ from batonflow.operators import fold
 
 JOB_STATE = "job_id long, status string, attempts int, run_after double"
 FOLD_STATE = "active string"
+#: Rows of a sorted frame that are held at once while frames are merged, and events that are handed on at once.
+CHUNK, EVENTS_AT_ONCE = 64, 10_000
+
+
+def _in_order(frames, by: list[str]):
+    """Rows of all frames of a key, in order of `by`, nulls last.
+
+    A key comes in several frames, each full Arrow batch one, and no order holds
+    between them. So each is sorted into a file of the task and all are merged: what
+    is held is one frame, then CHUNK rows of each.
+    """
+
+    def place(r):
+        return [(pd.isna(v), 0 if pd.isna(v) else v) for v in (getattr(r, c) for c in by)]
+
+    def run(file, starts):
+        for at in starts:
+            file.seek(at)
+            yield from pickle.load(file).itertuples(index=False)
+
+    with tempfile.TemporaryFile() as file:
+        runs = []
+        for f in frames:
+            f, starts = f.sort_values(by), []
+            for a in range(0, len(f), CHUNK):
+                starts.append(file.tell())
+                pickle.dump(f.iloc[a : a + CHUNK], file)
+            runs.append(starts)
+        yield from heapq.merge(*(run(file, starts) for starts in runs), key=place)
 
 
 def _one_job(key, frames, state):
     status, attempts, after = state.get if state.exists else ("queued", 0, 0.0)
-    for f in frames:
-        for r in f.sort_values("seq").itertuples(index=False):
-            if r.event == "claim" and status == "queued" and r.at >= after:
-                status, attempts = "running", attempts + 1
-            elif r.event == "ack" and status == "running":
-                status = "done"
-            elif r.event == "fail" and status == "running":
-                status = "poison" if attempts >= fixed.MAX_ATTEMPTS else "queued"
-                if status == "queued":
-                    after = r.at + (r.retry_after if pd.notna(r.retry_after) else 2.0**attempts)
-            elif r.event == "reclaim" and status == "running":
-                status = "queued"
+    for r in _in_order(frames, ["seq", "at", "event"]):
+        if r.event == "claim" and status == "queued" and r.at >= after:
+            status, attempts = "running", attempts + 1
+        elif r.event == "ack" and status == "running":
+            status = "done"
+        elif r.event == "fail" and status == "running":
+            status = "poison" if attempts >= fixed.MAX_ATTEMPTS else "queued"
+            if status == "queued":
+                after = r.at + (r.retry_after if pd.notna(r.retry_after) else 2.0**attempts)
+        elif r.event == "reclaim" and status == "running":
+            status = "queued"
     state.update((status, attempts, after))
     yield pd.DataFrame([(key[0], status, attempts, after)], columns=["job_id", "status", "attempts", "run_after"])
 
@@ -46,12 +77,14 @@ def enqueue(jobs: DataFrame, key: str = "idempotency_key") -> DataFrame:
 
 def _one_key(key, frames, state):
     active = [r | {"valid_from": pd.Timestamp(r["valid_from"])} for r in json.loads(state.get[0])] if state.exists else []
-    out = []
-    for f in frames:
-        for r in f.sort_values(["arrival_seq", "id"]).itertuples(index=False):
-            out += fold.step(fold._row(r), active, fixed.SAME_TEXT, fixed.NEAR_TEXT)
+    out, columns = [], [c.split()[0] for c in fold.EVENTS.split(", ")]
+    for r in _in_order(frames, ["arrival_seq", "id"]):
+        out += fold.step(fold._row(r), active, fixed.SAME_TEXT, fixed.NEAR_TEXT)
+        if len(out) >= EVENTS_AT_ONCE:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
     state.update((json.dumps(active, default=str),))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in fold.EVENTS.split(", ")])
+    yield pd.DataFrame(out, columns=columns)
 
 
 def fold_stream(items: DataFrame) -> DataFrame:

@@ -91,6 +91,37 @@ def test_job_states(spark, tmp_path):
     assert sorted((r.job_id, r.status, r.attempts) for r in out.collect()) == [(1, "poison", 3), (2, "done", 1)]
 
 
+@pytest.fixture
+def small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_stream_folds_frames_in_order(spark, tmp_path, small_batches):
+    from batonflow.streaming import jobs
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["sales", "product"]), rng.randint(2, 4), rng.randint(1, 2), 0.9, i, {"stance": rng.choice(["required", "deferred", "done"])}, None) for i in range(40)]
+    want = sorted(map(tuple, fold.states(fold.fold(items(spark, rows))).collect()))
+    rng.shuffle(rows)
+    df = items(spark, rows)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = jobs.fold_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    assert sorted(map(tuple, fold.states(jobs.drain(spark, stream, "folded_frames")).collect())) == want
+
+
+def test_job_states_over_frames(spark, tmp_path, small_batches):
+    from batonflow.streaming import jobs
+
+    ev = [(j, n, e, float(n), None) for j in (1, 2) for n, e in enumerate(["claim", "reclaim", "claim", "reclaim", "claim", "ack"][: 6 - j + 1])]
+    df = spark.createDataFrame(ev[::-1], "job_id long, seq int, event string, at double, retry_after double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = jobs.drain(spark, jobs.job_states(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "jobs_frames", "update")
+    assert sorted((r.job_id, r.status, r.attempts) for r in out.collect()) == [(1, "done", 3), (2, "running", 3)]
+
+
 def test_resolution_order(spark):
     hints = spark.createDataFrame([(1, "Acme Corp", 1), (1, "Acme Global Holdings", 2), (1, "acme global holding", 3), (1, None, 4), (1, "Quantum Dynamic", 5)], "tenant_id long, hint string, arrival_seq long")
     known = spark.createDataFrame([(1, "acme", "acme"), (1, "quantum dynamics", "quantum")], "tenant_id long, name string, entity string")
