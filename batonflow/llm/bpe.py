@@ -72,25 +72,33 @@ class Bpe:
 
 
 class IdCache(dict):
-    """chunk -> its ids as little-endian uint32 bytes; starts anew beyond `most` chunks."""
+    """chunk -> its ids as little-endian uint32 bytes; starts anew when it holds about `most` bytes."""
 
-    def __init__(self, bpe: Bpe, most: int = 1_200_000):
-        self.bpe, self.most, self.of_word = bpe, most, {}
+    #: What an entry weighs beside its characters and ids: two objects and a slot of the table.
+    ENTRY = 220
+
+    def __init__(self, bpe: Bpe, most: int = 32 << 20):
+        self.bpe, self.most, self.of_word, self.held = bpe, most, {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk in self.bpe.specials:
             return array("I", [self.bpe.specials[chunk]]).tobytes()
+        if self.held > self.most:
+            self.clear()
+            self.of_word.clear()
+            self.held = 0
         out = []
         for w in self.bpe.words(chunk):
             if (ids := self.of_word.get(w)) is None:
-                ids = self.of_word[w] = array("I", self.bpe.word_ids(w)).tobytes()
+                ids = array("I", self.bpe.word_ids(w)).tobytes()
+                if len(w) <= 200:
+                    self.of_word[w] = ids
+                    self.held += self.ENTRY + 2 * len(w) + len(ids)
             out.append(ids)
-        if len(self) >= self.most or len(self.of_word) >= self.most:
-            self.clear()
-            self.of_word.clear()
-        if len(chunk) > 200:
-            return b"".join(out)
-        self[chunk] = found = b"".join(out)
+        found = b"".join(out)
+        if len(chunk) <= 200:
+            self[chunk] = found
+            self.held += self.ENTRY + 2 * len(chunk) + len(found)
         return found
 
     def encode(self, text: str) -> bytes:

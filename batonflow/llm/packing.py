@@ -166,12 +166,18 @@ def _cut(path: str, size: int):
 
         ids, row = id_cache(path), count(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                raw, number = ids.encode(text or "") + end, next(row)
-                n = len(raw) // 4
-                out += [(doc_id, number, s, min(size, n - s), zlib.crc32(raw[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*out) if out else [[]] * 6)], names=names)
+            tokens, crc = array("q"), array("q")
+            for text in batch[1]:  # one text is a Python string at a time
+                raw = ids.encode(text.as_py() or "") + end
+                tokens.append(len(raw) // 4)
+                crc.extend(zlib.crc32(raw[4 * s : 4 * (s + size)]) for s in range(0, len(raw) // 4, size))
+            n = np.array(tokens, np.int64)
+            times = -(-n // size)
+            whole, doc = np.repeat(n, times), np.repeat(np.arange(len(n)), times)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)) * size
+            number = np.fromiter((next(row) for _ in range(len(n))), np.int64, len(n))[doc]
+            columns = [batch[0].take(pa.array(doc)), *(pa.array(x) for x in (number, start, np.minimum(size, whole - start), np.array(crc, np.int64), whole))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

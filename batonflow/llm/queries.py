@@ -69,12 +69,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of all conversations as recordings, a note a word; the turns of every hundredth conversation are asked."""
-    from batonflow.llm.audio import align, fingerprints, render
-
-    turns = table(spark, sf_dir, "conversations").withColumn("rec_id", F.col("conv_id") * (1 << 20) + F.col("turn"))
-    prints = turns.repartition("rec_id").select("rec_id", fingerprints(render(F.col("text"))).alias("prints"))
-    return align(prints, F.floor(F.col("rec_id") / (1 << 20)) % 100 == 0)
+    """The turns of all conversations as recordings, a note a word; the turns of every hundredth conversation are asked.
+
+    Rows of kind "member": (conv_id, turn) is in the class named by (class_conv_id,
+    class_turn). Rows of kind "link": that class, of an asked turn, aligns with the one found.
+    """
+    from batonflow.llm.audio import align, spoken_fingerprints
+    from batonflow.llm.text import in_batches
+
+    turns = in_batches(table(spark, sf_dir, "conversations")).where("conv_id IS NOT NULL")
+    recordings = turns.select(F.struct("conv_id", "turn").alias("rec_id"), spoken_fingerprints(F.col("text")).alias("print"))
+    found = align(recordings, F.col("rec_id.conv_id") % 100 == 0)
+    ids = [F.col(f"{c}.{p}").alias(f"{to}{p}") for c, to in (("rec", ""), ("class", "class_"), ("found", "found_")) for p in ("conv_id", "turn")]
+    return found.select("kind", *ids, "offset", "votes", "overlap", "error")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,18 +197,75 @@ def test_pruning_skips_leaves():
     assert found.seen < 0.5 * 4000 * 20
 
 
+def brute_alignment(a, b):
+    """Every offset by plain loops: (offset, votes, overlap, error) of the best one that holds, or None."""
+    found = []
+    for d in range(1 - len(a), len(b)):
+        at = [(int(a[i]), int(b[i + d])) for i in range(len(a)) if 0 <= i + d < len(b)]
+        votes = sum(x == y for x, y in at)
+        if votes >= audio.LEAST_VOTES and len(at) >= audio.LEAST_OVERLAP:
+            error = sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in at) / (32 * len(at))
+            found.append((error, -votes, d, len(at)))
+    if not found or min(found)[0] > audio.MOST_ERROR:
+        return None
+    error, votes, d, n = min(found)
+    return d, -votes, n, error
+
+
 def test_alignment(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
-    base = [rng.choice(words) for _ in range(120)]
-    other = [rng.choice(words) for _ in range(120)]
-    rows = [(0, base), (1, ["q", "z", "y", *base[30:100], "k"]), (2, base), (3, other), (4, [rng.choice(words) for _ in range(90)]), (5, ["short"]), (6, [])]
+    base, other = ([rng.choice(words) for _ in range(120)] for _ in range(2))
+    tune = [rng.choice(words) for _ in range(9)]
+    near = [w if rng.random() > 0.02 else rng.choice(words) for w in base]
+    rows = [
+        (0, base), (1, ["q", "z", "y", *base[30:100], "k"]), (2, base), (3, other), (4, [rng.choice(words) for _ in range(90)]), (5, ["short", "one"]), (6, []),
+        (8, ["short", "one"]), (9, near), (10, tune * 12), (11, ["x", *tune * 9]), (12, ["same"] * 150), (13, ["same"] * 90), (20, base[:27]), (21, other[50:]),
+        # One id with two texts, and a text that is like the second.
+        (30, [rng.choice(words) for _ in range(60)]), (30, near[10:90]), (31, near[12:]), (None, base),
+    ]
     said = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(7, None)], "rec_id long, text string")
-    prints = said.select("rec_id", audio.fingerprints(audio.render(F.col("text"))).alias("prints")).withColumn("error", F.lit("clash"))
-    got = {(r.query_id, r.class_id): r for r in audio.align(prints, F.col("rec_id").isin(0, 3, 5)).collect()}
-    assert set(got) == {(0, 1), (0, 0)}
-    assert got[0, 1].offset == -27 and got[0, 1].error < 0.1 and got[0, 0].members == 2
-    noisy = audio.spoken(" ".join(base)).astype(float) + np.random.default_rng(0).normal(0, 1500, 120 * audio.HOP)
-    clean, rough = (audio.fingerprint(audio.chroma(x)) for x in (audio.spoken(" ".join(base)), noisy))
-    assert np.bitwise_count(clean ^ rough).mean() / 32 < 0.1
-    assert audio.align(prints.limit(0), F.lit(True)).count() == 0
+    recordings = said.select("rec_id", audio.spoken_fingerprints(F.col("text")).alias("print")).withColumn("error", F.lit("clash")).repartition(5)
+    asked = {0, 3, 5, 10, 12, 20, 30}
+    got = audio.align(recordings, F.col("rec_id").isin(*asked)).collect()
+    prints = {" ".join(w): audio.printed(audio.spoken(" ".join(w)))[2] for _, w in rows}
+    names = {t: min(i for i, w in rows if i is not None and " ".join(w) == t) for t in {" ".join(w) for i, w in rows if w and i is not None}}
+    assert sorted((r.rec, r["class"]) for r in got if r.kind == "member") == sorted((i, names[" ".join(w)]) for i, w in rows if w and i is not None)
+    want = set()
+    for a in {" ".join(w) for i, w in rows if i in asked}:
+        for b in names:
+            if b != a and a and (hit := brute_alignment(prints[a], prints[b])):
+                want.add((names[a], names[b], *hit[:3], round(hit[3], 9)))
+    links = [(r["class"], r.found, r.offset, r.votes, r.overlap, round(r.error, 9)) for r in got if r.kind == "link"]
+    assert set(links) == want and len(links) == len(want) and {(0, 1), (10, 11), (12, 13), (30, 31)} <= {x[:2] for x in want}
+    assert audio.align(recordings.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_offsets_by_correlation(seed, monkeypatch):
+    """Many candidate offsets and much repeated integers are counted at once; the result is that of the loops."""
+    rng = np.random.default_rng(seed)
+    motif = rng.integers(-(2**31), 2**31, 3, dtype=np.int64).astype(np.int32)
+    a, b = (np.where(rng.random(n) < 0.05, 7, np.resize(motif, n)).astype(np.int32) for n in (700, 1900))
+    got, want = audio.aligned(a, b), brute_alignment(a, b)
+    assert got[:3] == want[:3] and abs(got[3] - want[3]) < 1e-12
+    one = np.full(3000, 5, np.int32)
+    votes = audio.histogram(one, one)
+    assert votes[2999] == 3000 and votes[0] == votes[-1] == 1
+
+
+def test_recordings():
+    rng, words = random.Random(2), [f"w{i}" for i in range(300)]
+    text = " ".join(rng.choice(words) for _ in range(5000))  # several parts
+    whole = np.concatenate(list(audio.spoken(text)))
+    assert (audio.printed(audio.spoken(text))[2] == audio.printed([whole])[2]).mean() > 0.999 and len(audio.printed([whole])[2]) == 5000 - 1 - 15
+    clean = audio.fingerprint(audio.chroma(whole[: 256 * 400]))
+    noisy = audio.fingerprint(audio.chroma(whole[: 256 * 400].astype(float) + np.random.default_rng(0).normal(0, 1500, 256 * 400)))
+    assert np.bitwise_count((clean ^ noisy).view(np.uint32)).mean() / 32 < 0.1
+    assert audio.printed(audio.spoken(" \n"))[:2] == (None, None) and audio.printed(audio.spoken("a"))[0] is not None
+
+
+def test_media_column(spark):
+    said = spark.createDataFrame([(1, "some words " * 30), (2, None), (3, "")], "rec_id long, text string")
+    got = {r.rec_id: r for r in said.select("rec_id", audio.fingerprints(audio.render(F.col("text"))).alias("m"), audio.spoken_fingerprints(F.col("text")).alias("s")).collect()}
+    assert got[1].m.prints == got[1].s.prints and len(got[1].m.prints) == 44 and got[2].m.one is None and got[3].s.prints == []
