@@ -2,11 +2,16 @@
 
 Suffixes are kept only where they start with a window's minimiser: among the runs
 of GRAM words that a window of PASSAGE words has, the one with the least hash. So
-every repeat of a passage keeps suffixes at the same places. Suffixes are sorted
-by what they start with and then by the whole stretch of windows that share the
-minimiser; equal neighbours repeat each other. Stretches that differ but share
-their minimiser may still share windows to its left or right: those windows are
-sorted and compared as well, and overlapping matches merge into maximal ones.
+every repeat of a passage keeps suffixes at the same places. A kept suffix stands
+for its stretch: all windows that share the minimiser, to its left and right.
+Stretches are sorted and each is compared with its neighbour; equal ones repeat
+each other as a whole.
+
+Neighbours in one order of suffixes don't find all repeats: of two suffixes that
+share words on both sides, others may lie between that share more on the right and
+nothing on the left. So a stretch whose gram has other stretches too is extended
+window by window: suffixes at each start in it are sorted by PASSAGE words and
+compared with their neighbours, and what matches is merged into maximal passages.
 
 The result is exact: a word is in a repeated passage if and only if a window of
 PASSAGE words over it occurred before, in the order of (doc_id, position).
@@ -68,8 +73,9 @@ def _words(data: np.ndarray) -> np.ndarray:
     return word_hashes(data, starts, ends)
 
 
-def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=_NAMES)
+def _batch(columns: list[np.ndarray], names: list[str] = _NAMES) -> pa.RecordBatch:
+    kinds = [pa.int32() if n == "mark" else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _thinned(gram, one, two, doc, first, last, row) -> pa.RecordBatch:
@@ -131,43 +137,32 @@ def _place(doc, first: np.ndarray, size: int) -> np.ndarray:
 
 
 def _neighbours(batches):
-    """Rows sorted by (gram, one, two, doc_id, row, first): repeats get the origin they repeat, heads of shared grams -1.
+    """Rows sorted by (one, two, doc_id, row, first): each is compared with the one before. Repeats get the origin they repeat and gram 1, heads keep theirs and -1.
 
-    What is kept between batches is the last head, so a hot gram streams through.
+    What is kept between batches is the last row and its head's document, so a hot stretch streams through.
     """
-    last, origin, waiting = None, None, None
+    last, origin = None, -1
     for batch in batches:
         c = [x.to_numpy() for x in batch.columns]
         if not len(c[0]):
             continue
-        g, one, two, doc = c[:4]
-        before = np.concatenate([[last[0] if last else g[0]], g[:-1]]), np.concatenate([[last[1] if last else 0], one[:-1]]), np.concatenate([[last[2] if last else 0], two[:-1]])
-        new_gram = g != before[0]
-        if last is None:
-            new_gram[0] = True
-        head = new_gram | (one != before[1]) | (two != before[2])
-        at = np.maximum.accumulate(np.where(head, np.arange(len(g)), -1))
-        c[6] = np.where(head, -1, np.where(at >= 0, doc[np.maximum(at, 0)], origin if origin is not None else -1))
-        heads = np.flatnonzero(head)
-        # A head counts if its gram has another: it isn't the first, or the next head is of the same gram.
-        shared = ~new_gram[heads]
-        shared[:-1] |= ~new_gram[heads[1:]]
-        if len(heads):
-            if waiting is not None and not new_gram[heads[0]]:
-                yield _batch([np.array([x]) for x in waiting])
-            # As it is yielded below: marked, for it may come out with the next batch.
-            waiting = None if shared[-1] else [-1, *(x[heads[-1]] for x in c[1:])]
-        keep = ~head
-        keep[heads[shared]] = True
-        last, origin = (g[-1], one[-1], two[-1]), (doc[at[-1]] if at[-1] >= 0 else origin)
-        # Marks: heads -1 in `gram`, repeats 1.
-        yield _batch([np.where(head, -1, 1)[keep], *(x[keep] for x in c[1:])])
+        one, two, doc = c[1:4]
+        head = np.ones(len(one), bool)
+        head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        head[0] = last != (one[0], two[0])
+        at = np.maximum.accumulate(np.where(head, np.arange(len(one)), -1))
+        first = np.where(at >= 0, doc[np.maximum(at, 0)], origin)
+        last, origin = (one[-1], two[-1]), first[-1]
+        yield _batch([*c[:6], np.where(head, -1, first), c[7], np.where(head, -1, 1)], [*_NAMES, "mark"])
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """`rows` that repeat (gram 1) and heads of shared grams (gram -1)."""
-    dealt = rows.where(F.col("origin") == _NONE).repartition("gram").sortWithinPartitions("gram", "one", "two", "doc_id", "row", "first")
-    return dealt.mapInArrow(_neighbours, _ROWS)
+    """`rows` with mark: 1 for those that repeat an earlier one, -1 for the first of each (one, two).
+
+    Dealt by the whole stretch and not by gram: a gram with very many stretches isn't one task's.
+    """
+    dealt = rows.where(F.col("origin") == _NONE).repartition("one", "two").sortWithinPartitions("one", "two", "doc_id", "row", "first")
+    return dealt.mapInArrow(_neighbours, _ROWS + ", mark int")
 
 
 _NONE = -(1 << 63)
@@ -194,13 +189,17 @@ def _passages(texts: DataFrame, passage: int, gram: int) -> DataFrame:
     texts = in_batches(texts).where("doc_id IS NOT NULL")
     rows = stage(texts.mapInArrow(_stretches(passage, gram), _ROWS), "stretches")
     compared = stage(_compared(rows), "compared")
-    heads = compared.where("gram = -1").select("doc_id", "first")
+    # A stretch is contested if its gram has another: only then may windows be shared beside the equal stretches.
+    heads = compared.where("mark = -1").select("gram", "one", "two", "doc_id", "first")
+    grams = heads.groupBy("gram").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("one", "two")))
+    contested = stage(grams.where("min_one <> max_one OR min_two <> max_two").select("gram"), "contested")
+    heads = stage(parted(heads, contested, "gram")[1].select("doc_id", "first"), "heads")
     size = 1 << max(16, min(MOST_BITS.bit_length() - 1, (16 * heads.count()).bit_length()))
     bits = spark.sparkContext.broadcast(_bits(heads, size))
     shared = stage(texts.mapInArrow(_windows(passage, gram, bits, size), _ROWS), "windows")
     repeats = lambda df: df.select("doc_id", "row", F.col("first").alias("a"), (F.col("last") + passage).alias("z"), "origin")
     found = repeats(rows.where(F.col("origin") != _NONE))
-    for df in (compared.where("gram = 1"), shared.where(F.col("origin") != _NONE), _compared(shared).where("gram = 1")):
+    for df in (compared.where("mark = 1"), shared.where(F.col("origin") != _NONE), _compared(shared).where("mark = 1")):
         found = found.union(repeats(df))
     return _merged(found)
 
