@@ -33,7 +33,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 LARGE = 256
 FRAGMENTS = 8
 #: Shingles of one block of a family, before it meets another block.
-BLOCK = 1_000_000
+BLOCK = 250_000
 
 
 def set_of(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -183,16 +183,15 @@ def _apart(share: int):
     """Links inside one block of a family between sets that are still in different components.
 
     Shingles that only one set of the block has are in no overlap and are left out.
-    Every set outside the largest component is counted against all others through
-    the lists of who has its shingles. A link joins two components, so a block
+    Every outsider is counted against all others through the lists of who has its
+    shingles. A link joins two components, so a block
     gives fewer rows than it has sets.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys, first, number = np.unique(group["set_id"].to_numpy(), return_index=True, return_inverse=True)
         m, of, n = len(keys), group["component"].to_numpy()[first], group["n"].to_numpy()[first].astype(np.int64)
-        own_block = group["block"].to_numpy()[first]
-        across = group["i"].iloc[0] != group["j"].iloc[0]
+        out = group["out"].to_numpy()[first]
         lengths = group["grams"].map(len).to_numpy()
         gram, who = np.concatenate([*group["grams"], np.empty(0, np.int64)]), np.repeat(number, lengths)
         order = np.argsort(gram, kind="stable")
@@ -206,14 +205,12 @@ def _apart(share: int):
         cuts = np.searchsorted(who[shared][by_set], np.arange(m + 1))
         _, label = np.unique(of, return_inverse=True)
         a, b = [], []
-        for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        for x in np.flatnonzero(out):
             mine = lists[cuts[x] : cuts[x + 1]]
             times = length[mine]
             at = np.repeat(start[mine] - (np.cumsum(times) - times), times) + np.arange(times.sum())
             overlap = np.bincount(who[at], minlength=m)
             linked = (overlap * (100 + share) >= share * (n + n[x])) & (label != label[x])
-            if across:
-                linked &= own_block != own_block[x]
             for y in np.flatnonzero(linked):
                 if label[y] != label[x]:
                     label[label == label[y]] = label[x]
@@ -325,12 +322,27 @@ def _firsts(many: DataFrame, found: DataFrame, words: int) -> DataFrame:
 
 
 def _blocks(families: DataFrame, components: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links between the parts of a family that are still apart, found in blocks of a bounded number of shingles."""
+    """Links between the parts of a family that are still apart, found in blocks of a bounded number of shingles.
+
+    The largest component of a family is its main part, the rest are outsiders. What
+    is missing has an outsider at one end at least: blocks of outsiders meet blocks of
+    the main part and each other, and the main part's blocks never meet.
+    """
     members = families.withColumnRenamed("node", "set_id").join(components.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     members = members.join(sets.where("fragment = 0").select("set_id", "n"), "set_id")
-    split = members.groupBy("family").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = members.join(split.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family")
-    members = members.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "component", "n")
-    rows = members.join(sets.select("set_id", "grams"), "set_id")
+    parts = members.groupBy("family", "component").agg(F.sum("n").alias("size"))
+    split = parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int")
+    split = split.select("family", F.col("m.component").alias("main"), blocks(F.col("m.size")).alias("mains"), blocks(F.col("all") - F.col("m.size")).alias("outs"))
+    members = stage(members.join(split, "family").withColumn("out", F.col("component") != F.col("main")), "members")
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda n: F.pmod(F.xxhash64("set_id", F.lit(7)), n).cast("int")
+    pick = ["family", "i", "j", "out", "set_id", "component", "n"]
+    outs = members.where("out").withColumn("own", at(F.col("outs")))
+    # (i, j): outsiders of block i and the main part's block j, or, j below 0, outsiders of block -1 - j.
+    there = outs.withColumn("j", F.explode(spread(F.col("mains")))).withColumn("i", F.col("own"))
+    among = outs.withColumn("other", F.explode(spread(F.col("outs")))).withColumn("i", F.least("own", "other")).withColumn("j", -1 - F.greatest("own", "other"))
+    mains = members.where("NOT out").withColumn("j", at(F.col("mains"))).withColumn("i", F.explode(spread(F.col("outs"))))
+    dealt = there.select(pick).union(among.select(pick)).union(mains.select(pick))
+    rows = dealt.join(sets.select("set_id", "grams"), "set_id")
     return rows.groupBy("family", "i", "j").applyInPandas(_apart(share), "a long, b long")
