@@ -34,7 +34,7 @@ def _steps(mean: Column) -> Column:
 
 
 def target_rates(docs: DataFrame, weights: dict[str, float], default: float, total: float | None, source: str = "source") -> DataFrame:
-    """(_source, parts, sums): from counts of all documents; a null source is a source of its own.
+    """(_source, _parts, _sums): from counts of all documents; a null source is a source of its own.
 
     Weights are relative; `total` (default: as many as there are) documents are
     aimed at. A source of weight 0 gets rate 0.
@@ -48,27 +48,33 @@ def target_rates(docs: DataFrame, weights: dict[str, float], default: float, tot
     aim = float(total if total is not None else all_n or 0)
     rates = (
         counts.withColumn("rate", F.lit(aim) * F.col("w") / (float(all_w or 1.0) or 1.0) / F.col("n"))
-        .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
-        .withColumn("sums", _steps(F.col("rate") / F.col("parts")))
-        .select("_source", "parts", "sums")
+        .withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+        .withColumn("_sums", _steps(F.col("rate") / F.col("_parts")))
+        .select("_source", "_parts", "_sums")
     )
     return F.broadcast(rates) if sources <= MAX_BROADCAST_SOURCES else rates
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, total: float | None = None, seed: int = 17, source: str = "source", key: str = "doc_id") -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, total: float | None = None, seed: int = 17, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` repeated to the target weights, with copy (from 0) and shuffle_key, globally shuffled.
 
-    Rows with one id are repeated equally; a null id hashes as the empty string.
-    An empty table gives an empty result. The order is by shuffle_key: range
-    partitions over the hashed key, sorted within, so no source is together.
+    Rows with one id are repeated equally. Rows with a null id are told apart by an
+    MD5 of their text (null or no such column: empty), so they aren't all repeated alike. Empty and very
+    long texts are rows like any other. An empty table gives an empty result. Columns
+    named copy and shuffle_key are replaced. The order is by shuffle_key: ranges of
+    that hash, which are of equal size by its nature, sorted within.
     """
     rates = target_rates(docs, weights or {}, default, total, source)
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    part = lambda j: F.size(F.filter("sums", lambda c: c <= uniform(F.lit(seed).cast("string"), name, j.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + part(j))
+    said = F.coalesce(F.col(text).cast("string"), F.lit("")) if text in docs.columns else F.lit("")
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.md5(said)))
+    # A number a part, each hashed once; then the terms below it are counted.
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(F.lit(seed).cast("string"), name, j.cast("string")))
+    copies = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter("_sums", lambda c: c <= u)))
     marked = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
     out = marked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).withColumn(
         "shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col("copy").cast("string")))
     )
-    out = out.drop("_source", "parts", "sums", "_copies")
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    # The key's first 32 bits are uniform: they name the range, and no sample of the rows has to be made first.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.expr(f"cast(conv(left(shuffle_key, 8), 16, 10) AS long) * {n}L div 4294967296L").cast("int")
+    return out.drop("_source", "_parts", "_sums", "_copies").repartitionById(n, at).sortWithinPartitions("shuffle_key")

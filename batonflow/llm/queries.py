@@ -122,11 +122,11 @@ w AS (SELECT *, CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::D
 r AS (SELECT *, (SELECT sum(n) FROM n)::DOUBLE * w / (SELECT sum(w) FROM w) / n AS rate FROM w),
 p AS (SELECT *, greatest(1, ceil(rate / 16))::INT AS parts FROM r),
 t AS (SELECT *, list_transform(range(0, 96), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-rate / parts) * pow(rate / parts, i) / gamma(i + 1)))) AS sums FROM p),
-k AS (SELECT d.doc_id, d.source, list_sum(list_transform(range(1, t.parts + 1), lambda j: len(list_filter(t.sums, lambda c:
-    c <= ('0x' || left(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || j::VARCHAR), 13))::BIGINT / 4503599627370496.0::DOUBLE)))) AS copies
-  FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, copy::INT AS copy, md5('17 order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(0, copies::BIGINT)) AS copy FROM k WHERE copies > 0)""",
+k AS (SELECT d.doc_id, d.name, d.source, list_sum(list_transform(range(1, t.parts + 1), lambda j: len(list_filter(t.sums, lambda c:
+    c <= ('0x' || left(md5('17:' || d.name || ':' || j::VARCHAR), 13))::BIGINT / 4503599627370496.0::DOUBLE)))) AS copies
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, ''))) AS name FROM documents) d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, copy::INT AS copy, md5('17 order:' || name || ':' || copy::VARCHAR) AS shuffle_key
+FROM (SELECT doc_id, name, source, unnest(range(0, copies::BIGINT)) AS copy FROM k WHERE copies > 0)""",
     "op8_url_filter": r"""
 WITH s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
