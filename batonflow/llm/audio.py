@@ -38,7 +38,8 @@ _KEY = ["one", "two"]
 
 # Sixteen filters by rule: kind 1 to 5, first class, classes, frames.
 _FILTERS = [(i % 5 + 1, (7 * i) % 7, 2 + (5 * i) % 4 + i % 2, 4 + (3 * i) % 13) for i in range(16)]
-_LEVELS, _GRAY = (-0.12, 0.0, 0.12), np.array([0, 1, 3, 2], np.uint32)
+# Levels near the quartiles, so that each of the four is about as likely, and what is added against silence.
+_LEVELS, _FLOOR, _GRAY = (-0.4, 0.0, 0.4), 0.05, np.array([0, 1, 3, 2], np.uint32)
 
 
 def _folding() -> np.ndarray:
@@ -51,7 +52,7 @@ def _folding() -> np.ndarray:
 
 
 def _corners() -> np.ndarray:
-    """What each corner of the integral image over a window adds to the inner and the whole area of each filter."""
+    """What each corner of the integral image over a window adds to the means over the inner and the outer area of each filter."""
     out = np.zeros((WINDOW + 1, 13, 2, len(_FILTERS)))
 
     def area(part, i, a, z, low, high):
@@ -72,7 +73,9 @@ def _corners() -> np.ndarray:
             area(0, i, 0, w, *((y + third_y, top - third_y) if h > 2 else (y, y + 1)))
         else:
             area(0, i, third_t, w - third_t, y, top)
-    return out.reshape((WINDOW + 1) * 13, 2 * len(_FILTERS))
+    inner, whole = (out[:, :, part].reshape((WINDOW + 1) * 13, len(_FILTERS)) for part in (0, 1))
+    cells = lambda part: np.outer(np.arange(WINDOW + 1), np.arange(13)).ravel() @ part
+    return np.hstack([inner / cells(inner), (whole - inner) / cells(whole - inner)])
 
 
 _FOLD, _HANN, _CORNERS = _folding(), np.hanning(FRAME).astype(np.float32), _corners()
@@ -105,8 +108,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.sliding_window_view(image, (WINDOW + 1, 13))[:, 0]
     packed = np.zeros(n, np.uint32)
     for a in range(0, n, STEP):
-        inner, whole = np.split(view[a : a + STEP].reshape(-1, (WINDOW + 1) * 13) @ _CORNERS, 2, axis=1)
-        level = np.digitize(np.log1p(inner / UNIT) - np.log1p((whole - inner) / UNIT), _LEVELS)
+        inner, outer = np.split(np.rint(view[a : a + STEP].reshape(-1, (WINDOW + 1) * 13) @ _CORNERS) / UNIT + _FLOOR, 2, axis=1)
+        level = np.digitize(np.log(inner / outer), _LEVELS)
         for i in range(len(_FILTERS)):
             packed[a : a + STEP] = (packed[a : a + STEP] << np.uint32(2)) | _GRAY[level[:, i]]
     return packed.view(np.int32)

@@ -159,7 +159,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Scorer:
     """Fitted on at most so many positives (quality 1, not held out) and unlabelled documents."""
     good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    chosen = _sample(good, most_positive).withColumn("positive", F.lit(True)).union(_sample(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), most_unlabelled).withColumn("positive", F.lit(False)))
+    chosen = _sample(good, most_positive).withColumn("positive", F.lit(True)).union(_sample(docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), most_unlabelled).withColumn("positive", F.lit(False)))
     # At most most_positive + most_unlabelled ids, and as many rows of features to the driver.
     picked = in_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(_columns, "doc_id long, positive boolean, features binary").toPandas()
     picked = picked.sort_values(["positive", "doc_id"], ignore_index=True)
