@@ -152,6 +152,7 @@ def in_order(v, x):
 
 def brute_nearest(rows, asked, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    good = [(i, v) for i, v in good if len(v) == len(good[0][1])]
     out = []
     for q, v in good:
         if asked(q):
@@ -165,36 +166,63 @@ def vectors(n=300, dim=5):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=dim) * rng.uniform(0.1, 3)]) for i in range(n)]
     same = rows[0][1]
     rows += [(n + i, same) for i in range(40)]
-    return [*rows, (9001, None), (9002, [0.0] * dim), (9003, [float("nan")] + [1.0] * (dim - 1)), (9004, [None] + [1.0] * (dim - 1)), (9005, [float("inf")] * dim), (None, same)]
+    return [*rows, (9000, same[:-1]), (9001, None), (9002, [0.0] * dim), (9003, [float("nan")] + [1.0] * (dim - 1)), (9004, [None] + [1.0] * (dim - 1)), (9005, [float("inf")] * dim), (None, same)]
 
 
-def test_nearest_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize(("shard", "block"), [(90, 7), (16_384, 2048)])
+def test_nearest_is_exact(spark, monkeypatch, shard, block):
     monkeypatch.setattr(vptree.Tree.__init__, "__defaults__", (16, 5))
     rows = vectors()
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    got = vptree.nearest(table, table.where("vec_id % 20 = 0"), k=20, shard=90, block=7)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("shard", F.lit("clash"))
+    got = vptree.nearest(table, table.where("vec_id % 20 = 0"), k=20, shard=shard, block=block)
     assert sorted(map(tuple, got.collect())) == brute_nearest(rows, lambda i: i % 20 == 0, 20)
-    few = table.where("vec_id < 4")
-    assert vptree.nearest(few, few).count() == 12
-    assert vptree.nearest(table.limit(0), table).count() == 0
-    assert table.where("vec_id > 9000").transform(lambda t: vptree.nearest(t, t)).count() == 0
+    if shard == 90:
+        few = table.where("vec_id < 4")
+        assert vptree.nearest(few, few).count() == 12
+        assert vptree.nearest(table.limit(0), table).count() == 0
+        assert table.where("vec_id > 9000").transform(lambda t: vptree.nearest(t, t)).count() == 0
+        twice = table.where("vec_id IN (20, 40)").withColumn("vec_id", F.lit(20).cast("long"))
+        assert vptree.nearest(table, twice, k=3, shard=shard).count() == 3  # one id asked with two vectors: its best three
 
 
 def test_recall_of_relaxed_pruning(spark):
     rows = vectors(600, 8)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = {(q, i) for q, _, i, _ in brute_nearest(rows, lambda i: i % 20 == 0, 20)}
-    got = {(r.query_id, r.vec_id) for r in vptree.nearest(table, table.where("vec_id % 20 = 0"), factor=1.2).collect()}
+    got = {(r.query_id, r.vec_id) for r in vptree.nearest(table, table.where("vec_id % 20 = 0"), factor=1.2, shard=200).collect()}
     assert len(want & got) / len(want) >= 0.9
 
 
-def test_pruning_skips_leaves():
+def test_pruning_skips_leaves_and_shards(monkeypatch):
+    monkeypatch.setattr(vptree.Tree.__init__, "__defaults__", (32, 5))
     rng = np.random.default_rng(0)
     points = rng.normal(size=(4000, 2))
-    tree = vptree.Tree(vptree.lift(points, float(np.sqrt((points**2).sum(1).max()))), leaf=32)
-    q = points[:20]
-    found = vptree.Search(tree, points, np.arange(4000), np.arange(20), q, np.hstack([q, np.zeros((20, 1))]), 5, 1.0)
-    assert found.seen < 0.5 * 4000 * 20
+    longest = float(np.sqrt((points**2).sum(1).max()))
+    index = vptree.Index(np.arange(4000), points, longest, 5)
+    who, found, score, seen = index.search(np.arange(20), points[:20], longest, 1.0)
+    assert seen < 0.5 * 4000 * 20
+    for q in range(20):
+        want = sorted((-s, i) for i, s in enumerate(points @ points[q]) if i != q)[:5]
+        assert [i for _, i in want] == found[who == q].tolist()
+    top = vptree.Top(vptree.lift(points[:500], longest), 3)
+    lifted, shard = vptree.lift(points, longest), top.shard(vptree.lift(points, longest))
+    low = top.bounds(np.hstack([points[:20], np.zeros((20, 1))]))
+    far = np.sqrt(((np.hstack([points[:20], np.zeros((20, 1))])[:, None] - lifted[None]) ** 2).sum(2))
+    assert all(low[q, s] <= far[q, shard == s].min() + 1e-9 for q in range(20) for s in range(8) if (shard == s).any())
+    assert len(np.unique(shard)) == 8 and (low > 0).any()
+
+
+def test_crowds_of_nearly_equal_vectors():
+    """More vectors than the margin holds lie within rounding of the k-th: all are scored exactly."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=16)
+    points = np.vstack([base + rng.normal(size=(200, 16)) * 1e-16, np.tile(base, (300, 1)), rng.normal(size=(50, 16)) * 0.1])
+    ids = rng.permutation(len(points))
+    index = vptree.Index(ids, points, float(np.sqrt((points**2).sum(1).max())), 20)
+    _, found, score, _ = index.search(np.array([-1]), base[None], float(np.sqrt((points**2).sum(1).max())), 1.0)
+    exact = vptree.inner(np.tile(base, (len(points), 1)), points)
+    want = sorted(zip(-exact, ids, strict=True))[:20]
+    assert [i for _, i in want] == found.tolist()
 
 
 def brute_alignment(a, b):
