@@ -9,6 +9,7 @@ through. A key is listed if the first level that rejects it is odd.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from batonflow.staging import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host/path prefix); a rule fits its host and all subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A level's bits are broadcast only up to this size; longer lists take a shuffled join.
+#: A part's bits, all levels together, are broadcast; keys are cut into so many parts that each is about this size at most.
 MAX_FILTER_BYTES = 64 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,20 +57,32 @@ def _spots(one: np.ndarray, two: np.ndarray, level: int, k: int, m: int):
 
 @dataclass
 class Cascade:
-    """levels: (bits as uint8 array, number of hashes, number of bits), broadcast once."""
+    """A cascade for each part of the keys: levels of (bits as uint8 array, number of hashes, number of bits), each part broadcast on its own."""
 
-    levels: list
-    shared: object = None
+    parts: list
 
-    def listed(self, key: Column) -> Column:
-        """Exact membership for any key of the universe; a null key is not listed."""
-        shared = self.shared
+    def mark(self, rows: DataFrame, key: str, column: str) -> DataFrame:
+        """`rows` with `column`: exact membership of `key` for any key of the universe; a null key is not listed.
 
-        @F.pandas_udf("boolean")
-        def test(one: pd.Series, two: pd.Series) -> pd.Series:
-            return pd.Series(_walk(shared.value, one.to_numpy(), two.to_numpy()))
+        With several parts, each is asked for its own rows only, so a task holds one part.
+        """
+        one, two = F.xxhash64(key), F.xxhash64(key, F.lit(1))
 
-        return F.when(key.isNotNull(), test(F.xxhash64(key), F.xxhash64(key, F.lit(1)))).otherwise(False)
+        def asked(shared):
+            @F.pandas_udf("boolean")
+            def test(one: pd.Series, two: pd.Series) -> pd.Series:
+                return pd.Series(_walk(shared.value, one.to_numpy(), two.to_numpy()))
+
+            return F.when(F.col(key).isNotNull(), test(one, two)).otherwise(False)
+
+        if len(self.parts) == 1:
+            return rows.withColumn(column, asked(self.parts[0]))
+        found = [rows.where(_part(one, len(self.parts)) == p).withColumn(column, asked(shared)) for p, shared in enumerate(self.parts)]
+        return reduce(DataFrame.union, found)
+
+
+def _part(one: Column, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(one, 17), F.lit(parts))
 
 
 def _passes(level, number, one, two) -> np.ndarray:
@@ -104,34 +117,44 @@ def _level(keys: DataFrame, number: int, n: int, bits_per_key: float):
             yield pd.DataFrame({"word": unique.astype(np.int64), "bits": bits.view(np.int64)})
 
     rows = keys.mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(m // 64, np.uint64)  # toPandas: m / 64 rows at most, and the caller has checked m
+    out = np.zeros(m // 64, np.uint64)  # toPandas: m / 64 rows at most, and m is bounded by the caller's parts
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out.view(np.uint8), k, m
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key", bits_per_key: float = 4.0, max_bytes: int = MAX_FILTER_BYTES) -> Cascade | None:
-    """A cascade for `listed` over `universe` (distinct keys of the corpus); None if a level is beyond `max_bytes`.
+def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key", bits_per_key: float = 4.0, max_bytes: int = MAX_FILTER_BYTES) -> Cascade:
+    """A cascade for `listed` over `universe` (keys of the corpus, repeated or not), in as many parts as keep each within `max_bytes`.
 
-    Listed keys outside the universe may be given: they join it. Nulls are ignored.
+    The keys are cut by their hash and each part has a cascade of its own. What a part
+    weighs is known from the counts: its listed keys, and of the unlisted ones the
+    share that a level lets through. Listed keys outside the universe may be given:
+    they join it. Nulls are ignored.
     """
     spark = universe.sparkSession
-    hashed = lambda df: df.where(F.col(key).isNotNull()).select(key).distinct().select(F.xxhash64(key).alias("one"), F.xxhash64(key, F.lit(1)).alias("two"))
+    hashed = lambda df: df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("one"), F.xxhash64(key, F.lit(1)).alias("two")).distinct()
     inside = stage(hashed(listed), "listed")
     rest = stage(hashed(universe).join(inside, ["one", "two"], "left_anti"), "unlisted")
-    levels, encoded, other = [], inside, rest
+    weight = (inside.count() + 0.2 * rest.count()) * 1.3 * bits_per_key / 8
+    parts = max(1, int(-(-weight // max(1, max_bytes))))
+    own = lambda df, p: df if parts == 1 else df.where(_part(F.col("one"), parts) == p)
+    return Cascade([spark.sparkContext.broadcast(_levels(own(inside, p), own(rest, p), bits_per_key)) for p in range(parts)])
+
+
+def _levels(encoded: DataFrame, other: DataFrame, bits_per_key: float) -> list:
+    levels = []
     while (n := encoded.count()) or not levels:
-        if n * bits_per_key / 8 > max_bytes:
-            return None
         levels.append(level := _level(encoded, number := len(levels), n, bits_per_key))
+        shared = encoded.sparkSession.sparkContext.broadcast(level)
 
-        def through(frames, level=spark.sparkContext.broadcast(level), number=number):
+        def through(frames, shared=shared, number=number):
             for f in frames:
-                yield f[_passes(level.value, number, f["one"].to_numpy(), f["two"].to_numpy())]
+                yield f[_passes(shared.value, number, f["one"].to_numpy(), f["two"].to_numpy())]
 
         encoded, other = stage(other.mapInPandas(through, other.schema), "through"), encoded
+        shared.destroy()
         if len(levels) > 200:
             raise RuntimeError("two keys of the universe share both hashes")
-    return Cascade(levels, spark.sparkContext.broadcast(levels))
+    return levels
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -143,12 +166,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RUL
     """
     # `_host` and `_path` first: the names of the result may clash with columns of `pages`.
     seen = pages.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    cascade = build_cascade(listed, seen.select(F.col("_host").alias("key")), max_bytes=max_bytes)
-    if cascade is None:
-        keys = listed.select(F.col("key").alias("_host")).distinct().withColumn("_in", F.lit(True))
-        seen = seen.join(keys, "_host", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    else:
-        seen = seen.withColumn("_in", cascade.listed(F.col("_host")))
+    seen = build_cascade(listed, seen.select(F.col("_host").alias("key")), max_bytes=max_bytes).mark(seen, "_host", "_in")
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     made = {"host": F.col("_host"), "path": F.col("_path"), "rule": rule, "listed": F.col("_in")}
     made["verdict"] = F.coalesce(verdict, F.when(F.col("_in"), "block").otherwise("allow"))

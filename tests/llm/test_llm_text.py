@@ -192,15 +192,25 @@ def test_url_rules(spark):
         assert got[i].verdict == (verdict or ("block" if host == "b:" else "allow"))
 
 
+def test_parts_of_a_cascade(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = keys.where("key LIKE '%7%'")
+    cascade = urls.build_cascade(listed, keys.union(keys), max_bytes=200)
+    assert len(cascade.parts) > 3 and all(sum(len(bits) for bits, _, _ in p.value) <= 400 for p in cascade.parts)
+    rows = keys.union(spark.createDataFrame([(None,)], "key string"))
+    got = {r.key: r["in"] for r in cascade.mark(rows, "key", "in").collect()}
+    assert len(got) == 3001 and all(v == ("7" in (k or "")) for k, v in got.items())
+
+
 @pytest.mark.parametrize(("listed", "bits"), [(300, 1.5), (300, 4.0), (0, 4.0), (1000, 2.0)])
 def test_cascade_is_exact(spark, listed, bits):
     keys = spark.range(1000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     cascade = urls.build_cascade(keys.limit(listed), keys.union(keys), bits_per_key=bits)
-    got = keys.withColumn("in", cascade.listed(F.col("key"))).where("in").select("key")
+    got = cascade.mark(keys, "key", "in").where("in").select("key")
     assert sorted(got.collect()) == sorted(keys.limit(listed).collect())
 
 
-def test_long_lists_are_joined(spark):
+def test_long_lists_are_cut_into_parts(spark):
     pages = spark.createDataFrame([(1, "a://x/"), (2, "a://y/"), (3, None)], "page_id long, url string")
     listed = spark.createDataFrame([("x",), ("x",)], "key string")
     for most in (0, 1 << 20):
