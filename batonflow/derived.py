@@ -39,6 +39,9 @@ SELECT id, slot, value FROM (
   UNION ALL SELECT id, 'plan', CASE WHEN id % 2 = 0 THEN concat('plan ', CAST(k % 2 AS VARCHAR(2))) END FROM obj
   UNION ALL SELECT id, 'rationale', CASE WHEN id % 5 <> 1 THEN concat('because ', CAST(k % 4 AS VARCHAR(2))) END FROM obj
   UNION ALL SELECT id, 'root_cause', CASE WHEN id % 3 = 0 THEN concat('cause ', CAST(k % 6 AS VARCHAR(2))) END FROM obj
+  UNION ALL SELECT id, 'integrations', CASE id % 5 WHEN 0 THEN '["Okta","Jira"]' WHEN 1 THEN '["jira", " okta "]' WHEN 2 THEN '["Okta"]' WHEN 3 THEN '[]' END FROM obj
+  UNION ALL SELECT id, 'impact', CASE id % 4 WHEN 0 THEN '{"data_loss":"none","customers":"12"}' WHEN 1 THEN '{"customers":"40","data_loss":"None"}' WHEN 2 THEN '{"data_loss":"partial"}' ELSE '{}' END FROM obj
+  UNION ALL SELECT id, 'time_window', CASE id % 3 WHEN 0 THEN '{"start":"09:00","end":"10:00"}' WHEN 1 THEN '{"end":"11:00","start":"09:00"}' WHEN 2 THEN 'all day' END FROM obj
   UNION ALL SELECT id, 'acceptance_criteria', CASE WHEN id % 2 = 1 THEN '["done"]' ELSE '[]' END FROM obj
 ) x WHERE value IS NOT NULL"""
 
@@ -69,4 +72,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slots_long(objects: DataFrame) -> DataFrame:
-    return objects.sparkSession.sql(SLOTS.replace("FROM obj", "FROM {obj}"), obj=objects)
+    # The values' own braces are doubled for the formatter that puts the table in.
+    text = SLOTS.replace("{", "{{").replace("}", "}}").replace("FROM obj", "FROM {obj}")
+    return objects.sparkSession.sql(text, obj=objects)

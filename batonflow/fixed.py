@@ -8,6 +8,7 @@ TYPES = ["requirement", "decision", "commitment", "constraint", "dependency", "p
 STATUSES = ["candidate", "active", "conflicting", "superseded", "stale", "ignored"]
 JOB_STATUSES = ["queued", "running", "done", "failed", "poison"]
 SOURCE_KINDS = ["slack", "email", "drive", "call"]
+SPEAKERS = {"CUSTOMER": "customer", "SALES": "sales", "PRODUCT": "product", "ENGINEERING": "engineering", "CS": "other"}
 
 # severity = importance x authority x outcome; bands from 2 and from 1 on.
 IMPORTANCE = {"critical": "3", "high": "2", "normal": "1"}

@@ -104,10 +104,35 @@ def is_set(value: Column) -> Column:
     return F.coalesce(~value.isin("", "[]", "{}"), F.lit(False))
 
 
-def normalize(value: Column) -> Column:
+def _plain(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, STRIP, ""))
 
 
+def _parsed(value: Column, start: str, schema: str) -> Column:
+    """A slot's JSON text as a list or an object, null if it is neither."""
+    return F.from_json(F.when(F.ltrim(value).startswith(start), value), schema)
+
+
+def normalize(value: Column) -> Column:
+    """What slot values are compared by: text trimmed in lower case; a list's items so and sorted; an object's so, by key."""
+    items = F.array_sort(F.transform(_parsed(value, "[", "array<string>"), lambda x: F.coalesce(_plain(x), F.lit("null"))))
+    pairs = F.array_sort(F.transform(F.map_entries(_parsed(value, "{", "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(_plain(e["value"]), F.lit("null")))))
+    put = lambda parts, a, z: F.concat(F.lit(a), F.array_join(parts, "\x01"), F.lit(z))
+    return F.coalesce(put(items, "[", "]"), put(pairs, "{", "}"), _plain(value))
+
+
+def shown(value: Column) -> Column:
+    """A slot value in a sentence: a list's items by comma, an object's as key=value."""
+    items = F.transform(_parsed(value, "[", "array<string>"), lambda x: F.coalesce(x, F.lit("null")))
+    pairs = F.transform(F.map_entries(_parsed(value, "{", "map<string,string>")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return F.coalesce(F.array_join(items, ", "), F.array_join(pairs, ", "), value)
+
+
+def nested(value: Column, key: str) -> Column:
+    """The normalised value of one key of an object; null if it isn't an object or lacks it."""
+    return normalize(F.get_json_object(F.when(F.ltrim(value).startswith("{"), value), f"$.{key}"))
+
+
 def capability_of(subject: Column) -> Column:
     return F.when(F.instr(subject, ":") > 0, F.split_part(subject, F.lit(":"), F.lit(2))).otherwise(subject)
 
@@ -136,9 +161,18 @@ def person_role(team: Column) -> Column:
     return F.when(team.isin("sales", "product", "engineering", "leadership"), team).otherwise("other")
 
 
+def speaker_role(label: Column) -> Column:
+    """The role of a speaker as a call transcript names it; any other name is "other"."""
+    known = F.create_map(*[F.lit(x) for kv in fixed.SPEAKERS.items() for x in kv])
+    return F.coalesce(known[F.upper(F.regexp_replace(label, STRIP, ""))], F.lit("other"))
+
+
 def command(text: Column) -> Column:
-    """<mark, entity, topic> of a chat command, its mention prefix stripped."""
-    body = F.regexp_replace(F.regexp_replace(text, r"^\s*<@[^>]*>\s*", ""), STRIP, "")
-    mark = F.lower(body).startswith("mark")
+    """<mark, entity, topic, note> of a chat command, its mention and what follows it stripped. `mark` is a word of its own; note is what is marked."""
+    body = F.regexp_replace(F.regexp_replace(text, r"^\s*<@[^>]+>[:,]?\s*", ""), STRIP, "")
+    mark = body.rlike(r"(?i)^mark\b")
     parts = F.split(body, r"\s+", 2)
-    return F.struct(mark.alias("mark"), F.when(~mark, F.get(parts, F.lit(0))).alias("entity"), F.when(~mark, F.get(parts, F.lit(1))).alias("topic"))
+    return F.struct(
+        mark.alias("mark"), F.when(~mark, F.get(parts, F.lit(0))).alias("entity"), F.when(~mark, F.get(parts, F.lit(1))).alias("topic"),
+        F.when(mark, F.regexp_replace(body, r"(?is)^mark\b\s*", "")).alias("note"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from batonflow.staging import stage
+from batonflow.staging import clear, stage, staged
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -15,6 +15,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     minimum and one join, and its edges are written to the shared folder. Loops and
     edges with a null end are ignored; a node in no edge has no row.
     """
+    mark_staged = staged()
     e = stage(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
@@ -34,6 +35,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             .where("u <> v").distinct()
         )
         e = stage(small, "edges")
+        clear(edges.sparkSession, mark_staged, keep=1)  # the round before is read no more
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break

@@ -28,25 +28,23 @@ def edges(objects: DataFrame) -> DataFrame:
     return down.join(up, [*GROUP, "stage"]).where("before < at").select("from_id", "to_id")
 
 
-def chains(relations: DataFrame, roots: DataFrame | None = None, a: str = "from_id", b: str = "to_id", depth: int = MAX_DEPTH, paths: bool = True) -> DataFrame:
-    """(root, node, depth) from depth 0, one row a path, or (paths=False) the least depth of each node.
+def chains(relations: DataFrame, roots: DataFrame | None = None, a: str = "from_id", b: str = "to_id", depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, node, depth, paths) from depth 0: how many paths of that length lead to a node. Paths are counted, not made.
 
     One join a level, until a level is empty. Each level is written to the shared
     folder; without `roots` every node with an edge is one.
     """
     step = relations.select(F.col(a).alias("node"), F.col(b).alias("next"))
     start = roots if roots is not None else step.select(F.col("node").alias("root")).distinct()
-    level = start.select(F.col(start.columns[0]).alias("root")).withColumn("node", F.col("root"))
-    seen = level.withColumn("depth", F.lit(0))
+    level = start.select(F.col(start.columns[0]).alias("root")).withColumns({"node": F.col("root"), "paths": F.lit(1).cast("long")})
+    seen = level.select("root", "node", F.lit(0).alias("depth"), "paths")
     for n in range(1, depth + 1):
-        level = level.join(step, "node").select("root", F.col("next").alias("node"))
-        if not paths:
-            level = level.distinct()
+        level = level.join(step, "node").groupBy("root", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
         level = stage(level, "chain")
         if level.isEmpty():
             break
-        seen = seen.union(level.withColumn("depth", F.lit(n)))
-    return seen if paths else seen.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        seen = seen.union(level.select("root", "node", F.lit(n).alias("depth"), "paths"))
+    return seen
 
 
 def upstream_chain(relations: DataFrame, roots: DataFrame) -> DataFrame:
@@ -57,10 +55,32 @@ def downstream_chain(relations: DataFrame, roots: DataFrame) -> DataFrame:
     return chains(relations, roots, "to_id", "from_id")
 
 
-def nearest_values(relations: DataFrame, slots: DataFrame) -> DataFrame:
-    """(root, slot, value, owner, depth): a slot's value at the nearest statement upstream that has it; ties to the smaller id."""
+def nearest_values(relations: DataFrame, slots: DataFrame, asked: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, slot, value, owner, depth): a slot's value at the nearest statement upstream that has it; ties to the smaller id.
+
+    `asked`: root, slot; without it, each statement with an upstream one and each
+    slot that is set anywhere. A pair is done at the first level that has its value,
+    and a statement that a pair has reached is not reached again, so what is carried
+    on is only what is still open.
+    """
     from batonflow.functions.scalars import is_set
 
-    near = chains(relations, paths=False).join(slots.where(is_set(F.col("value"))), F.col("node") == F.col("id"))
-    best = near.groupBy("root", "slot").agg(F.min(F.struct("depth", F.col("node").alias("owner"), "value")).alias("m"))
-    return best.select("root", "slot", "m.value", "m.owner", "m.depth")
+    values = slots.where(is_set(F.col("value"))).select(F.col("id").alias("node"), "slot", "value")
+    step = relations.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"))
+    if asked is None:
+        names = sorted(r["slot"] for r in values.select("slot").distinct().collect())  # the slots' names, a fixed vocabulary
+        asked = step.select(F.col("node").alias("root")).distinct().withColumn("slot", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    level = stage(asked.select("root", "slot", F.col("root").alias("node")).distinct(), "level")
+    reached, found = level, None
+    for n in range(depth + 1):
+        hits = level.join(values, ["node", "slot"]).groupBy("root", "slot").agg(F.min(F.struct(F.col("node").alias("owner"), "value")).alias("m"))
+        hits = stage(hits.select("root", "slot", "m.value", "m.owner", F.lit(n).alias("depth")), "hits")
+        found = hits if found is None else found.union(hits)
+        if n == depth:
+            break
+        further = level.join(hits, ["root", "slot"], "left_anti").join(step, "node").select("root", "slot", F.col("next").alias("node")).distinct()
+        level = stage(further.join(reached, ["root", "slot", "node"], "left_anti").select("root", "slot", "node"), "level")
+        if level.isEmpty():
+            break
+        reached = reached.union(level)
+    return found

@@ -2,95 +2,96 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from batonflow import fixed
-from batonflow.functions.scalars import normalize_alias, person_role, similarity, trigrams
-
-RESOLVED = "tenant_id long, hint string, entity string, how string, near string, similarity double"
-
-
-def grams(text: str) -> frozenset:
-    """The trigrams of functions.scalars.trigrams, in Python."""
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-    return frozenset(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))
-
-
-class Names:
-    """Known names and an index of their trigrams: only names that share one are compared."""
-
-    def __init__(self):
-        self.of, self.index = {}, {}
-
-    def add(self, name: str, entity: str) -> None:
-        if name not in self.of:
-            self.of[name] = (entity, grams(name))
-            for g in self.of[name][1]:
-                self.index.setdefault(g, []).append(name)
+from batonflow.functions.scalars import normalize_alias, person_role, similarity, slugify, speaker_role, trigrams
+from batonflow.staging import stage
 
-    def best(self, name: str) -> tuple[str | None, float]:
-        own = grams(name)
-        shared = Counter(n for g in own for n in self.index.get(g, ()))
-        found = [(k / (len(own) + len(self.of[n][1]) - k), n) for n, k in shared.items()]
-        if not found:
-            return None, 0.0
-        score, name = min(found, key=lambda x: (-x[0], x[1]))
-        return self.of[name][0], score
 
-
-def resolve_entities(hints: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve_entities(hints: DataFrame, aliases: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(tenant_id, hint, entity, how, near, similarity) for each distinct hint.
 
     `hints`: tenant_id, hint, arrival_seq; `aliases`: tenant_id, name (normalised),
-    entity, the confirmed ones. Exact names are a join. The distinct rest of a
-    tenant is folded in order of first arrival, since a linked name is a known name
-    from then on: at .85 and over it is linked, from .6 on a new entity notes its
-    near one, else it is new. Null and blank hints are "Unknown".
+    entity, the confirmed ones. Null and blank hints are "Unknown". A hint whose
+    normalised name is known, or was that of an earlier hint, is that entity. Else it
+    is compared with the names known by then, confirmed ones and earlier hints': the
+    most similar (ties to the smaller name) gives it its entity from .85 on, or is
+    noted as near from .6 on; a name that isn't linked is a new entity. `similarity`
+    is null where nothing reaches .6.
+
+    A name's most similar earlier name doesn't depend on what became of that: so all
+    are found by one join on trigrams, and links are followed to their ends by
+    doubling. No tenant is one task's.
     """
     named = hints.select("tenant_id", F.when(F.trim(F.coalesce("hint", F.lit(""))) == "", "Unknown").otherwise(F.col("hint")).alias("hint"), "arrival_seq")
     first = named.groupBy("tenant_id", "hint").agg(F.min("arrival_seq").alias("seq")).withColumn("name", normalize_alias(F.col("hint")))
-    joined = first.join(aliases.select("tenant_id", "name", "entity"), ["tenant_id", "name"], "left")
-    exact = joined.where("entity IS NOT NULL").select("tenant_id", "hint", "entity", F.lit("exact").alias("how"), F.lit(None).cast("string").alias("near"), F.lit(1.0).alias("similarity"))
-    rest = joined.where("entity IS NULL").select("tenant_id", "hint", "name", "seq", F.lit(None).cast("string").alias("entity"))
-    known = aliases.select("tenant_id", F.lit(None).cast("string").alias("hint"), "name", F.lit(-1).cast("long").alias("seq"), "entity")
-    rows = known.union(rest).repartition("tenant_id").sortWithinPartitions("tenant_id", "seq", "hint")
-
-    def run(frames):
-        tenant, names = None, Names()
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                if r.tenant_id != tenant:
-                    tenant, names = r.tenant_id, Names()
-                if isinstance(r.entity, str):
-                    names.add(r.name, r.entity)
-                elif r.name in names.of:
-                    out.append((tenant, r.hint, names.of[r.name][0], "exact", None, 1.0))
-                else:
-                    entity, score = names.best(r.name)
-                    if score >= fixed.SAME_NAME:
-                        names.add(r.name, entity)
-                        out.append((tenant, r.hint, entity, "linked", None, round(score, 3)))
-                    else:
-                        own = re.sub(r"[^a-z0-9]+", "-", r.hint.lower()).strip("-") or "entity"
-                        names.add(r.name, own)
-                        out.append((tenant, r.hint, own, "new", entity if score >= fixed.NEAR_NAME else None, round(score, 3)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESOLVED.split(", ")])
-
-    return exact.union(rows.mapInPandas(run, RESOLVED))
-
-
-def similar_pairs(names: DataFrame, least: float, name: str = "name") -> DataFrame:
-    """(a, b, similarity) of names that are at least so similar: pairs that share a trigram, then the measure."""
-    known = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct().withColumn("t", trigrams(F.col("n")))
-    each = known.select("n", F.explode("t").alias("g"))
-    pairs = each.select(F.col("n").alias("a"), "g").join(each.select(F.col("n").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
-    both = pairs.join(known.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(known.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
-    return both.withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    confirmed = aliases.groupBy("tenant_id", "name").agg(F.min("entity").alias("known"))
+    first = stage(first.join(confirmed, ["tenant_id", "name"], "left"), "hints")
+    asked = first.where("known IS NULL").groupBy("tenant_id", "name").agg(F.min(F.struct("seq", "hint")).alias("head"))
+    names = stage(asked.select("tenant_id", "name", "head.seq", "head.hint").union(confirmed.select("tenant_id", "name", F.lit(None).cast("long"), F.lit(None).cast("string"))), "names")
+
+    pairs = similar_pairs(names, fixed.NEAR_NAME, by=["tenant_id"])
+    order = lambda c: names.select("tenant_id", F.col("name").alias(c), F.col("seq").alias(f"{c}_seq"), F.col("hint").alias(f"{c}_hint"))
+    both = pairs.join(order("a"), ["tenant_id", "a"]).join(order("b"), ["tenant_id", "b"])
+    earlier = lambda x, y: F.col(f"{x}_seq").isNotNull() & (F.col(f"{y}_seq").isNull() | (F.struct(f"{y}_seq", f"{y}_hint") < F.struct(f"{x}_seq", f"{x}_hint")))
+    led = [both.where(earlier(x, y)).select("tenant_id", F.col(x).alias("name"), F.struct((-F.col("similarity")).alias("s"), F.col(y).alias("to")).alias("m")) for x, y in (("a", "b"), ("b", "a"))]
+    best = led[0].union(led[1]).groupBy("tenant_id", "name").agg(F.min("m").alias("m")).select("tenant_id", "name", (-F.col("m.s")).alias("similarity"), F.col("m.to").alias("best"))
+    rows = names.join(best, ["tenant_id", "name"], "left").join(confirmed, ["tenant_id", "name"], "left")
+    linked = F.col("similarity") >= fixed.SAME_NAME
+    rows = stage(rows.withColumn("entity", F.when(F.col("known").isNotNull(), F.col("known")).when(~F.coalesce(linked, F.lit(False)), slugify(F.col("hint")))).withColumn("to", F.when(F.col("entity").isNull(), F.col("best"))), "links")
+    # What has no entity yet hangs on another name; each round it hangs on that one's end, so rounds grow with the logarithm of a chain.
+    ends = rows.select("tenant_id", "name", "entity", "to")
+    for _ in range(max_rounds):
+        if ends.where("entity IS NULL").isEmpty():
+            break
+        ahead = ends.select("tenant_id", F.col("name").alias("to"), F.col("entity").alias("its"), F.col("to").alias("further"))
+        ends = stage(ends.join(ahead, ["tenant_id", "to"], "left").select("tenant_id", "name", F.coalesce("entity", "its").alias("entity"), F.when(F.coalesce("entity", "its").isNull(), F.col("further")).alias("to")), "ends")
+    else:
+        raise RuntimeError("links of names did not settle")
+    entity_of = ends.select("tenant_id", "name", "entity")
+    found = rows.select("tenant_id", "name", "similarity", "best", F.col("hint").alias("head")).join(entity_of, ["tenant_id", "name"])
+    found = found.join(entity_of.select("tenant_id", F.col("name").alias("best"), F.col("entity").alias("its")), ["tenant_id", "best"], "left").drop("best")
+    out = first.select("tenant_id", "name", "hint", "known").join(found, ["tenant_id", "name"])
+    exact = F.col("known").isNotNull() | (F.col("hint") != F.col("head"))
+    is_linked = ~exact & F.coalesce(linked, F.lit(False))
+    return out.select(
+        "tenant_id", "hint", "entity", F.when(exact, "exact").when(is_linked, "linked").otherwise("new").alias("how"),
+        F.when(~exact & ~is_linked, F.col("its")).alias("near"), F.when(exact, 1.0).otherwise(F.round("similarity", 3)).alias("similarity"),
+    )
+
+
+def similar_pairs(names: DataFrame, least: float, name: str = "name", by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, similarity) of names of one `by` that are at least so similar, a < b.
+
+    Names meet by their rarest trigrams: of two that are so similar, one is among the
+    first n - ceil(least * n) + 1 of either in any one order. So a trigram that most
+    names have brings hardly any together.
+    """
+    by = by or []
+    known = names.select(*by, F.col(name).alias("n")).where("n IS NOT NULL").distinct().withColumn("t", trigrams(F.col("n")))
+    known = stage(known.where(F.size("t") > 0), "trigrams")
+    each = known.select(*by, "n", F.size("t").alias("k"), F.explode("t").alias("g"))
+    rarity = each.groupBy(*by, "g").agg(F.count("*").alias("c"))
+    prefix = each.join(rarity, [*by, "g"]).groupBy(*by, "n", "k").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("order"))
+    prefix = stage(prefix.select(*by, "n", "k", F.explode(F.slice("order", F.lit(1), F.col("k") - F.ceil(F.lit(least) * F.col("k") - 1e-9).cast("int") + 1)).alias("x")).select(*by, "n", "k", "x.g"), "prefix")
+    side = lambda p: prefix.select(*by, "g", F.col("n").alias(p), F.col("k").alias(f"k{p}"))
+    met = side("a").join(side("b"), [*by, "g"]).where("a < b").where(F.least("ka", "kb") >= F.lit(least) * F.greatest("ka", "kb") - 1e-9).select(*by, "a", "b").distinct()
+    both = met.join(known.select(*by, F.col("n").alias("a"), F.col("t").alias("ta")), [*by, "a"]).join(known.select(*by, F.col("n").alias("b"), F.col("t").alias("tb")), [*by, "b"])
+    return both.withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select(*by, "a", "b", "similarity")
+
+
+def resolve_actors(statements: DataFrame, people: DataFrame, domains: DataFrame) -> DataFrame:
+    """`statements` with role and person_id, by the kind of their source.
+
+    Needs kind, stage, sender (e-mail: address, chat: user id) and label (calls: what
+    the transcript calls the speaker). Calls give a role and no person, documents
+    their stage as role.
+    """
+    asked = statements.withColumns({"email": F.when(F.col("kind") == "email", F.col("sender")), "chat_id": F.when(F.col("kind") == "slack", F.col("sender"))})
+    found = resolve_people(asked.withColumnRenamed("stage", "_stage"), people, domains).withColumnRenamed("role", "_role")
+    role = F.when(F.col("kind") == "call", speaker_role(F.col("label"))).when(F.col("kind").isin("email", "slack"), F.col("_role")).otherwise(F.coalesce("_stage", F.lit("other")))
+    return found.select(*[F.col("_stage").alias("stage") if c == "stage" else c for c in statements.columns], role.alias("role"), F.when(F.col("kind").isin("email", "slack"), F.col("person_id")).alias("person_id"))
 
 
 def resolve_people(asked: DataFrame, people: DataFrame, domains: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from batonflow import fixed
+
 
 def review(objects: DataFrame, reviews: DataFrame) -> DataFrame:
     """Objects (id, status, version, attributes map) after their reviews in order of `seq`.
@@ -47,3 +49,15 @@ def review_gaps(gaps: DataFrame, reviews: DataFrame) -> DataFrame:
     last = reviews.groupBy("gap_id").agg(F.max_by("action", "seq").alias("action"))
     status = F.when(F.col("action").isNull(), F.col("status")).when(F.col("action") == "confirm", "resolved").otherwise("ignored")
     return gaps.join(last, "gap_id", "left").withColumn("status", status).drop("action")
+
+
+def reconcile_contradictions(pairs: DataFrame, near: float = fixed.NEAR_TEXT, same: float = fixed.SAME_TEXT) -> DataFrame:
+    """(from_id, to_id, action): pending system contradictions whose two statements are compatible after all.
+
+    `pairs`: from_id, to_id, created_by, resolved_at, compatible, cosine. They become
+    "duplicate" from `same` on, "review" from `near` on, else "independent"; all are
+    resolved, and what was in conflict by them is active again.
+    """
+    open_ = pairs.where("resolved_at IS NULL AND compatible").where(F.col("created_by").startswith("system:lifecycle:"))
+    action = F.when(F.col("cosine") >= same, "duplicate").when(F.col("cosine") >= near, "review").otherwise("independent")
+    return open_.select("from_id", "to_id", action.alias("action"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from batonflow import fixed
-from batonflow.functions.scalars import band, capability_of, either, is_set, normalize, severity
+from batonflow.functions.scalars import band, capability_of, either, is_set, nested, normalize, severity, shown
 from batonflow.operators.lineage import edges, nearest_values
 from batonflow.staging import stage
 
 KEY = ["tenant_id", "entity_id", "subject_key"]
 FIELDS = "contract string, from_stage string, to_stage string, field string, check string, types array<string>, slots array<string>, importance string, least int, rule string"
 GAP = ["tenant_id", "entity_id", "contract", "field", "subject_key", "upstream_id", "downstream_id", "slot", "outcome", "importance", "rank", "inherited", "conflict"]
+#: What a gap's sentence is made of beside that: both values, a note, the superseded statement that is still cited, the rule that failed.
+TOLD = ["u_val", "d_val", "note", "stale_id", "rule"]
 
 
 def contract_fields(spark: SparkSession, contracts=fixed.CONTRACTS) -> DataFrame:
@@ -27,7 +29,7 @@ def classify(slot: Column, subject: Column, u: Column, d: Column, u_precision: C
     same = either((slot == s) & nu.isin(*g) & nd.isin(*g) for s, groups in fixed.SYNONYMS.items() for g in groups)
     wider = either((nd == r) & nu.isin(*kids) for r, kids in fixed.REGION_MEMBERS.items())
     order = lambda p: F.when(p == "month", 1).when(p == "quarter", 2).otherwise(0)
-    nested = either((slot == s) & F.get_json_object(u, f"$.{k}").eqNullSafe(F.get_json_object(d, f"$.{k}")) for s, k in fixed.NESTED_KEY.items())
+    alike = either((slot == s) & nested(u, k).eqNullSafe(nested(d, k)) for s, k in fixed.NESTED_KEY.items())
     unset = F.when((slot == "protocol") & child, "generalized").when((slot == "due_date") & is_set(d_precision), "generalized").otherwise("missing")
     return (
         F.when(~is_set(d), unset)
@@ -36,15 +38,28 @@ def classify(slot: Column, subject: Column, u: Column, d: Column, u_precision: C
         .when(slot == "protocol", F.when(nd == capability, "generalized").otherwise("contradicted"))
         .when(slot == "region", F.when(wider, "generalized").otherwise("contradicted"))
         .when(slot == "due_date", F.when(order(d_precision) > order(u_precision), "generalized").otherwise("contradicted"))
-        .when(slot.isin(*fixed.NESTED_KEY), F.when(nested, F.lit(None).cast("string")).otherwise("contradicted"))
+        .when(slot.isin(*fixed.NESTED_KEY), F.when(alike, F.lit(None).cast("string")).otherwise("contradicted"))
         .otherwise("contradicted")
     )
 
 
+def note_of(outcome: Column, slot: Column, subject: Column, d: Column, u_precision: Column, d_precision: Column) -> Column:
+    """Why an outcome holds, where the rule says more than the values do."""
+    day = lambda p: F.coalesce(F.nullif(p, F.lit("")), F.lit("day"))
+    dropped = F.concat(F.lit("precision dropped from `"), day(u_precision), F.lit("` to `"), day(d_precision), F.lit("`"))
+    key = F.create_map(*[F.lit(x) for kv in fixed.NESTED_KEY.items() for x in kv])[slot]
+    return (
+        F.when((outcome == "generalized") & ~is_set(d) & (slot == "protocol"), F.concat(F.lit("downstream targets the broader capability `"), capability_of(subject), F.lit("`")))
+        .when((outcome == "generalized") & ~is_set(d) & (slot == "due_date"), F.concat(F.lit("downstream only states `"), d_precision, F.lit("` precision")))
+        .when((outcome == "generalized") & (slot == "due_date"), dropped)
+        .when((outcome == "contradicted") & key.isNotNull(), F.concat(F.lit("`"), key, F.lit("` differs")))
+    )
+
+
 def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """The upstream statement that stands for each subject of a propagating field, and whether any is in conflict."""
     up = objects.where(F.col("status").isin("active", "conflicting")).withColumnRenamed("stage", "from_stage")
-    rows = up.join(F.broadcast(fields.where("check = 'propagate'")), "from_stage").where(F.array_contains("types", F.col("type")) & (F.col("authority") >= F.col("least")))
+    rows = up.join(fields.where("check = 'propagate'"), "from_stage").where(F.array_contains("types", F.col("type")) & (F.col("authority") >= F.col("least")))
     by = ["contract", "field", *KEY]
     best = Window.partitionBy(*by).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
     rows = rows.withColumn("n", F.row_number().over(best)).withColumn("conflict", F.bool_or(F.col("status") == "conflicting").over(Window.partitionBy(*by)))
@@ -54,7 +69,7 @@ def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
 def counterpart_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """The downstream statement that answers for a subject of a field."""
     down = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage")
-    rows = down.join(F.broadcast(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types")), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = down.join(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types"), "to_stage").where(F.array_contains("types", F.col("type")))
     best = Window.partitionBy("contract", "field", *KEY).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
     return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract", "field", *KEY, F.col("id").alias("d_id"))
 
@@ -64,12 +79,14 @@ def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, f
     lost = pairs.where("d_id IS NULL").select(
         *KEY, "contract", "field", F.col("id").alias("upstream_id"), F.lit(None).cast("long").alias("downstream_id"), F.lit(None).cast("string").alias("slot"),
         F.lit("object_missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), "conflict",
+        *_untold(),
     )
     asked = pairs.where("d_id IS NOT NULL").withColumn("slot", F.explode("slots")).select(*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "slot")
-    # Own value first (depth 0), else the nearest upstream one: the closure is made once for all slots.
-    near = stage(nearest_values(relations, slots).withColumnRenamed("root", "id"), "nearest")
+    # Own value first, else the nearest upstream one: only what has none of its own is looked for, once for all contracts.
     own = slots.where(is_set(F.col("value"))).select("id", "slot", F.col("value").alias("own"))
-    facts = asked.join(own, ["id", "slot"], "left").join(near, ["id", "slot"], "left")
+    asked = stage(asked.join(own, ["id", "slot"], "left"), "asked")
+    near = nearest_values(relations, slots, asked.where("own IS NULL").select(F.col("id").alias("root"), "slot")).withColumnRenamed("root", "id")
+    facts = asked.join(near, ["id", "slot"], "left")
     facts = facts.withColumn("walked", F.col("own").isNull()).withColumn("u_val", F.coalesce("own", "value")).where("u_val IS NOT NULL")
     facts = facts.withColumn("eff", F.when(F.col("walked"), F.col("owner")).otherwise(F.col("id")))
     d_slots = slots.select(F.col("id").alias("d_id"), "slot", F.col("value").alias("d_val"))
@@ -82,32 +99,39 @@ def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, f
         .withColumn("nd", normalize(F.col("d_val")))
     )
     old = objects.where("status = 'superseded'").join(slots.where(is_set(F.col("value"))), "id")
-    old = old.select(*KEY, F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), "slot", normalize(F.col("value")).alias("nd")).distinct()
+    old = old.select(*KEY, F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), "slot", normalize(F.col("value")).alias("nd"), "id")
+    old = old.groupBy(*KEY, "eff_stage", "eff_type", "slot", "nd").agg(F.min("id").alias("stale_id"))
     # The statement itself may be superseded; its own value is equal, which is settled before.
-    facts = facts.join(old.withColumn("stale", F.lit(True)), [*KEY, "eff_stage", "eff_type", "slot", "nd"], "left")
-    outcome = classify(F.col("slot"), F.col("subject_key"), F.col("u_val"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"), F.coalesce("stale", F.lit(False)))
-    kept = facts.withColumn("outcome", outcome).where("outcome IS NOT NULL").select(
-        *KEY, "contract", "field", F.col("eff").alias("upstream_id"), F.col("d_id").alias("downstream_id"), "slot", "outcome", "importance", "rank", F.col("walked").alias("inherited"), "conflict"
+    facts = facts.join(old, [*KEY, "eff_stage", "eff_type", "slot", "nd"], "left")
+    outcome = classify(F.col("slot"), F.col("subject_key"), F.col("u_val"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"), F.col("stale_id").isNotNull())
+    note = note_of(F.col("outcome"), F.col("slot"), F.col("subject_key"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"))
+    kept = facts.withColumn("outcome", outcome).where("outcome IS NOT NULL").withColumn("note", note).select(
+        *KEY, "contract", "field", F.col("eff").alias("upstream_id"), F.col("d_id").alias("downstream_id"), "slot", "outcome", "importance", "rank", F.col("walked").alias("inherited"), "conflict",
+        "u_val", "d_val", "note", F.when(F.col("outcome") == "stale_reference", F.col("stale_id")).alias("stale_id"), F.lit(None).cast("string").alias("rule"),
     )
-    return lost.select(GAP).union(kept.select(GAP))
+    return lost.select(GAP + TOLD).union(kept.select(GAP + TOLD))
+
+
+def _untold() -> list[Column]:
+    return [F.lit(None).cast("long" if c == "stale_id" else "string").alias(c) for c in TOLD]
 
 
 def present_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
     """What must be there downstream and isn't: a link, a customer contact or a slot."""
-    rows = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(F.broadcast(fields.where("check = 'present'")), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(fields.where("check = 'present'"), "to_stage").where(F.array_contains("types", F.col("type")))
     linked = relations.select(F.col("from_id").alias("id")).distinct()
     contact = objects.where("type = 'dependency' AND role = 'customer'").select("tenant_id", "entity_id", F.col("stage").alias("to_stage")).distinct()
     have = slots.where(is_set(F.col("value"))).select("id", "slot")
     no_link = rows.where("rule = 'has_derived_from'").join(linked, "id", "left_anti").withColumn("slot", F.lit(None).cast("string"))
     no_contact = rows.where("rule = 'has_customer_contact'").join(contact, ["tenant_id", "entity_id", "to_stage"], "left_anti").withColumn("slot", F.lit(None).cast("string"))
     no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).join(have, ["id", "slot"], "left_anti")
-    pick = [*KEY, "contract", "field", F.lit(None).cast("long").alias("upstream_id"), F.col("id").alias("downstream_id"), "slot", F.lit("missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), F.lit(False).alias("conflict")]
+    pick = [*KEY, "contract", "field", F.lit(None).cast("long").alias("upstream_id"), F.col("id").alias("downstream_id"), "slot", F.lit("missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), F.lit(False).alias("conflict"), *_untold()[:-1], "rule"]
     found = no_link.select(pick).union(no_contact.select(pick)).union(no_slot.select(pick))
-    return found.select(GAP)
+    return found.select(GAP + TOLD)
 
 
 def validate(objects: DataFrame, slots: DataFrame, fields: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """All gaps of all contracts, scored. `as_of` is not a filter: validation sees the current state."""
+    """All gaps of all contracts, scored, with what their sentences need. `as_of` is not a filter: validation sees the current state."""
     relations = edges(objects) if relations is None else relations
     gaps = propagate_gaps(objects, slots, relations, fields).union(present_gaps(objects, slots, relations, fields))
     value = severity(F.col("importance"), F.col("rank"), F.col("outcome"))
@@ -115,7 +139,10 @@ def validate(objects: DataFrame, slots: DataFrame, fields: DataFrame, relations:
 
 
 def explain(gaps: DataFrame, objects: DataFrame) -> DataFrame:
-    """`gaps` with a sentence for each: what was lost, from whom, and which contract wanted it."""
+    """`gaps` of validate() with a sentence for each: what was lost, from whom, what stands there instead, which contract wants it.
+
+    `objects` needs type, content, role, authority, stage and valid_from.
+    """
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in fixed.SLOT_KIND.items() for x in kv])[F.col("slot")], F.lit("context"))
     label = (
         F.when(F.col("outcome") == "contradicted", "Contradiction").when(F.col("outcome") == "stale_reference", "Stale context in use")
@@ -123,13 +150,25 @@ def explain(gaps: DataFrame, objects: DataFrame) -> DataFrame:
         .when((F.col("outcome") == "generalized") & (kind == "deadline"), "Deadline generalized")
         .otherwise(F.concat(F.initcap(kind), F.when(F.col("outcome") == "generalized", " loss (generalized)").otherwise(" loss (dropped)")))
     )
-    who = objects.select(F.col("id").alias("upstream_id"), "role", "stage", F.col("authority").alias("u_rank"), F.to_date("valid_from").alias("day"))
-    told = gaps.join(who, "upstream_id", "left")
-    text = F.concat(
-        F.lit("**"), label, F.lit("** — "), F.coalesce(F.format_string("upstream (%s, authority %d, %s %s)", "role", "u_rank", "stage", F.col("day").cast("string")), F.lit("downstream statement")),
-        F.coalesce(F.format_string(" specifies `%s`", "slot"), F.lit("")), F.format_string(". Contract `%s.%s` (%s) requires this.", "contract", "field", "importance"),
+    day = F.to_date("valid_from").cast("string").alias("day")
+    side = lambda p: objects.select(F.col("id").alias(f"{p}stream_id"), F.struct("type", "content", "role", F.col("authority").cast("string").alias("rank"), "stage", day).alias(p))
+    told = gaps.join(side("up"), "upstream_id", "left").join(side("down"), "downstream_id", "left")
+    told = told.join(objects.select(F.col("id").alias("stale_id"), F.col("content").alias("_old")), "stale_id", "left")
+    verb = F.when(F.col("outcome") == "generalized", "generalizes this to").when(F.col("outcome") == "missing", "drops this — it is absent in").when(F.col("outcome") == "contradicted", "contradicts this with").otherwise("still cites a superseded value:")
+    note = F.coalesce(F.col("note"), F.concat(F.lit('matches superseded value "'), F.col("_old"), F.lit('"')))
+    contract = F.format_string("Contract `%s.%s` (%s) requires this", "contract", "field", "importance")
+    head = F.concat(F.lit("**"), label, F.lit("** — "))
+    up = F.format_string('upstream %s "%s" (%s, authority %s, %s %s)', "up.type", "up.content", "up.role", "up.rank", "up.stage", "up.day")
+    down = F.format_string('"%s" (%s %s)', "down.content", "down.stage", "down.day")
+    reason = F.when(F.col("rule") == "has_derived_from", "has no `derived_from` link back to upstream evidence").when(F.col("rule") == "has_customer_contact", "has no captured customer contact").otherwise(F.format_string("is missing `%s`", "slot"))
+    lost = F.concat(head, up, F.format_string(" has no counterpart in `%s` downstream. ", "field"), contract, F.lit(" to propagate."))
+    absent = F.concat(head, F.lit("downstream "), F.col("down.type"), F.lit(" "), down, F.lit(" "), reason, F.lit(". "), contract, F.lit("."))
+    changed = F.concat(
+        head, up, F.lit(" specifies `"), F.col("slot"), F.lit(" = "), shown(F.col("u_val")), F.lit("`. downstream "), down, F.lit(" "), verb,
+        F.coalesce(F.concat(F.lit(" `"), shown(F.col("d_val")), F.lit("`")), F.lit("")), F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit("")), F.lit(". "), contract, F.lit(" slot to survive."),
     )
-    return told.withColumn("explanation", text).drop("role", "stage", "u_rank", "day")
+    text = F.when(F.col("outcome") == "object_missing", lost).when(F.col("upstream_id").isNull(), absent).otherwise(changed)
+    return told.withColumn("explanation", text).drop("up", "down", "_old")
 
 
 def summary(gaps: DataFrame, by=("tenant_id", "entity_id", "contract")) -> DataFrame:
@@ -147,3 +186,9 @@ def input_hash(objects: DataFrame, fields: DataFrame) -> DataFrame:
     rows = objects.join(F.broadcast(ends), "stage").groupBy("tenant_id", "entity_id", "contract").agg(F.sort_array(F.collect_list(F.struct("id", "version"))).alias("seen"))
     basis = F.concat(F.col("contract"), F.lit("|"), F.array_join(F.transform("seen", lambda s: F.concat_ws(":", s["id"].cast("string"), s["version"].cast("string"))), "|"))
     return rows.select("tenant_id", "entity_id", "contract", F.sha2(basis, 256).alias("input_hash"))
+
+
+def report(gaps: DataFrame) -> DataFrame:
+    """The gaps of each account and contract, ranked by severity (place from 1)."""
+    order = Window.partitionBy("tenant_id", "entity_id", "contract").orderBy(F.desc("severity"), "field", "subject_key", "slot", "upstream_id", "downstream_id")
+    return gaps.withColumn("place", F.row_number().over(order))

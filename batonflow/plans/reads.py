@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from batonflow import fixed
-from batonflow.functions.scalars import redact, visible
+from batonflow.functions.scalars import normalize_alias, redact, visible
 
 
 def zero_filled(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -78,10 +78,60 @@ def incident_window(confirmed: DataFrame, key: str, at: str, hours: int = fixed.
     return confirmed.groupBy(key).agg((F.min(at) - step).alias("lo"), (F.max(at) + step).alias("hi"))
 
 
-def incident_candidates(objects: DataFrame, windows: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Unconfirmed problems of an incident's accounts inside its window."""
-    near = objects.where("type = 'problem'").join(windows, "entity_id").where(F.col("valid_from").between(F.col("lo"), F.col("hi")))
-    return near.join(confirmed.select("incident_id", "id"), ["incident_id", "id"], "left_anti")
+def incident_links(incidents: DataFrame, accounts: DataFrame, objects: DataFrame, sources: DataFrame, entities: DataFrame, hours: int = fixed.INCIDENT_HOURS) -> DataFrame:
+    """(incident_id, id, linked): what declaring incidents attaches to them.
+
+    Statements that name the incident are linked. Others are candidates: subject
+    ending in ":incident", of a declared account or of "Unknown", and their source's
+    time within `hours` of the confirmed ones' sources, or, where those have no
+    time, of the declaration. Both ends count.
+
+    `incidents`: tenant_id, incident_id, declared_at; `accounts`: incident_id,
+    entity_id; `objects` with named_incident; `sources`: source_id, source_ts.
+    """
+    timed = objects.join(sources.select("source_id", "source_ts"), "source_id", "left")
+    named = incidents.select("tenant_id", F.col("incident_id").alias("named_incident"))
+    sure = timed.join(named, ["tenant_id", "named_incident"]).select(F.col("named_incident").alias("incident_id"), "id", "source_ts")
+    step = F.expr(f"INTERVAL {hours} HOURS")
+    spans = sure.groupBy("incident_id").agg(F.min("source_ts").alias("a"), F.max("source_ts").alias("z"))
+    spans = incidents.join(spans, "incident_id", "left").select("tenant_id", "incident_id", (F.coalesce("a", "declared_at") - step).alias("lo"), (F.coalesce("z", "declared_at") + step).alias("hi"))
+    anyone = incidents.join(entities.where("name = 'Unknown'"), "tenant_id").select("incident_id", "entity_id")
+    of = spans.join(accounts.select("incident_id", "entity_id").union(anyone).distinct(), "incident_id")
+    near = timed.where(F.col("subject_key").endswith(":incident")).join(of, ["tenant_id", "entity_id"]).where(F.col("source_ts").between(F.col("lo"), F.col("hi")))
+    near = near.select("incident_id", "id").join(sure.select("incident_id", "id"), ["incident_id", "id"], "left_anti")
+    return sure.select("incident_id", "id", F.lit(True).alias("linked")).union(near.withColumn("linked", F.lit(False)))
+
+
+def link_reviewed(links: DataFrame, reviews: DataFrame) -> DataFrame:
+    """`links` after reviews (incident_id, id, linked, seq): a pair's last one counts, and a new pair is added."""
+    last = reviews.groupBy("incident_id", "id").agg(F.max_by("linked", "seq").alias("now"))
+    return links.join(last, ["incident_id", "id"], "full").select("incident_id", "id", F.coalesce("now", "linked").alias("linked"))
+
+
+def incident_summaries(incidents: DataFrame, links: DataFrame, accounts: DataFrame, entities: DataFrame) -> DataFrame:
+    """`incidents` with the sorted names of their accounts and the number of linked statements."""
+    names = accounts.join(entities.select("entity_id", "name"), "entity_id").groupBy("incident_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
+    counts = links.where("linked").groupBy("incident_id").agg(F.count("*").alias("object_count"))
+    rows = incidents.join(names, "incident_id", "left").join(counts, "incident_id", "left")
+    return rows.withColumns({"entities": F.coalesce("entities", F.array().cast("array<string>")), "object_count": F.coalesce("object_count", F.lit(0))})
+
+
+def incident_timeline(links: DataFrame, objects: DataFrame, sources: DataFrame) -> DataFrame:
+    """All statements of each incident with `at`: their source's time, else their own creation; ordered by place (from 1)."""
+    rows = links.join(objects, "id").join(sources.select("source_id", "source_ts"), "source_id", "left").withColumn("at", F.coalesce("source_ts", "created_at"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy("at", "id")))
+
+
+def incident_latest(links: DataFrame, objects: DataFrame, slots: DataFrame, names=("impact", "sla_impact", "root_cause", "remediation")) -> DataFrame:
+    """(incident_id, slot, id, value): the newest active statement of an incident that has the slot at all; ties to the smaller id."""
+    rows = links.join(objects.where("status = 'active'").select("id", "created_at"), "id").join(slots.where(F.col("slot").isin(*names)), "id")
+    return rows.groupBy("incident_id", "slot").agg(F.max_by(F.struct("id", "value"), F.struct("created_at", -F.col("id"))).alias("m")).select("incident_id", "slot", "m.*")
+
+
+def incident_gaps(accounts: DataFrame, validations: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(incident_id, gap_id): open gaps of all validations of an incident's accounts."""
+    runs = accounts.join(validations.select("validation_id", "entity_id"), "entity_id").select("incident_id", "validation_id")
+    return runs.join(gaps.where("status = 'open'").select("validation_id", "gap_id"), "validation_id").select("incident_id", "gap_id").distinct()
 
 
 def people_frequency(rows: DataFrame, label: str, role: str) -> DataFrame:
@@ -98,14 +148,22 @@ def similar_incidents(incidents: DataFrame, limit: int = 5) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def chat_reply(objects: DataFrame, sources: DataFrame, aliases: DataFrame, entity: str, topic: str | None, principals: list[str], limit: int = 5) -> DataFrame:
-    """What a chat command answers: an account by exact alias, a topic in subject or content, what the caller may see."""
-    rows = objects.join(aliases.where(F.col("name") == entity.lower()).select("entity_id"), "entity_id", "left_semi").where("status = 'active'")
-    if topic:
-        rows = rows.where(F.col("subject_key").contains(topic.lower()) | F.lower("content").contains(topic.lower()))
-    rows = rows.join(sources, "source_id").where(visible(F.col("acl"), principals))
+def chat_reply(objects: DataFrame, sources: DataFrame, aliases: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask_id, place, id, line): what chat commands answer, all that the caller may see.
+
+    `asked`: ask_id, tenant_id, entity, topic (null: any), principal. An account is
+    found by its normalised alias (`aliases`: tenant_id, name, entity_id; of several
+    accounts the smallest), a topic in subject or content whatever the case. Highest
+    authority first, then the newest.
+    """
+    account = aliases.groupBy("tenant_id", "name").agg(F.min("entity_id").alias("entity_id"))
+    who = asked.withColumn("name", normalize_alias(F.col("entity"))).join(account, ["tenant_id", "name"]).select("ask_id", "tenant_id", "entity_id", F.lower("topic").alias("topic"), "principal")
+    rows = objects.where("status = 'active'").join(sources.select("source_id", "acl"), "source_id").join(who, ["tenant_id", "entity_id"])
+    about = F.col("topic").isNull() | (F.col("topic") == "") | F.lower("subject_key").contains(F.col("topic")) | F.lower("content").contains(F.col("topic"))
+    seen = F.array_contains("acl", "*") | F.array_contains("acl", F.col("principal"))
     line = F.format_string("• [%s] %s (authority %d)", "type", "content", "authority")
-    return rows.orderBy(F.desc("authority"), F.desc("valid_from"), "id").limit(limit).select("id", line.alias("line"))
+    rows = rows.where(about & F.coalesce(seen, F.lit(False))).withColumn("place", F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("authority"), F.desc("created_at"), "id")))
+    return rows.select("ask_id", "place", "id", line.alias("line"))
 
 
 def queue_after_failures(attempts: DataFrame, most: int = fixed.MAX_ATTEMPTS) -> DataFrame:
@@ -123,3 +181,58 @@ def reclaimable(jobs: DataFrame, now: datetime, seconds: int = fixed.STALE_SECON
 def claimable(jobs: DataFrame, now: datetime, n: int) -> DataFrame:
     """The oldest runnable jobs."""
     return jobs.where((F.col("status") == "queued") & (F.col("run_after") <= F.lit(now))).orderBy("run_after", "job_id").limit(n)
+
+
+def incident_ids(objects: DataFrame) -> DataFrame:
+    """(tenant_id, incident_id): the incidents that statements name."""
+    return objects.where("named_incident <> ''").select("tenant_id", F.col("named_incident").alias("incident_id")).distinct()
+
+
+def newest(objects: DataFrame, by: str, n: int = 20) -> DataFrame:
+    """The n newest statements of each tenant and stage, ranked."""
+    order = Window.partitionBy("tenant_id", "stage").orderBy(F.desc(by), "id")
+    return objects.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def count_by_type(objects: DataFrame) -> DataFrame:
+    return objects.groupBy("entity_id", "type").agg(F.count("*").alias("n"))
+
+
+def find_entity(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` (ref) with entity_id: by id if it is one, else by slug."""
+    by_id = entities.select(F.col("entity_id").cast("string").alias("ref"), F.col("entity_id").alias("by_id"))
+    by_slug = entities.select(F.col("slug").alias("ref"), F.col("entity_id").alias("by_slug"))
+    return asked.join(by_id, "ref", "left").join(by_slug, "ref", "left").withColumn("entity_id", F.coalesce("by_id", "by_slug")).drop("by_id", "by_slug")
+
+
+def history(versions: DataFrame, relations: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, kind, version, what, from_id, to_id): the versions of each asked statement and all edges of its supersession component.
+
+    `versions`: id, version, status; `relations`: from_id, to_id of supersedes edges; `asked`: id.
+    """
+    from batonflow.operators.graph import connected_components
+
+    of = connected_components(relations, "from_id", "to_id")
+    mine = asked.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id")
+    edges = relations.join(of.withColumnRenamed("node", "from_id"), "from_id").select("component", "from_id", "to_id").distinct()
+    none = F.lit(None).cast("long")
+    own = versions.join(asked.select("id").distinct(), "id", "left_semi").select("id", F.lit("version").alias("kind"), F.col("version").cast("int").alias("version"), F.col("status").alias("what"), none.alias("from_id"), none.alias("to_id"))
+    return own.union(mine.join(edges, "component").select("id", F.lit("supersedes"), F.lit(None).cast("int"), F.lit(None).cast("string"), "from_id", "to_id"))
+
+
+def established_subject(objects: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, subject_key, hint): the incident that another section of a drive document established first.
+
+    `sources`: source_id, tenant_id, kind, document_id. Only subjects with an
+    incident bind; the first by created_at, then id. Two firsts of different
+    sections are kept a document, so each section finds one that isn't its own.
+    """
+    files = sources.where("kind = 'drive' AND document_id IS NOT NULL").select("tenant_id", "document_id", "source_id")
+    named = objects.where(F.col("subject_key").rlike("^.*:incident:")).select("source_id", "subject_key", "created_at", "id")
+    first = files.join(named, "source_id").groupBy("tenant_id", "document_id", "source_id").agg(F.min(F.struct("created_at", "id", "subject_key")).alias("m"))
+    two = first.withColumn("n", F.row_number().over(Window.partitionBy("tenant_id", "document_id").orderBy("m"))).where("n <= 2")
+    two = two.select("tenant_id", "document_id", F.col("source_id").alias("other"), "m")
+    best = files.join(two, ["tenant_id", "document_id"]).where("other <> source_id").groupBy("source_id").agg(F.min("m").alias("m")).select("source_id", "m.subject_key")
+    parts = F.split("subject_key", ":", 3)
+    bound = F.concat(F.lit('subject_capability="incident", the same incident (attributes.extra.incident_id="'), parts[2], F.lit('")'))
+    return best.withColumn("hint", F.when(parts[1] == "incident", bound).otherwise(F.concat(F.lit('subject_capability="'), parts[1], F.lit('"'))))

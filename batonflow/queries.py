@@ -55,12 +55,36 @@ def _rows(rows) -> str:
 FIELDS_SQL = "SELECT * FROM (VALUES " + _rows([(c, a, z, *f) for c, a, z, fs in fixed.CONTRACTS for f in fs]) + ") AS f(contract, from_stage, to_stage, field, chk, types, slots, importance, least, rule)"
 STANCES = " OR ".join(f"(a.stance = '{x}' AND b.stance = '{y}') OR (a.stance = '{y}' AND b.stance = '{x}')" for x, y in fixed.CONFLICTING_STANCES)
 SEVERITY = "CAST(CASE importance WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END * CASE rank WHEN 4 THEN 1.0 WHEN 3 THEN 0.8 WHEN 2 THEN 0.6 WHEN 1 THEN 0.3 ELSE 0.1 END * CASE outcome WHEN 'object_missing' THEN 1.0 WHEN 'contradicted' THEN 1.0 WHEN 'generalized' THEN 0.6 ELSE 0.9 END AS DECIMAL(4,2))"
+# A JSON value's items or key=value pairs, in SQL.
+_LIST = "CAST(CASE WHEN ltrim({0}) LIKE '[%' THEN {0} END AS JSON)::VARCHAR[]"
+_DICT = "CAST(CASE WHEN ltrim({{0}}) LIKE '{{{{%' THEN {{0}} END AS JSON)".replace("{{0}}", "{0}").replace("{{{{", "{{")
+
+
+def norm(x: str) -> str:
+    """functions.scalars.normalize in SQL."""
+    a, d = _LIST.format(x), _DICT.format(x)
+    items = f"'[' || array_to_string(list_sort(list_transform({a}, lambda v: coalesce(lower(trim(v)), 'null'))), chr(1)) || ']'"
+    pairs = f"'{{' || array_to_string(list_transform(list_sort(json_keys({d})), lambda q: q || '=' || coalesce(lower(trim(json_extract_string({d}, q))), 'null')), chr(1)) || '}}'"
+    return f"coalesce({items}, {pairs}, lower(trim({x})))"
+
+
+def shown(x: str) -> str:
+    a, d = _LIST.format(x), _DICT.format(x)
+    return f"coalesce(array_to_string({a}, ', '), array_to_string(list_transform(json_keys({d}), lambda q: q || '=' || coalesce(json_extract_string({d}, q), 'null')), ', '), {x})"
+
+
+def _nested(key: str) -> str:
+    part = lambda x: f"lower(trim(json_extract_string({_DICT.format(x)}, '$.{key}')))"
+    return f"{part('u_val')} IS NOT DISTINCT FROM {part('d_val')}"
+
+
+NESTED = " OR ".join(f"(slot = '{s}' AND {_nested(k)})" for s, k in fixed.NESTED_KEY.items())
 SET = "(value IS NOT NULL AND value NOT IN ('', '[]', '{}'))"
 NEAREST = f"""chain AS (SELECT from_id AS root, from_id AS node, 0 AS depth FROM (SELECT DISTINCT from_id FROM rel) x
   UNION SELECT c.root, r.to_id, c.depth + 1 FROM chain c JOIN rel r ON r.from_id = c.node WHERE c.depth < 20),
 near AS (SELECT root, slot, arg_min(value, (depth, node)) AS value, arg_min(node, (depth, node)) AS owner, CAST(min(depth) AS INT) AS depth
   FROM chain JOIN slots ON slots.id = chain.node WHERE {SET} GROUP BY root, slot)"""
-GAPS_SQL = f"""WITH RECURSIVE fields AS ({FIELDS_SQL}), {NEAREST},
+GAPS_SQL = f"""WITH RECURSIVE fields AS ({FIELDS_SQL}), nslots AS MATERIALIZED (SELECT *, {norm("value")} AS nv FROM slots), {NEAREST},
 up AS (SELECT o.*, f.contract, f.field, f.slots AS ask, f.importance, row_number() OVER w AS n, bool_or(o.status = 'conflicting') OVER (PARTITION BY f.contract, f.field, o.tenant_id, o.entity_id, o.subject_key) AS conflict
   FROM obj o JOIN fields f ON f.chk = 'propagate' AND o.stage = f.from_stage AND list_contains(f.types, o.type) AND o.authority >= f.least WHERE o.status IN ('active', 'conflicting')
   WINDOW w AS (PARTITION BY f.contract, f.field, o.tenant_id, o.entity_id, o.subject_key ORDER BY o.authority DESC, o.valid_from DESC, o.id)),
@@ -72,22 +96,22 @@ facts AS (SELECT a.tenant_id, a.entity_id, a.subject_key, a.contract, a.field, a
     coalesce(own.value, nr.value) AS u_val, CASE WHEN own.value IS NULL THEN nr.owner ELSE a.id END AS eff, ds.value AS d_val
   FROM asked a LEFT JOIN (SELECT * FROM slots WHERE {SET}) own ON own.id = a.id AND own.slot = a.slot
   LEFT JOIN near nr ON nr.root = a.id AND nr.slot = a.slot LEFT JOIN slots ds ON ds.id = a.d_id AND ds.slot = a.slot),
-full_facts AS (SELECT f.*, e.authority AS rank, lower(trim(f.u_val)) AS nu, lower(trim(f.d_val)) AS nd, split_part(f.subject_key, ':', 2) AS cap, dp.value AS d_prec, upr.value AS u_prec,
-    EXISTS (SELECT 1 FROM obj o JOIN slots s ON s.id = o.id AND s.slot = f.slot WHERE o.status = 'superseded' AND (o.tenant_id, o.entity_id, o.subject_key, o.stage, o.type) = (e.tenant_id, e.entity_id, e.subject_key, e.stage, e.type)
-      AND o.id <> e.id AND s.value NOT IN ('', '[]', '{{}}') AND lower(trim(s.value)) = lower(trim(f.d_val))) AS stale
+full_facts AS (SELECT f.*, e.authority AS rank, {norm("f.u_val")} AS nu, {norm("f.d_val")} AS nd, split_part(f.subject_key, ':', 2) AS cap, dp.value AS d_prec, upr.value AS u_prec,
+    (SELECT min(o.id) FROM obj o JOIN nslots s ON s.id = o.id AND s.slot = f.slot WHERE o.status = 'superseded' AND (o.tenant_id, o.entity_id, o.subject_key, o.stage, o.type) = (e.tenant_id, e.entity_id, e.subject_key, e.stage, e.type)
+      AND o.id <> e.id AND s.value NOT IN ('', '[]', '{{}}') AND s.nv = {norm("f.d_val")}) AS stale_id
   FROM facts f JOIN obj e ON e.id = f.eff LEFT JOIN slots dp ON dp.id = f.d_id AND dp.slot = 'due_date_precision' LEFT JOIN slots upr ON upr.id = f.eff AND upr.slot = 'due_date_precision' WHERE f.u_val IS NOT NULL),
 judged AS (SELECT *, CASE WHEN d_val IS NULL OR d_val IN ('', '[]', '{{}}') THEN CASE WHEN slot = 'protocol' AND cap = 'sso' AND nu IN ('saml', 'oidc') THEN 'generalized' WHEN slot = 'due_date' AND d_prec IS NOT NULL THEN 'generalized' ELSE 'missing' END
     WHEN nu = nd OR (slot = 'protocol' AND nu IN ('saml', 'saml2', 'saml 2.0', 'saml-based sso') AND nd IN ('saml', 'saml2', 'saml 2.0', 'saml-based sso')) THEN NULL
-    WHEN stale THEN 'stale_reference' WHEN slot = 'protocol' THEN CASE WHEN nd = cap THEN 'generalized' ELSE 'contradicted' END
+    WHEN stale_id IS NOT NULL THEN 'stale_reference' WHEN slot = 'protocol' THEN CASE WHEN nd = cap THEN 'generalized' ELSE 'contradicted' END
     WHEN slot = 'region' THEN CASE WHEN (nd = 'eu' AND nu IN ('eu-west-1', 'eu-central-1', 'eu-north-1', 'eu-west-2')) OR (nd = 'us' AND nu IN ('us-east-1', 'us-east-2', 'us-west-1', 'us-west-2')) THEN 'generalized' ELSE 'contradicted' END
     WHEN slot = 'due_date' THEN CASE WHEN (CASE d_prec WHEN 'month' THEN 1 WHEN 'quarter' THEN 2 ELSE 0 END) > (CASE u_prec WHEN 'month' THEN 1 WHEN 'quarter' THEN 2 ELSE 0 END) THEN 'generalized' ELSE 'contradicted' END
-    ELSE 'contradicted' END AS outcome FROM full_facts),
+    WHEN {NESTED} THEN NULL ELSE 'contradicted' END AS outcome FROM full_facts),
 present AS (SELECT o.*, f.contract, f.field, f.importance, f.rule, f.slots AS ask FROM obj o JOIN fields f ON f.chk = 'present' AND o.stage = f.to_stage AND list_contains(f.types, o.type) WHERE o.status = 'active'),
-gaps0 AS (SELECT tenant_id, entity_id, contract, field, subject_key, id AS upstream_id, NULL::BIGINT AS downstream_id, NULL::VARCHAR AS slot, 'object_missing' AS outcome, importance, authority AS rank, false AS inherited, conflict FROM pairs2 WHERE d_id IS NULL
-  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, eff, d_id, slot, outcome, importance, rank, walked, conflict FROM judged WHERE outcome IS NOT NULL
-  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, NULL, 'missing', importance, authority, false, false FROM present p WHERE rule = 'has_derived_from' AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.from_id = p.id)
-  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, NULL, 'missing', importance, authority, false, false FROM present p WHERE rule = 'has_customer_contact' AND NOT EXISTS (SELECT 1 FROM obj o WHERE o.type = 'dependency' AND o.role = 'customer' AND (o.tenant_id, o.entity_id, o.stage) = (p.tenant_id, p.entity_id, p.stage))
-  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, slot, 'missing', importance, authority, false, false FROM (SELECT *, unnest(ask) AS slot FROM present WHERE rule IS NULL) p WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.id = p.id AND s.slot = p.slot AND s.value NOT IN ('', '[]', '{{}}'))),
+gaps0 AS (SELECT tenant_id, entity_id, contract, field, subject_key, id AS upstream_id, NULL::BIGINT AS downstream_id, NULL::VARCHAR AS slot, 'object_missing' AS outcome, importance, authority AS rank, false AS inherited, conflict, NULL AS u_val, NULL AS d_val, NULL AS u_prec, NULL AS d_prec, NULL AS cap, NULL AS stale_id, NULL AS rule FROM pairs2 WHERE d_id IS NULL
+  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, eff, d_id, slot, outcome, importance, rank, walked, conflict, u_val, d_val, u_prec, d_prec, cap, stale_id, NULL FROM judged WHERE outcome IS NOT NULL
+  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, NULL, 'missing', importance, authority, false, false, NULL, NULL, NULL, NULL, NULL, NULL, rule FROM present p WHERE rule = 'has_derived_from' AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.from_id = p.id)
+  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, NULL, 'missing', importance, authority, false, false, NULL, NULL, NULL, NULL, NULL, NULL, rule FROM present p WHERE rule = 'has_customer_contact' AND NOT EXISTS (SELECT 1 FROM obj o WHERE o.type = 'dependency' AND o.role = 'customer' AND (o.tenant_id, o.entity_id, o.stage) = (p.tenant_id, p.entity_id, p.stage))
+  UNION ALL SELECT tenant_id, entity_id, contract, field, subject_key, NULL, id, slot, 'missing', importance, authority, false, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT *, unnest(ask) AS slot FROM present WHERE rule IS NULL) p WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.id = p.id AND s.slot = p.slot AND s.value NOT IN ('', '[]', '{{}}'))),
 gaps AS (SELECT *, CAST({SEVERITY} AS DOUBLE) AS severity FROM gaps0)"""
 BAND = "CASE WHEN severity >= 2 THEN 'high' WHEN severity >= 1 THEN 'medium' ELSE 'low' END"
 GAP_TABLES = ("obj", "slots", "pairs", "rel")
@@ -106,13 +130,33 @@ def gaps_of(spark, sf, tables=None):
 
 @query(f"{GAPS_SQL} SELECT tenant_id, entity_id, contract, field, subject_key, upstream_id, downstream_id, slot, outcome, inherited, conflict, severity, {BAND} AS band FROM gaps", *GAP_TABLES)
 def q_handoff_gaps(spark, sf):
-    return priced(gaps_of(spark, sf).drop("importance", "rank"), "severity")
-
-
-@query()
+    return priced(gaps_of(spark, sf).drop("importance", "rank", *handoff.TOLD), "severity")
+
+
+_KINDS = "CASE g.slot " + " ".join(f"WHEN '{k}' THEN '{v.capitalize()}'" for k, v in fixed.SLOT_KIND.items()) + " ELSE 'Context' END"
+_NESTED_NOTE = "CASE g.slot " + " ".join(f"WHEN '{k}' THEN '`{v}` differs'" for k, v in fixed.NESTED_KEY.items()) + " END"
+_CONTRACT = "'Contract `' || g.contract || '.' || field || '` (' || importance || ') requires this'"
+
+
+@query(f"""{GAPS_SQL}, g AS (SELECT gaps.*, CASE WHEN outcome = 'contradicted' THEN 'Contradiction' WHEN outcome = 'stale_reference' THEN 'Stale context in use' WHEN outcome = 'object_missing' THEN 'Requirement dropped entirely'
+  WHEN upstream_id IS NULL THEN 'Missing evidence link' WHEN outcome = 'generalized' AND slot = 'due_date' THEN 'Deadline generalized' ELSE {_KINDS.replace("g.slot", "slot")} || CASE WHEN outcome = 'generalized' THEN ' loss (generalized)' ELSE ' loss (dropped)' END END AS label FROM gaps),
+s AS (SELECT id, type || ' ' || id AS content, type, role, authority, stage, CAST(CAST(valid_from AS DATE) AS VARCHAR) AS day FROM obj),
+t AS (SELECT g.contract, field, upstream_id, downstream_id, g.slot, outcome, severity, importance, rule, '**' || label || '** — ' AS head,
+  'upstream ' || u.type || ' "' || u.content || '" (' || u.role || ', authority ' || u.authority || ', ' || u.stage || ' ' || u.day || ')' AS up,
+  '"' || d.content || '" (' || d.stage || ' ' || d.day || ')' AS down, d.type AS d_type, {shown("g.u_val")} AS u_shown, {shown("g.d_val")} AS d_shown,
+  CASE WHEN outcome = 'generalized' AND (g.d_val IS NULL OR g.d_val IN ('', '[]', '{{}}')) AND g.slot = 'protocol' THEN 'downstream targets the broader capability `' || cap || '`'
+    WHEN outcome = 'generalized' AND (g.d_val IS NULL OR g.d_val IN ('', '[]', '{{}}')) AND g.slot = 'due_date' THEN 'downstream only states `' || d_prec || '` precision'
+    WHEN outcome = 'generalized' AND g.slot = 'due_date' THEN 'precision dropped from `' || coalesce(nullif(u_prec, ''), 'day') || '` to `' || coalesce(nullif(d_prec, ''), 'day') || '`'
+    WHEN outcome = 'contradicted' THEN {_NESTED_NOTE} WHEN outcome = 'stale_reference' THEN 'matches superseded value "' || o.content || '"' END AS note,
+  {_CONTRACT} AS wants FROM g LEFT JOIN s u ON u.id = upstream_id LEFT JOIN s d ON d.id = downstream_id LEFT JOIN s o ON o.id = stale_id)
+SELECT contract, field, upstream_id, downstream_id, slot, outcome, severity, CASE WHEN outcome = 'object_missing' THEN head || up || ' has no counterpart in `' || field || '` downstream. ' || wants || ' to propagate.'
+  WHEN upstream_id IS NULL THEN head || 'downstream ' || d_type || ' ' || down || ' ' || CASE rule WHEN 'has_derived_from' THEN 'has no `derived_from` link back to upstream evidence' WHEN 'has_customer_contact' THEN 'has no captured customer contact' ELSE 'is missing `' || slot || '`' END || '. ' || wants || '.'
+  ELSE head || up || ' specifies `' || slot || ' = ' || u_shown || '`. downstream ' || down || ' ' || CASE outcome WHEN 'generalized' THEN 'generalizes this to' WHEN 'missing' THEN 'drops this — it is absent in' WHEN 'contradicted' THEN 'contradicts this with' ELSE 'still cites a superseded value:' END
+    || coalesce(' `' || d_shown || '`', '') || coalesce(' (' || note || ')', '') || '. ' || wants || ' slot to survive.' END AS explanation FROM t""", *GAP_TABLES)
 def q_gap_explanations(spark, sf):
     tables = stored(spark, sf)
-    return priced(handoff.explain(gaps_of(spark, sf, tables), tables[0]).select("contract", "field", "upstream_id", "downstream_id", "slot", "outcome", "severity", "explanation"), "severity")
+    said = tables[0].withColumn("content", F.concat_ws(" ", "type", F.col("id").cast("string")))
+    return priced(handoff.explain(gaps_of(spark, sf, tables), said).select("contract", "field", "upstream_id", "downstream_id", "slot", "outcome", "severity", "explanation"), "severity")
 
 
 def _n(condition: str, name: str) -> str:
@@ -135,15 +179,13 @@ def q_lineage_edges(spark, sf):
 @query("WITH RECURSIVE chain AS (SELECT id AS root, id AS node, 0 AS depth FROM obj WHERE stage = 'engineering' UNION ALL SELECT c.root, r.to_id, c.depth + 1 FROM chain c JOIN rel r ON r.from_id = c.node WHERE c.depth < 20) SELECT root, node, CAST(depth AS INT) AS depth, count(*) AS paths FROM chain GROUP BY root, node, depth", "obj", "pairs", "rel")
 def q_upstream_chain(spark, sf):
     o = objects(spark, sf)
-    found = lineage.upstream_chain(lineage.edges(o), o.where("stage = 'engineering'").select("id"))
-    return found.groupBy("root", "node", "depth").agg(F.count("*").alias("paths"))
+    return lineage.upstream_chain(stage(lineage.edges(o), "lineage"), o.where("stage = 'engineering'").select("id"))
 
 
 @query("WITH RECURSIVE chain AS (SELECT id AS root, id AS node, 0 AS depth FROM obj WHERE stage = 'sales' UNION ALL SELECT c.root, r.from_id, c.depth + 1 FROM chain c JOIN rel r ON r.to_id = c.node WHERE c.depth < 20) SELECT root, node, CAST(depth AS INT) AS depth, count(*) AS paths FROM chain GROUP BY root, node, depth", "obj", "pairs", "rel")
 def q_downstream_chain(spark, sf):
     o = objects(spark, sf)
-    found = lineage.downstream_chain(lineage.edges(o), o.where("stage = 'sales'").select("id"))
-    return found.groupBy("root", "node", "depth").agg(F.count("*").alias("paths"))
+    return lineage.downstream_chain(stage(lineage.edges(o), "lineage"), o.where("stage = 'sales'").select("id"))
 
 
 @query(f"WITH RECURSIVE {NEAREST} SELECT root, slot, value, owner, depth FROM near", *GAP_TABLES)
@@ -184,12 +226,16 @@ def q_semi_anti_present(spark, sf):
     return o.where("status = 'active' AND stage = 'product'").join(lineage.edges(o).select(F.col("from_id").alias("id")).distinct(), "id", "left_anti").select("id")
 
 
-@query("SELECT u.id AS old_id, d.id AS new_id, s.slot FROM obj u JOIN slots s ON s.id = u.id JOIN obj d ON (d.tenant_id, d.entity_id, d.subject_key) = (u.tenant_id, u.entity_id, u.subject_key) AND d.stage <> u.stage JOIN slots t ON t.id = d.id AND t.slot = s.slot AND lower(trim(t.value)) = lower(trim(s.value)) WHERE u.status = 'superseded' AND d.status = 'active' AND s.value NOT IN ('', '[]', '{}')", "obj", "slots")
+@query(f"""WITH nslots AS MATERIALIZED (SELECT *, {norm("value")} AS nv FROM slots WHERE {SET}),
+old AS (SELECT o.tenant_id, o.entity_id, o.subject_key, o.stage, o.type, slot, nv, min(o.id) AS old_id FROM obj o JOIN nslots s ON s.id = o.id WHERE o.status = 'superseded' GROUP BY ALL)
+SELECT d.id, slot, old.stage, old.type, old_id FROM obj d JOIN nslots s ON s.id = d.id JOIN old USING (tenant_id, entity_id, subject_key, slot, nv) WHERE d.status = 'active' AND old.stage <> d.stage""", "obj", "slots")
 def q_stale_reference(spark, sf):
+    """Values that active statements still cite from a superseded one: looked up by subject, stage, type, slot and value."""
     o = objects(spark, sf)
     s = slots_long(o).where(S.is_set(F.col("value"))).select("id", "slot", S.normalize(F.col("value")).alias("v"))
-    side = lambda p, status: o.where(F.col("status") == status).join(s, "id").select(*handoff.KEY, "slot", "v", F.col("stage").alias(f"{p}_stage"), F.col("id").alias(f"{p}_id"))
-    return side("old", "superseded").join(side("new", "active"), [*handoff.KEY, "slot", "v"]).where("old_stage <> new_stage").select("old_id", "new_id", "slot")
+    old = o.where("status = 'superseded'").join(s, "id").groupBy(*handoff.KEY, "stage", "type", "slot", "v").agg(F.min("id").alias("old_id"))
+    now = o.where("status = 'active'").select("id", *handoff.KEY, F.col("stage").alias("own")).join(s, "id")
+    return now.join(old, [*handoff.KEY, "slot", "v"]).where("stage <> own").select("id", "slot", "stage", "type", "old_id")
 
 
 @query(f"SELECT importance, rank, outcome, CAST({SEVERITY} AS DOUBLE) AS severity FROM (VALUES ('critical'), ('high'), ('normal')) i(importance), range(0, 6) r(rank), (VALUES ('object_missing'), ('contradicted'), ('stale_reference'), ('missing'), ('generalized')) o(outcome)")
@@ -226,7 +272,25 @@ def q_trigram_pairs(spark, sf):
     return resolve.similar_pairs(read(spark, sf, "part"), 0.2, "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+HINT_NAME = "array_to_string(list_filter(string_split_regex(regexp_replace(lower(hint), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('inc', 'corp', 'corporation', 'llc', 'ltd', 'co')), ' ')"
+_SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'entity')"
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT p_size % 3 AS tenant_id, CASE WHEN p_partkey % 50 = 0 THEN 'Unknown' ELSE p_name END AS hint, p_partkey AS seq, p_partkey % 7 = 0 AS sure, p_name FROM part),
+first AS (SELECT tenant_id, hint, min(seq) AS seq, {HINT_NAME} AS name FROM raw GROUP BY tenant_id, hint),
+known AS (SELECT tenant_id, name, min({_SLUG.format("name")}) AS known FROM (SELECT tenant_id, {HINT_NAME.replace("lower(hint)", "lower(p_name)")} AS name FROM raw WHERE sure) GROUP BY tenant_id, name),
+h AS (SELECT f.*, k.known FROM first f LEFT JOIN known k USING (tenant_id, name)),
+names AS (SELECT tenant_id, name, min((seq, hint)) AS head FROM h WHERE known IS NULL GROUP BY tenant_id, name UNION ALL SELECT tenant_id, name, NULL FROM known),
+t AS MATERIALIZED (SELECT tenant_id, name, head, {TRI.replace("lower(n)", "lower(name)")} AS t FROM names),
+pairs AS MATERIALIZED (SELECT a.tenant_id, a.name, b.name AS best, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS s FROM t a JOIN t b ON a.tenant_id = b.tenant_id AND a.name <> b.name AND a.head IS NOT NULL AND (b.head IS NULL OR b.head < a.head)),
+best AS (SELECT tenant_id, name, s, best FROM pairs WHERE s >= 0.6 QUALIFY row_number() OVER (PARTITION BY tenant_id, name ORDER BY s DESC, best) = 1),
+rows AS (SELECT t.tenant_id, t.name, t.head, b.s, b.best, k.known, CASE WHEN k.known IS NULL AND coalesce(b.s, 0) >= 0.85 THEN b.best END AS to_name,
+  CASE WHEN k.known IS NOT NULL THEN k.known WHEN coalesce(b.s, 0) < 0.85 THEN {_SLUG.format("t.head[2]")} END AS entity FROM t LEFT JOIN best b USING (tenant_id, name) LEFT JOIN known k USING (tenant_id, name)),
+walk AS (SELECT tenant_id, name, entity, to_name FROM rows UNION ALL SELECT w.tenant_id, w.name, r.entity, r.to_name FROM walk w JOIN rows r ON r.tenant_id = w.tenant_id AND r.name = w.to_name WHERE w.entity IS NULL),
+ends AS (SELECT tenant_id, name, entity FROM walk WHERE entity IS NOT NULL)
+SELECT h.tenant_id, h.hint, e.entity, CASE WHEN h.known IS NOT NULL OR h.hint <> r.head[2] THEN 'exact' WHEN coalesce(r.s, 0) >= 0.85 THEN 'linked' ELSE 'new' END AS how,
+  CASE WHEN h.known IS NULL AND h.hint = r.head[2] AND r.s < 0.85 THEN b.entity END AS near, CASE WHEN h.known IS NOT NULL OR h.hint <> r.head[2] THEN 1.0::DOUBLE ELSE round(r.s, 3) END AS similarity
+FROM h JOIN rows r USING (tenant_id, name) JOIN ends e USING (tenant_id, name) LEFT JOIN ends b ON b.tenant_id = h.tenant_id AND b.name = r.best""")
 def q_entity_resolve(spark, sf):
     parts = read(spark, sf, "part")
     hints = parts.select((F.col("p_size") % 3).cast("long").alias("tenant_id"), F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.col("p_name")).alias("hint"), F.col("p_partkey").alias("arrival_seq"))
@@ -290,11 +354,12 @@ def q_slots_compatible(spark, sf):
     return pairs.groupBy("a_id", "b_id").agg(F.bool_and(F.col("slot").isin("rationale", "due_date_precision", "due_date") | (F.col("a") == F.col("b"))).alias("ok"))
 
 
-@query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id % 20 = 0")
+@query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def q_cosine_pairs(spark, sf):
+    """Each vector with the next one by id."""
     e = read(spark, sf, "embeddings")
-    a, b = (e.select("label", F.col("vec_id").alias(f"{p}_id"), F.col("embedding").alias(p)) for p in "ab")
-    return a.join(b.where("b_id % 20 = 0"), "label").where("a_id < b_id").select("a_id", "b_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    a, b = (e.select(F.col("vec_id").alias(f"{p}_id"), F.col("embedding").alias(p)) for p in "ab")
+    return a.join(b, F.col("a_id") + 1 == F.col("b_id")).select("a_id", "b_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
 @query("""WITH s AS (SELECT d.vec_id AS down_id, u.vec_id AS up_id, round(list_inner_product(d.embedding::DOUBLE[], u.embedding::DOUBLE[]) / (sqrt(list_inner_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_inner_product(u.embedding::DOUBLE[], u.embedding::DOUBLE[]))), 9) AS c FROM embeddings d JOIN embeddings u ON d.label = u.label AND d.vec_id <> u.vec_id WHERE d.vec_id % 10 = 0)
@@ -304,22 +369,40 @@ def q_topk_chunks(spark, sf):
     return evals.top_chunks(e.where("id % 10 = 0"), e).withColumn("similarity", F.round(F.round("similarity", 9), 6))
 
 
-@query("SELECT d.doc_id, b.item_id, strpos(d.text, left(b.text, 60)) - 1 AS lo FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+QUOTE = 60
+
+
+@query(f"""WITH q AS (SELECT item_id, part, CASE WHEN part < n - 1 THEN substr(text, 1 + {QUOTE} * part, {QUOTE}) ELSE substr(text, 1 + {QUOTE} * part) END AS quote
+  FROM (SELECT *, unnest(range(0, n)) AS part FROM (SELECT item_id, text, greatest(1, length(text) // {QUOTE})::INT AS n FROM benchmark WHERE text <> '')))
+SELECT d.doc_id, q.item_id, CAST(q.part AS INT) AS part, strpos(d.text, q.quote) - 1 AS lo FROM documents d JOIN q ON contains(d.text, q.quote)""")
 def q_evidence_exact(spark, sf):
-    """Quotes of the benchmark in all documents. Words meet first: a document that holds a quote holds its longest word."""
-    quotes = read(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"))
-    inner = F.slice(F.split("quote", r"\s+"), F.lit(2), F.greatest(F.size(F.split("quote", r"\s+")) - 2, F.lit(0)))
-    keyed = quotes.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    """Quotes from all over each benchmark text in all documents: QUOTE characters each, the last with the rest.
+
+    Words meet first: a document that holds a quote holds its longest inner word. A
+    quote without an inner word meets by the first letters of its longest piece.
+    """
+    text = read(spark, sf, "benchmark").select("item_id", "text", F.greatest(F.lit(1), F.floor(F.length("text") / QUOTE)).cast("int").alias("n")).where("text <> ''")
+    parts = text.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    quotes = parts.select("item_id", "part", F.when(F.col("part") < F.col("n") - 1, F.substring("text", 1 + QUOTE * F.col("part"), F.lit(QUOTE))).otherwise(F.substring("text", 1 + QUOTE * F.col("part"), F.length("text"))).alias("quote"))
+    words = F.split("quote", r"\s+")
+    longest = lambda xs: F.array_max(F.transform(xs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = quotes.withColumn("word", longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))).withColumn("piece", F.left(longest(words), F.lit(3)))
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = words.join(keyed.where("word IS NOT NULL"), "word").select("doc_id", "item_id", "quote")
-    return docs.join(met, "doc_id").withColumn("lo", S.evidence_start(F.col("text"), F.col("quote"))).where("lo IS NOT NULL").select("doc_id", "item_id", F.col("lo").cast("long").alias("lo"))
+    seen = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = seen.join(keyed.where("word IS NOT NULL"), "word").select("doc_id", "item_id", "part", "quote")
+    short = keyed.where("word IS NULL").drop("word")
+    if not short.isEmpty():
+        windows = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (k - 1))), lambda i: F.substring("word", i, F.lit(k)))
+        starts = seen.select("doc_id", F.explode(F.array_distinct(F.concat(*map(windows, (1, 2, 3))))).alias("piece")).distinct()
+        met = met.union(starts.join(short, "piece").select("doc_id", "item_id", "part", "quote"))
+    return docs.join(met, "doc_id").withColumn("lo", S.evidence_start(F.col("text"), F.col("quote"))).where("lo IS NOT NULL").select("doc_id", "item_id", "part", F.col("lo").cast("long").alias("lo"))
 
 
 @query()
 def q_evidence_span(spark, sf):
-    """Each document's own last words as a quote whose spaces and dashes were changed: the folded path."""
-    d = read(spark, sf, "documents").where("length(text) > 200").select("doc_id", "text", F.regexp_replace(F.substring("text", 101, 60), r"\s+", "  ").alias("quote"))
+    """Of each document words from its middle as a quote whose spaces were changed: the folded path."""
+    middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - 29)
+    d = read(spark, sf, "documents").where("text <> ''").select("doc_id", "text", F.regexp_replace(F.substring("text", middle, F.lit(60)), r"\s+", "  ").alias("quote"))
     return d.select("doc_id", texts.evidence_span(F.col("text"), F.col("quote")).alias("s")).select("doc_id", "s.lo", "s.hi")
 
 
@@ -340,7 +423,7 @@ def q_cache_key(spark, sf):
 
 
 @query("""WITH r AS (SELECT conv_id, count(*) AS seen, count(*) FILTER (WHERE role = 'user') AS ingested, count(*) FILTER (WHERE length(text) > 400) AS failed FROM conversations GROUP BY conv_id)
-SELECT *, CASE WHEN failed = 0 THEN 'ok' WHEN ingested > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""")
+SELECT *, CASE WHEN seen = 0 THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'ok' END AS status FROM r""")
 def q_sync_status(spark, sf):
     c = read(spark, sf, "conversations")
     return connectors.sync_status(c.groupBy("conv_id").agg(F.count("*").alias("seen"), F.count_if(F.col("role") == "user").alias("ingested"), F.count_if(F.length("text") > 400).alias("failed")))
@@ -445,12 +528,166 @@ def q_incident_window(spark, sf):
     return reads.incident_window(objects(spark, sf).where("type = 'problem' AND k % 8 = 0"), "entity_id", "valid_from")
 
 
-@query("WITH c AS (SELECT entity_id, entity_id AS incident_id, id, valid_from FROM obj WHERE type = 'problem' AND k % 8 = 0), w AS (SELECT entity_id, incident_id, min(valid_from) - INTERVAL 72 HOURS AS lo, max(valid_from) + INTERVAL 72 HOURS AS hi FROM c GROUP BY entity_id, incident_id) SELECT w.incident_id, o.id FROM obj o JOIN w USING (entity_id) WHERE o.type = 'problem' AND o.valid_from BETWEEN lo AND hi AND NOT EXISTS (SELECT 1 FROM c WHERE c.incident_id = w.incident_id AND c.id = o.id)", "obj")
+#: Incidents, their accounts, and statements that name them, from the derived statements; one text for both engines.
+I_OBJ = """SELECT id, tenant_id, entity_id, type, status, stage, role, source_id, valid_from AS created_at, CASE WHEN k % 6 = 1 THEN concat('e', CAST(entity_id AS VARCHAR(20)), ':incident') ELSE subject_key END AS subject_key,
+  CASE WHEN id % 17 = 0 AND k % 8 < 6 THEN concat('T', CAST(tenant_id AS VARCHAR(20)), '-', CAST(k % 8 AS VARCHAR(20))) END AS named_incident FROM obj"""
+I_INC = "SELECT tenant_id, concat('T', CAST(tenant_id AS VARCHAR(20)), '-', CAST(k % 8 AS VARCHAR(20))) AS incident_id, max(valid_from) AS declared_at FROM obj GROUP BY tenant_id, concat('T', CAST(tenant_id AS VARCHAR(20)), '-', CAST(k % 8 AS VARCHAR(20)))"
+I_ACC = "SELECT DISTINCT concat('T', CAST(tenant_id AS VARCHAR(20)), '-', CAST(k % 8 AS VARCHAR(20))) AS incident_id, entity_id FROM obj WHERE id % 40 = 3"
+I_ENT = "SELECT DISTINCT tenant_id, entity_id, CASE WHEN entity_id % 29 = 0 THEN 'Unknown' ELSE concat('Account ', CAST(entity_id AS VARCHAR(20))) END AS name FROM obj"
+I_SRC = "SELECT source_id, CASE WHEN source_id % 5 <> 0 THEN min(valid_from) END AS source_ts FROM obj GROUP BY source_id"
+I_SQL = f"""WITH io AS ({I_OBJ}), inc AS ({I_INC}), acc AS ({I_ACC}), ent AS ({I_ENT}), isrc AS ({I_SRC}), timed AS (SELECT io.*, source_ts FROM io LEFT JOIN isrc USING (source_id)),
+sure AS (SELECT inc.incident_id, t.id, t.source_ts FROM timed t JOIN inc ON inc.tenant_id = t.tenant_id AND inc.incident_id = t.named_incident),
+span AS (SELECT inc.tenant_id, inc.incident_id, coalesce(a, declared_at) - INTERVAL 72 HOURS AS lo, coalesce(z, declared_at) + INTERVAL 72 HOURS AS hi FROM inc LEFT JOIN (SELECT incident_id, min(source_ts) AS a, max(source_ts) AS z FROM sure GROUP BY incident_id) x USING (incident_id)),
+may AS (SELECT incident_id, entity_id FROM acc UNION SELECT incident_id, entity_id FROM inc JOIN ent USING (tenant_id) WHERE name = 'Unknown'),
+links AS (SELECT incident_id, id, true AS linked FROM sure UNION ALL SELECT s.incident_id, t.id, false FROM timed t JOIN span s ON s.tenant_id = t.tenant_id AND t.source_ts BETWEEN lo AND hi JOIN may ON may.incident_id = s.incident_id AND may.entity_id = t.entity_id
+  WHERE t.subject_key LIKE '%:incident' AND NOT EXISTS (SELECT 1 FROM sure x WHERE x.incident_id = s.incident_id AND x.id = t.id))"""
+
+
+def incident_tables(spark, sf) -> dict[str, DataFrame]:
+    o = stage(objects(spark, sf), "objects")
+    made = {n: spark.sql(text.replace("FROM obj", "FROM {obj}"), obj=o) for n, text in (("objects", I_OBJ), ("incidents", I_INC), ("accounts", I_ACC), ("entities", I_ENT), ("sources", I_SRC))}
+    links = reads.incident_links(made["incidents"], made["accounts"], made["objects"], made["sources"], made["entities"])
+    return made | {"links": stage(links, "links"), "stored": o}
+
+
+@query(f"{I_SQL} SELECT incident_id, id, linked FROM links", "obj")
 def q_incident_candidates(spark, sf):
+    return incident_tables(spark, sf)["links"]
+
+
+@query(f"{I_SQL} SELECT incident_id, id, CASE WHEN id % 9 = 0 AND NOT linked THEN true WHEN id % 11 = 0 AND linked THEN false ELSE linked END AS linked FROM links UNION ALL SELECT incident_id, -7, true FROM inc", "obj")
+def q_incident_link(spark, sf):
+    t = incident_tables(spark, sf)
+    said = t["links"].where("id % 9 = 0 AND NOT linked OR id % 11 = 0 AND linked").select("incident_id", "id", (~F.col("linked")).alias("linked"), F.lit(2).alias("seq"))
+    before = said.withColumns({"linked": ~F.col("linked"), "seq": F.lit(1)})
+    new = t["incidents"].select("incident_id", F.lit(-7).cast("long").alias("id"), F.lit(True).alias("linked"), F.lit(1).alias("seq"))
+    return reads.link_reviewed(t["links"], said.union(before).union(new))
+
+
+@query(f"{I_SQL} SELECT i.incident_id, declared_at, coalesce(array_to_string(names, '|'), '') AS entities, coalesce(n, 0) AS object_count FROM inc i LEFT JOIN (SELECT incident_id, list_sort(list(DISTINCT name)) AS names FROM acc JOIN ent USING (entity_id) GROUP BY incident_id) a USING (incident_id) LEFT JOIN (SELECT incident_id, count(*) AS n FROM links WHERE linked GROUP BY incident_id) l USING (incident_id)", "obj")
+def q_incident_summary(spark, sf):
+    t = incident_tables(spark, sf)
+    return reads.incident_summaries(t["incidents"], t["links"], t["accounts"], t["entities"]).select("incident_id", "declared_at", F.array_join("entities", "|").alias("entities"), "object_count")
+
+
+@query(f"{I_SQL} SELECT incident_id, id, linked, coalesce(source_ts, created_at) AS at, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY coalesce(source_ts, created_at), id) AS INT) AS place FROM links JOIN timed USING (id)", "obj")
+def q_incident_timeline(spark, sf):
+    t = incident_tables(spark, sf)
+    return reads.incident_timeline(t["links"], t["objects"], t["sources"]).select("incident_id", "id", "linked", "at", "place")
+
+
+@query(f"{I_SQL} SELECT incident_id, slot, id, value FROM links JOIN io USING (id) JOIN slots USING (id) WHERE status = 'active' AND slot IN ('impact', 'sla_impact', 'root_cause', 'remediation') QUALIFY row_number() OVER (PARTITION BY incident_id, slot ORDER BY created_at DESC, id) = 1", "obj", "slots")
+def q_incident_latest(spark, sf):
+    t = incident_tables(spark, sf)
+    return reads.incident_latest(t["links"], t["objects"], slots_long(t["stored"]))
+
+
+@query("""WITH acc AS (SELECT o_orderkey AS incident_id, o_custkey AS entity_id FROM orders), v AS (SELECT l_orderkey AS validation_id, l_suppkey AS entity_id FROM (SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey)),
+g AS (SELECT l_orderkey * 10 + l_linenumber AS gap_id, l_orderkey AS validation_id FROM lineitem WHERE l_linestatus = 'O') SELECT DISTINCT incident_id, gap_id FROM acc JOIN v USING (entity_id) JOIN g USING (validation_id)""")
+def q_incident_gaps(spark, sf):
+    lines = read(spark, sf, "lineitem")
+    accounts = read(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_custkey").alias("entity_id"))
+    runs = lines.groupBy(F.col("l_orderkey").alias("validation_id")).agg(F.min("l_suppkey").alias("entity_id"))
+    gaps = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gap_id"), F.col("l_orderkey").alias("validation_id"), F.when(F.col("l_linestatus") == "O", "open").otherwise("resolved").alias("status"))
+    return reads.incident_gaps(accounts, runs, gaps)
+
+
+@query(f"WITH io AS ({I_OBJ}) SELECT DISTINCT tenant_id, named_incident AS incident_id FROM io WHERE named_incident <> ''", "obj")
+def q_incident_ids(spark, sf):
+    return reads.incident_ids(spark.sql(I_OBJ.replace("FROM obj", "FROM {obj}"), obj=objects(spark, sf)))
+
+
+@query("SELECT tenant_id, stage, id, CAST(row_number() OVER (PARTITION BY tenant_id, stage ORDER BY valid_from DESC, id) AS INT) AS rank FROM obj WHERE status = 'conflicting' QUALIFY rank <= 20", "obj")
+def q_dashboard_conflicts(spark, sf):
+    return reads.newest(objects(spark, sf).where("status = 'conflicting'"), "valid_from").select("tenant_id", "stage", "id", "rank")
+
+
+@query("SELECT entity_id, type, count(*) AS n FROM obj GROUP BY entity_id, type", "obj")
+def q_count_by_type(spark, sf):
+    return reads.count_by_type(objects(spark, sf))
+
+
+@query("""WITH s AS (SELECT o.entity_id * 2 + t AS ask_id, o.tenant_id, o.entity_id, t FROM (SELECT DISTINCT tenant_id, entity_id FROM obj) o, range(0, 2) r(t)),
+rows AS (SELECT ask_id, o.id, '• [' || o.type || '] ' || o.stance || ' of ' || o.k || ' (authority ' || o.authority || ')' AS line, row_number() OVER (PARTITION BY ask_id ORDER BY authority DESC, valid_from DESC, o.id) AS place
+  FROM s JOIN obj o ON o.tenant_id = s.tenant_id AND o.entity_id = s.entity_id JOIN src USING (source_id) WHERE o.status = 'active' AND reader IN ('*', 'team:engineering') AND (t = 0 OR contains(lower(subject_key), ':sso') OR contains(lower(stance || ' of ' || k), ':sso')))
+SELECT ask_id, CAST(place AS INT) AS place, id, line FROM rows""", "obj", "src")
+def q_chat_reply(spark, sf):
+    o = objects(spark, sf).withColumns({"content": F.concat("stance", F.lit(" of "), F.col("k").cast("string")), "created_at": F.col("valid_from")})
+    who = o.select("tenant_id", "entity_id").distinct()
+    aliases = who.select("tenant_id", F.concat(F.lit("account "), F.col("entity_id").cast("string")).alias("name"), "entity_id")
+    asks = who.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1))))
+    asks = asks.select((F.col("entity_id") * 2 + F.col("t")).alias("ask_id"), "tenant_id", F.concat(F.lit("Account "), F.col("entity_id").cast("string"), F.lit(" Corp.")).alias("entity"), F.when(F.col("t") == 1, ":SSO").alias("topic"), F.lit("team:engineering").alias("principal"))
+    return reads.chat_reply(o, src(spark, sf), aliases, asks)
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<@U1>: ' WHEN 1 THEN ' <@U2>, mark ' WHEN 2 THEN 'Marketo ' ELSE '' END || text AS said FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(said, '^\s*<@[^>]+>[:,]?\s*', ''), '^\s+|\s+$', '', 'g') AS body FROM c)
+SELECT conv_id, turn, regexp_matches(body, '(?i)^mark\b') AS mark, CASE WHEN NOT regexp_matches(body, '(?i)^mark\b') THEN regexp_extract(body, '^\S*') END AS entity FROM b""".replace("\\\\", "\\"))
+def q_chat_command(spark, sf):
+    turn = F.col("turn") % 4
+    said = F.concat(F.when(turn == 0, "<@U1>: ").when(turn == 1, " <@U2>, mark ").when(turn == 2, "Marketo ").otherwise(""), "text")
+    return read(spark, sf, "conversations").select("conv_id", "turn", S.command(said).alias("c")).select("conv_id", "turn", "c.mark", "c.entity")
+
+
+@query("""WITH s AS (SELECT source_id, CASE WHEN source_id % 2 = 0 THEN 'drive' ELSE 'email' END AS kind, source_id % 60 AS document_id FROM src),
+o AS (SELECT source_id, valid_from, id, 'e' || entity_id || CASE WHEN k % 7 = 0 THEN ':incident:INC-' || k ELSE ':sso' END AS subject_key FROM obj)
+SELECT a.source_id, o.subject_key, 'subject_capability="incident", the same incident (attributes.extra.incident_id="' || split_part(o.subject_key, ':', 3) || '")' AS hint
+FROM s a JOIN s b ON b.document_id = a.document_id AND b.kind = 'drive' AND b.source_id <> a.source_id JOIN o ON o.source_id = b.source_id WHERE a.kind = 'drive' AND o.subject_key LIKE '%:incident:%'
+QUALIFY row_number() OVER (PARTITION BY a.source_id ORDER BY o.valid_from, o.id) = 1""", "obj", "src")
+def q_established_subject(spark, sf):
+    o = objects(spark, sf)
+    tail = F.when(F.col("k") % 7 == 0, F.concat(F.lit(":incident:INC-"), F.col("k").cast("string"))).otherwise(":sso")
+    said = o.select("source_id", "id", F.col("valid_from").alias("created_at"), F.concat(F.lit("e"), F.col("entity_id").cast("string"), tail).alias("subject_key"))
+    files = sources(spark, sf).select("source_id", F.lit(1).alias("tenant_id"), F.when(F.col("source_id") % 2 == 0, "drive").otherwise("email").alias("kind"), (F.col("source_id") % 60).alias("document_id"))
+    return reads.established_subject(said, files)
+
+
+@query(f"WITH c AS (SELECT c_custkey, {_SLUG.format('c_name')} AS slug FROM customer) SELECT CASE WHEN c_custkey % 2 = 0 THEN slug ELSE c_custkey::VARCHAR END AS ref, c_custkey AS entity_id FROM c UNION ALL SELECT 'nobody', NULL")
+def q_entity_lookup(spark, sf):
+    e = read(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), S.slugify(F.col("c_name")).alias("slug"))
+    asked = e.select(F.when(F.col("entity_id") % 2 == 0, F.col("slug")).otherwise(F.col("entity_id").cast("string")).alias("ref"))
+    return reads.find_entity(e, asked.union(spark.createDataFrame([("nobody",)], "ref string"))).select("ref", "entity_id")
+
+
+@query(f"WITH fields AS ({FIELDS_SQL}) SELECT contract, from_stage, to_stage, count(*) AS field_count FROM fields GROUP BY contract, from_stage, to_stage")
+def q_contract_list(spark, sf):
+    return handoff.contract_fields(spark).groupBy("contract", "from_stage", "to_stage").agg(F.count("*").alias("field_count"))
+
+
+@query(f"{GAPS_SQL} SELECT tenant_id, entity_id, contract, field, subject_key, upstream_id, downstream_id, slot, severity, CAST(row_number() OVER (PARTITION BY tenant_id, entity_id, contract ORDER BY severity DESC, field, subject_key, slot NULLS FIRST, upstream_id NULLS FIRST, downstream_id NULLS FIRST) AS INT) AS place FROM gaps", *GAP_TABLES)
+def q_handoff_report(spark, sf):
+    return priced(handoff.report(gaps_of(spark, sf)).select("tenant_id", "entity_id", "contract", "field", "subject_key", "upstream_id", "downstream_id", "slot", "severity", "place"), "severity")
+
+
+@query(f"SELECT type, slot, n, filled FROM (SELECT type, slot, count(DISTINCT id) AS filled FROM obj JOIN slots USING (id) WHERE {SET} GROUP BY type, slot) JOIN (SELECT type, count(*) AS n FROM obj GROUP BY type) USING (type)", "obj", "slots")
+def q_slot_fill(spark, sf):
     o = objects(spark, sf)
-    sure = o.where("type = 'problem' AND k % 8 = 0").withColumn("incident_id", F.col("entity_id"))
-    windows = reads.incident_window(sure, "entity_id", "valid_from").withColumn("incident_id", F.col("entity_id"))
-    return reads.incident_candidates(o, windows, sure).select("incident_id", "id")
+    return evals.slot_fill(o, slots_long(o))
+
+
+@query(f"WITH RECURSIVE e AS ({SUPERSEDES}), both_ends AS (SELECT from_id AS u, to_id AS v FROM e UNION SELECT to_id, from_id FROM e), reach AS (SELECT u AS node, u AS other FROM both_ends WHERE u % 100 = 0 UNION SELECT r.node, b.v FROM reach r JOIN both_ends b ON b.u = r.other) SELECT id, 'version' AS kind, version, status AS what, NULL::BIGINT AS from_id, NULL::BIGINT AS to_id FROM obj WHERE id % 100 = 0 UNION ALL SELECT DISTINCT node, 'supersedes', NULL, NULL, from_id, to_id FROM reach JOIN e ON e.from_id = reach.other", "obj")
+def q_object_history(spark, sf):
+    """The point read of every hundredth statement: its version and the supersessions around it."""
+    o = stage(objects(spark, sf), "objects")
+    key = ["tenant_id", "entity_id", "type", "subject_key", "person_id"]
+    later = o.select(*key, F.col("id").alias("from_id"), F.col("valid_from").alias("at")).join(o.select(*key, F.col("id").alias("to_id"), F.col("valid_from").alias("before")), key).where("at > before")
+    return reads.history(o.select("id", "version", "status"), stage(later.select("from_id", "to_id"), "supersedes"), o.where("id % 100 = 0").select("id"))
+
+
+@query("""SELECT id, CASE kind WHEN 'call' THEN CASE person_id % 6 WHEN 0 THEN 'customer' WHEN 1 THEN 'sales' WHEN 2 THEN 'product' WHEN 3 THEN 'engineering' ELSE 'other' END
+  WHEN 'drive' THEN stage ELSE CASE WHEN person_id % 5 = 0 THEN 'customer' WHEN person_id % 3 = 0 THEN 'product' ELSE CASE WHEN person_id < 30 THEN 'sales' ELSE 'other' END END END AS role,
+  CASE WHEN kind IN ('email', 'slack') AND (person_id < 30 OR person_id % 3 = 0 OR person_id % 5 = 0) THEN person_id END AS person_id FROM obj JOIN src USING (source_id)""", "obj", "src")
+def q_actor(spark, sf):
+    o = objects(spark, sf).join(sources(spark, sf).select("source_id", "kind"), "source_id")
+    p = F.col("person_id")
+    email, chat = F.concat(F.lit("P"), p.cast("string"), F.lit("@a.example")), F.concat(F.lit("U"), p.cast("string"))
+    label = F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ["customer", "Sales", "PRODUCT", "engineering", "CS", "Bob"])), (p % 6 + 1).cast("int")))
+    rows = o.select("id", "kind", "stage", F.when(F.col("kind") == "email", email).otherwise(chat).alias("sender"), label.alias("label"))
+    team = F.when(p % 3 == 0, "product").otherwise("sales")
+    people = o.where("person_id < 30 OR person_id % 3 = 0 OR person_id % 5 = 0").select("person_id").distinct()
+    people = people.select("person_id", F.lower(email).alias("email"), chat.alias("chat_id"), team.alias("team"), (p % 5 == 0).alias("external"))
+    domains = spark.createDataFrame([("a.example", True)], "domain string, internal boolean")
+    return resolve.resolve_actors(rows, people, domains).select("id", "role", "person_id")
 
 
 @query("SELECT CASE WHEN person_id % 10 = 0 THEN 'Unknown' ELSE 'p' || person_id END AS label, role, count(*) AS n FROM obj WHERE type = 'problem' GROUP BY ALL", "obj")
@@ -498,14 +735,14 @@ def q_eval_rollup(spark, sf):
     return evals.eval_rollup(read(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("category"), (F.col("toxic") == 0).alias("passed")))
 
 
-@query(f"""{GAPS_SQL}, gold AS (SELECT id AS case_id, 'sales_to_product' AS contract, entity_id AS entity, ':c' || (k % 12) AS subject, CASE WHEN id % 2 = 0 THEN 'due_date' ELSE 'priority' END AS slot, CASE WHEN id % 3 = 0 THEN 'missing' ELSE 'contradicted' END AS outcome FROM obj WHERE id % 10 = 0),
+@query(f"""{GAPS_SQL}, gold AS (SELECT id AS case_id, 'sales_to_product' AS contract, entity_id AS entity, ':c' || (k % 12) AS subject, CASE WHEN id % 2 = 0 THEN 'due_date' ELSE 'priority' END AS slot, CASE WHEN id % 3 = 0 THEN 'missing' ELSE 'contradicted' END AS outcome FROM obj),
 pred AS (SELECT contract, entity_id AS entity, subject_key AS subject, slot, outcome, upstream_id AS prediction_id FROM gaps WHERE upstream_id IS NOT NULL),
 m AS (SELECT g.case_id, g.outcome AS gold, p.outcome AS predicted, p.prediction_id, row_number() OVER (PARTITION BY g.case_id ORDER BY coalesce(g.outcome = p.outcome, false) DESC, p.prediction_id NULLS LAST) AS n FROM gold g LEFT JOIN pred p ON p.contract = g.contract AND p.entity = g.entity AND p.slot IS NOT DISTINCT FROM g.slot AND contains(lower(p.subject), lower(g.subject)))
 SELECT case_id, gold, predicted, prediction_id FROM m WHERE n = 1""", *GAP_TABLES)
 def q_gold_matching(spark, sf):
     tables = stored(spark, sf)
     o = tables[0]
-    gold = o.where("id % 10 = 0").select(F.col("id").alias("case_id"), F.lit("sales_to_product").alias("contract"), F.col("entity_id").alias("entity"), F.concat(F.lit(":c"), (F.col("k") % 12).cast("string")).alias("subject"), F.when(F.col("id") % 2 == 0, "due_date").otherwise("priority").alias("slot"), F.when(F.col("id") % 3 == 0, "missing").otherwise("contradicted").alias("outcome"))
+    gold = o.select(F.col("id").alias("case_id"), F.lit("sales_to_product").alias("contract"), F.col("entity_id").alias("entity"), F.concat(F.lit(":c"), (F.col("k") % 12).cast("string")).alias("subject"), F.when(F.col("id") % 2 == 0, "due_date").otherwise("priority").alias("slot"), F.when(F.col("id") % 3 == 0, "missing").otherwise("contradicted").alias("outcome"))
     pred = gaps_of(spark, sf, tables).where("upstream_id IS NOT NULL").select("contract", F.col("entity_id").alias("entity"), F.col("subject_key").alias("subject"), "slot", "outcome", F.col("upstream_id").alias("prediction_id"))
     return evals.match_gold(gold, pred)
 

@@ -57,6 +57,22 @@ def chat(spark: SparkSession, path: str, stages: dict[str, str], members: DataFr
     return rows.select(F.lit("slack").alias("kind"), F.concat_ws(":", "channel_id", "m.ts").alias("external_id"), F.col("m.text").alias("text"), at.alias("source_ts"), _stage_of(F.col("name"), stages).alias("stage"), acl.alias("acl"), F.col("m.user").alias("sender"))
 
 
+def marked(events: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sources of `mark` commands: the text of the thread's parent, then what follows `mark`; commands with neither give none.
+
+    `events`: event_id, channel_id, ts, thread_ts, text, source_ts, stage, acl;
+    `messages`: channel_id, ts, text.
+    """
+    from batonflow.functions.scalars import command
+
+    said = events.withColumn("c", command(F.col("text"))).where("c.mark").alias("e")
+    parent = messages.select(F.col("channel_id").alias("_channel"), F.col("ts").alias("_ts"), F.col("text").alias("parent"))
+    rows = said.join(parent, [F.col("e.channel_id") == F.col("_channel"), F.col("e.thread_ts") == F.col("_ts"), F.col("e.thread_ts") != F.col("e.ts")], "left")
+    text = F.concat_ws("\n\n", F.nullif("parent", F.lit("")), F.nullif("c.note", F.lit("")))
+    rows = rows.select(F.lit("slack").alias("kind"), F.concat(F.lit("mark:"), F.coalesce("event_id", F.concat_ws(":", "channel_id", "ts"))).alias("external_id"), text.alias("text"), "source_ts", "stage", "acl")
+    return rows.where("text <> ''")
+
+
 def calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sources, rejected): transcripts with `# key: value` headers; without given consent they are rejected and counted."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
@@ -120,6 +136,6 @@ def load_contracts(paths: list[str]) -> list[tuple]:
 
 
 def sync_status(runs: DataFrame) -> DataFrame:
-    """status of each run by its counts of seen, ingested and failed items."""
-    status = F.when(F.col("failed") == 0, "ok").when(F.col("ingested") > 0, "partial").otherwise("failed")
+    """status of each run: failed if it saw nothing, partial if an item failed, else ok."""
+    status = F.when(F.col("seen") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("ok")
     return runs.withColumn("status", status)

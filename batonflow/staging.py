@@ -1,7 +1,8 @@
 """Tables written to the cluster's shared folder to cut lineage or to read a result twice.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-in local tests, a temporary folder of this process is used and removed at exit.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local
+session takes a temporary folder of this process, removed at exit; on a cluster it
+is an error, as executors would write to disks of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    path, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or _own_folder()).rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,4 +38,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/batonflow-{name}-{uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: What this process has staged and not removed.
+_STAGED: list[str] = []
+
+
+def staged() -> int:
+    """How many tables are staged: a mark for clear()."""
+    return len(_STAGED)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the tables staged after the mark `since`, but for the last `keep`. No result that reads them may be in use."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    end = len(_STAGED) - keep
+    for path in _STAGED[since:end]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _STAGED[since:end]
