@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ from batonflow.operators import fold, resolve
 from batonflow.operators.text import evidence_span, find_quote, sections
 
 
+def grams(text: str) -> frozenset:
+    """Trigrams of padded words, in plain Python."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return frozenset(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))
+
+
 def one(spark, **columns):
     return spark.range(1).select(*(c.alias(n) for n, c in columns.items())).first().asDict()
 
@@ -37,7 +45,7 @@ def test_names(spark):
 ])
 def test_similarity(spark, a, b, want):
     assert round(one(spark, s=S.similarity(S.trigrams(F.lit(a)), S.trigrams(F.lit(b))))["s"], 3) == want
-    x, y = resolve.grams(a), resolve.grams(b)
+    x, y = grams(a), grams(b)
     assert round(len(x & y) / max(1, len(x | y)), 3) == want
 
 
@@ -62,6 +70,8 @@ def test_is_set_and_stances(spark):
 
 
 def test_commands(spark):
+    got = one(spark, a=S.command(F.lit("<@U1>: Marketo sso")), b=S.command(F.lit("<@U1>, mark\n the  rest")), c=S.command(F.lit("mark")))
+    assert (got["a"].entity, got["a"].mark, got["b"].mark, got["b"].note, got["c"].note) == ("Marketo", False, True, "the  rest", "")
     got = one(spark, a=S.command(F.lit("<@U1> Acme sso login")), b=S.command(F.lit("<@U1> MARK this")))
     assert (got["a"].entity, got["a"].topic, got["a"].mark, got["b"].mark, got["b"].entity) == ("Acme", "sso login", False, True, None)
 

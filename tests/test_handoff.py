@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from batonflow import fixed
 from batonflow.operators import lineage
@@ -90,7 +91,22 @@ def test_chains_and_summary(spark):
     found = handoff.validate(objects, slots, handoff.contract_fields(spark))
     total = handoff.summary(found).groupBy().sum("total", "inherited", "origin").first()
     assert total[0] == found.count() == total[1] + total[2]
-    assert handoff.explain(found, objects).where("explanation IS NULL").count() == 0
+    said = handoff.explain(found, objects.withColumn("content", F.concat(F.lit("said "), F.col("id"))))
+    assert said.where("explanation IS NULL").count() == 0
+    lost = [r.explanation for r in said.where("slot = 'idp' AND upstream_id = 1 AND contract = 'sales_to_product'").collect()]
+    assert all(t.startswith('**Dependency loss (dropped)** — upstream requirement "said 1" (') and "specifies `idp = " in t and t.endswith("requires this slot to survive.") for t in lost)
+
+
+def test_lists_and_objects(spark):
+    """Order, case and blanks in a list or an object don't count; of a nested slot one key stands for it."""
+    for slot, contract, kind in (("integrations", "sales_to_customer_success", "requirement"),):
+        rows = [(1, "acme:sso", "sales", kind, 3, "active", "sales", 1), (2, "acme:sso", "customer_success", kind, 3, "active", "other", 2)]
+        assert gaps(spark, rows, [(1, slot, '["Okta","Jira"]'), (2, slot, '["jira", " okta "]')], contract) == []
+        assert [o for _, o, *_ in gaps(spark, rows, [(1, slot, '["Okta","Jira"]'), (2, slot, '["jira"]')], contract)] == ["contradicted"]
+    rows = [(1, "acme:incident:X", "engineering", "problem", 3, "active", "engineering", 1), (2, "acme:incident:X", "sales", "problem", 3, "active", "sales", 2)]
+    same = [(1, "impact", '{"data_loss":"None","n":"1"}'), (2, "impact", '{"n":"2","data_loss":" none"}')]
+    assert gaps(spark, rows, same, "engineering_to_customer_facing::sales") == []
+    assert [o for _, o, *_ in gaps(spark, rows, [same[0], (2, "impact", '{"data_loss":"some"}')], "engineering_to_customer_facing::sales")] == ["contradicted"]
 
 
 @pytest.mark.parametrize("slot", ["region", "protocol"])
