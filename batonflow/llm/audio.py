@@ -24,9 +24,8 @@ from batonflow.staging import stage
 RATE, FRAME, HOP, WINDOW = 2000, 512, 256, 16
 #: Of an alignment: equal integers at its offset, positions of overlap, share of differing bits.
 LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 4, 8, 0.2
-#: Queries are dealt to GROUPS; CELLS, a 64-bit mask of groups each, tell which integers each group asks for.
-#: Both are fixed: when cells fill up, more integers are joined than needed, and no result depends on it.
-CELLS, GROUPS = 1 << 19, 64
+#: An integer's recordings are dealt to so many tasks, so a hot one isn't a task of its own.
+SALT = 16
 #: Frames, or windows of frames, that are worked on at once: a long recording's spectrum isn't held.
 STEP = 2048
 #: A frame's parts are whole multiples of 1 / UNIT in the integral image.
@@ -185,26 +184,14 @@ def spoken_fingerprints(text: Column) -> Column:
     return of(text)
 
 
-def _distinct(masks):
-    """(print, times, group) of each class: the integers that a group may ask for, where the group may ask for enough of them."""
-    places = np.arange(GROUPS, dtype=np.uint64)
-
-    def run(batches):
-        for batch in batches:
-            table, out = masks.value, []
-            for i, prints in enumerate(batch[2]):
-                each, times = np.unique(prints.values.to_numpy(), return_counts=True)
-                mask = table[each.astype(np.int64) & (CELLS - 1)]
-                each, times, mask = each[mask > 0], times[mask > 0], mask[mask > 0]
-                asked = (mask[:, None] >> places) & np.uint64(1) > 0
-                # A query gets at most a vote an integer's place here, all integers together.
-                at, group = np.nonzero(asked & (times @ asked >= LEAST_VOTES))
-                out.append((np.full(len(at), i), each[at], times[at], group))
-            row, each, times, group = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
-            columns = [batch[0].take(pa.array(row)), batch[1].take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (each, times, group))]
-            yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "print", "times", "group"])
-
-    return run
+def _distinct(batches):
+    """(one, print, times, salt): the distinct integers of each class."""
+    for batch in batches:
+        out = [np.unique(prints.values.to_numpy(), return_counts=True) for prints in batch[1]]
+        row = np.repeat(np.arange(len(out)), [len(x) for x, _ in out])
+        each, times = (np.concatenate([*x, np.empty(0, np.int32)]).astype(np.int32) for x in (zip(*out, strict=True) if out else ((), ())))
+        one = batch[0].to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, each, times, (one % SALT).astype(np.int32))], names=["one", "print", "times", "salt"])
 
 
 def _correlated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,18 +267,14 @@ def align(recordings: DataFrame, asked: Column, key: str = "rec_id", media: str
     prints = stage(known.select(*_KEY, "prints").where(F.size("prints") >= LEAST_OVERLAP).dropDuplicates(_KEY), "prints")
     names = lambda *to: [F.col(c).alias(n) for c, n in zip(_KEY, to, strict=True)]
     wanted = stage(prints.join(heads.where("asked").select(*_KEY), _KEY, "left_semi"), "wanted")
-    spots = wanted.select(*names("own1", "own2"), F.explode("prints").alias("print")).groupBy("own1", "own2", "print").agg(F.count("*").alias("own_times"))
-    spots = spots.withColumn("group", F.pmod("own1", F.lit(GROUPS)).cast("int"))
-    masks = spots.groupBy(F.col("print").cast("long").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, group)")).alias("mask")).toArrow()
-    table = np.zeros(CELLS, np.uint64)  # at most as many rows come to the driver
-    table[masks["cell"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
-    shared = known.sparkSession.sparkContext.broadcast(table)
-    places = prints.mapInArrow(_distinct(shared), "one long, two long, print int, times int, group int")
+    # Votes carry half of a class's hash: were two classes to share it, they would be tested both, and none be lost.
+    spots = wanted.select("one", "prints").mapInArrow(_distinct, "one long, print int, times int, salt int").select(F.col("one").alias("own1"), "print", F.col("times").alias("own_times"))
+    dealt = spots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    places = prints.select("one", "prints").mapInArrow(_distinct, "one long, print int, times int, salt int")
     # An integer votes for one offset at most as often as it is in the recording that has it less often.
-    # Integers meet within a group of queries, so a hot one is dealt to as many tasks as there are groups.
-    met = spots.join(places, ["print", "group"]).where("own1 <> one OR own2 <> two").groupBy("own1", "own2", *_KEY).agg(F.sum(F.least("own_times", "times")).alias("most"))
+    met = dealt.join(places, ["print", "salt"]).where("own1 <> one").groupBy("own1", "one").agg(F.sum(F.least("own_times", "times")).alias("most"))
     pairs = met.where(F.col("most") >= LEAST_VOTES).drop("most")
-    both = pairs.join(wanted.select(*names("own1", "own2"), F.col("prints").alias("own_prints")), ["own1", "own2"]).join(prints, _KEY)
+    both = pairs.join(wanted.select(*names("own1", "own2"), F.col("prints").alias("own_prints")), "own1").join(prints, "one")
     judged = both.withColumn("e", F.pandas_udf(_aligned, "struct<offset:int,votes:long,overlap:int,error:double>")("own_prints", "prints")).where("e.offset IS NOT NULL")
     of = lambda c, to: heads.select(*names(*to), F.col("class").alias(c))
     links = judged.select("own1", "own2", *_KEY, "e.*").join(of("class", ("own1", "own2")), ["own1", "own2"]).join(of("found", _KEY), _KEY)
