@@ -272,7 +272,8 @@ def align(recordings: DataFrame, asked: Column, key: str = "rec_id", media: str
     dealt = spots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     places = prints.select("one", "prints").mapInArrow(_distinct, "one long, print int, times int, salt int")
     # An integer votes for one offset at most as often as it is in the recording that has it less often.
-    met = dealt.join(places, ["print", "salt"]).where("own1 <> one").groupBy("own1", "one").agg(F.sum(F.least("own_times", "times")).alias("most"))
+    # Both sides are exploded, which no estimate of their size knows: they are never broadcast, and hot integers are split.
+    met = dealt.hint("merge").join(places.hint("merge"), ["print", "salt"]).where("own1 <> one").groupBy("own1", "one").agg(F.sum(F.least("own_times", "times")).alias("most"))
     pairs = met.where(F.col("most") >= LEAST_VOTES).drop("most")
     both = pairs.join(wanted.select(*names("own1", "own2"), F.col("prints").alias("own_prints")), "own1").join(prints, "one")
     judged = both.withColumn("e", F.pandas_udf(_aligned, "struct<offset:int,votes:long,overlap:int,error:double>")("own_prints", "prints")).where("e.offset IS NOT NULL")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from batonflow.llm.text import bounds, in_batches, slices, word_hashes
 
 #: Bounds of the two samples that the scorer is fitted on; the ones least by hash of all candidates are taken.
+#: Beside the labelled rows the unlabelled ones are bounded too: README has the figures of fits on more of them.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
 THRESHOLD = 0.3
 

@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from batonflow.llm.bpe import bpe, default_path
+from batonflow.llm.text import in_batches
 from batonflow.staging import stage
 
 #: A block ends at so many bytes of text: what a task holds and a block's row weigh.
 BLOCK_BYTES = 32 << 20
+#: Pre-tokens of blocks that a task holds before it packs their counts.
+MOST_ROWS = 2_000_000
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -52,7 +55,7 @@ class _Block:
         self.ids.append(doc_id)
         self.bytes.append(size)
         self.chunk.append(at)
-        self.times.append(n)
+        self.times.append(n.astype(np.uint32))
         self.size += size
 
     def row(self, name: int, coder) -> dict:
@@ -65,18 +68,18 @@ class _Block:
             lengths.append(len(found))
         flat, length = np.array(own, np.int64), np.array(lengths, np.int64)
         begin = np.cumsum(length) - length
-        chunk, times = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (self.chunk, self.times))
-        doc = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.chunk])
-        each = length[chunk]
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[chunk], each)
-        key, group = np.unique(np.repeat(doc, each) * max(1, len(words)) + flat[place], return_inverse=True)
-        freq = np.bincount(group, weights=np.repeat(times, each), minlength=len(key)).astype(np.int64)
-        doc, word = key // max(1, len(words)), key % max(1, len(words))
-        gap = np.diff(word, prepend=0)
-        gap[np.flatnonzero(np.diff(doc, prepend=-1))] = word[np.flatnonzero(np.diff(doc, prepend=-1))]
+        counts, gaps, freqs = [], [], []
+        for chunk, times in zip(self.chunk, self.times, strict=True):  # a document at a time: what is held besides is small
+            each = length[chunk]
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[chunk], each)
+            word, group = np.unique(flat[place], return_inverse=True)
+            counts.append(len(word))
+            gaps.append(np.diff(word, prepend=0).astype(np.uint32))
+            freqs.append(np.bincount(group, weights=np.repeat(times, each), minlength=len(word)).astype(np.uint32))
+        none = [np.empty(0, np.uint32)]
         return {
-            "block": name, "doc_id": self.ids, "n_bytes": self.bytes, "counts": squeeze(np.bincount(doc, minlength=len(self.ids))),
-            "gaps": squeeze(gap), "freq": squeeze(freq), "words": list(words),
+            "block": name, "doc_id": self.ids, "n_bytes": self.bytes, "counts": squeeze(np.array(counts, np.uint32)),
+            "gaps": squeeze(np.concatenate(gaps + none)), "freq": squeeze(np.concatenate(freqs + none)), "words": list(words),
         }
 
 
@@ -93,8 +96,8 @@ def _blocks(path: str):
 
         coder, block, name = bpe(path), _Block(), count(TaskContext.get().partitionId() << 24)
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                block.add(doc_id, text or "", coder)
+            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):  # one text is a Python string at a time
+                block.add(doc_id, text.as_py() or "", coder)
                 if block.size >= BLOCK_BYTES:
                     yield pa.RecordBatch.from_pylist([block.row(next(name), coder)], _SCHEMA)
                     block = _Block()
@@ -105,7 +108,7 @@ def _blocks(path: str):
 
 
 def _pieces(path: str):
-    """Equal pre-tokens of all blocks lie in one task: each is counted once. A row for each block seen."""
+    """Equal pre-tokens of all blocks lie in one task: each is counted once. A row for each block seen in MOST_ROWS rows."""
 
     def run(batches):
         coder = bpe(path)
@@ -115,18 +118,24 @@ def _pieces(path: str):
                 self[word] = n = 1 if word in coder.specials else len(coder.word_ids(word))
                 return n
 
-        pieces, parts = Pieces(), []
+        pieces, parts, held = Pieces(), [], 0
         for batch in batches:
             n = np.fromiter(map(pieces.__getitem__, batch[2].to_pylist()), np.int64)
             parts.append((batch[0].to_numpy(), batch[1].to_numpy().astype(np.int64), n))
-        if not parts:
-            return
+            held += len(n)
+            if held >= MOST_ROWS:
+                yield packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    def packed(parts):
         block, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((at, block))
         block, at, n = block[order], at[order], n[order]
         cuts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
         rows = [{"block": int(block[a]), "gaps": squeeze(np.diff(at[a:z], prepend=0)), "n": squeeze(n[a:z])} for a, z in zip(cuts, [*cuts[1:], len(block)], strict=True)]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("n", pa.binary())]))
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("n", pa.binary())]))
 
     return run
 
@@ -159,11 +168,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, ke
     """
     path = path or default_path()
     blocks = stage(
-        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks(path), _BLOCK), "token-blocks"
+        in_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks(path), _BLOCK), "token-blocks"
     )
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     pieces = words.repartition("word").mapInArrow(_pieces(path), "block long, gaps binary, n binary")
-    # One row from each task at most, and a block's dictionary is bounded by BLOCK_BYTES.
+    # A row from each task or a few, and a block's dictionary is bounded by BLOCK_BYTES.
     found = pieces.groupBy("block").agg(F.collect_list(F.struct("gaps", "n")).alias("found"))
     whole = blocks.drop("words").join(found, "block", "left").select("doc_id", "n_bytes", "counts", "gaps", "freq", "found")
     return whole.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

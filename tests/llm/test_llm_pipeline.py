@@ -92,6 +92,53 @@ def test_repeated_passages_of_repeated_ids(spark, repeated_ids, parts):
     assert sorted(map(str, got)) in [sorted(map(str, rest + f)) for f in first]
 
 
+def odd_docs(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gram string, rank int, copy int"
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), "clash", 1, 7) for i, t, s in rows], schema)
+
+
+STAGES = ["quality", "near_duplicates", "repeated_passages", "mixture", "packing"]
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_on_odd_rows(spark, folder, stage):
+    """Null ids, texts and sources, empty texts, repeated rows, one very long text, clashing columns: each row has its result."""
+    import corpus_pipeline as p
+
+    path, texts = folder
+    rng = random.Random(8)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 7) + str(rng.randint(0, 99999)) for _ in range(60_000))
+    rows = [(1, None, "src0"), (2, "", "src1"), (3, " \n\t", None), (None, texts[5], "src0"), (None, None, None), (4, texts[7], "src1"), (4, texts[7], "src1"), (5, texts[8], "src2"), (6, long, "src2")]
+    docs = odd_docs(spark, rows).repartition(3)
+    got = dict(p.STAGES)[stage](spark, docs, path).collect()
+    if stage == "packing":
+        assert sorted(str(r.doc_id) for r in got if r.start == 0) == sorted(str(i) for i, *_ in rows)
+        return
+    ids = sorted(str(r.doc_id) for r in got)
+    assert list(got[0].asDict()) == docs.columns if got else True
+    if stage == "quality":  # good texts stay, whatever else is odd about the row
+        assert {(4, texts[7]), (5, texts[8]), (None, texts[5])} <= {(r.doc_id, r.text) for r in got} and ids.count("4") == 2
+    elif stage == "near_duplicates":
+        assert ids == sorted(["1", "2", "3", "None", "None", "4", "5", "6"])
+    elif stage == "repeated_passages":
+        assert len(got) == len(rows) and sorted(len(r.text or "") for r in got if r.doc_id == 4) == [0, len(texts[7])]
+        assert [r.text for r in got if r.doc_id == 6] == [long] and [r.text for r in got if r.doc_id == 1] == [None]
+    else:
+        assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in rows} and ids.count("4") % 2 == 0
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_on_empty_tables(spark, folder, stage, tmp_path):
+    import corpus_pipeline as p
+
+    docs = odd_docs(spark, [])
+    out = dict(p.STAGES)[stage](spark, docs, folder[0])
+    assert out.count() == 0 and (stage == "packing" or out.columns == docs.columns)
+    if stage == "quality":  # no labels at all: nothing is known against a text
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        assert p.quality(spark, odd_docs(spark, [(1, "some text", "a")]), str(tmp_path)).count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", ["op5_chat_format", "op6_nearest", "op7_mixing", "op8_url_filter"])
 def test_against_sql(spark, name):
