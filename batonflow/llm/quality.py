@@ -4,7 +4,9 @@ Trusted positives are labelled texts of good quality, the unlabelled are texts o
 the corpus as it comes. A logistic scorer minimises the non-negative unbiased
 risk: the positives' risk times the class prior, plus the unlabelled texts' risk of
 being called positive less the positives' share of it, which is held at zero from
-below. The class prior is estimated from the same two samples.
+below. The class prior is estimated from the tails of both. Means, scales and tails are
+sums over all documents, one pass each over a staged table of features; the descent
+steps on samples of a bounded size.
 
 Features are of the text alone: shares of byte classes and of pairs of them, and
 how words and lines repeat.
@@ -12,18 +14,23 @@ how words and lines repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from batonflow.llm.text import bounds, in_batches, slices, word_hashes
+from batonflow.staging import stage
 
-#: Bounds of the two samples that the scorer is fitted on; the ones least by hash of all candidates are taken.
-#: Beside the labelled rows the unlabelled ones are bounded too: README has the figures of fits on more of them.
+#: Bounds of the two samples that the descent steps on; the ones least by hash of all candidates are taken.
+#: Means, scales and the class prior's tails are of all documents.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
+#: Groups that sums of tasks are added up in, before the driver adds these.
+GROUPS = 16
 THRESHOLD = 0.3
 
 # Byte classes: space, newline, lower, upper, digit, end of sentence, other ordinary marks, !, |, other ASCII signs, UTF-8.
@@ -70,11 +77,15 @@ def features(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _columns(batches, extra: int = 1):
+def _columns(batches):
     for batch in batches:
-        found = [features(x).tobytes() for x in slices(batch[batch.num_columns - 1])]
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, pa.binary())], names=[*names, "features"])
+        found = [features(x).tobytes() for x in slices(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "features"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of features."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(-1, FEATURES)
 
 
 @dataclass
@@ -90,20 +101,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
-    """The class prior from held-out scores: the least ratio of tail shares, over tails that hold enough positives.
+def estimate_prior(p: np.ndarray, u: np.ndarray, n_p: float, n_u: float) -> float:
+    """The class prior from held-out scores: the least ratio of tail shares, of unlabelled texts `u` and of positives `p`.
 
     In a pure top bin, the unlabelled texts' share is the prior times the positives'
     share; anywhere else it is more. The confidence margin keeps small bins out.
     """
-    grid = np.quantile(positive, np.linspace(0, 1 - least, 60))
-    p = np.array([(positive >= g).mean() for g in grid])
-    u = np.array([(unlabelled >= g).mean() for g in grid])
-    margin = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    margin = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
     best = int(((u + margin) / p).argmin())
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
+#: A sum over unlabelled texts: of part(their features), all of them or one half.
+Total = Callable[[Callable[[np.ndarray], np.ndarray], bool | None], np.ndarray]
+
+
 def _descend(xp, xu, prior: float, rng, epochs: int, decay: float = 1e-4, rate: float = 0.01) -> tuple[np.ndarray, float]:
     """Adam on mini-batches of the non-negative risk, logistic loss."""
     d = xp.shape[1]
@@ -129,58 +141,114 @@ def _descend(xp, xu, prior: float, rng, epochs: int, decay: float = 1e-4, rate:
     return w[:-1], float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, epochs: int = 30) -> Scorer:
-    """From two samples of features. Without positives or unlabelled texts the scorer says 0.5 everywhere."""
+def _fit(xp: np.ndarray, half_p: np.ndarray, xu: np.ndarray, half_u: np.ndarray, total: Total, rng, epochs: int = 30) -> Scorer:
+    """From two samples that the descent steps on, which half each row is in, and sums over all unlabelled texts."""
     d = FEATURES
-    if not len(positive) or not len(unlabelled):
+    sums = total(lambda x: np.concatenate([[len(x)], x.sum(axis=0, dtype=np.float64), np.square(x, dtype=np.float64).sum(axis=0)]), None)
+    n = sums[0]
+    if not len(xp) or not len(xu) or not n:
         return Scorer(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.5)
-    rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(axis=0, dtype=np.float64), unlabelled.std(axis=0, dtype=np.float64) + 1e-3
-    xp, xu = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    # Prior: a first scorer on half of each sample, tails on the other half.
-    cut_p, cut_u = rng.random(len(xp)) < 0.5, rng.random(len(xu)) < 0.5
-    prior = 0.5
-    if min(cut_p.sum(), (~cut_p).sum(), cut_u.sum(), (~cut_u).sum()) >= 20:
-        w, b = _descend(xp[cut_p], xu[cut_u], 0.5, rng, max(1, epochs // 2))
-        prior = estimate_prior(xp[~cut_p] @ w + b, xu[~cut_u] @ w + b)
+    mean = sums[1 : d + 1] / n
+    scale = np.sqrt(np.maximum(sums[d + 1 :] / n - mean**2, 0)) + 1e-3
+    scaled = lambda x: np.clip((x - mean) / scale, -8, 8)
+    xp, xu = scaled(xp), scaled(xu)
+    # Prior: a first scorer on one half of the samples, tails of all texts of the other half.
+    prior, other = 0.5, xp[~half_p]
+    if min(len(other), half_p.sum(), half_u.sum()) >= 20:
+        w, b = _descend(xp[half_p], xu[half_u], 0.5, rng, max(1, epochs // 2))
+        at = other @ w + b
+        grid = np.quantile(at, np.linspace(0, 0.9, 60))
+        above = total(lambda x: np.append((scaled(x) @ w + b >= grid[:, None]).sum(axis=1), len(x)), False)
+        if above[-1] >= 20:
+            prior = estimate_prior((at >= grid[:, None]).mean(axis=1), above[:-1] / above[-1], len(at), above[-1])
     weight, bias = _descend(xp, xu, prior, rng, epochs)
     return Scorer(mean, scale, weight, bias, prior)
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Scorer:
+    """From features in memory. Without positives or unlabelled texts the scorer says 0.5 everywhere."""
+    rng = np.random.default_rng(seed)
+    cut_p, cut_u = rng.random(len(positive)) < 0.5, rng.random(len(unlabelled)) < 0.5
+    return _fit(positive, cut_p, unlabelled, cut_u, lambda part, half: part(unlabelled if half is None else unlabelled[cut_u == half]), rng)
+
+
 def held_out(key) -> "F.Column":
     """Rows whose label is never learnt from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def featured(docs: DataFrame) -> DataFrame:
+    """A staged table of (doc_id, features), one row for each row of `docs`."""
+    made = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_columns, "doc_id long, features binary")
+    return stage(made, "features")
+
+
+def _summed(rows: DataFrame, part) -> np.ndarray:
+    """The sum of part(features) over all rows: batches in a task, tasks in GROUPS, groups on the driver; the same order each time."""
+
+    def of_task(batches):
+        found = part(np.empty((0, FEATURES), np.float32))
+        for batch in batches:
+            found = found + part(_matrix(batch["features"]))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([found.astype(np.float64).tobytes()], pa.binary())], names=["task", "sums"])
+
+    def of_group(batches):
+        found, first = 0.0, None
+        for batch in batches:
+            for task, sums in zip(batch["task"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+                first, found = task if first is None else first, found + np.frombuffer(sums)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["task", "sums"])
+
+    schema = "task int, sums binary"
+    tasks = rows.select("features").mapInArrow(of_task, schema)
+    groups = tasks.repartition(GROUPS, "task").sortWithinPartitions("task").mapInArrow(of_group, schema).collect()
+    found = part(np.empty((0, FEATURES), np.float32)).astype(np.float64)
+    for row in sorted(groups, key=lambda r: r.task):
+        found = found + np.frombuffer(row.sums)
+    return found
+
+
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """The `most` rows least by hash of their id: the same whatever the partitions."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
+    """The `most` ids least by hash: the same whatever the partitions."""
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Scorer:
-    """Fitted on at most so many positives (quality 1, not held out) and unlabelled documents."""
-    good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    chosen = _sample(good, most_positive).withColumn("positive", F.lit(True)).union(_sample(docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), most_unlabelled).withColumn("positive", F.lit(False)))
-    # At most most_positive + most_unlabelled ids, and as many rows of features to the driver.
-    picked = in_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(_columns, "doc_id long, positive boolean, features binary").toPandas()
+    """Fitted on the documents as unlabelled texts, and on positives among them (quality 1, not held out)."""
+    return train_on(featured(docs), labels, most_positive, most_unlabelled)
+
+
+def train_on(rows: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Scorer:
+    """As train(), from a table of featured(). Of the rows of one sampled id the one with the least features is taken."""
+    # Halves are told by the id, so that a positive and its own unlabelled row are in the same one.
+    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 1
+    good = _sample(labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))), most_positive)
+    chosen = good.withColumn("positive", F.lit(True)).union(_sample(rows, most_unlabelled).withColumn("positive", F.lit(False)))
+    # At most most_positive + most_unlabelled ids are broadcast, and as many rows of features come to the driver.
+    picked = rows.join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id").agg(F.min("features").alias("features")).withColumn("half", half).toPandas()
     picked = picked.sort_values(["positive", "doc_id"], ignore_index=True)
-    x = np.frombuffer(b"".join(picked["features"]), np.float32).reshape(-1, FEATURES) if len(picked) else np.empty((0, FEATURES), np.float32)
-    mark = picked["positive"].to_numpy(bool)
-    return fit(x[mark], x[~mark])
+    x = np.frombuffer(b"".join(picked["features"]), np.float32).reshape(-1, FEATURES)
+    mark, side = picked["positive"].to_numpy(bool), picked["half"].to_numpy(bool)
+    return _fit(x[mark], side[mark], x[~mark], side[~mark], lambda part, of: _summed(rows if of is None else rows.where(half == of), part), np.random.default_rng(7))
 
 
-def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 of `text` in `column` (replaced if it exists). Null text is read as empty."""
-    shared = in_batches(docs).sparkSession.sparkContext.broadcast(scorer)
+def _scored(docs: DataFrame, scorer: Scorer, column: str, of: Callable, given: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        x = np.empty((len(text), FEATURES), np.float32)
-        for i, t in enumerate(text):
-            x[i] = features(np.frombuffer((t or "").encode(), np.uint8))
+    def scores(values: pd.Series) -> pd.Series:
+        x = np.empty((len(values), FEATURES), np.float32)
+        for i, value in enumerate(values):
+            x[i] = of(value)
         return pd.Series(shared.value(x))
 
-    return docs.withColumn(column, of(F.col("text")))
+    return docs.withColumn(column, scores(F.col(given)))
+
+
+def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
+    """`docs` with a score from 0 to 1 of `text` in `column` (replaced if it exists). Null text is read as empty."""
+    return _scored(in_batches(docs), scorer, column, lambda text: features(np.frombuffer((text or "").encode(), np.uint8)), "text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -191,6 +259,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     a null id is never held out. Empty tables give an empty result. Labels of
     documents that aren't there are passed over.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = score(docs, train(docs, labels))
+    rows = featured(docs)
+    scored = _scored(rows, train_on(rows, labels), "score", lambda kept: np.frombuffer(kept, np.float32), "features")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
