@@ -138,6 +138,16 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.classify(docs(spark, rows[:3]), known.limit(0)).collect()} == {0.5}
 
 
+def test_quality_sums_are_of_all_rows(spark):
+    rows = [*quality_rows(60)[0], (3, "again"), (3, None), (None, "")]
+    expected = np.stack([quality.features(np.frombuffer((t or "").encode(), np.uint8)) for _, t in rows]).sum(axis=0, dtype=np.float64)
+    for parts in (1, 5):
+        made = quality.featured(docs(spark, rows).repartition(parts))
+        assert made.count() == len(rows)
+        assert np.allclose(quality._summed(made, lambda x: x.sum(axis=0, dtype=np.float64)), expected)
+    assert not quality._summed(quality.featured(docs(spark, [])), lambda x: x.sum(axis=0, dtype=np.float64)).any()
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(0)
     p, u = rng.normal(1, 1, (300, quality.FEATURES)), np.vstack([rng.normal(1, 1, (280, quality.FEATURES)), rng.normal(-1, 1, (320, quality.FEATURES))])
