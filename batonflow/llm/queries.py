@@ -90,7 +90,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_packing, op4_suffix_dedup, op5_chat_format, op6_nearest, op7_mixing, op8_url_filter, op9_audio_align, op10_jaccard_join)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.codebooks import encode
+
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batonflow.llm.lexical import index, search
+
+    return search(index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_packing, op4_suffix_dedup, op5_chat_format, op6_nearest, op7_mixing, op8_url_filter, op9_audio_align, op10_jaccard_join, op11_vector_codes, op12_embedding_dedup, op13_ranked_search)}
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(\[|<)(INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE\]|SEP\]|/ROLE\])', '\1\\\2', 'g')"
 
@@ -137,4 +155,52 @@ r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN host <> '' AND left(md5(host), 1) IN ('0', '1', '2', '3') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON p.a = r.b),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(m.vec_id, coalesce(l.b, m.vec_id)) AS component_id,
+  m.vec_id <= coalesce(l.b, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN n ON n.a = m.vec_id LEFT JOIN least l ON l.a = m.vec_id""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+k AS (SELECT *, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0), c AS (SELECT count(*)::BIGINT AS all_n, sum(n)::BIGINT AS all_l FROM k),
+t AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM k) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * all_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+i AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * all_n) // all_l)))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN t USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""".replace("\\\\", "\\"),
 }
+
+
+def _codebook_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds as one table expression after the other; inner products of integers are exact in doubles."""
+    far = "list_inner_product(p.c, p.c) + list_inner_product(b.c, b.c) - 2 * list_inner_product(p.c, b.c)"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT p.vec_id, p.part, arg_min(b.idx, {{'d': {far}, 'i': b.idx}}) AS idx, min({far})::BIGINT AS d FROM p JOIN b{i} b USING (part) GROUP BY 1, 2)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, idx, list(m ORDER BY pos) AS c FROM (SELECT part, idx, pos, (sum(x) // count(*))::DOUBLE
+  - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS m FROM (SELECT p.part, a.idx, unnest(p.c)::BIGINT AS x, generate_subscripts(p.c, 1) AS pos FROM p JOIN a{i} a USING (vec_id, part))
+  GROUP BY part, idx, pos) GROUP BY part, idx),
+b{i + 1} AS (SELECT b.part, b.idx, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m USING (part, idx))""")
+    steps = ",\n".join(steps)
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+p AS MATERIALIZED (SELECT vec_id, part, c[part * len(c) // 4 + 1 : (part + 1) * len(c) // 4] AS c FROM v, (SELECT unnest(range(4)) AS part)),
+b0 AS (SELECT p.part, k.idx, p.c FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM v QUALIFY idx < 256) k JOIN p USING (vec_id)),
+{steps},
+s AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, idx, pos)) AS sha FROM (SELECT part, idx, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM b{rounds})),
+e AS (SELECT vec_id, string_agg(lower(printf('%02x', idx)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM e JOIN v USING (vec_id), s"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _codebook_sql()

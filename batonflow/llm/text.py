@@ -58,11 +58,11 @@ def slices(column: pa.Array) -> Iterator[np.ndarray]:
         yield raw[a:z]
 
 
-def bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words in a text's bytes."""
+def bounds(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in a text's bytes: the runs of bytes that `space` doesn't mark."""
     word = np.empty(len(data) + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(SPACE[data], out=word[1:-1])
+    np.logical_not(space[data], out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     return edge[::2], edge[1::2]
 
