@@ -22,14 +22,22 @@ def contract_fields(spark: SparkSession, contracts=fixed.CONTRACTS) -> DataFrame
     return spark.createDataFrame(rows, FIELDS)
 
 
-def classify(slot: Column, subject: Column, u: Column, d: Column, u_precision: Column, d_precision: Column, stale: Column) -> Column:
-    """The outcome of a slot whose upstream value is set, or null where it survives. The first rule that fits counts."""
-    nu, nd, capability = normalize(u), normalize(d), capability_of(subject)
+def alike(slot: Column, u: Column, d: Column) -> Column:
+    """Objects are compared by one key, where their slot has one."""
+    return either((slot == s) & nested(u, k).eqNullSafe(nested(d, k)) for s, k in fixed.NESTED_KEY.items())
+
+
+def classify(slot: Column, subject: Column, nu: Column, nd: Column, d: Column, same_key: Column, u_precision: Column, d_precision: Column, stale: Column) -> Column:
+    """The outcome of a slot whose upstream value is set, or null where it survives. The first rule that fits counts.
+
+    `nu` and `nd` are the normal forms of both values and `same_key` is alike() of them:
+    columns of a written table, as the branches would make them anew each.
+    """
+    capability = capability_of(subject)
     child = either((capability == c) & nu.isin(*kids) for c, kids in fixed.CAPABILITY_CHILDREN.items())
     same = either((slot == s) & nu.isin(*g) & nd.isin(*g) for s, groups in fixed.SYNONYMS.items() for g in groups)
     wider = either((nd == r) & nu.isin(*kids) for r, kids in fixed.REGION_MEMBERS.items())
     order = lambda p: F.when(p == "month", 1).when(p == "quarter", 2).otherwise(0)
-    alike = either((slot == s) & nested(u, k).eqNullSafe(nested(d, k)) for s, k in fixed.NESTED_KEY.items())
     unset = F.when((slot == "protocol") & child, "generalized").when((slot == "due_date") & is_set(d_precision), "generalized").otherwise("missing")
     return (
         F.when(~is_set(d), unset)
@@ -38,7 +46,7 @@ def classify(slot: Column, subject: Column, u: Column, d: Column, u_precision: C
         .when(slot == "protocol", F.when(nd == capability, "generalized").otherwise("contradicted"))
         .when(slot == "region", F.when(wider, "generalized").otherwise("contradicted"))
         .when(slot == "due_date", F.when(order(d_precision) > order(u_precision), "generalized").otherwise("contradicted"))
-        .when(slot.isin(*fixed.NESTED_KEY), F.when(alike, F.lit(None).cast("string")).otherwise("contradicted"))
+        .when(slot.isin(*fixed.NESTED_KEY), F.when(same_key, F.lit(None).cast("string")).otherwise("contradicted"))
         .otherwise("contradicted")
     )
 
@@ -103,7 +111,8 @@ def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, f
     old = old.groupBy(*KEY, "eff_stage", "eff_type", "slot", "nd").agg(F.min("id").alias("stale_id"))
     # The statement itself may be superseded; its own value is equal, which is settled before.
     facts = facts.join(old, [*KEY, "eff_stage", "eff_type", "slot", "nd"], "left")
-    outcome = classify(F.col("slot"), F.col("subject_key"), F.col("u_val"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"), F.col("stale_id").isNotNull())
+    facts = stage(facts.withColumns({"nu": normalize(F.col("u_val")), "same_key": alike(F.col("slot"), F.col("u_val"), F.col("d_val"))}), "facts")
+    outcome = classify(*map(F.col, ("slot", "subject_key", "nu", "nd", "d_val", "same_key", "u_prec", "d_prec")), F.col("stale_id").isNotNull())
     note = note_of(F.col("outcome"), F.col("slot"), F.col("subject_key"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"))
     kept = facts.withColumn("outcome", outcome).where("outcome IS NOT NULL").withColumn("note", note).select(
         *KEY, "contract", "field", F.col("eff").alias("upstream_id"), F.col("d_id").alias("downstream_id"), "slot", "outcome", "importance", "rank", F.col("walked").alias("inherited"), "conflict",
@@ -188,6 +197,39 @@ def input_hash(objects: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.select("tenant_id", "entity_id", "contract", F.sha2(basis, 256).alias("input_hash"))
 
 
+#: Bits of an id that one level of the tree of input_tree() takes together: a node has at most 2 ** FANOUT children.
+FANOUT = 10
+
+
+def input_tree(objects: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tree): what was seen of each `by`, as the root of a hash tree over its ids, so that no row holds them all.
+
+    A leaf is the ids of one range of 2 ** FANOUT: SHA-256 of "id:version" in order of
+    id, joined by "|". The node above is its children's hashes in order, joined and
+    hashed alike; one that has a single child is that child, so the root doesn't
+    depend on how many levels there are. `id` is an integer and unique.
+    """
+    most = objects.agg(F.max(F.greatest(F.abs("id"), F.lit(1)))).first()[0] or 1
+    said = F.concat_ws(":", F.col("id").cast("string"), F.col("version").cast("string"))
+    level = objects.select(*by, F.col("id").alias("at"), said.alias("hash"), F.lit(True).alias("leaf"))
+    for _ in range(-(-int(most).bit_length() // FANOUT) + 1):
+        up = level.groupBy(*by, F.shiftright("at", FANOUT).alias("up"), "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("kids"))
+        joined = F.sha2(F.array_join(F.col("kids.hash"), "|"), 256)
+        node = F.when(F.col("leaf") | (F.size("kids") > 1), joined).otherwise(F.element_at("kids.hash", 1))
+        level = up.select(*by, F.col("up").alias("at"), node.alias("hash"), F.lit(False).alias("leaf"))
+    # Ids below and above 0 end in two nodes.
+    roots = level.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("kids"))
+    return roots.select(*by, F.when(F.size("kids") > 1, F.sha2(F.array_join(F.col("kids.hash"), "|"), 256)).otherwise(F.element_at("kids.hash", 1)).alias("tree"))
+
+
+def stage_trees(objects: DataFrame, fields: DataFrame) -> DataFrame:
+    """(tenant_id, entity_id, contract, input_hash): for each contract, the tree of an account's statements in both of its stages."""
+    ends = fields.select("contract", F.explode(F.array_distinct(F.array("from_stage", "to_stage"))).alias("stage")).distinct()
+    rows = objects.select("tenant_id", "entity_id", "stage", "id", "version").join(F.broadcast(ends), "stage")  # contracts are configuration
+    tree = input_tree(rows, ["tenant_id", "entity_id", "contract"])
+    return tree.select("tenant_id", "entity_id", "contract", F.sha2(F.concat_ws("|", "contract", "tree"), 256).alias("input_hash"))
+
+
 def report(gaps: DataFrame) -> DataFrame:
     """The gaps of each account and contract, ranked by severity (place from 1)."""
     order = Window.partitionBy("tenant_id", "entity_id", "contract").orderBy(F.desc("severity"), "field", "subject_key", "slot", "upstream_id", "downstream_id")

@@ -7,11 +7,11 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from batonflow import fixed
-from batonflow.derived import objects, read, slots_long, sources, with_clause
+from batonflow.derived import WITH, objects, read, slots_long, sources, with_clause
 from batonflow.functions import scalars as S
 from batonflow.operators import graph, lineage, resolve
 from batonflow.operators import text as texts
-from batonflow.plans import commands, evals, handoff, reads
+from batonflow.plans import commands, evals, handoff, history, reads
 from batonflow.sources import connectors
 from batonflow.staging import stage
 
@@ -220,6 +220,61 @@ def q_input_hash(spark, sf):
     return handoff.input_hash(objects(spark, sf), handoff.contract_fields(spark))
 
 
+def _tree(name: str, rows: str, by: str) -> str:
+    """handoff.input_tree in SQL, for ids of up to 30 bits: tables name_1 to name_3."""
+    up = lambda i: f"{name}_{i + 1} AS (SELECT {by}, pos >> 10 AS pos, CASE WHEN count(*) > 1 THEN sha256(string_agg(h, '|' ORDER BY pos)) ELSE min(h) END AS h FROM {name}_{i} GROUP BY {by}, pos >> 10)"
+    return f"{name}_1 AS (SELECT {by}, id >> 10 AS pos, sha256(string_agg(id || ':' || version, '|' ORDER BY id)) AS h FROM {rows} GROUP BY {by}, id >> 10), {up(1)}, {up(2)}"
+
+
+TREES_SQL = f"""fields0 AS ({FIELDS_SQL}), ends AS (SELECT DISTINCT contract, unnest([from_stage, to_stage]) AS stage FROM fields0), seen AS (SELECT * FROM obj JOIN ends USING (stage)),
+{_tree("tree", "seen", "tenant_id, entity_id, contract")}, hashes AS (SELECT tenant_id, entity_id, contract, sha256(contract || '|' || h) AS input_hash FROM tree_3)"""
+
+
+@query(f"WITH {TREES_SQL} SELECT tenant_id, entity_id, contract, input_hash FROM hashes", "obj")
+def q_input_tree(spark, sf):
+    return handoff.stage_trees(objects(spark, sf), handoff.contract_fields(spark))
+
+
+#: What had not arrived at the first of two runs: a twentieth of the statements of every third account.
+LATE = "(id % 20 = 0 AND entity_id % 3 = 0)"
+MOVED = f"SELECT DISTINCT tenant_id, entity_id FROM obj WHERE {LATE}"
+
+
+def _run_sql(pick: str, first: bool) -> str:
+    """A query over the gaps, hashes and statements of one run, with its own derived tables."""
+    head = with_clause("obj", *GAP_TABLES[1:])
+    head = head.replace(f"obj AS ({WITH['obj']})", f"obj AS (SELECT * FROM ({WITH['obj']}) all_obj WHERE NOT {LATE})", 1) if first else head
+    return f"(WITH RECURSIVE {head}, {TREES_SQL}, {GAPS_SQL.removeprefix('WITH RECURSIVE ')} {pick})"
+
+
+_COUNTED = "SELECT {n} AS run_no, h.tenant_id, h.entity_id, h.contract, input_hash, count(g.contract) AS total, count(*) FILTER (WHERE severity >= 2) AS high, count(*) FILTER (WHERE inherited) AS inherited FROM hashes h LEFT JOIN gaps g USING (tenant_id, entity_id, contract) GROUP BY ALL"
+_NAMED = "SELECT DISTINCT tenant_id, entity_id, contract, field, subject_key, slot, outcome FROM gaps"
+
+
+def two_runs(spark, sf):
+    """A run over what had arrived by then, and one over everything, which validates only what has moved."""
+    o, s, r = stored(spark, sf)
+    fields, early = handoff.contract_fields(spark), stage(o.where(f"NOT {LATE}"), "early")
+    ids = early.select("id")
+    r1 = r.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    runs1, gaps1 = history.validate_changed(early, s.join(ids, "id", "left_semi"), fields, r1, None, 1, datetime(1996, 1, 1))
+    runs2, gaps2 = history.validate_changed(o, s, fields, r, runs1, 2, NOW)
+    return runs1.unionByName(runs2), gaps1.unionByName(gaps2)
+
+
+@query(f"""SELECT * FROM {_run_sql(_COUNTED.format(n=1), True)} UNION ALL
+SELECT r.* FROM {_run_sql(_COUNTED.format(n=2), False)} r JOIN (WITH {with_clause("obj")} {MOVED}) m USING (tenant_id, entity_id)""")
+def q_validation_history(spark, sf):
+    runs, _ = two_runs(spark, sf)
+    return runs.select("run_no", "tenant_id", "entity_id", "contract", "input_hash", "total", "high", "inherited")
+
+
+@query(f"""WITH g1 AS {_run_sql(_NAMED, True)}, m AS (WITH {with_clause("obj")} {MOVED}), g2 AS (SELECT g.* FROM {_run_sql(_NAMED, False)} g JOIN m USING (tenant_id, entity_id)), g0 AS (SELECT g1.* FROM g1 JOIN m USING (tenant_id, entity_id))
+SELECT 1 AS run_no, *, 'opened' AS change FROM g1 UNION ALL SELECT 2, *, 'opened' FROM (SELECT * FROM g2 EXCEPT SELECT * FROM g0) UNION ALL SELECT 2, *, 'closed' FROM (SELECT * FROM g0 EXCEPT SELECT * FROM g2)""")
+def q_gap_changes(spark, sf):
+    return history.changes(*two_runs(spark, sf))
+
+
 @query("SELECT o.id FROM obj o WHERE status = 'active' AND stage = 'product' AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.from_id = o.id)", "obj", "pairs", "rel")
 def q_semi_anti_present(spark, sf):
     o = objects(spark, sf)
