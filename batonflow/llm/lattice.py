@@ -29,7 +29,7 @@ TABLES, REACH = 6, 0.1
 #: A cell's size, in mean projected distances of a pair of the least cosine.
 WIDTH = 2 * 2**0.5
 #: Members of a chunk of a cell, and candidate pairs that are compared at a time.
-CHUNK, PAIRS = 512, 1 << 17
+CHUNK, PAIRS = 512, 1 << 14
 #: Crowded cells whose number of chunks is broadcast; more are joined by a shuffle.
 MOST_CROWDED = 50_000
 #: Cells of up to this many members are compared together, larger ones by a matrix product each.
@@ -153,13 +153,16 @@ def _members(shared, dim: int, with_vectors: bool):
 
 
 class _Met:
-    """Rows that met in cells: which pairs are links that count here."""
+    """Rows that met in cells: sums over the links that count here. No list of pairs is kept."""
 
-    def __init__(self, lattice: Lattice, least: float, table, owner, part, node, v):
-        self.lattice, self.least, self.table, self.owner, self.part, self.node, self.v = lattice, least, table, owner, part, node, v
+    def __init__(self, lattice: Lattice, least: float, table, owner, part, node, times, v):
+        self.lattice, self.least, self.table, self.owner, self.part, self.node, self.times, self.v = lattice, least, table, owner, part, node, times, v
         self.units = _units(v)
         self.length = np.sqrt(inner(v, v))
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.points = self.cells = None
+        self.nodes, self.place = np.unique(node, return_inverse=True)
+        self.links = np.zeros(len(self.nodes), np.int64)
+        self.root = np.arange(len(self.nodes))
 
     def small(self, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> None:
         """All pairs with an owner of many small cells, in steps of a bounded number."""
@@ -188,36 +191,36 @@ class _Met:
             self._look(a[keep], b[keep])
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> None:
-        cosine = inner(self.v[a], self.v[b]) / (self.length[a] * self.length[b])
-        keep = (cosine >= self.least) & (self.node[a] != self.node[b])
-        if keep.any():
-            self.links.append((a[keep], b[keep]))
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The links whose first table and cell is where they met."""
-        if not self.links:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = (np.concatenate(x) for x in zip(*self.links, strict=True))
-        points = self.lattice.points(self.units)
-        cells = decode(points)
-        out = []
         for i in range(0, len(a), PAIRS):
             x, y = a[i : i + PAIRS], b[i : i + PAIRS]
-            here = self.table[x]
-            counts = np.zeros(len(x), bool)
-            before = np.zeros(len(x), bool)
-            for t in range(self.lattice.tables):
-                to = self.lattice.meets(points[x, t], cells[x, t], cells[y, t])
-                back = self.lattice.meets(points[y, t], cells[y, t], cells[x, t])
-                both = self.owner[x] & self.owner[y]
-                # Where each probes the other's cell, the one of the smaller node does.
-                probes = np.where(self.owner[y], to, back)
-                other = np.where(self.owner[y], back & (self.node[y] < self.node[x]), to & (self.node[x] < self.node[y]))
-                counts |= (here == t) & ~before & np.where(both, to, probes & ~other)
-                before |= to | back
-            out.append(counts)
-        keep = np.concatenate(out)
-        return a[keep], b[keep]
+            cosine = inner(self.v[x], self.v[y]) / (self.length[x] * self.length[y])
+            keep = (cosine >= self.least) & (self.node[x] != self.node[y])
+            x, y = x[keep], y[keep]
+            if len(x):
+                keep = self._counts(x, y)
+                x, y = x[keep], y[keep]
+                px, py = self.place[x], self.place[y]
+                np.add.at(self.links, px, self.times[y])
+                np.add.at(self.links, py, self.times[x])
+                self.root = _roots(self.root[px], self.root[py], len(self.nodes))[self.root]
+
+    def _counts(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the first table and cell of a link is where it met."""
+        if self.points is None:
+            self.points = self.lattice.points(self.units)
+            self.cells = decode(self.points)
+        points, cells, here = self.points, self.cells, self.table[x]
+        counts, before = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        both = self.owner[x] & self.owner[y]
+        for t in range(self.lattice.tables):
+            to = self.lattice.meets(points[x, t], cells[x, t], cells[y, t])
+            back = self.lattice.meets(points[y, t], cells[y, t], cells[x, t])
+            # Where each probes the other's cell, the one of the smaller node does.
+            probes = np.where(self.owner[y], to, back)
+            other = np.where(self.owner[y], back & (self.node[y] < self.node[x]), to & (self.node[x] < self.node[y]))
+            counts |= (here == t) & ~before & np.where(both, to, probes & ~other)
+            before |= to | back
+        return counts
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -255,29 +258,22 @@ def _compared(shared, dim: int, least: float):
         if not over:
             return None, rest
         column = lambda name: table[name].combine_chunks().slice(0, over).to_numpy(zero_copy_only=False)
-        owner = column("owner").astype(bool)
-        held = np.add.reduceat(owner.astype(np.int64), starts) > 0
+        held = np.add.reduceat(column("owner").astype(np.int64), starts) > 0
         size = ends - starts
         whole = (column("lo") == column("hi"))[starts]
         go = held & (size > 1)
         if not go.any():
             return None, rest
         v = table["v"].combine_chunks().slice(0, over).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        met = _Met(shared.value, least, column("table"), owner, column("part"), column("node"), _scaled(v))
+        met = _Met(shared.value, least, column("table"), column("owner"), column("part"), column("node"), column("times"), _scaled(v))
         some = go & (size <= SMALL)
         met.small(starts[some], ends[some], whole[some])
         for i in np.flatnonzero(go & (size > SMALL)):
             met.large(int(starts[i]), int(ends[i]), bool(whole[i]))
-        a, b = met.counted()
-        if not len(a):
+        found = np.flatnonzero(met.links)
+        if not len(found):
             return None, rest
-        times = column("times")
-        nodes, place = np.unique(met.node, return_inverse=True)
-        pa_, pb = place[a], place[b]
-        count = np.bincount(pa_, times[b], len(nodes)) + np.bincount(pb, times[a], len(nodes))
-        with_links = np.flatnonzero(count)
-        root = _roots(pa_, pb, len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[with_links]), pa.array(count[with_links].astype(np.int64)), pa.array(nodes[root[with_links]])], names=["node", "links", "root"]), rest
+        return pa.RecordBatch.from_arrays([pa.array(met.nodes[found]), pa.array(met.links[found]), pa.array(met.nodes[met.root[found]])], names=["node", "links", "root"]), rest
 
     def run(batches):
         waits = None
