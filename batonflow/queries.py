@@ -802,17 +802,49 @@ def q_gold_matching(spark, sf):
     return evals.match_gold(gold, pred)
 
 
-@query()
+_STATE = "{'id': i.id, 'stage': i.stage, 'authority': i.authority, 'person_id': i.person_id, 'stance': i.stance, 'q': i.q, 'at': i.valid_from, 'v': i.v}"
+_SAME_SUBJECT = "(i.tenant_id, i.entity_id, i.type, i.subject_key)"
+_FITS = "(o.stance = stance AND o.q = q)"
+_R1 = "(o.stage <> stage AND (" + " OR ".join(f"(o.stance = '{x}' AND stance = '{y}') OR (o.stance = '{y}' AND stance = '{x}')" for x, y in fixed.CONFLICTING_STANCES) + "))"
+_COS = "(list_inner_product(o.v, v) / (sqrt(list_inner_product(o.v, o.v)) * sqrt(list_inner_product(v, v))))"
+# The fold in SQL: one step a place in a subject's order, which carries the list of its active statements on.
+FOLD_SQL = f"""WITH RECURSIVE item AS MATERIALIZED (SELECT id, tenant_id, entity_id, type, subject_key, stage, authority, person_id, stance, (k % 5) * 50 AS q, valid_from, conf100 / 100.0::DOUBLE AS confidence,
+    [1.0::DOUBLE, (id % 4)::DOUBLE * 0.375] AS v, CASE WHEN conf100 < 60 THEN 'candidate' ELSE 'active' END AS status, row_number() OVER (PARTITION BY tenant_id, entity_id, type, subject_key ORDER BY id) AS n FROM obj),
+f AS (SELECT i.tenant_id, i.entity_id, i.type, i.subject_key, i.n, i.id, i.confidence, i.authority, CASE WHEN i.status = 'active' THEN [{_STATE}] ELSE [] END AS active, [{{'id': i.id, 'rule': ''}}][1:0] AS gone, [{{'id': i.id, 'cos': 0.0::DOUBLE, 'authority': i.authority}}][1:0] AS close, i.status FROM item i WHERE i.n = 1
+  UNION ALL SELECT tenant_id, entity_id, type, subject_key, n, id, confidence, authority, left_ || CASE WHEN status1 = 'active' THEN [me] ELSE [] END, gone, close, status1 FROM (
+    SELECT *, CASE WHEN len(list_filter(gone, lambda g: g.rule <> 'R3')) > 0 THEN 'conflicting' ELSE status0 END AS status1 FROM (
+      SELECT i.tenant_id, i.entity_id, i.type, i.subject_key, i.n, i.id, i.confidence, i.authority, i.status AS status0, {_STATE} AS me, list_filter(f.active, lambda o: {_FITS.replace("= stance", "= i.stance").replace("= q", "= i.q")}) AS left_,
+        list_transform(list_filter(f.active, lambda o: NOT {_FITS.replace("= stance", "= i.stance").replace("= q", "= i.q")}), lambda o: {{'id': o.id, 'rule': CASE WHEN {_R1.replace("<> stage", "<> i.stage").replace("AND stance", "AND i.stance")} THEN 'R1' WHEN i.authority < o.authority THEN 'R2' WHEN i.valid_from > o.at AND i.person_id = o.person_id THEN 'R3' ELSE 'R4' END}}) AS gone,
+        list_transform(list_filter(f.active, lambda o: {_FITS.replace("= stance", "= i.stance").replace("= q", "= i.q")} AND {_COS.replace(", v)", ", i.v)").replace("(v, ", "(i.v, ")} >= 0.80), lambda o: {{'id': o.id, 'cos': {_COS.replace(", v)", ", i.v)").replace("(v, ", "(i.v, ")}, 'authority': o.authority}}) AS close
+      FROM f JOIN item i ON {_SAME_SUBJECT} = (f.tenant_id, f.entity_id, f.type, f.subject_key) AND i.n = f.n + 1) y) z),
+ended AS (SELECT g.id, CASE WHEN g.rule = 'R3' THEN 'superseded' ELSE 'conflicting' END AS status FROM (SELECT unnest(gone) AS g FROM f))"""
+
+
+@query(f"{FOLD_SQL} SELECT id, coalesce(e.status, f.status) AS status, CASE WHEN e.id IS NULL THEN 1 ELSE 2 END AS version FROM f LEFT JOIN ended e USING (id)", "obj")
 def q_state_fold(spark, sf):
     from batonflow.operators import fold
 
     return fold.states(fold.fold(fold_items(spark, sf)))
 
 
+@query(f"""{FOLD_SQL}, c AS (SELECT id, authority, c.id AS other, c.cos AS cos, c.authority AS other_authority FROM (SELECT id, authority, unnest(close) AS c FROM f)),
+same AS (SELECT CASE WHEN authority >= other_authority THEN id ELSE other END AS canon, CASE WHEN authority >= other_authority THEN other ELSE id END AS copy, cos FROM c WHERE cos >= 0.92)
+SELECT id AS from_id, g.id AS to_id, CASE WHEN g.rule = 'R3' THEN 'supersedes' ELSE 'contradicts' END AS relation, g.rule = 'R3' AS resolved, 'system:lifecycle:' || g.rule AS created_by, round(confidence, 2) AS confidence FROM (SELECT id, confidence, unnest(gone) AS g FROM f)
+UNION ALL SELECT id, other, 'duplicate_of', false, 'system:dedup', round(cos, 2) FROM c WHERE cos < 0.92
+UNION ALL SELECT copy, canon, 'duplicate_of', true, 'system:dedup', round(cos, 2) FROM same UNION ALL SELECT canon, copy, 'supported_by', true, 'system:dedup', round(cos, 2) FROM same""", "obj")
+def q_fold_relations(spark, sf):
+    """What the fold relates: corrections, contradictions by rule, duplicates and what waits for a review."""
+    from batonflow.operators import fold
+
+    found = fold.fold(fold_items(spark, sf)).where("kind = 'relation'")
+    return found.select(F.col("id").alias("from_id"), F.col("other_id").alias("to_id"), F.col("what").alias("relation"), "resolved", "created_by", "confidence")
+
+
 def fold_items(spark, sf) -> DataFrame:
     o = objects(spark, sf)
     attributes = F.to_json(F.struct("stance", ((F.col("k") % 5) * 50).alias("quantity")))
-    return o.select("tenant_id", "entity_id", "type", "subject_key", "id", F.col("id").alias("arrival_seq"), "stage", "authority", "person_id", (F.col("conf100") / 100).alias("confidence"), F.when(F.col("conf100") < 60, "candidate").otherwise("active").alias("status"), "valid_from", attributes.alias("attributes"), F.lit(None).cast("array<float>").alias("embedding"))
+    vector = F.array(F.lit(1.0), (F.col("id") % 4) * 0.375).cast("array<float>")
+    return o.select("tenant_id", "entity_id", "type", "subject_key", "id", F.col("id").alias("arrival_seq"), "stage", "authority", "person_id", (F.col("conf100") / 100).alias("confidence"), F.when(F.col("conf100") < 60, "candidate").otherwise("active").alias("status"), "valid_from", attributes.alias("attributes"), vector.alias("embedding"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 5 THEN 'ignored' WHEN c_custkey % 3 = 0 THEN 'active' ELSE 'candidate' END AS status, CAST(1 + (c_custkey % 3 = 0)::INT + (c_custkey % 6 = 5)::INT + (c_custkey % 4 = 0)::INT AS INT) AS version, CASE WHEN c_custkey % 4 = 0 THEN 'edited' ELSE c_mktsegment END AS plan FROM customer")
@@ -846,22 +878,40 @@ def stream_result(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query()
+@query(f"{FOLD_SQL} SELECT id, coalesce(e.status, f.status) AS status, CASE WHEN e.id IS NULL THEN 1 ELSE 2 END AS version FROM f LEFT JOIN ended e USING (id)", "obj")
 def s_keyed_state(spark, sf):
+    """The fold on a stream of three micro-batches, in the order of arrival."""
     from batonflow.operators import fold
     from batonflow.streaming import jobs as streams
 
-    path = stage_path(spark, fold_items(spark, sf))
-    items = spark.readStream.schema(fold_items(spark, sf).schema).parquet(path)
-    return fold.states(stream_result(spark, streams.fold_stream(items)))
+    items = fold_items(spark, sf)
+    most = items.agg(F.max("arrival_seq")).first()[0] or 0
+    step = F.floor(3 * F.col("arrival_seq") / (most + 1)) + 1
+    return fold.states(stream_result(spark, streams.fold_stream(in_steps(spark, items, step))))
+
+
+@query("SELECT from_id, to_id FROM rel", "obj", "pairs", "rel")
+def s_late_lineage(spark, sf):
+    """Statements in three micro-batches whatever their time: what comes late is linked from both sides."""
+    from batonflow.streaming import jobs as streams
+
+    items = objects(spark, sf).select(*lineage.GROUP, "id", "stage", "valid_from")
+    return stream_result(spark, streams.lineage_stream(in_steps(spark, items, F.pmod(F.xxhash64("id"), F.lit(3)) + 1)))
+
+
+def in_steps(spark, rows: DataFrame, step) -> DataFrame:
+    """`rows` as a stream of a micro-batch a step, 1 to 3: one folder of files each, in that order."""
+    path = stage_path(spark)
+    marked = stage(rows.withColumn("_step", step), "steps")
+    for i in (1, 2, 3):
+        marked.where(F.col("_step") == i).drop("_step").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def stage_path(spark, df: DataFrame) -> str:
+def stage_path(spark) -> str:
     from uuid import uuid4
 
     from batonflow.staging import shared_folder
 
-    path = f"{shared_folder(spark)}/batonflow-items-{uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    return f"{shared_folder(spark)}/batonflow-items-{uuid4().hex}"
 

@@ -1,4 +1,4 @@
-"""Streams: idempotent enqueueing, the job queue's state and the lifecycle fold on arriving statements."""
+"""Streams: idempotent enqueueing, the job queue's state, the lifecycle fold and lineage on arriving statements."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ import json
 import pickle
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from batonflow import fixed
-from batonflow.operators import fold
+from batonflow.operators import fold, lineage
 
 JOB_STATE = "job_id long, status string, attempts int, run_after double"
-FOLD_STATE = "active string"
-#: Rows of a sorted frame that are held at once while frames are merged, and events that are handed on at once.
-CHUNK, EVENTS_AT_ONCE = 64, 10_000
+FOLD_STATE = "authority long, stage string, person_id long, confidence double, version long, valid_from long, attributes string, embedding binary"
+#: Rows of a sorted frame that are held at once while frames are merged, and statements of a subject that are compared at once.
+CHUNK, STATE_CHUNK = 64, 2_000
 
 
 def _in_order(frames, by: list[str]):
@@ -75,26 +77,99 @@ def enqueue(jobs: DataFrame, key: str = "idempotency_key") -> DataFrame:
     return jobs.dropDuplicates([key])
 
 
-def _one_key(key, frames, state):
-    active = [r | {"valid_from": pd.Timestamp(r["valid_from"])} for r in json.loads(state.get[0])] if state.exists else []
-    out, columns = [], [c.split()[0] for c in fold.EVENTS.split(", ")]
-    for r in _in_order(frames, ["arrival_seq", "id"]):
-        out += fold.step(fold._row(r), active, fixed.SAME_TEXT, fixed.NEAR_TEXT)
-        if len(out) >= EVENTS_AT_ONCE:
-            yield pd.DataFrame(out, columns=columns)
-            out = []
-    state.update((json.dumps(active, default=str),))
-    yield pd.DataFrame(out, columns=columns)
+class Fold(StatefulProcessor):
+    """The lifecycle fold of one subject: its active statements are a map in the state store, read in chunks.
+
+    A block of arrivals meets the chunks one after the other, so what is held is one
+    block and one chunk, however many statements a subject has active.
+    """
+
+    columns = [c.split()[0] for c in fold.EVENTS.split(", ")]
+
+    def init(self, handle) -> None:
+        self.active = handle.getMapState("active", "id long", FOLD_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        news = []
+        for r in _in_order(rows, ["arrival_seq", "id"]):
+            news.append(fold._row(r))
+            if len(news) >= fold.BLOCK:
+                yield pd.DataFrame(self._block(news), columns=self.columns)
+                news = []
+        if news:
+            yield pd.DataFrame(self._block(news), columns=self.columns)
+
+    def _block(self, news: list[dict]) -> list[tuple]:
+        out, gone, chunk = [], [], []
+
+        def compare():
+            out.extend(fold.meet(chunk, news, fixed.SAME_TEXT, fixed.NEAR_TEXT))
+            gone.extend(o["id"] for o in chunk if o["status"] != "active")
+
+        for (number,), kept in self.active.iterator():
+            chunk.append(self._read(number, kept))
+            if len(chunk) >= STATE_CHUNK:
+                compare()
+                chunk = []
+        compare()
+        out += fold.settle(news, fixed.SAME_TEXT, fixed.NEAR_TEXT)
+        for number in gone:
+            self.active.removeKey((number,))
+        for r in news:
+            if r["status"] == "active":
+                vector = None if r["embedding"] is None else np.array(r["embedding"], np.float32).tobytes()
+                person = None if r["person_id"] is None else int(r["person_id"])
+                self.active.updateValue((int(r["id"]),), (int(r["authority"]), r["stage"], person, float(r["confidence"]), r["version"], r["valid_from"].value, r["text"], vector))
+        return out
+
+    @staticmethod
+    def _read(number: int, kept) -> dict:
+        authority, stage, person, confidence, version, at, text, vector = kept
+        return {
+            "id": number, "authority": authority, "stage": stage, "person_id": person, "confidence": confidence, "status": "active", "version": version,
+            "valid_from": pd.Timestamp(at), "text": text, "attributes": json.loads(text), "embedding": None if vector is None else np.frombuffer(vector, np.float32).astype(float).tolist(),
+        }
+
+    def close(self) -> None:
+        pass
 
 
 def fold_stream(items: DataFrame) -> DataFrame:
-    """The lifecycle fold on a stream: one state a subject, holding its active statements.
+    """The lifecycle fold on a stream, as operators.fold has it on a table.
 
-    Statements of an earlier time are compared when they arrive, never dropped.
+    Statements of an earlier time are compared when they arrive, never dropped. The
+    session's state store must be RocksDB's: see `with_state`.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    return with_state(items).groupBy(*fold.KEY).transformWithStateInPandas(Fold(), fold.EVENTS, "Append", "None")
+
+
+def with_state(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on keeps streams' state in RocksDB, on disk and in the checkpoint."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df
 
-    return items.groupBy(*fold.KEY).applyInPandasWithState(_one_key, fold.EVENTS, FOLD_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def lineage_stream(items: DataFrame, reach: str | None = None, delay: str | None = None) -> DataFrame:
+    """(from_id, to_id) on a stream: lineage.edges() of all that arrives, in whatever order.
+
+    A join of the stream with itself: both sides are kept, so an upstream statement
+    that comes after its downstream ones is linked to them when it comes. By default
+    nothing is ever dropped and state grows with the statements. With `reach` (how
+    much older an upstream statement may be, such as "72 hours") and `delay` (how late
+    anything may come) state older than both is removed.
+
+    Needs the columns of lineage.GROUP, id, stage and valid_from.
+    """
+    pairs = F.create_map(*[x for down in sorted({d for _, d in fixed.STAGE_PAIRS}) for x in (F.lit(down), F.array(*[F.lit(u) for u, d in fixed.STAGE_PAIRS if d == down]))])
+    at = F.col("valid_from").cast("timestamp")
+    down = with_state(items).select(*lineage.GROUP, F.col("id").alias("from_id"), at.alias("at"), F.explode(pairs[F.col("stage")]).alias("stage"))
+    up = items.select(*(F.col(c).alias(f"_{c}") for c in [*lineage.GROUP, "stage"]), F.col("id").alias("to_id"), at.alias("before"))
+    if delay:
+        down, up = down.withWatermark("at", delay), up.withWatermark("before", delay)
+    met = (F.col("before") < F.col("at")) & (F.expr(f"before >= at - INTERVAL {reach}") if reach else F.lit(True))
+    for c in [*lineage.GROUP, "stage"]:
+        met &= F.col(c) == F.col(f"_{c}")
+    return down.join(up, met).select("from_id", "to_id")
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -107,8 +182,3 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append
 def collect_parts(stream: DataFrame, path: str, checkpoint: str) -> None:
     """All that a stream has now, appended to a table with exactly-once commits."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def day_counts(events: DataFrame) -> DataFrame:
-    """Statements per hour and type, for streams with a watermark on ts."""
-    return events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))

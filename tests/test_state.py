@@ -30,6 +30,101 @@ def run(spark, rows):
     return {i: s for i, (_, s) in last.items()}, relations
 
 
+def brute_fold(rows, same=0.92, near=0.80):
+    """The rules, one arrival after the other against each active sibling: (events, active ids)."""
+    active, out = [], []
+    for r in rows:
+        new = dict(r)
+        for old in list(active):
+            if fold.slots_compatible(new["attributes"], old["attributes"]):
+                out += fold._alike(new, old, same, near)
+            else:
+                out += fold._replaced(new, old)
+        out.append(("version", new["id"], None, new["status"], 1, None, "created", None))
+        active = [o for o in active if o["status"] == "active"] + ([new] if new["status"] == "active" else [])
+    return sorted(map(repr, out)), sorted(o["id"] for o in active)
+
+
+def random_rows(seed: int, n: int):
+    """Statements that mostly fit, so that many stay active, in families of embeddings."""
+    rng = random.Random(seed)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    out = []
+    for i in range(n):
+        slots = {k: rng.choice([None, 1, 1, 1, 1, 1, 1, 2]) for k in "abc" if rng.random() < 0.5}
+        slots |= {"stance": rng.choice(["required", "deferred"])} if rng.random() < 0.05 else {}
+        slots |= {"extra": {"corrects": True}} if rng.random() < 0.1 else {}
+        vec = None if rng.random() < 0.1 else [x + rng.gauss(0, 0.4) for x in rng.choice(base)]
+        out.append((i, rng.choice(["sales", "product"]), rng.randint(2, 4), rng.choice([None, 1, 2]), rng.choice([0.5, 0.9]), rng.randint(0, n), slots, vec))
+    return out
+
+
+def plain_rows(df):
+    rows = sorted(df.collect(), key=lambda r: (r.arrival_seq, r.id))
+    return [{"id": r.id, "authority": r.authority, "stage": r.stage, "person_id": r.person_id, "confidence": r.confidence, "status": r.status, "valid_from": r.valid_from, "attributes": json.loads(r.attributes), "embedding": r.embedding, "version": 1} for r in rows]
+
+
+@pytest.mark.parametrize(("seed", "block", "batch"), [(1, 256, 10_000), (2, 1, 7), (3, 5, 3)])
+def test_fold_in_blocks(spark, monkeypatch, seed, block, batch):
+    monkeypatch.setattr(fold, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = items(spark, random_rows(seed, 120))
+        found = sorted(repr((r.kind, r.id, r.other_id, r.what, r.version, r.resolved, r.created_by, r.confidence)) for r in fold.fold(df.repartition(3)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, active = brute_fold(plain_rows(df))
+    assert found == want and len(active) > 3
+
+
+@pytest.mark.parametrize(("block", "chunk"), [(256, 2_000), (4, 3)])
+def test_stream_state_is_read_in_chunks(spark, tmp_path, monkeypatch, block, chunk):
+    """Three micro-batches of one key, each in several frames: the same events as the fold of a table."""
+    from batonflow.streaming import jobs
+
+    monkeypatch.setattr(fold, "BLOCK", block)
+    monkeypatch.setattr(jobs, "STATE_CHUNK", chunk)
+    rows = random_rows(7, 90)
+    for i in range(3):
+        items(spark, rows[30 * i : 30 * i + 30]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = items(spark, rows)
+    stream = jobs.fold_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    jobs.collect_parts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    found = sorted(repr((r.kind, r.id, r.other_id, r.what, r.version, r.resolved, r.created_by, r.confidence)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == brute_fold(plain_rows(df))[0]
+    # A restart from the checkpoint folds on: a row that contradicts all that is active ends that.
+    items(spark, [(1000, "product", 4, 9, 0.9, 200, {"a": 3, "b": 3, "c": 3}, None)]).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.collect_parts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    found = sorted(repr((r.kind, r.id, r.other_id, r.what, r.version, r.resolved, r.created_by, r.confidence)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == brute_fold(plain_rows(items(spark, [*rows, (1000, "product", 4, 9, 0.9, 200, {"a": 3, "b": 3, "c": 3}, None)])))[0]
+
+
+def test_late_lineage(spark, tmp_path):
+    """Whatever comes first: the edges of a stream are those of a table; with a reach, those within it."""
+    from pyspark.sql import functions as F
+
+    from batonflow.operators import lineage
+    from batonflow.streaming import jobs
+
+    rng = random.Random(11)
+    rows = [(i, 1, rng.randint(1, 2), "a:sso", rng.choice(["sales", "product", "engineering", "customer_success", "leadership", None]), T0 + timedelta(hours=rng.randint(0, 300))) for i in range(80)]
+    rows += [(100, 1, 1, "a:sso", "sales", T0 - timedelta(days=1)), (101, None, 1, "a:sso", "sales", T0), (102, None, 1, "a:sso", "product", T0 + timedelta(1))]
+    rng.shuffle(rows)
+    schema = "id long, tenant_id long, entity_id long, subject_key string, stage string, valid_from timestamp"
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df, read = spark.createDataFrame(rows, schema), spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    want = sorted(map(tuple, lineage.edges(df).collect()))
+    for name, reach in (("all", None), ("near", "72 hours")):
+        jobs.collect_parts(jobs.lineage_stream(read.parquet(str(tmp_path / "in")), reach, "30 days" if reach else None), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        found = sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
+        if reach:
+            at = {r[0]: r[5] for r in rows}
+            want = [e for e in want if at[e[1]] >= at[e[0]] - timedelta(hours=72)]
+        assert found == want and len(want) > 50
+    assert spark.read.parquet(str(tmp_path / "all")).where(F.col("to_id") == 100).count() > 0
+
+
 def test_chain_of_corrections(spark):
     rows = [(1, "product", 3, 7, 0.9, 0, {"stance": "required"}, None), (2, "product", 3, 7, 0.9, 3, {"stance": "deferred"}, None), (3, "product", 3, 7, 0.9, 12, {"stance": "required"}, None)]
     states, relations = run(spark, rows)
