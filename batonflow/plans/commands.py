@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow import fixed
+from batonflow.staging import stage
 
 
 def review(objects: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -56,8 +59,50 @@ def reconcile_contradictions(pairs: DataFrame, near: float = fixed.NEAR_TEXT, sa
 
     `pairs`: from_id, to_id, created_by, resolved_at, compatible, cosine. They become
     "duplicate" from `same` on, "review" from `near` on, else "independent"; all are
-    resolved, and what was in conflict by them is active again.
+    resolved. sweep() applies this.
     """
     open_ = pairs.where("resolved_at IS NULL AND compatible").where(F.col("created_by").startswith("system:lifecycle:"))
     action = F.when(F.col("cosine") >= same, "duplicate").when(F.col("cosine") >= near, "review").otherwise("independent")
     return open_.select("from_id", "to_id", action.alias("action"))
+
+
+def sweep(objects: DataFrame, relations: DataFrame, now: datetime, hold: bool = True, near: float = fixed.NEAR_TEXT, same: float = fixed.SAME_TEXT) -> dict[str, DataFrame]:
+    """objects, versions and relations after all contradictions that are none are resolved at once.
+
+    `objects`: id, status, version, authority and others; `relations`: from_id, to_id,
+    relation, created_by, resolved_at, and for contradictions compatible and cosine of
+    the two. A pending contradiction by the lifecycle rules between compatible
+    statements is resolved at `now`; from `same` on the one with less authority (equal:
+    the second) is a duplicate of the other, which it supports, from `near` on a
+    duplicate is left for a review. A statement in conflict is active again and one
+    version further, with `hold` only if no other pending contradiction is left of it,
+    else whichever are. `versions`: id, version, status of those. Edges that are there
+    already are not added again.
+    """
+    pending = (F.col("relation") == "contradicts") & F.col("resolved_at").isNull()
+    false = pending & F.coalesce(F.col("compatible"), F.lit(False)) & F.coalesce(F.col("created_by").startswith("system:lifecycle:"), F.lit(False))
+    # Pairs with an end that isn't there are left alone.
+    rank = objects.select("id", "authority")
+    ends = relations.where(false).join(rank.select(F.col("id").alias("from_id"), F.col("authority").alias("_a")), "from_id").join(rank.select(F.col("id").alias("to_id"), F.col("authority").alias("_b")), "to_id")
+    found = stage(ends.select("from_id", "to_id", "cosine", F.col("_a") >= F.col("_b"), F.lit(True).alias("_done")).toDF("from_id", "to_id", "cosine", "from_wins", "_done").distinct(), "false-contradictions")
+
+    open_ends = lambda df: df.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    left = relations.where(pending).join(found.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    freed = open_ends(found).distinct()
+    freed = freed.join(open_ends(left).distinct(), "id", "left_anti") if hold else freed
+    moved = objects.join(freed.withColumn("_free", F.lit(True)), "id", "left").withColumn("_moves", F.coalesce(F.col("_free") & (F.col("status") == "conflicting"), F.lit(False)))
+    moved = stage(moved.drop("_free"), "swept")
+    after = moved.withColumns({"status": F.when(F.col("_moves"), "active").otherwise(F.col("status")), "version": F.col("version") + F.col("_moves").cast("int")})
+
+    edge = lambda a, z, kind, resolved: F.struct(a.alias("from_id"), z.alias("to_id"), F.lit(kind).alias("relation"), F.lit(resolved).alias("_resolved"))
+    a, z = F.col("from_id"), F.col("to_id")
+    copy, canon = F.when(F.col("from_wins"), z).otherwise(a), F.when(F.col("from_wins"), a).otherwise(z)
+    new = F.when(F.col("cosine") >= same, F.array(edge(copy, canon, "duplicate_of", True), edge(canon, copy, "supported_by", True))).when(F.col("cosine") >= near, F.array(edge(a, z, "duplicate_of", False)))
+    made = found.select(F.explode(new).alias("e"), "cosine").select("e.*", F.round("cosine", 2).alias("confidence"))
+    made = made.join(relations.select("from_id", "to_id", "relation"), ["from_id", "to_id", "relation"], "left_anti").dropDuplicates(["from_id", "to_id", "relation"])
+    done = F.coalesce(F.col("_done") & pending & false, F.lit(False))
+    old = relations.join(found.select("from_id", "to_id", "_done"), ["from_id", "to_id"], "left")
+    at = F.lit(now).cast("timestamp")
+    old = old.select("from_id", "to_id", "relation", "created_by", F.when(done, at).otherwise(F.col("resolved_at")).alias("resolved_at"))
+    new_rows = made.select("from_id", "to_id", "relation", F.lit("system:dedup").alias("created_by"), F.when(F.col("_resolved"), at).alias("resolved_at"))
+    return {"objects": after.drop("_moves"), "versions": after.where("_moves").select("id", "version", "status"), "relations": old.union(new_rows)}

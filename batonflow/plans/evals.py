@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from batonflow.functions.scalars import cosine
+from batonflow.operators.similar import top_similar
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -34,12 +34,9 @@ def eval_rollup(results: DataFrame) -> DataFrame:
 def top_chunks(down: DataFrame, up: DataFrame, k: int = 4) -> DataFrame:
     """(down_id, rank, up_id, similarity): the k upstream chunks nearest by cosine; ties keep the order of ids.
 
-    Chunks meet by `block`, which states what is searched by what.
+    Chunks (block, id, vector) meet by `block`, which states what is searched by what.
     """
-    pairs = down.select("block", F.col("id").alias("down_id"), F.col("vector").alias("dv")).join(up.select("block", F.col("id").alias("up_id"), F.col("vector").alias("uv")), "block")
-    scored = pairs.where("down_id <> up_id").withColumn("similarity", cosine(F.col("dv"), F.col("uv")))
-    best = Window.partitionBy("down_id").orderBy(F.desc(F.round("similarity", 9)), "up_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("down_id", "rank", "up_id", "similarity")
+    return top_similar(down, up, k)
 
 
 def select_sources(sources: DataFrame, asked: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from batonflow import fixed
 from batonflow.derived import WITH, objects, read, slots_long, sources, with_clause
 from batonflow.functions import scalars as S
-from batonflow.operators import graph, lineage, resolve
+from batonflow.operators import graph, lineage, resolve, similar, vocabulary
 from batonflow.operators import text as texts
 from batonflow.plans import commands, evals, handoff, history, reads
-from batonflow.sources import connectors
+from batonflow.sources import connectors, order
 from batonflow.staging import stage
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -409,12 +409,15 @@ def q_slots_compatible(spark, sf):
     return pairs.groupBy("a_id", "b_id").agg(F.bool_and(F.col("slot").isin("rationale", "due_date_precision", "due_date") | (F.col("a") == F.col("b"))).alias("ok"))
 
 
-@query("SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+CLOSE = 0.25
+
+
+@query(f"""SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(c, 6) AS cosine FROM (SELECT a, b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS c
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) x WHERE c >= {CLOSE}""")
 def q_cosine_pairs(spark, sf):
-    """Each vector with the next one by id."""
-    e = read(spark, sf, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(f"{p}_id"), F.col("embedding").alias(p)) for p in "ab")
-    return a.join(b, F.col("a_id") + 1 == F.col("b_id")).select("a_id", "b_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    """All pairs of vectors of one label that are at least so close."""
+    e = read(spark, sf, "embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similar.similar_vectors(e, CLOSE).select("a_id", "b_id", F.round("similarity", 6).alias("cosine"))
 
 
 @query("""WITH s AS (SELECT d.vec_id AS down_id, u.vec_id AS up_id, round(list_inner_product(d.embedding::DOUBLE[], u.embedding::DOUBLE[]) / (sqrt(list_inner_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_inner_product(u.embedding::DOUBLE[], u.embedding::DOUBLE[]))), 9) AS c FROM embeddings d JOIN embeddings u ON d.label = u.label AND d.vec_id <> u.vec_id WHERE d.vec_id % 10 = 0)
@@ -858,6 +861,95 @@ def q_review_replay(spark, sf):
     return commands.review(o, reviews).select("id", "status", "version", F.col("attributes")["plan"].alias("plan"))
 
 
+# Proposals of capabilities: types of parts with endings that drift away from them, in order of the parts.
+_CAP = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'capability')"
+VOCABULARY_SQL = f"""WITH RECURSIVE prop AS (SELECT p_partkey AS seq, p_type || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 's' WHEN 2 THEN 'ss' ELSE ' X' || p_size % 3 END AS proposed FROM part),
+asked AS MATERIALIZED (SELECT seq, proposed, {_CAP.format("proposed")} AS word, row_number() OVER (ORDER BY seq) AS n FROM prop),
+first AS (SELECT {_CAP.format("p_type")} AS slug FROM part WHERE p_size % 2 = 0 GROUP BY ALL), words AS (SELECT slug AS n FROM first UNION SELECT word FROM asked), t AS MATERIALIZED (SELECT n, {TRI} AS t FROM words),
+sim AS MATERIALIZED (SELECT a.n AS word, list({{'w': b.n, 's': s}} ORDER BY s DESC, b.n) AS near FROM (SELECT a, b, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS s FROM t a JOIN t b ON a.n <> b.n) x WHERE s >= 0.6 GROUP BY a.n),
+q AS MATERIALIZED (SELECT asked.*, coalesce(near, []) AS near FROM asked LEFT JOIN sim USING (word)),
+f AS (SELECT 0::BIGINT AS n, 0::BIGINT AS seq, '' AS proposed, '' AS word, (SELECT list(slug ORDER BY slug) FROM first) AS words, (SELECT list(slug ORDER BY slug) FROM first) AS slugs, '' AS slug, '' AS how, NULL::VARCHAR AS near
+  UNION ALL SELECT n, seq, proposed, word, CASE WHEN how = 'linked' THEN list_append(words, word) ELSE words END, CASE WHEN how = 'linked' THEN list_append(slugs, to_slug) ELSE slugs END,
+    CASE how WHEN 'exact' THEN own WHEN 'linked' THEN to_slug ELSE word END, how, CASE WHEN how = 'candidate' THEN to_slug END FROM (
+    SELECT *, CASE WHEN own IS NOT NULL THEN 'exact' WHEN best.s >= 0.85 THEN 'linked' ELSE 'candidate' END AS how, slugs[list_position(words, best.w)] AS to_slug FROM (
+      SELECT q.n, q.seq, q.proposed, q.word, f.words, f.slugs, f.slugs[list_position(f.words, q.word)] AS own, list_filter(q.near, lambda x: list_contains(f.words, x.w))[1] AS best FROM f JOIN q ON q.n = f.n + 1) y) z)"""
+
+
+def proposals(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = read(spark, sf, "part")
+    end = F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, "s").when(F.col("p_partkey") % 4 == 2, "ss").otherwise(F.concat(F.lit(" X"), (F.col("p_size") % 3).cast("string")))
+    first = p.where("p_size % 2 = 0").select(S.normalize_capability(F.col("p_type")).alias("slug")).distinct()
+    words = first.select("slug", F.array().cast("array<string>").alias("synonyms"), F.lit("confirmed").alias("status"), F.lit(None).cast("string").alias("suggested"))
+    return p.select(F.col("p_partkey").alias("seq"), F.concat("p_type", end).alias("proposed")), words
+
+
+@query(f"{VOCABULARY_SQL} SELECT seq, proposed, slug, how, near FROM f WHERE n > 0")
+def q_vocabulary_growth(spark, sf):
+    return vocabulary.resolve_in_order(*proposals(spark, sf))[0]
+
+
+@query(f"""{VOCABULARY_SQL}, added AS (SELECT slug, string_agg(word, '|' ORDER BY seq) AS synonyms FROM f WHERE how = 'linked' GROUP BY slug)
+SELECT slug, coalesce(synonyms, '') AS synonyms, 'confirmed' AS status, NULL AS suggested FROM first LEFT JOIN added USING (slug)
+UNION ALL SELECT slug, '', 'candidate', near FROM f WHERE how = 'candidate' AND NOT EXISTS (SELECT 1 FROM first WHERE first.slug = f.slug) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY seq) = 1""")
+def q_vocabulary(spark, sf):
+    grown = vocabulary.resolve_in_order(*proposals(spark, sf))[1]
+    return grown.select("slug", F.array_join("synonyms", "|").alias("synonyms"), "status", "suggested")
+
+
+# Sources of four kinds: documents as files, and turns as calls, mails and messages; a third of the calls gave no consent.
+LOAD = """SELECT CAST(doc_id % 3 AS BIGINT) AS tenant_id, 'drive' AS kind, concat('d', CAST(doc_id % 800 AS VARCHAR(20))) AS external_id, text, CAST(doc_id AS BIGINT) AS place FROM documents
+UNION ALL SELECT CAST(conv_id % 3 AS BIGINT), CASE role WHEN 'user' THEN 'slack' WHEN 'assistant' THEN 'email' ELSE 'call' END, concat('c', CAST(conv_id AS VARCHAR(20)), '.', CAST(turn AS VARCHAR(20))), text, CAST(conv_id * 1000 + turn AS BIGINT) FROM conversations"""
+
+
+def loaded(spark, sf) -> tuple[DataFrame, DataFrame]:
+    text = LOAD.replace("FROM documents", "FROM {documents}").replace("FROM conversations", "FROM {conversations}")
+    rows = spark.sql(text, documents=read(spark, sf, "documents"), conversations=read(spark, sf, "conversations"))
+    refused = (F.col("kind") == "call") & (F.col("place") % 3 == 0)
+    return order.load(rows.where(~refused), rows.where(refused).select("kind", "external_id"), within=("place", "external_id"))
+
+
+LOADED_SQL = f"""WITH s AS ({LOAD}), r AS (SELECT *, CASE kind WHEN 'drive' THEN 1 WHEN 'call' THEN 2 WHEN 'email' THEN 3 ELSE 4 END AS p FROM s WHERE NOT (kind = 'call' AND place % 3 = 0)),
+l AS (SELECT *, row_number() OVER (ORDER BY p, place, external_id) AS arrival_seq FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, kind, external_id, sha256(coalesce(text, '')) ORDER BY arrival_seq) = 1 AS was_new FROM l)"""
+
+
+@query(f"{LOADED_SQL} SELECT kind, external_id, place, arrival_seq, was_new FROM k")
+def q_arrival_order(spark, sf):
+    return loaded(spark, sf)[0].select("kind", "external_id", "place", "arrival_seq", "was_new")
+
+
+@query(f"""{LOADED_SQL} SELECT z.kind, count(*) FILTER (WHERE was_new) AS created, count(*) FILTER (WHERE NOT was_new) AS skipped, (SELECT count(*) FROM s WHERE s.kind = z.kind AND kind = 'call' AND place % 3 = 0) AS rejected, count(*) FILTER (WHERE was_new) AS jobs
+FROM (VALUES ('drive'), ('call'), ('email'), ('slack')) z(kind) LEFT JOIN k ON k.kind = z.kind GROUP BY z.kind""")
+def q_load_counts(spark, sf):
+    return loaded(spark, sf)[1]
+
+
+# Contradictions as the lifecycle left them: of statements on one subject the later with the next earlier ones, a third of them compatible after all.
+SWEEP_REL = """SELECT b.id AS from_id, a.id AS to_id, 'contradicts' AS relation, CASE WHEN (a.id + b.id) % 11 = 0 THEN 'human' ELSE concat('system:lifecycle:R', CAST((a.id + b.id) % 4 + 1 AS VARCHAR(2))) END AS created_by, (a.id + b.id) % 7 = 0 AS old,
+  (a.id + b.id) % 3 = 0 AS compatible, CAST((a.id * 7 + b.id) % 50 AS DOUBLE) / 100 + 0.5 AS cosine FROM obj a JOIN obj b ON b.tenant_id = a.tenant_id AND b.entity_id = a.entity_id AND b.type = a.type AND b.subject_key = a.subject_key AND b.id > a.id AND a.stance <> b.stance"""
+SWEEP_SQL = f"""WITH r AS ({SWEEP_REL}), x AS (SELECT *, NOT old AND compatible AND created_by LIKE 'system:lifecycle:%' AS false_ FROM r),
+ends AS (SELECT from_id AS id, false_, NOT old AS open_ FROM x UNION ALL SELECT to_id, false_, NOT old FROM x), freed AS (SELECT id FROM ends GROUP BY id HAVING bool_or(false_) AND NOT bool_or(open_ AND NOT false_)),
+made AS (SELECT x.*, a.authority >= b.authority AS wins FROM x JOIN obj a ON a.id = from_id JOIN obj b ON b.id = to_id WHERE false_)"""
+
+
+def swept(spark, sf) -> dict[str, DataFrame]:
+    o = stage(objects(spark, sf), "objects")
+    r = spark.sql(SWEEP_REL.replace("FROM obj a JOIN obj b", "FROM {obj} a JOIN {obj} b"), obj=o)
+    return commands.sweep(o, stage(r.withColumn("resolved_at", F.when(F.col("old"), F.lit(datetime(1996, 1, 1)))).drop("old"), "contradictions"), NOW)
+
+
+@query(f"{SWEEP_SQL} SELECT o.id, CASE WHEN f.id IS NOT NULL AND status = 'conflicting' THEN 'active' ELSE status END AS status, CAST(version + (f.id IS NOT NULL AND status = 'conflicting')::INT AS INT) AS version FROM obj o LEFT JOIN freed f USING (id)", "obj")
+def q_sweep_objects(spark, sf):
+    return swept(spark, sf)["objects"].select("id", "status", "version")
+
+
+@query(f"""{SWEEP_SQL} SELECT from_id, to_id, relation, created_by, old OR false_ AS resolved FROM x
+UNION ALL SELECT CASE WHEN wins THEN to_id ELSE from_id END, CASE WHEN wins THEN from_id ELSE to_id END, 'duplicate_of', 'system:dedup', true FROM made WHERE cosine >= 0.92
+UNION ALL SELECT CASE WHEN wins THEN from_id ELSE to_id END, CASE WHEN wins THEN to_id ELSE from_id END, 'supported_by', 'system:dedup', true FROM made WHERE cosine >= 0.92
+UNION ALL SELECT from_id, to_id, 'duplicate_of', 'system:dedup', false FROM made WHERE cosine >= 0.80 AND cosine < 0.92""", "obj")
+def q_sweep_relations(spark, sf):
+    return swept(spark, sf)["relations"].select("from_id", "to_id", "relation", "created_by", F.col("resolved_at").isNotNull().alias("resolved"))
+
+
 @query("SELECT user_id, count(DISTINCT event_type) AS jobs FROM events GROUP BY user_id")
 def s_dedupe_stream(spark, sf):
     from batonflow.streaming import jobs as streams
