@@ -152,19 +152,21 @@ def _meet(share: int, large: int):
 
 
 def _fragments(words: int, bits):
-    schema = pa.schema([("set_id", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             want = holds(bits.value, batch[0].to_numpy())
-            keys, parts = [], []
+            keys, sizes, parts = [], [], []
             for data, wanted in zip(slices(batch[1]), want, strict=True):
                 if wanted:
                     grams = set_of(data, words)
                     cuts = np.searchsorted(grams, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
                     keys.append(set_key(grams))
+                    sizes.append(len(grams))
                     parts += [x.view(np.int64) for x in np.split(grams, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(keys))), pa.array(parts, schema[2].type)], schema=schema)
+            each = (np.repeat(np.array(keys, np.int64), FRAGMENTS), np.repeat(np.array(sizes, np.int32), FRAGMENTS), np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(keys)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(parts, schema[3].type)], schema=schema)
 
     return run
 
@@ -261,12 +263,13 @@ def _components(docs: DataFrame, words: int, share: int, key: str = "doc_id", te
 
     first = rare_pairs.union(star)
     wanted = first.select(F.col("a").alias("set_id")).union(first.select(F.col("b"))).distinct()
-    known = sketch.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    chosen = stage(known.join(wanted, "set_id", "left_semi"), "chosen")
+    known = sketch.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    chosen = stage(known.join(wanted, "set_id", "left_semi").select("doc_id"), "chosen")
     words_of_bits = bit_set(chosen, "doc_id")
     bits = spark.sparkContext.broadcast(words_of_bits)
-    made = texts.select(place(F.col("doc_id"), len(words_of_bits) * 64).alias("at"), "text").mapInArrow(_fragments(words, bits), "set_id long, fragment int, grams array<long>")
-    sets = stage(made.join(chosen.drop("doc_id"), "set_id").dropDuplicates(["set_id", "fragment"]), "sets")
+    made = texts.select(place(F.col("doc_id"), len(words_of_bits) * 64).alias("at"), "text").mapInArrow(_fragments(words, bits), "set_id long, n int, fragment int, grams array<long>")
+    # Sets of the bits' few false hits are there too, and no pair asks for them.
+    sets = stage(made.where("n > 0").dropDuplicates(["set_id", "fragment"]), "sets")
 
     links = stage(_verified(first.distinct(), sets, share), "links")
     families = connected_components(star, "a", "b").withColumnRenamed("component", "family")
