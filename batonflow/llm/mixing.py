@@ -17,6 +17,10 @@ TERMS = 96
 MAX_BROADCAST_SOURCES = 10_000
 
 
+# Names of columns that exist in between; a caller's columns may have any other.
+_SOURCE, _PARTS, _SUMS, _COPIES = "batonflow__source", "batonflow__parts", "batonflow__sums", "batonflow__copies"
+
+
 def uniform(*parts: Column) -> Column:
     """In [0, 1): the first 13 hexadecimal digits of an MD5."""
     return F.conv(F.left(F.md5(F.concat_ws(":", *parts)), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
@@ -39,18 +43,18 @@ def target_rates(docs: DataFrame, weights: dict[str, float], default: float, tot
     Weights are relative; `total` (default: as many as there are) documents are
     aimed at. A source of weight 0 gets rate 0.
     """
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(source).alias(_SOURCE)).agg(F.count("*").alias("n"))
     weight = F.lit(float(default))
     for name, w in weights.items():
-        weight = F.when(F.col("_source") == name, float(w)).otherwise(weight)
+        weight = F.when(F.col(_SOURCE) == name, float(w)).otherwise(weight)
     counts = counts.withColumn("w", weight)
     all_w, all_n, sources = counts.agg(F.sum("w"), F.sum("n"), F.count("*")).first()
     aim = float(total if total is not None else all_n or 0)
     rates = (
         counts.withColumn("rate", F.lit(aim) * F.col("w") / (float(all_w or 1.0) or 1.0) / F.col("n"))
-        .withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
-        .withColumn("_sums", _steps(F.col("rate") / F.col("_parts")))
-        .select("_source", "_parts", "_sums")
+        .withColumn(_PARTS, F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+        .withColumn(_SUMS, _steps(F.col("rate") / F.col(_PARTS)))
+        .select(_SOURCE, _PARTS, _SUMS)
     )
     return F.broadcast(rates) if sources <= MAX_BROADCAST_SOURCES else rates
 
@@ -68,13 +72,13 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default:
     said = F.coalesce(F.col(text).cast("string"), F.lit("")) if text in docs.columns else F.lit("")
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.md5(said)))
     # A number a part, each hashed once; then the terms below it are counted.
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: uniform(F.lit(seed).cast("string"), name, j.cast("string")))
-    copies = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter("_sums", lambda c: c <= u)))
-    marked = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
-    out = marked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).withColumn(
+    drawn = F.transform(F.sequence(F.lit(1), F.col(_PARTS)), lambda j: uniform(F.lit(seed).cast("string"), name, j.cast("string")))
+    copies = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter(_SUMS, lambda c: c <= u)))
+    marked = docs.join(rates, F.col(source).eqNullSafe(F.col(_SOURCE))).withColumn(_COPIES, copies).where(f"{_COPIES} > 0")
+    out = marked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(_COPIES) - 1))).withColumn(
         "shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col("copy").cast("string")))
     )
     # The key's first 32 bits are uniform: they name the range, and no sample of the rows has to be made first.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.expr(f"cast(conv(left(shuffle_key, 8), 16, 10) AS long) * {n}L div 4294967296L").cast("int")
-    return out.drop("_source", "_parts", "_sums", "_copies").repartitionById(n, at).sortWithinPartitions("shuffle_key")
+    return out.drop(_SOURCE, _PARTS, _SUMS, _COPIES).repartitionById(n, at).sortWithinPartitions("shuffle_key")
