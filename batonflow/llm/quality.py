@@ -4,9 +4,9 @@ Trusted positives are labelled texts of good quality, the unlabelled are texts o
 the corpus as it comes. A logistic scorer minimises the non-negative unbiased
 risk: the positives' risk times the class prior, plus the unlabelled texts' risk of
 being called positive less the positives' share of it, which is held at zero from
-below. The class prior is estimated from the tails of both. Means, scales and tails are
-sums over all documents, one pass each over a staged table of features; the descent
-steps on samples of a bounded size.
+below. The class prior is estimated from the tails of both. Means, scales, tails and
+every step of the descent are sums over all documents, one pass each over a staged
+table of features; of labelled texts a bounded sample is on the driver.
 
 Features are of the text alone: shares of byte classes and of pairs of them, and
 how words and lines repeat.
@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 from batonflow.llm.text import bounds, in_batches, slices, word_hashes
 from batonflow.staging import stage
 
-#: Bounds of the two samples that the descent steps on; the ones least by hash of all candidates are taken.
-#: Means, scales and the class prior's tails are of all documents.
-MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
+#: Bound of the sample of trusted positives, the ones least by hash. Unlabelled texts are all documents.
+MOST_POSITIVE = 6_000
+#: Steps of the descent, each over all documents, and of the two that the class prior is estimated from; its rate and penalty.
+#: Chosen on five folds of the labels that are not held out.
+STEPS, PRIOR_STEPS, RATE, DECAY = 40, 20, 0.05, 1e-3
 #: Groups that sums of tasks are added up in, before the driver adds these.
 GROUPS = 16
 THRESHOLD = 0.3
@@ -112,64 +114,84 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, n_p: float, n_u: float) -> floa
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-#: A sum over unlabelled texts: of part(their features), all of them or one half.
-Total = Callable[[Callable[[np.ndarray], np.ndarray], bool | None], np.ndarray]
+#: A sum over all unlabelled texts: of part(their features, which half each is in).
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
 
 
-def _descend(xp, xu, prior: float, rng, epochs: int, decay: float = 1e-4, rate: float = 0.01) -> tuple[np.ndarray, float]:
-    """Adam on mini-batches of the non-negative risk, logistic loss."""
-    d = xp.shape[1]
-    w, m, v, t = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0
-    steps = max(1, len(xu) // 512)
-    with_one = lambda x: np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    xp, xu = with_one(xp), with_one(xu)
-    for epoch in range(epochs):
-        up, uu = rng.permutation(len(xp)), rng.permutation(len(xu))
-        for bp, bu in zip(np.array_split(up, steps), np.array_split(uu, steps), strict=True):
-            if not len(bp) or not len(bu):
-                continue
-            gp, gu = 1 / (1 + np.exp(-xp[bp] @ w)), 1 / (1 + np.exp(-xu[bu] @ w))
+def _logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    # Without BLAS, as this also runs on the driver, where its threads may block.
+    return 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, w[:-1]) + w[-1], -60, 60)))
+
+
+def _pull(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of texts as negatives: their number, loss and gradient, summed; the last component is the bias's."""
+    g = _logistic(x, w)
+    return np.concatenate([[len(x), -np.log1p(-np.minimum(g, 1 - 1e-9)).sum()], np.einsum("ij,i->j", x, g), [g.sum()]])
+
+
+def _descend(positives: list[np.ndarray], sides: list[bool | None], prior: float, steps: int, scaled, total: Total) -> list[np.ndarray]:
+    """Weights that minimise the non-negative risk, logistic loss, by Adam on its whole gradient; several descents share each pass.
+
+    `sides`: the half of the unlabelled texts that each is of, null for all.
+    """
+    d = positives[0].shape[1] + 1
+    w, m, v = ([np.zeros(d) for _ in sides] for _ in range(3))
+    for t in range(1, steps + 1):
+        now = list(w)
+
+        def part(x, half, now=now):
+            z = scaled(x)
+            return np.concatenate([_pull(z if side is None else z[half == side], own) for side, own in zip(sides, now, strict=True)])
+
+        sums = total(part).reshape(len(sides), -1)
+        for i, xp in enumerate(positives):
+            own, n = _pull(xp, w[i]), max(1.0, sums[i][0])
             # Negative part: unlabelled as negative, less the positives' share of that.
-            negative = np.mean(-np.log1p(-np.minimum(gu, 1 - 1e-9))) - prior * np.mean(-np.log1p(-np.minimum(gp, 1 - 1e-9)))
-            g_negative = xu[bu].T @ gu / len(bu) - prior * (xp[bp].T @ gp) / len(bp)
-            g_positive = prior * (xp[bp].T @ (gp - 1)) / len(bp)
-            grad = g_positive + g_negative if negative >= 0 else -g_negative
-            grad = grad + decay * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            w = w - rate * (0.98**epoch) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def _fit(xp: np.ndarray, half_p: np.ndarray, xu: np.ndarray, half_u: np.ndarray, total: Total, rng, epochs: int = 30) -> Scorer:
-    """From two samples that the descent steps on, which half each row is in, and sums over all unlabelled texts."""
+            negative = sums[i][1:] / n - prior * own[1:] / len(xp)
+            as_positive = prior * (own[2:] - np.append(xp.sum(axis=0), len(xp))) / len(xp)
+            grad = (as_positive + negative[1:] if negative[0] >= 0 else -negative[1:]) + DECAY * w[i]
+            m[i], v[i] = 0.9 * m[i] + 0.1 * grad, 0.99 * v[i] + 0.01 * grad * grad
+            rate = RATE * 0.5 * (1 + np.cos(np.pi * (t - 1) / steps))
+            w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def _fit(xp: np.ndarray, half_p: np.ndarray, total: Total) -> Scorer:
+    """From positives, which half each is in, and sums over all unlabelled texts."""
     d = FEATURES
-    sums = total(lambda x: np.concatenate([[len(x)], x.sum(axis=0, dtype=np.float64), np.square(x, dtype=np.float64).sum(axis=0)]), None)
+    sums = total(lambda x, half: np.concatenate([[len(x), half.sum()], x.sum(axis=0, dtype=np.float64), np.square(x, dtype=np.float64).sum(axis=0)]))
     n = sums[0]
-    if not len(xp) or not len(xu) or not n:
+    if not len(xp) or not n:
         return Scorer(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.5)
-    mean = sums[1 : d + 1] / n
-    scale = np.sqrt(np.maximum(sums[d + 1 :] / n - mean**2, 0)) + 1e-3
+    mean = sums[2 : d + 2] / n
+    scale = np.sqrt(np.maximum(sums[d + 2 :] / n - mean**2, 0)) + 1e-3
     scaled = lambda x: np.clip((x - mean) / scale, -8, 8)
-    xp, xu = scaled(xp), scaled(xu)
-    # Prior: a first scorer on one half of the samples, tails of all texts of the other half.
-    prior, other = 0.5, xp[~half_p]
-    if min(len(other), half_p.sum(), half_u.sum()) >= 20:
-        w, b = _descend(xp[half_p], xu[half_u], 0.5, rng, max(1, epochs // 2))
-        at = other @ w + b
-        grid = np.quantile(at, np.linspace(0, 0.9, 60))
-        above = total(lambda x: np.append((scaled(x) @ w + b >= grid[:, None]).sum(axis=1), len(x)), False)
-        if above[-1] >= 20:
-            prior = estimate_prior((at >= grid[:, None]).mean(axis=1), above[:-1] / above[-1], len(at), above[-1])
-    weight, bias = _descend(xp, xu, prior, rng, epochs)
-    return Scorer(mean, scale, weight, bias, prior)
+    xp = scaled(xp)
+    # Prior: a scorer of each half, tails of all texts of the other one; the mean of both.
+    prior, sides = 0.5, [True, False]
+    halves = [xp[half_p == side] for side in sides]
+    if min(*map(len, halves), sums[1], n - sums[1]) >= 20:
+        w = _descend(halves, sides, 0.5, PRIOR_STEPS, scaled, total)
+        level = lambda x, own: np.einsum("ij,j->i", x, own[:-1]) + own[-1]
+        at = [level(halves[1 - i], w[i]) for i in range(2)]
+        grids = [np.quantile(x, np.linspace(0, 0.9, 60)) for x in at]
+
+        def above(x, half):
+            z = scaled(x)
+            return np.concatenate([[*(level(z[half != side], own) >= grid[:, None]).sum(axis=1), (half != side).sum()] for side, own, grid in zip(sides, w, grids, strict=True)])
+
+        tails = total(above).reshape(2, -1)
+        found = [estimate_prior((at[i] >= grids[i][:, None]).mean(axis=1), tails[i][:-1] / tails[i][-1], len(at[i]), tails[i][-1]) for i in range(2)]
+        prior = float(np.mean(found))
+    weight = _descend([xp], [None], prior, STEPS, scaled, total)[0]
+    return Scorer(mean, scale, weight[:-1], float(weight[-1]), prior)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Scorer:
     """From features in memory. Without positives or unlabelled texts the scorer says 0.5 everywhere."""
     rng = np.random.default_rng(seed)
     cut_p, cut_u = rng.random(len(positive)) < 0.5, rng.random(len(unlabelled)) < 0.5
-    return _fit(positive, cut_p, unlabelled, cut_u, lambda part, half: part(unlabelled if half is None else unlabelled[cut_u == half]), rng)
+    return _fit(positive, cut_p, lambda part: part(unlabelled, cut_u))
 
 
 def held_out(key) -> "F.Column":
@@ -183,13 +205,18 @@ def featured(docs: DataFrame) -> DataFrame:
     return stage(made, "features")
 
 
-def _summed(rows: DataFrame, part) -> np.ndarray:
-    """The sum of part(features) over all rows: batches in a task, tasks in GROUPS, groups on the driver; the same order each time."""
+def _summed(rows: DataFrame, part, half=None) -> np.ndarray:
+    """The sum of part(features) over all rows: batches in a task, tasks in GROUPS, groups on the driver; the same order each time.
+
+    With a column `half` it is of part(features, half).
+    """
+    of = (lambda x, h: part(x)) if half is None else part
+    none = np.empty((0, FEATURES), np.float32), np.empty(0, bool)
 
     def of_task(batches):
-        found = part(np.empty((0, FEATURES), np.float32))
+        found = of(*none)
         for batch in batches:
-            found = found + part(_matrix(batch["features"]))
+            found = found + of(_matrix(batch["features"]), batch["half"].to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([found.astype(np.float64).tobytes()], pa.binary())], names=["task", "sums"])
 
     def of_group(batches):
@@ -201,36 +228,34 @@ def _summed(rows: DataFrame, part) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["task", "sums"])
 
     schema = "task int, sums binary"
-    tasks = rows.select("features").mapInArrow(of_task, schema)
+    tasks = rows.select("features", (F.lit(False) if half is None else half).alias("half")).mapInArrow(of_task, schema)
     groups = tasks.repartition(GROUPS, "task").sortWithinPartitions("task").mapInArrow(of_group, schema).collect()
-    found = part(np.empty((0, FEATURES), np.float32)).astype(np.float64)
+    found = of(*none).astype(np.float64)
     for row in sorted(groups, key=lambda r: r.task):
         found = found + np.frombuffer(row.sums)
     return found
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """The `most` ids least by hash: the same whatever the partitions."""
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-
-
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE) -> Scorer:
     """Fitted on the documents as unlabelled texts, and on positives among them (quality 1, not held out)."""
-    return train_on(featured(docs), labels, most_positive, most_unlabelled)
+    return train_on(featured(docs), labels, most_positive)
+
 
+def train_on(rows: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE) -> Scorer:
+    """As train(), from a table of featured(). Of the rows of one sampled id the one with the least features is taken.
 
-def train_on(rows: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Scorer:
-    """As train(), from a table of featured(). Of the rows of one sampled id the one with the least features is taken."""
+    Positives are sampled among the labelled ids that are there, the ones least by hash:
+    the same whatever the partitions.
+    """
     # Halves are told by the id, so that a positive and its own unlabelled row are in the same one.
     half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 1
-    good = _sample(labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))), most_positive)
-    chosen = good.withColumn("positive", F.lit(True)).union(_sample(rows, most_unlabelled).withColumn("positive", F.lit(False)))
-    # At most most_positive + most_unlabelled ids are broadcast, and as many rows of features come to the driver.
-    picked = rows.join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id").agg(F.min("features").alias("features")).withColumn("half", half).toPandas()
-    picked = picked.sort_values(["positive", "doc_id"], ignore_index=True)
+    good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    good = good.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most_positive)
+    # At most most_positive ids are broadcast, and as many rows of features come to the driver.
+    picked = rows.join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features")).withColumn("half", half).toPandas()
+    picked = picked.sort_values("doc_id", ignore_index=True)
     x = np.frombuffer(b"".join(picked["features"]), np.float32).reshape(-1, FEATURES)
-    mark, side = picked["positive"].to_numpy(bool), picked["half"].to_numpy(bool)
-    return _fit(x[mark], side[mark], x[~mark], side[~mark], lambda part, of: _summed(rows if of is None else rows.where(half == of), part), np.random.default_rng(7))
+    return _fit(x, picked["half"].to_numpy(bool), lambda part: _summed(rows, part, F.coalesce(half, F.lit(False))))
 
 
 def _scored(docs: DataFrame, scorer: Scorer, column: str, of: Callable, given: str) -> DataFrame:
