@@ -175,12 +175,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM,
     0; `origin` is a document that has (a part of) the passage earlier, by doc_id
     and position; it is the document itself where that repeats its own words. The
     first occurrence of a passage has no row. Null and empty texts and texts of
-    fewer than `passage` words have none either. Repeated rows repeat each other;
-    rows of one id are taken together. Ids must not be null (such rows are passed
-    over). An empty table gives an empty result. Other columns are not read.
+    fewer than `passage` words have none either. Repeated rows repeat each other.
+    Rows of one id are texts of their own, in the order of a hash of the row, and
+    spans are of one text each. Ids must not be null (such rows are passed over). An
+    empty table gives an empty result. Other columns are not read.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("row"))
-    return _passages(texts, passage, gram).drop("row")
+    rows = _numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    return _passages(rows.withColumnRenamed("_row", "row"), passage, gram).drop("row")
 
 
 def _passages(texts: DataFrame, passage: int, gram: int) -> DataFrame:

@@ -122,6 +122,16 @@ def test_repeats(spark, seed):
     assert suffixes.repeated_passages(table.limit(0)).count() == 0
 
 
+def test_repeats_in_rows_of_one_id(spark):
+    """Spans are of one text each: two texts of an id that repeat different passages aren't run together."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " " + " ".join(f"x{i}" for i in range(10))), (2, " ".join(f"y{i}" for i in range(5)) + " " + b)]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 60, 1), (2, 5, 60, 1)]
+    twice = suffixes.repeated_passages(spark.createDataFrame([(1, a), (1, a)], SCHEMA)).collect()
+    assert [tuple(r) for r in twice] == [(1, 0, 60, 1)]
+
+
 def shared_parts(seed: int, n: int):
     """Texts put together from parts of one pool, so that stretches of one gram are bounded differently."""
     rng, words = random.Random(seed), vocabulary(60)
