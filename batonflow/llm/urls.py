@@ -157,6 +157,10 @@ def _levels(encoded: DataFrame, other: DataFrame, bits_per_key: float) -> list:
     return levels
 
 
+# Names of columns that exist in between; a caller's columns may have any other.
+_HOST, _PATH, _IN = "batonflow__host", "batonflow__path", "batonflow__in"
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """`pages` with host, path, rule, listed and verdict; `listed` has the hosts of the block list as `key`.
 
@@ -164,10 +168,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RUL
     urls have an empty host, which is a key like any other. Columns of `pages`
     with these names are replaced.
     """
-    # `_host` and `_path` first: the names of the result may clash with columns of `pages`.
-    seen = pages.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    seen = build_cascade(listed, seen.select(F.col("_host").alias("key")), max_bytes=max_bytes).mark(seen, "_host", "_in")
-    rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    made = {"host": F.col("_host"), "path": F.col("_path"), "rule": rule, "listed": F.col("_in")}
-    made["verdict"] = F.coalesce(verdict, F.when(F.col("_in"), "block").otherwise("allow"))
-    return seen.withColumns(made).drop("_host", "_path", "_in")
+    # Under names of their own first: the names of the result may clash with columns of `pages`.
+    seen = pages.withColumn(_HOST, host_of(F.col(url))).withColumn(_PATH, path_of(F.col(url)))
+    seen = build_cascade(listed, seen.select(F.col(_HOST).alias("key")), max_bytes=max_bytes).mark(seen, _HOST, _IN)
+    rule, verdict = rule_of(F.col(_HOST), F.col(_PATH), rules)
+    made = {"host": F.col(_HOST), "path": F.col(_PATH), "rule": rule, "listed": F.col(_IN)}
+    made["verdict"] = F.coalesce(verdict, F.when(F.col(_IN), "block").otherwise("allow"))
+    return seen.withColumns(made).drop(_HOST, _PATH, _IN)
