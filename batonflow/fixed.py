@@ -42,6 +42,9 @@ STAGE_PAIRS = [
     ("engineering", "sales"), ("engineering", "customer_success"),
 ]
 
+# Capabilities that are confirmed from the start.
+CAPABILITIES = ["sso", "scim", "audit_logs", "data_residency", "rbac", "api_access", "uptime_sla", "pricing", "integration", "onboarding", "seats", "incident"]
+
 # Thresholds.
 SAME_NAME, NEAR_NAME = 0.85, 0.6
 SAME_TEXT, NEAR_TEXT = 0.92, 0.80

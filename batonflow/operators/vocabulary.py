@@ -13,7 +13,7 @@ pointers are followed to their slugs by doubling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from batonflow import fixed
 from batonflow.functions.scalars import normalize_capability
@@ -24,6 +24,12 @@ from batonflow.staging import clear, stage, staged
 ALWAYS = -(1 << 62)
 
 
+def confirmed(spark: SparkSession, words: list[str] = fixed.CAPABILITIES) -> DataFrame:
+    """A vocabulary of these slugs, confirmed and without synonyms: what a new tenant starts with."""
+    rows = spark.createDataFrame([(w,) for w in words], "slug string")
+    return rows.select("slug", F.array().cast("array<string>").alias("synonyms"), F.lit("confirmed").alias("status"), F.lit(None).cast("string").alias("suggested"))
+
+
 def _known_words(vocabulary: DataFrame) -> DataFrame:
     """(word, slug) of confirmed rows; a word of several slugs is the least one's."""
     words = F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("slug")))

@@ -133,3 +133,69 @@ def slot_fill(objects: DataFrame, slots: DataFrame) -> DataFrame:
     totals = objects.groupBy("type").agg(F.count("*").alias("n"))
     filled = slots.where(is_set(F.col("value"))).join(objects.select("id", "type"), "id").groupBy("type", "slot").agg(F.countDistinct("id").alias("filled"))
     return filled.join(totals, "type").select("type", "slot", "n", "filled")
+
+
+def match_probes(probes: DataFrame, items: DataFrame) -> DataFrame:
+    """(probe_id, item_id): the item that answers a probe, null if there is none.
+
+    `probes`: probe_id, fixture, type, capability; `items`: fixture, item_id, type,
+    capability. Of the fixture's items of the capability those of the type come first,
+    then those with the smaller item_id.
+    """
+    p = probes.select("probe_id", "fixture", "capability", F.col("type").alias("_type"))
+    # The least of a pair: an aggregate, so a fixture of any size is summed before it is shuffled.
+    rank = F.struct((~F.col("type").eqNullSafe(F.col("_type"))).alias("other"), F.col("item_id").alias("i"))
+    best = p.join(items.select("fixture", "capability", "type", "item_id"), ["fixture", "capability"]).groupBy("probe_id").agg(F.min(rank).alias("m"))
+    return p.join(best, "probe_id", "left").select("probe_id", F.col("m.i").alias("item_id"))
+
+
+def score_probes(matched: DataFrame, expected: DataFrame, slots: DataFrame) -> DataFrame:
+    """(probe_id, item_id, hits, total): how many of a probe's expected slots its item has.
+
+    `expected`: probe_id, slot, want, where "<non-null>" is any value; `slots`: id, slot,
+    value. A probe without an item hits nothing, one that expects nothing has total 0.
+    """
+    asked = matched.join(expected, "probe_id", "left").join(slots.select(F.col("id").alias("item_id"), "slot", "value"), ["item_id", "slot"], "left")
+    hit = F.col("value").isNotNull() & ((F.col("want") == "<non-null>") | (F.col("value") == F.col("want")))
+    return asked.groupBy("probe_id", "item_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), F.count("slot").alias("total"))
+
+
+def engine_predictions(gaps: DataFrame, objects: DataFrame, entities: DataFrame) -> DataFrame:
+    """(contract, entity, subject, slot, outcome, prediction_id) of the gaps of latest validations.
+
+    `gaps`: gap_id, contract, entity_id, upstream_id, downstream_id, slot, outcome;
+    `objects`: id, subject_key; `entities`: entity_id, slug. The subject is the upstream
+    statement's, else the downstream one's; a gap with neither, or of an unknown
+    account, predicts nothing.
+    """
+    named = gaps.withColumn("_id", F.coalesce("upstream_id", "downstream_id")).join(objects.select(F.col("id").alias("_id"), F.col("subject_key").alias("subject")), "_id")
+    rows = named.where("subject IS NOT NULL").join(entities.select("entity_id", F.col("slug").alias("entity")), "entity_id")
+    return rows.select("contract", "entity", "subject", "slot", "outcome", F.col("gap_id").alias("prediction_id"))
+
+
+def baseline_predictions(findings: DataFrame, entities: DataFrame) -> DataFrame:
+    """Findings of a retrieval baseline in the form of engine_predictions().
+
+    `findings`: finding_id, contract, entity, subject, slot, outcome. A slot that says
+    none, null, n/a or nothing is no slot; an account that isn't known is any account.
+    """
+    none = F.lower(F.regexp_replace("slot", r"^\s+|\s+$", "")).isin("none", "null", "n/a", "") | F.col("slot").isNull()
+    known = entities.select(F.col("slug").alias("entity")).distinct().withColumn("_known", F.lit(True))
+    rows = findings.join(known, "entity", "left")
+    return rows.select("contract", F.when(F.col("_known"), F.col("entity")).alias("entity"), "subject", F.when(~none, F.col("slot")).alias("slot"), "outcome", F.col("finding_id").alias("prediction_id"))
+
+
+def gap_scores(matched: DataFrame) -> DataFrame:
+    """Of match_gold's rows: per outcome and in all (null) tp, fp, fn, precision, recall; outcomes with nothing to count have no row."""
+    return confusion(matched.select("gold", "predicted"), "gold", "predicted").where("tp + fp + fn > 0")
+
+
+def wins(engine: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row: precision and recall of both in all, and whether the engine wins: more precise, and no less complete.
+
+    Both as gap_scores() has them. Without a precision or recall on either side nobody wins.
+    """
+    side = lambda df, p: df.where("outcome IS NULL").select(F.col("precision").alias(f"{p}_precision"), F.col("recall").alias(f"{p}_recall"), F.lit(1).alias("_one"))
+    both = side(engine, "engine").join(side(baseline, "baseline"), "_one", "full").drop("_one")  # one row each
+    won = (F.col("engine_precision") > F.col("baseline_precision")) & (F.col("engine_recall") >= F.col("baseline_recall"))
+    return both.withColumn("engine_wins", F.coalesce(won, F.lit(False)))

@@ -236,3 +236,91 @@ def established_subject(objects: DataFrame, sources: DataFrame) -> DataFrame:
     parts = F.split("subject_key", ":", 3)
     bound = F.concat(F.lit('subject_capability="incident", the same incident (attributes.extra.incident_id="'), parts[2], F.lit('")'))
     return best.withColumn("hint", F.when(parts[1] == "incident", bound).otherwise(F.concat(F.lit('subject_capability="'), parts[1], F.lit('"'))))
+
+
+OUTPUT = ["id", "tenant_id", "entity_id", "type", "subject_key", "content", "attributes", "actor_label", "actor_role", "stage", "authority", "confidence", "status", "valid_from", "valid_to", "source_id", "evidence_quote", "version", "created_at", "updated_at"]
+
+
+def object_output(objects: DataFrame, sources: DataFrame, principals: list[str] | None) -> DataFrame:
+    """Statements as they are shown: the columns of OUTPUT that there are, evidence_span as [lo, hi], and their source.
+
+    `source`: kind, stage, source_ts and provenance, the last null unless the caller may
+    see the source; null where there is no source.
+    """
+    seen = visible(F.col("acl"), principals or [])
+    side = sources.select(F.col("source_id").alias("_source_id"), F.struct("kind", F.col("stage").alias("stage"), "source_ts", F.when(seen, F.col("provenance")).alias("provenance")).alias("source"))
+    kept = [c for c in OUTPUT if c in objects.columns]
+    span = [F.when(F.col("evidence_span").isNotNull(), F.array("evidence_span.lo", "evidence_span.hi")).alias("evidence_span")] if "evidence_span" in objects.columns else []
+    return objects.join(side, F.col("source_id") == F.col("_source_id"), "left").select(*kept, *span, "source")
+
+
+def entity_context(objects: DataFrame, sources: DataFrame, principals: list[str]) -> DataFrame:
+    """What the caller may see of each account: its active statements and those in conflict, with their place.
+
+    Active ones are placed by type and then authority, the highest first, in conflict by
+    id; ties by id. `group` is the type, or "conflicts", which come last.
+    """
+    rows = objects.where(F.col("status").isin("active", "conflicting")).join(sources.select("source_id", "acl"), "source_id").where(visible(F.col("acl"), principals))
+    active = F.col("status") == "active"
+    by = Window.partitionBy("entity_id").orderBy(F.desc(active), F.when(active, F.col("type")), F.when(active, -F.col("authority")), "id")
+    return rows.drop("acl").withColumns({"group": F.when(active, F.col("type")).otherwise("conflicts"), "place": F.row_number().over(by)})
+
+
+def merged_statuses(objects: DataFrame, statuses: list[str], limit: int = 50) -> DataFrame:
+    """Of each tenant the statements of several statuses as one list, last updated first; ties by id."""
+    by = Window.partitionBy("tenant_id").orderBy(F.desc("updated_at"), "id")
+    return objects.where(F.col("status").isin(*statuses)).withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+
+
+def scoped(objects: DataFrame, tenant_id, team: str | None = None) -> DataFrame:
+    """A tenant's statements, or those of one team's stage."""
+    rows = objects.where(F.col("tenant_id") == tenant_id)
+    return rows if team is None else rows.where(F.col("stage") == team)
+
+
+#: A personal dashboard counts gaps up to this many.
+MOST_GAPS = 50
+
+
+def dashboard_counts(objects: DataFrame, gaps: DataFrame, today: date) -> DataFrame:
+    """One row for each tenant and team (stage), and one for the tenant as a whole (team null).
+
+    contradictions, pending (decisions that are candidates), deadlines and overdue
+    (active statements with a due date, and before `today`), incidents (distinct named
+    ones), gaps: open gaps with a statement of the scope on either side, for teams
+    counted up to MOST_GAPS. `objects`: id, tenant_id, stage, type, status, due_date,
+    incident_id; `gaps`: gap_id, status, upstream_id, downstream_id.
+    """
+    is_ = lambda c, v: F.col(c) == v
+    rows = objects.withColumn("team", F.explode(F.array_distinct(F.array("stage", F.lit(None).cast("string")))))
+    due = is_("status", "active") & F.col("due_date").isNotNull()
+    counts = rows.groupBy("tenant_id", "team").agg(
+        F.count_if(is_("status", "conflicting")).alias("contradictions"), F.count_if(is_("type", "decision") & is_("status", "candidate")).alias("pending"),
+        F.count_if(due).alias("deadlines"), F.count_if(due & (F.col("due_date") < F.lit(today))).alias("overdue"), F.countDistinct(F.nullif("incident_id", F.lit(""))).alias("incidents"),
+    )
+    met = gap_objects(gaps.where("status = 'open'"), rows.select("id", "tenant_id", "team")).groupBy("tenant_id", "team").agg(F.countDistinct("gap_id").alias("n"))
+    met = met.select(F.col("tenant_id").alias("_tenant"), F.col("team").alias("_team"), F.when(F.col("team").isNull(), F.col("n")).otherwise(F.least("n", F.lit(MOST_GAPS))).alias("n"))
+    both = counts.join(met, F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("team").eqNullSafe(F.col("_team")), "left")
+    return both.select(*counts.columns, F.coalesce("n", F.lit(0)).cast("long").alias("gaps"))
+
+
+def find_people(people: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` (tenant_id, email) with the person of that address, trimmed and in lower case; null if there is none."""
+    side = people.select(F.col("tenant_id").alias("_tenant"), F.col("email").alias("_email"), F.struct(*[c for c in people.columns if c != "tenant_id"]).alias("person"))
+    return asked.join(side, (F.col("tenant_id") == F.col("_tenant")) & (F.lower(F.regexp_replace("email", r"^\s+|\s+$", "")) == F.col("_email")), "left").drop("_tenant", "_email")
+
+
+def best_covered(entities: DataFrame, counts: DataFrame) -> DataFrame:
+    """(slug, entity_id): of the accounts of one slug the one with most sources in all kinds; ties to the smaller id. Null slugs are passed over."""
+    total = counts.groupBy("entity_id").agg(F.sum("n_sources").alias("n"))
+    rows = entities.where("slug IS NOT NULL").join(total, "entity_id", "left")
+    return rows.groupBy("slug").agg(F.min_by("entity_id", F.struct(-F.coalesce("n", F.lit(0)), F.col("entity_id"))).alias("entity_id"))
+
+
+def with_corrections(items: DataFrame) -> DataFrame:
+    """`items` whose map `extra` holds what they correct: corrects ("true" or "false") where they correct something or hint at it, and the hint."""
+    told = F.coalesce("corrects", F.lit(False)) | (F.coalesce("corrects_hint", F.lit("")) != "")
+    own = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("corrects", "corrects_hint"))
+    flag = F.create_map(F.lit("corrects"), F.coalesce("corrects", F.lit(False)).cast("string"))
+    hint = F.when(F.coalesce("corrects_hint", F.lit("")) != "", F.create_map(F.lit("corrects_hint"), F.col("corrects_hint"))).otherwise(F.create_map().cast("map<string,string>"))
+    return items.withColumn("extra", F.when(told, F.map_concat(own, flag, hint)).otherwise(F.col("extra")))

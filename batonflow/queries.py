@@ -12,7 +12,7 @@ from batonflow.functions import scalars as S
 from batonflow.operators import graph, lineage, resolve, similar, vocabulary
 from batonflow.operators import text as texts
 from batonflow.plans import commands, evals, handoff, history, reads
-from batonflow.sources import connectors, order
+from batonflow.sources import cache, connectors, messages, order
 from batonflow.staging import stage
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -950,6 +950,148 @@ def q_sweep_relations(spark, sf):
     return swept(spark, sf)["relations"].select("from_id", "to_id", "relation", "created_by", F.col("resolved_at").isNotNull().alias("resolved"))
 
 
+# Chat events of the turns: messages, commands to the bot, saved messages, messages of bots.
+LIVE = """SELECT CASE WHEN turn % 3 <> 0 THEN 'Ev' || CAST(conv_id AS VARCHAR(20)) || '.' || CAST(turn AS VARCHAR(20)) END AS event_id, CASE WHEN role = 'system' THEN 'shortcut' WHEN role = 'assistant' AND conv_id % 5 = 0 THEN 'app_mention' ELSE 'message' END AS type,
+  'C' || CAST(conv_id % 7 AS VARCHAR(20)) AS channel, conv_id % 7 = 3 AS is_private, CAST(1700000000 + conv_id AS VARCHAR(20)) || '.' || CAST(turn AS VARCHAR(20)) AS ts, CAST(NULL AS VARCHAR(1)) AS thread_ts, 'U' || CAST(turn % 4 AS VARCHAR(20)) AS sender,
+  CASE WHEN turn % 5 = 4 THEN ' <@UBOT> mark ' ELSE ' ' END || text AS text, CASE WHEN conv_id % 11 = 0 THEN 'B1' END AS bot_id, CASE WHEN conv_id % 13 = 5 THEN 'channel_join' END AS subtype FROM conversations"""
+LIVE_STAGES = {"C0": "sales", "C1": "product", "C2": "engineering"}
+
+
+@query(rf"""WITH e AS ({LIVE}), b AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM e)
+SELECT DISTINCT CASE WHEN type = 'shortcut' THEN 'shortcut:' || channel || ':' || ts ELSE coalesce(event_id, channel || ':' || ts) END AS external_id, body AS text, CASE channel WHEN 'C0' THEN 'sales' WHEN 'C1' THEN 'product' WHEN 'C2' THEN 'engineering' END AS stage, CASE WHEN is_private THEN 'U1|U2' ELSE '*' END AS acl
+FROM b WHERE type = 'shortcut' OR (type = 'message' AND bot_id IS NULL AND subtype IS NULL AND body <> '' AND NOT regexp_matches(body, '^\s*<@[^>]+>'))""")
+def s_live_messages(spark, sf):
+    """Events dropped as files, a fourth of them delivered twice, read as a stream from its checkpoint in two runs."""
+    from batonflow.streaming.jobs import collect_parts
+
+    rows = spark.sql(LIVE.replace("FROM conversations", "FROM {t}"), t=read(spark, sf, "conversations")).withColumnRenamed("sender", "user")
+    path, out = stage_path(spark), stage_path(spark)
+    members = spark.createDataFrame([("C3", ["U1", "U2"])], "channel_id string, members array<string>")
+    first = F.pmod(F.xxhash64("ts"), F.lit(2)) == 0
+    for drop in (rows.where(first), rows.where(~first | (F.pmod(F.xxhash64("ts"), F.lit(4)) == 0))):
+        drop.write.mode("append").json(f"{path}/events")
+        stream = messages.ingest_live(messages.live_sources(messages.event_files(spark, f"{path}/events"), LIVE_STAGES, members))
+        collect_parts(stream, f"{out}/out", f"{out}/state")
+    return spark.read.schema(stream.schema).parquet(f"{out}/out").select("external_id", "text", "stage", F.array_join("acl", "|").alias("acl"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, text, doc_id % 3 <> 0 AS early, CASE WHEN text IS NOT NULL THEN length(text) || ':' || left(text, 5) || ':' || coalesce(source, '') END AS result FROM documents),
+k AS (SELECT DISTINCT coalesce(text, '') AS text, coalesce(source, '') AS source FROM d WHERE early AND result IS NOT NULL)
+SELECT 1 AS load, doc_id, false AS hit, result FROM d WHERE early UNION ALL
+SELECT 2, doc_id, k.text IS NOT NULL, result FROM d LEFT JOIN k ON k.text = coalesce(d.text, '') AND k.source = coalesce(d.source, '')""")
+def q_cached_extract(spark, sf):
+    """Two loads through one cache: what the first has extracted is not asked for again."""
+    d = read(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("context_key"))
+    said = lambda asked: asked.select("key", F.concat_ws(":", F.length("text").cast("string"), F.left("text", F.lit(5)), "context_key").alias("result"))
+    one, fresh = cache.cached_extract(d.where("doc_id % 3 <> 0"), None, said, "v1", "model", "s1")
+    two, _ = cache.cached_extract(d, fresh, said, "v1", "model", "s1")
+    return one.withColumn("load", F.lit(1)).unionByName(two.withColumn("load", F.lit(2))).select("load", "doc_id", "hit", "result")
+
+
+PROBES = "SELECT source_id * 4 + c AS probe_id, source_id AS fixture, CASE c WHEN 0 THEN 'sso' ELSE concat('c', c) END AS capability, CASE source_id % 3 WHEN 0 THEN 'requirement' WHEN 1 THEN 'problem' ELSE 'commitment' END AS type FROM src, (VALUES (0), (1), (2), (3)) AS v(c)"
+
+
+@query(f"""WITH p AS ({PROBES}), i AS (SELECT id, source_id AS fixture, type, split_part(subject_key, ':', 2) AS capability FROM obj),
+m AS (SELECT p.probe_id, i.id AS item_id FROM p LEFT JOIN i ON i.fixture = p.fixture AND i.capability = p.capability QUALIFY row_number() OVER (PARTITION BY p.probe_id ORDER BY coalesce(i.type = p.type, false) DESC, i.id) = 1)
+SELECT m.probe_id, item_id, count(*) FILTER (WHERE (e.slot = 'protocol' AND value IS NOT NULL) OR value = e.want) AS hits, count(*) AS total FROM m CROSS JOIN (VALUES ('protocol', '<non-null>'), ('quantity', '100'), ('priority', 'P1')) e(slot, want) LEFT JOIN slots s ON s.id = m.item_id AND s.slot = e.slot GROUP BY ALL""", "obj", "src", "slots")
+def q_probe_match(spark, sf):
+    o = objects(spark, sf)
+    probes = spark.sql(PROBES.replace("FROM src", "FROM {src}"), src=sources(spark, sf))
+    items = o.select(F.col("source_id").alias("fixture"), F.col("id").alias("item_id"), "type", F.split_part("subject_key", F.lit(":"), F.lit(2)).alias("capability"))
+    want = spark.createDataFrame([("protocol", "<non-null>"), ("quantity", "100"), ("priority", "P1")], "slot string, want string")
+    expected = probes.select("probe_id").join(F.broadcast(want))  # three rows
+    return evals.score_probes(evals.match_probes(probes, items), expected, slots_long(o))
+
+
+@query(f"""{GAPS_SQL} SELECT contract, 'e' || o.entity_id AS entity, o.subject_key AS subject, slot, outcome, coalesce(upstream_id, -1) * 1000000 + coalesce(downstream_id, -1) AS prediction_id
+FROM gaps JOIN obj o ON o.id = coalesce(upstream_id, downstream_id) WHERE gaps.entity_id % 10 <> 9""", *GAP_TABLES)
+def q_engine_predictions(spark, sf):
+    tables = stored(spark, sf)
+    gaps = gaps_of(spark, sf, tables).withColumn("gap_id", F.coalesce("upstream_id", F.lit(-1)) * 1000000 + F.coalesce("downstream_id", F.lit(-1)))
+    known = tables[0].where("entity_id % 10 <> 9").select("entity_id", F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("slug")).distinct()
+    return evals.engine_predictions(gaps, tables[0], known)
+
+
+@query("""SELECT 'sales_to_product' AS contract, CASE WHEN id % 13 <> 0 THEN 'e' || entity_id END AS entity, subject_key AS subject, CASE WHEN id % 6 = 3 THEN 'due_date' WHEN id % 6 = 4 THEN ' Plan' END AS slot, 'missing' AS outcome, id AS prediction_id FROM obj""", "obj")
+def q_baseline_predictions(spark, sf):
+    o = objects(spark, sf)
+    slot = F.element_at(F.array(*map(F.lit, ["None", " n/a ", "", "due_date", " Plan", None])), (F.col("id") % 6 + 1).cast("int"))
+    name = F.concat(F.lit("e"), F.col("entity_id").cast("string"))
+    findings = o.select(F.col("id").alias("finding_id"), F.lit("sales_to_product").alias("contract"), F.when(F.col("id") % 13 == 0, "nobody").otherwise(name).alias("entity"), F.col("subject_key").alias("subject"), slot.alias("slot"), F.lit("missing").alias("outcome"))
+    return evals.baseline_predictions(findings, o.select(name.alias("slug")).distinct())
+
+
+@query("""WITH g AS (SELECT CASE WHEN quality = 1 THEN 'missing' ELSE 'contradicted' END AS gold, CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'missing' ELSE 'generalized' END AS e, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'missing' ELSE 'contradicted' END AS b FROM labels),
+s AS (SELECT count(*) FILTER (WHERE gold = e)::DOUBLE AS etp, count(e) AS ep, count(*) FILTER (WHERE gold = b)::DOUBLE AS btp, count(b) AS bp, count(*) AS n FROM g)
+SELECT etp / ep AS engine_precision, etp / n AS engine_recall, btp / bp AS baseline_precision, btp / n AS baseline_recall, etp / ep > btp / bp AND etp / n >= btp / n AS engine_wins FROM s""")
+def q_win_test(spark, sf):
+    l = read(spark, sf, "labels")
+    gold = F.when(F.col("quality") == 1, "missing").otherwise("contradicted").alias("gold")
+    engine = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "missing").otherwise("generalized")
+    base = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 2 == 0, "missing").otherwise("contradicted")
+    return evals.wins(*(evals.gap_scores(l.select(gold, p.alias("predicted"))) for p in (engine, base)))
+
+
+@query("""SELECT o.id, o.type, o.authority, o.status, s.kind, CASE WHEN reader IN ('*', 'team:engineering') THEN 'from ' || s.source_id END AS provenance FROM obj o LEFT JOIN src s ON s.source_id = o.source_id AND s.source_id % 10 <> 0""", "obj", "src")
+def q_object_output(spark, sf):
+    s = src(spark, sf).where("source_id % 10 <> 0").withColumns({"stage": F.lit("sales"), "source_ts": F.lit(None).cast("timestamp"), "provenance": F.concat(F.lit("from "), F.col("source_id").cast("string"))})
+    return reads.object_output(objects(spark, sf), s, ME).select("id", "type", "authority", "status", "source.kind", "source.provenance")
+
+
+@query("""SELECT id, entity_id, CASE WHEN status = 'active' THEN type ELSE 'conflicts' END AS "group", CAST(row_number() OVER (PARTITION BY entity_id ORDER BY status = 'active' DESC, CASE WHEN status = 'active' THEN type END NULLS FIRST, CASE WHEN status = 'active' THEN -authority END NULLS FIRST, id) AS INT) AS place
+FROM obj JOIN src USING (source_id) WHERE status IN ('active', 'conflicting') AND reader IN ('*', 'team:engineering')""", "obj", "src")
+def q_entity_context(spark, sf):
+    return reads.entity_context(objects(spark, sf), src(spark, sf), ME).select("id", "entity_id", "group", "place")
+
+
+@query("SELECT tenant_id, id, status, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY valid_from DESC, id) AS INT) AS place FROM obj WHERE status IN ('candidate', 'conflicting') QUALIFY place <= 50", "obj")
+def q_merged_statuses(spark, sf):
+    o = objects(spark, sf).withColumn("updated_at", F.col("valid_from"))
+    return reads.merged_statuses(o, ["candidate", "conflicting"]).select("tenant_id", "id", "status", "place")
+
+
+DASH = """SELECT id, tenant_id, stage, type, status, CASE WHEN k % 4 <> 0 THEN CAST(valid_from AS DATE) END AS due_date, CASE k % 6 WHEN 1 THEN concat('INC-', CAST(k % 9 AS VARCHAR(20))) WHEN 2 THEN '' END AS incident_id FROM obj"""
+DASH_GAPS = "SELECT from_id * 1000000 + to_id AS gap_id, CASE WHEN (from_id + to_id) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, to_id AS upstream_id, CASE WHEN from_id % 4 <> 0 THEN from_id END AS downstream_id FROM rel"
+
+
+@query(f"""WITH d AS ({DASH}), g AS ({DASH_GAPS}), x AS (SELECT *, stage AS team FROM d UNION ALL SELECT *, NULL FROM d),
+c AS (SELECT tenant_id, team, count(*) FILTER (WHERE status = 'conflicting') AS contradictions, count(*) FILTER (WHERE type = 'decision' AND status = 'candidate') AS pending, count(*) FILTER (WHERE status = 'active' AND due_date IS NOT NULL) AS deadlines,
+  count(*) FILTER (WHERE status = 'active' AND due_date < DATE '2024-01-20') AS overdue, count(DISTINCT nullif(incident_id, '')) AS incidents FROM x GROUP BY tenant_id, team),
+n AS (SELECT x.tenant_id, x.team, count(DISTINCT gap_id) AS n FROM g JOIN x ON x.id = g.upstream_id OR x.id = g.downstream_id WHERE g.status = 'open' GROUP BY x.tenant_id, x.team)
+SELECT c.*, CASE WHEN n IS NULL THEN 0 WHEN c.team IS NULL THEN n ELSE least(n, 50) END AS gaps FROM c LEFT JOIN n ON n.tenant_id = c.tenant_id AND n.team IS NOT DISTINCT FROM c.team""", "obj", "pairs", "rel")
+def q_dashboard_counts(spark, sf):
+    o = objects(spark, sf)
+    rel = stage(lineage.edges(o), "lineage")
+    gaps = spark.sql(DASH_GAPS.replace("FROM rel", "FROM {rel}"), rel=rel)
+    return reads.dashboard_counts(spark.sql(DASH.replace("FROM obj", "FROM {obj}"), obj=o), gaps, date(2024, 1, 20))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 <> 0 THEN c_custkey END AS person_id FROM customer""")
+def q_person_by_email(spark, sf):
+    c = read(spark, sf, "customer")
+    key, tenant = F.col("c_custkey").cast("string"), (F.col("c_nationkey") % 2).alias("tenant_id")
+    people = c.where("c_custkey % 4 <> 0").select(tenant, F.concat(F.lit("p"), key, F.lit("@x.example")).alias("email"), F.col("c_custkey").alias("person_id"))
+    asked = c.select("c_custkey", tenant, F.when(F.col("c_custkey") % 3 == 0, "nobody@x.example").otherwise(F.concat(F.lit("\t P"), key, F.lit("@X.Example \n"))).alias("email"))
+    return reads.find_people(people, asked).select("c_custkey", "person.person_id")
+
+
+@query("""WITH n AS (SELECT entity_id, count(DISTINCT source_id) AS n FROM (SELECT entity_id, kind, source_id FROM obj JOIN src USING (source_id) WHERE reader IN ('*', 'team:engineering')) GROUP BY entity_id),
+e AS (SELECT DISTINCT entity_id, 'a' || entity_id % 20 AS slug FROM obj) SELECT slug, arg_min(entity_id, {'n': -coalesce(n, 0), 'e': entity_id}) AS entity_id FROM e LEFT JOIN n USING (entity_id) GROUP BY slug""", "obj", "src")
+def q_best_covered(spark, sf):
+    o = objects(spark, sf)
+    who = o.select("entity_id", F.concat(F.lit("a"), (F.col("entity_id") % 20).cast("string")).alias("slug")).distinct()
+    return reads.best_covered(who, reads.source_counts(o, src(spark, sf), ME))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 OR id % 4 = 0 THEN CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END WHEN id % 5 = 0 THEN 'old' END AS corrects, CASE WHEN id % 4 = 0 THEN 'about ' || k END AS hint, CASE WHEN id % 5 = 0 THEN 'INC-' || k END AS incident_id FROM obj""", "obj")
+def q_corrections(spark, sf):
+    o, k = objects(spark, sf), F.col("k").cast("string")
+    extra = F.when(F.col("id") % 5 == 0, F.create_map(F.lit("incident_id"), F.concat(F.lit("INC-"), k), F.lit("corrects"), F.lit("old")))
+    items = o.select("id", (F.col("id") % 3 == 0).alias("corrects"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("about "), k)).alias("corrects_hint"), extra.alias("extra"))
+    e = F.col("extra")
+    return reads.with_corrections(items).select("id", e["corrects"].alias("corrects"), e["corrects_hint"].alias("hint"), e["incident_id"].alias("incident_id"))
+
+
 @query("SELECT user_id, count(DISTINCT event_type) AS jobs FROM events GROUP BY user_id")
 def s_dedupe_stream(spark, sf):
     from batonflow.streaming import jobs as streams
