@@ -30,9 +30,9 @@ from batonflow.staging import stage
 MOST_POSITIVE = 6_000
 #: Steps of the descent, each over all documents, and of the two that the class prior is estimated from; its rate and penalty.
 #: Chosen on five folds of the labels that are not held out.
-STEPS, PRIOR_STEPS, RATE, DECAY = 40, 20, 0.05, 1e-3
+STEPS, PRIOR_STEPS, RATE, DECAY = 30, 15, 0.05, 1e-3
 #: Groups that sums of tasks are added up in, before the driver adds these.
-GROUPS = 16
+GROUPS, MOST_TASKS = 16, 64
 THRESHOLD = 0.3
 
 # Byte classes: space, newline, lower, upper, digit, end of sentence, other ordinary marks, !, |, other ASCII signs, UTF-8.
@@ -205,10 +205,11 @@ def featured(docs: DataFrame) -> DataFrame:
     return stage(made, "features")
 
 
-def _summed(rows: DataFrame, part, half=None) -> np.ndarray:
+def _summed(rows: DataFrame, part, half=None, tasks: int | None = None) -> np.ndarray:
     """The sum of part(features) over all rows: batches in a task, tasks in GROUPS, groups on the driver; the same order each time.
 
-    With a column `half` it is of part(features, half).
+    With a column `half` it is of part(features, half). Where `rows` are known to be few
+    `tasks`, up to MOST_TASKS, the driver adds these without groups.
     """
     of = (lambda x, h: part(x)) if half is None else part
     none = np.empty((0, FEATURES), np.float32), np.empty(0, bool)
@@ -228,8 +229,10 @@ def _summed(rows: DataFrame, part, half=None) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["task", "sums"])
 
     schema = "task int, sums binary"
-    tasks = rows.select("features", (F.lit(False) if half is None else half).alias("half")).mapInArrow(of_task, schema)
-    groups = tasks.repartition(GROUPS, "task").sortWithinPartitions("task").mapInArrow(of_group, schema).collect()
+    found = rows.select("features", (F.lit(False) if half is None else half).alias("half")).mapInArrow(of_task, schema)
+    if tasks is None or tasks > MOST_TASKS:
+        found = found.repartition(GROUPS, "task").sortWithinPartitions("task").mapInArrow(of_group, schema)
+    groups = found.collect()
     found = of(*none).astype(np.float64)
     for row in sorted(groups, key=lambda r: r.task):
         found = found + np.frombuffer(row.sums)
@@ -255,7 +258,8 @@ def train_on(rows: DataFrame, labels: DataFrame, most_positive: int = MOST_POSIT
     picked = rows.join(F.broadcast(good), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features")).withColumn("half", half).toPandas()
     picked = picked.sort_values("doc_id", ignore_index=True)
     x = np.frombuffer(b"".join(picked["features"]), np.float32).reshape(-1, FEATURES)
-    return _fit(x, picked["half"].to_numpy(bool), lambda part: _summed(rows, part, F.coalesce(half, F.lit(False))))
+    tasks = rows.rdd.getNumPartitions()  # of the plan alone: nothing is run
+    return _fit(x, picked["half"].to_numpy(bool), lambda part: _summed(rows, part, F.coalesce(half, F.lit(False)), tasks))
 
 
 def _scored(docs: DataFrame, scorer: Scorer, column: str, of: Callable, given: str) -> DataFrame:
