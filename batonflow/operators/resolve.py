@@ -114,20 +114,20 @@ def resolve_people(asked: DataFrame, people: DataFrame, domains: DataFrame) -> D
 def resolve_capabilities(proposed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(proposed, slug, how, near): exact slug or synonym, else similar from .85 on, else a candidate.
 
-    `vocabulary`: slug, synonyms, status. Only confirmed slugs are matched; what is
-    linked would be a synonym from the next batch on.
+    `vocabulary`: slug, synonyms, status. Only confirmed slugs are matched, as they are
+    before the batch; vocabulary.resolve_in_order() lets it grow meanwhile.
     """
     from batonflow.functions.scalars import normalize_capability
 
     known = vocabulary.where("status = 'confirmed'").select("slug", F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("slug"))).alias("word")).distinct()
     asked = proposed.select("proposed").distinct().withColumn("word", normalize_capability(F.col("proposed")))
     exact = asked.join(known, "word", "left").groupBy("proposed", "word").agg(F.min("slug").alias("exact"))
-    left = exact.where("exact IS NULL").withColumn("t", trigrams(F.col("word")))
-    names = known.withColumn("kt", trigrams(F.col("word"))).withColumnRenamed("word", "known_word")
-    # Any two words with a similarity over 0 share a trigram: an equi-join, not a cross join.
-    meet = left.select("word", "t", F.explode("t").alias("g")).join(names.select("slug", "known_word", "kt", F.explode("kt").alias("g")), "g")
-    scored = meet.select("word", "slug", "known_word", similarity(F.col("t"), F.col("kt")).alias("s")).distinct()
-    best = scored.groupBy("word").agg(F.max("s").alias("s"), F.min_by("slug", F.struct(-F.col("s"), F.col("slug"))).alias("best"))
+    # Words meet by their rarest trigrams, so that one which most words have brings hardly any together.
+    open_ = exact.where("exact IS NULL").select("word")
+    pairs = similar_pairs(open_.union(known.select("word")).distinct(), fixed.NEAR_NAME, "word")
+    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("known_word"), "similarity").union(pairs.select("b", "a", "similarity"))
+    scored = both.join(known.withColumnRenamed("word", "known_word"), "known_word")
+    best = scored.groupBy("word").agg(F.max("similarity").alias("s"), F.min_by("slug", F.struct(-F.col("similarity"), F.col("slug"))).alias("best"))
     return exact.join(best, "word", "left").select(
         "proposed",
         F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("s") >= fixed.SAME_NAME, F.col("best")).otherwise(F.col("word")).alias("slug"),

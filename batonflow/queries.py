@@ -353,7 +353,14 @@ def q_entity_resolve(spark, sf):
     return resolve.resolve_entities(hints, known)
 
 
-@query()
+_CAPABILITY = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'capability')"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT {_CAPABILITY.format("p_type")} AS slug FROM part), p AS (SELECT DISTINCT regexp_replace(p_type, '(?i)ed ', 'd ', 'g') AS proposed FROM part),
+w AS (SELECT proposed, {_CAPABILITY.format("proposed")} AS word FROM p), n AS (SELECT slug AS n FROM v UNION SELECT word FROM w), t AS MATERIALIZED (SELECT n, {TRI} AS t FROM n),
+b AS (SELECT w.word, v.slug, len(list_intersect(a.t, c.t))::DOUBLE / len(list_distinct(list_concat(a.t, c.t))) AS s FROM (SELECT DISTINCT word FROM w) w JOIN t a ON a.n = w.word CROSS JOIN v JOIN t c ON c.n = v.slug),
+m AS (SELECT word, slug, s FROM b QUALIFY row_number() OVER (PARTITION BY word ORDER BY slug = word DESC, s DESC, slug) = 1)
+SELECT proposed, CASE WHEN s >= 0.85 THEN slug ELSE word END AS slug, CASE WHEN slug = word THEN 'exact' WHEN s >= 0.85 THEN 'linked' ELSE 'candidate' END AS how, CASE WHEN s < 0.85 AND s >= 0.6 THEN slug END AS near FROM w JOIN m USING (word)""")
 def q_capability_resolve(spark, sf):
     parts = read(spark, sf, "part")
     vocabulary = parts.select(S.normalize_capability(F.col("p_type")).alias("slug")).distinct().select("slug", F.array().cast("array<string>").alias("synonyms"), F.lit("confirmed").alias("status"))
@@ -456,7 +463,21 @@ def q_evidence_exact(spark, sf):
     return docs.join(met, "doc_id").withColumn("lo", S.evidence_start(F.col("text"), F.col("quote"))).where("lo IS NOT NULL").select("doc_id", "item_id", "part", F.col("lo").cast("long").alias("lo"))
 
 
-@query()
+_CHARS = lambda x: "'" + "".join(sorted(x)).replace("'", "''") + "'"
+_BLANK = "(" + ", ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160)) + ")"
+
+
+def _folded(name: str, rows: str) -> str:
+    """operators.text.folded in SQL: tables name_c (doc_id, i, n, c), the characters that stay with both places, and name (doc_id, t)."""
+    plain = f"CASE WHEN c IN {_BLANK} THEN ' ' WHEN contains({_CHARS(texts.DASHES)}, c) THEN '-' WHEN contains({_CHARS(texts.SINGLE)}, c) THEN chr(39) WHEN contains({_CHARS(texts.DOUBLE)}, c) THEN chr(34) ELSE c END"
+    return f"""{name}_s AS (SELECT doc_id, unnest(string_split(x, '')) AS c, generate_subscripts(string_split(x, ''), 1) AS i FROM ({rows})), {name}_k AS (SELECT *, lag(c IN {_BLANK}, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM {name}_s WHERE NOT contains({_CHARS(texts.EMPHASIS)}, c)),
+{name}_c AS MATERIALIZED (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, {plain} AS c FROM {name}_k WHERE NOT (c IN {_BLANK} AND gap)), {name} AS (SELECT doc_id, string_agg(c, '' ORDER BY n) AS t FROM {name}_c GROUP BY doc_id)"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, regexp_replace(substr(text, greatest(1, length(text) // 2 - 29), 60), '\s+', '  ', 'g') AS quote FROM documents WHERE text <> ''), e AS (SELECT *, strpos(text, quote) AS p FROM d),
+{_folded("whole", "SELECT doc_id, text AS x FROM e WHERE p = 0")}, {_folded("part", "SELECT doc_id, quote AS x FROM e WHERE p = 0")}, found0 AS (SELECT doc_id, strpos(whole.t, part.t) AS a, length(part.t) AS l FROM whole JOIN part USING (doc_id)),
+found AS (SELECT doc_id, lo.i - 1 AS lo, hi.i AS hi FROM found0 JOIN whole_c lo USING (doc_id) JOIN whole_c hi USING (doc_id) WHERE a > 0 AND lo.n = a AND hi.n = a + l - 1)
+SELECT doc_id, CAST(CASE WHEN p > 0 THEN p - 1 ELSE lo END AS INT) AS lo, CAST(CASE WHEN p > 0 THEN p - 1 + length(quote) ELSE hi END AS INT) AS hi FROM e LEFT JOIN found USING (doc_id)""")
 def q_evidence_span(spark, sf):
     """Of each document words from its middle as a quote whose spaces were changed: the folded path."""
     middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - 29)
