@@ -29,8 +29,8 @@ from batonflow.staging import stage
 WORDS, SHARE = 5, 75
 #: One document of so many is sampled for the global order, and a shingle of so many of them is frequent.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
-#: A shingle with more documents than this is joined as a frequent one.
-LARGE = 256
+#: A shingle with more sets than this is joined as a frequent one: of fewer, all pairs are counted.
+LARGE = 64
 FRAGMENTS = 8
 #: Shingles of one block of a family, before it meets another block.
 BLOCK = 250_000
