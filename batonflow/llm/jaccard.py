@@ -29,8 +29,8 @@ from batonflow.staging import stage
 WORDS, SHARE = 5, 75
 #: One document of so many is sampled for the global order, and a shingle of so many of them is frequent.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
-#: A shingle with more sets than this is joined as a frequent one: of fewer, all pairs are counted.
-LARGE = 64
+#: A shingle with more documents than this is joined as a frequent one.
+LARGE = 256
 FRAGMENTS = 8
 #: Shingles of one block of a family, before it meets another block.
 BLOCK = 250_000
@@ -173,8 +173,10 @@ def _fragments(words: int, bits):
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The linked ones of `pairs` (a, b): partial overlaps of the fragments, summed per pair."""
-    left = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
+    # Each side's shuffle has only the sets that are on that side of a pair, and the bits' few false hits.
+    own = lambda c: parted(sets, pairs.select(F.col(c).alias("set_id")).distinct(), "set_id")[1]
+    left = pairs.select("a", "b").join(own("a").select(F.col("set_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga")), "a")
+    both = left.join(own("b").select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
     return (
         both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("overlap"))
         .where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * share).select("a", "b")
@@ -271,7 +273,7 @@ def _components(docs: DataFrame, words: int, share: int, key: str = "doc_id", te
     # Sets of the bits' few false hits are there too, and no pair asks for them.
     sets = stage(made.where("n > 0").dropDuplicates(["set_id", "fragment"]), "sets")
 
-    links = stage(_verified(first.distinct(), sets, share), "links")
+    links = stage(_verified(stage(first.distinct(), "candidates"), sets, share), "links")
     families = connected_components(star, "a", "b").withColumnRenamed("component", "family")
     links = stage(links.union(_blocks(families, connected_components(links, "a", "b"), sets, share)), "links")
 
