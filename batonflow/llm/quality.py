@@ -31,6 +31,8 @@ MOST_POSITIVE = 6_000
 #: Steps of the descent, each over all documents, and of the two that the class prior is estimated from; its rate and penalty.
 #: Chosen on five folds of the labels that are not held out.
 STEPS, PRIOR_STEPS, RATE, DECAY = 30, 15, 0.05, 1e-3
+#: Positives and texts that each half must have for a class prior to be estimated; with fewer nothing is learnt.
+LEAST = 20
 #: Groups that sums of tasks are added up in, before the driver adds these.
 GROUPS, MOST_TASKS = 16, 64
 THRESHOLD = 0.3
@@ -161,34 +163,33 @@ def _fit(xp: np.ndarray, half_p: np.ndarray, total: Total) -> Scorer:
     d = FEATURES
     sums = total(lambda x, half: np.concatenate([[len(x), half.sum()], x.sum(axis=0, dtype=np.float64), np.square(x, dtype=np.float64).sum(axis=0)]))
     n = sums[0]
-    if not len(xp) or not n:
+    if min(half_p.sum(), (~half_p).sum(), sums[1], n - sums[1]) < LEAST:
         return Scorer(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.5)
     mean = sums[2 : d + 2] / n
     scale = np.sqrt(np.maximum(sums[d + 2 :] / n - mean**2, 0)) + 1e-3
     scaled = lambda x: np.clip((x - mean) / scale, -8, 8)
     xp = scaled(xp)
     # Prior: a scorer of each half, tails of all texts of the other one; the mean of both.
-    prior, sides = 0.5, [True, False]
+    sides = [True, False]
     halves = [xp[half_p == side] for side in sides]
-    if min(*map(len, halves), sums[1], n - sums[1]) >= 20:
-        w = _descend(halves, sides, 0.5, PRIOR_STEPS, scaled, total)
-        level = lambda x, own: np.einsum("ij,j->i", x, own[:-1]) + own[-1]
-        at = [level(halves[1 - i], w[i]) for i in range(2)]
-        grids = [np.quantile(x, np.linspace(0, 0.9, 60)) for x in at]
-
-        def above(x, half):
-            z = scaled(x)
-            return np.concatenate([[*(level(z[half != side], own) >= grid[:, None]).sum(axis=1), (half != side).sum()] for side, own, grid in zip(sides, w, grids, strict=True)])
-
-        tails = total(above).reshape(2, -1)
-        found = [estimate_prior((at[i] >= grids[i][:, None]).mean(axis=1), tails[i][:-1] / tails[i][-1], len(at[i]), tails[i][-1]) for i in range(2)]
-        prior = float(np.mean(found))
+    w = _descend(halves, sides, 0.5, PRIOR_STEPS, scaled, total)
+    level = lambda x, own: np.einsum("ij,j->i", x, own[:-1]) + own[-1]
+    at = [level(halves[1 - i], w[i]) for i in range(2)]
+    grids = [np.quantile(x, np.linspace(0, 0.9, 60)) for x in at]
+
+    def above(x, half):
+        z = scaled(x)
+        return np.concatenate([[*(level(z[half != side], own) >= grid[:, None]).sum(axis=1), (half != side).sum()] for side, own, grid in zip(sides, w, grids, strict=True)])
+
+    tails = total(above).reshape(2, -1)
+    found = [estimate_prior((at[i] >= grids[i][:, None]).mean(axis=1), tails[i][:-1] / tails[i][-1], len(at[i]), tails[i][-1]) for i in range(2)]
+    prior = float(np.mean(found))
     weight = _descend([xp], [None], prior, STEPS, scaled, total)[0]
     return Scorer(mean, scale, weight[:-1], float(weight[-1]), prior)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Scorer:
-    """From features in memory. Without positives or unlabelled texts the scorer says 0.5 everywhere."""
+    """From features in memory. With fewer than LEAST positives or texts in a half the scorer says 0.5 everywhere."""
     rng = np.random.default_rng(seed)
     cut_p, cut_u = rng.random(len(positive)) < 0.5, rng.random(len(unlabelled)) < 0.5
     return _fit(positive, cut_p, lambda part: part(unlabelled, cut_u))
@@ -286,7 +287,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Labels only say which texts are trusted; a score is a function of the text.
     Null and empty texts get the score of no text. Repeated rows get equal scores,
     a null id is never held out. Empty tables give an empty result. Labels of
-    documents that aren't there are passed over.
+    documents that aren't there are passed over. With fewer than LEAST positives or
+    texts in either half of the table, which the class prior is estimated from, the
+    score is 0.5 everywhere.
     """
     rows = featured(docs)
     scored = _scored(rows, train_on(rows, labels), "score", lambda kept: np.frombuffer(kept, np.float32), "features")
