@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,6 +68,3 @@ def evidence_span(text: Column, quote: Column) -> Column:
     # A null text or quote skips Python: the inputs are null for rows that are exact.
     rest = fold(F.when(at == 0, text), F.when(at == 0, quote))
     return F.when(F.length(quote) == 0, None).when(at > 0, exact).when(rest["lo"].isNotNull(), rest)
-
-
-HEADER = re.compile(r"^#\s*(\w+):\s*(.*)$")
