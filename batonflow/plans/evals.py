@@ -131,7 +131,11 @@ def slot_fill(objects: DataFrame, slots: DataFrame) -> DataFrame:
     from batonflow.functions.scalars import is_set
 
     totals = objects.groupBy("type").agg(F.count("*").alias("n"))
-    filled = slots.where(is_set(F.col("value"))).join(objects.select("id", "type"), "id").groupBy("type", "slot").agg(F.countDistinct("id").alias("filled"))
+    # A statement's slots and types are sets of its own, made where the join has them anyway, so no task tells apart the ids of a slot.
+    kept = slots.where(is_set(F.col("value"))).select("id", "slot").repartition("id").groupBy("id").agg(F.collect_set("slot").alias("slots"))
+    kinds = objects.select("id", "type").groupBy("id").agg(F.collect_set("type").alias("types"))
+    filled = kept.join(kinds, "id").select(F.explode("types").alias("type"), "slots").select("type", F.explode("slots").alias("slot"))
+    filled = filled.groupBy("type", "slot").agg(F.count("*").alias("filled"))
     return filled.join(totals, "type").select("type", "slot", "n", "filled")
 
 
