@@ -129,9 +129,16 @@ def incident_latest(links: DataFrame, objects: DataFrame, slots: DataFrame, name
 
 
 def incident_gaps(accounts: DataFrame, validations: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(incident_id, gap_id): open gaps of all validations of an incident's accounts."""
-    runs = accounts.join(validations.select("validation_id", "entity_id"), "entity_id").select("incident_id", "validation_id")
-    return runs.join(gaps.where("status = 'open'").select("validation_id", "gap_id"), "validation_id").select("incident_id", "gap_id").distinct()
+    """(incident_id, gap_id): open gaps of all validations of an incident's accounts, each pair once.
+
+    Only a gap of several accounts can meet an incident twice, so no other pairs are told apart.
+    """
+    runs = gaps.where("status = 'open'").select("validation_id", "gap_id").join(validations.select("validation_id", "entity_id"), "validation_id")
+    found = runs.where("entity_id IS NOT NULL").groupBy("gap_id").agg(F.collect_set("entity_id").alias("of"))
+    asked = accounts.select("incident_id", "entity_id").distinct()
+    own = found.where("size(of) = 1").select("gap_id", F.element_at("of", 1).alias("entity_id")).join(asked, "entity_id")
+    shared = found.where("size(of) > 1").select("gap_id", F.explode("of").alias("entity_id")).join(asked, "entity_id")
+    return own.select("incident_id", "gap_id").union(shared.select("incident_id", "gap_id").distinct())
 
 
 def people_frequency(rows: DataFrame, label: str, role: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from batonflow.plans import evals
+from batonflow.plans import evals, reads
 
 
 def plan(df) -> str:
@@ -15,3 +15,12 @@ def test_slot_fill_tells_no_ids_apart_by_slot(spark):
     found = evals.slot_fill(objects, slots)
     assert sorted(map(tuple, found.collect())) == [("a", "x", 4, 2), ("a", "y", 4, 1), ("b", "y", 1, 1)]
     assert "distinct" not in plan(found)
+
+
+def test_incident_gaps_tell_only_shared_gaps_apart(spark):
+    accounts = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 10), (3, None)], "incident_id long, entity_id long")
+    runs = spark.createDataFrame([(100, 10), (101, 11), (102, 12), (103, None)], "validation_id long, entity_id long")
+    rows = [(7, 100, "open"), (7, 101, "open"), (8, 100, "open"), (8, 100, "open"), (9, 101, "resolved"), (5, 102, "open"), (6, 103, "open")]
+    found = reads.incident_gaps(accounts, runs, spark.createDataFrame(rows, "gap_id long, validation_id long, status string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    assert plan(found).startswith("Union")
