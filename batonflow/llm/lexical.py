@@ -132,14 +132,15 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int =
 
     Null and empty texts have no terms and don't count. Repeated rows are documents
     each; a null id counts in the statistics and is never found. An empty table
-    gives an index that finds nothing. Other columns are not read.
+    gives an index that finds nothing. Other columns are not read. Shards are written
+    and read about one at a time, however many a task has.
     """
     texts = in_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    plain = stage(texts.mapInArrow(_shards(shard), _POSTINGS), "postings")
+    plain = stage(texts.mapInArrow(_shards(shard), _POSTINGS), "postings", group=shard)
     totals = plain.select("lengths").mapInArrow(_summary, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
     n, total = int(totals[0] or 0), int(totals[1] or 0)
     counts = plain.select("terms", "starts").mapInArrow(_counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(stage(plain.mapInArrow(_impacts(n, max(1, total)), _POSTINGS), "impacts"), stage(counts, "terms"), n, total)
+    return Index(stage(plain.mapInArrow(_impacts(n, max(1, total)), _POSTINGS), "impacts", group=shard), stage(counts, "terms"), n, total)
 
 
 def _item_terms(batches):

@@ -30,14 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or _own_folder()).rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     The files outlive lost executors, and the lineage of what is read is one scan.
+    Where rows hold megabytes, `group` is the bytes of a row group: the writer looks
+    at its size after each row, not after a hundred, and a reader takes a group at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/batonflow-{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if group:
+        rows = ("block.size.row.check.min", "block.size.row.check.max", "page.size.row.check.min", "page.size.row.check.max")
+        writer = writer.option("parquet.block.size", group).options(**{f"parquet.{x}": 1 for x in rows})
+    writer.parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from glob import glob
+
+import pyarrow.parquet as pq
+
 from batonflow.plans import evals, reads
 
 
@@ -9,6 +13,20 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_staged_shards_are_row_groups_of_their_own(spark):
+    from batonflow.llm import lexical
+
+    texts = [(i, " ".join(f"word{(i * 37 + j) % 997}" for j in range(200))) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    made = lexical.index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), shard=1 << 12)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = [pq.ParquetFile(f).metadata for path in made.shards.inputFiles() for f in glob(path.removeprefix("file://"))]
+    assert sum(g.num_rows for g in groups) > 1
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 2
+    found = lexical.search(made, spark.createDataFrame([(1, "word5 word6")], "item_id long, text string")).count()
+    assert found == 20
+
+
 def test_slot_fill_tells_no_ids_apart_by_slot(spark):
     objects = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (3, "a")], "id long, type string")
     slots = spark.createDataFrame([(1, "x", "1"), (1, "x", "2"), (1, "y", ""), (2, "x", "1"), (3, "y", "z"), (9, "x", "1")], "id long, slot string, value string")
