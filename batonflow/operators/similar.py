@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 PACK = 1024
 #: Decimal places that similarities are ranked by, so that rounding doesn't order equal ones.
 PLACES = 9
+#: Bytes of pairs of packs that Python is handed at once, or one pair: packs of any number are then no more memory.
+BATCH = 4 << 20
 
 
 def _common_length(rows: DataFrame) -> int:
@@ -24,8 +26,9 @@ def _common_length(rows: DataFrame) -> int:
 
 
 def _packed(rows: DataFrame, dim: int, size: int, names: tuple[str, str, str]) -> tuple[DataFrame, DataFrame]:
-    """(packs: block, number, ids and vectors flattened; (block, packs)). A vector that is null, holds nulls or has another length is zeros."""
+    """(packs: block, number, ids and vectors flattened; (block, packs)). A vector that is null, holds nulls or has another length is zeros. Sets the session's bytes of an Arrow batch to BATCH."""
     number, ids, vectors = names
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     counts = rows.groupBy("block").agg(F.ceil(F.count("*") / size).cast("int").alias("packs"))
     fine = F.coalesce((F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull()), F.lit(False))
     kept = rows.select("block", "id", F.when(fine, F.col("vector").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("v"))
@@ -34,11 +37,11 @@ def _packed(rows: DataFrame, dim: int, size: int, names: tuple[str, str, str]) -
     return packs.select("block", number, F.col("rows.id").alias(ids), F.flatten("rows.v").alias(vectors)), counts
 
 
-def _matrix(row: dict, ids: str, vectors: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, vectors, those as units), in order of id; a zero vector has a zero unit."""
-    number = np.array(row[ids], np.int64)
+def _matrix(batch: pa.RecordBatch, i: int, ids: str, vectors: str, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, those as units) of row i, in order of id; a zero vector has a zero unit. Arrow's own buffers are read, no Python numbers made."""
+    number = batch[ids][i].values.to_numpy(zero_copy_only=False)
     order = np.argsort(number, kind="stable")
-    v = np.array(row[vectors], float).reshape(-1, dim)[order]
+    v = batch[vectors][i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
     long = np.sqrt((v * v).sum(axis=1))
     return number[order], v, v / np.where(long > 0, long, 1)[:, None]
 
@@ -59,9 +62,9 @@ def _best(dim: int, k: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                d_ids, d, d_units = _matrix(row, "d_ids", "d_v", dim)
-                u_ids, u, u_units = _matrix(row, "u_ids", "u_v", dim)
+            for i in range(batch.num_rows):
+                d_ids, d, d_units = _matrix(batch, i, "d_ids", "d_v", dim)
+                u_ids, u, u_units = _matrix(batch, i, "u_ids", "u_v", dim)
                 near = d_units @ u_units.T
                 near[d_ids[:, None] == u_ids] = -np.inf
                 most = min(k, len(u_ids))
@@ -98,12 +101,12 @@ def top_similar(down: DataFrame, up: DataFrame, k: int = 4, pack: int = PACK) ->
 def _pairs(dim: int, least: float):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                a_ids, a, a_units = _matrix(row, "a_ids", "a_v", dim)
-                b_ids, b, b_units = _matrix(row, "b_ids", "b_v", dim)
+            for i in range(batch.num_rows):
+                a_ids, a, a_units = _matrix(batch, i, "a_ids", "a_v", dim)
+                b_ids, b, b_units = _matrix(batch, i, "b_ids", "b_v", dim)
                 who, which = np.nonzero(a_units @ b_units.T >= least - 1e-9)
                 # Packs of one number meet once, as two of different numbers do; then only one order of a pair counts.
-                keep = a_ids[who] < b_ids[which] if row["one"] == row["other"] else np.ones(len(who), bool)
+                keep = a_ids[who] < b_ids[which] if batch["one"][i].as_py() == batch["other"][i].as_py() else np.ones(len(who), bool)
                 who, which = who[keep], which[keep]
                 score = _exact(a[who], b[which])
                 close = score >= least

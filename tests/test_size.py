@@ -6,6 +6,7 @@ from glob import glob
 
 import pyarrow.parquet as pq
 
+from batonflow.operators import similar
 from batonflow.plans import evals, reads
 
 
@@ -42,3 +43,10 @@ def test_incident_gaps_tell_only_shared_gaps_apart(spark):
     found = reads.incident_gaps(accounts, runs, spark.createDataFrame(rows, "gap_id long, validation_id long, status string"))
     assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7), (2, 8)]
     assert plan(found).startswith("Union")
+
+
+def test_packs_are_handed_on_a_few_at_a_time(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.createDataFrame([(1, i, [1.0, float(i % 5)]) for i in range(40)], "block int, id long, vector array<float>")
+    assert similar.similar_vectors(rows, 0.9999999, pack=3).count() == 5 * 8 * 7 // 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == similar.BATCH
