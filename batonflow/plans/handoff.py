@@ -64,11 +64,31 @@ def note_of(outcome: Column, slot: Column, subject: Column, d: Column, u_precisi
     )
 
 
+def packed(objects: DataFrame, slots: DataFrame) -> DataFrame:
+    """`objects` with `values`, a map of their slots, written: slots are shuffled once, and what asks for a slot reads its statement's row.
+
+    A statement's slots are a fixed vocabulary, so the map is small. Of a slot that
+    is given twice the greater value counts.
+    """
+    rows = slots.where("id IS NOT NULL AND slot IS NOT NULL").select("id", "slot", "value").repartition("id").groupBy("id", "slot").agg(F.max("value").alias("value"))
+    maps = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("values"))
+    return stage(objects.join(maps, "id", "left"), "packed")
+
+
+def _asked_values(rows: DataFrame, side: str) -> DataFrame:
+    """Of packed() rows that have met a field: only the values that it asks for, in the order of its slots, and the due date's precision."""
+    if "values" not in rows.columns:
+        return rows
+    vals = F.transform("slots", lambda s: F.element_at("values", s))
+    return rows.withColumns({f"{side}_vals": vals, f"{side}_prec": F.element_at("values", F.lit("due_date_precision"))}).drop("values")
+
+
 def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """The upstream statement that stands for each subject of a propagating field, and whether any is in conflict."""
     up = objects.where(F.col("status").isin("active", "conflicting")).withColumnRenamed("stage", "from_stage")
     rows = up.join(fields.where("check = 'propagate'"), "from_stage").where(F.array_contains("types", F.col("type")) & (F.col("authority") >= F.col("least")))
     by = ["contract", "field", *KEY]
+    rows = _asked_values(rows, "own")
     best = Window.partitionBy(*by).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
     rows = rows.withColumn("n", F.row_number().over(best)).withColumn("conflict", F.bool_or(F.col("status") == "conflicting").over(Window.partitionBy(*by)))
     return rows.where("n = 1").drop("n")
@@ -77,36 +97,34 @@ def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
 def counterpart_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """The downstream statement that answers for a subject of a field."""
     down = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage")
-    rows = down.join(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types"), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = down.join(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types", "slots"), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = _asked_values(rows, "d")
+    told = [c for c in ("d_vals", "d_prec") if c in rows.columns]
     best = Window.partitionBy("contract", "field", *KEY).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
-    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract", "field", *KEY, F.col("id").alias("d_id"))
+    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract", "field", *KEY, F.col("id").alias("d_id"), *told)
 
 
-def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
-    pairs = reference_picks(objects, fields).join(counterpart_picks(objects, fields), ["contract", "field", *KEY], "left")
+def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
+    """Gaps of propagating fields; `known` is packed()."""
+    pairs = reference_picks(known, fields).join(counterpart_picks(known, fields), ["contract", "field", *KEY], "left")
+    pick = [*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "authority", "stage", "type", "slots", "own_vals", "own_prec", "d_vals", "d_prec"]
+    pairs = stage(pairs.withColumnRenamed("from_stage", "stage").select(pick), "pairs")
     lost = pairs.where("d_id IS NULL").select(
         *KEY, "contract", "field", F.col("id").alias("upstream_id"), F.lit(None).cast("long").alias("downstream_id"), F.lit(None).cast("string").alias("slot"),
         F.lit("object_missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), "conflict",
         *_untold(),
     )
-    asked = pairs.where("d_id IS NOT NULL").withColumn("slot", F.explode("slots")).select(*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "slot")
     # Own value first, else the nearest upstream one: only what has none of its own is looked for, once for all contracts.
-    own = slots.where(is_set(F.col("value"))).select("id", "slot", F.col("value").alias("own"))
-    asked = stage(asked.join(own, ["id", "slot"], "left"), "asked")
-    near = nearest_values(relations, slots, asked.where("own IS NULL").select(F.col("id").alias("root"), "slot")).withColumnRenamed("root", "id")
-    facts = asked.join(near, ["id", "slot"], "left")
-    facts = facts.withColumn("walked", F.col("own").isNull()).withColumn("u_val", F.coalesce("own", "value")).where("u_val IS NOT NULL")
-    facts = facts.withColumn("eff", F.when(F.col("walked"), F.col("owner")).otherwise(F.col("id")))
-    d_slots = slots.select(F.col("id").alias("d_id"), "slot", F.col("value").alias("d_val"))
-    precision = slots.where("slot = 'due_date_precision'")
-    heads = objects.select(F.col("id").alias("eff"), F.col("authority").alias("rank"), F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"))
-    facts = (
-        facts.join(d_slots, ["d_id", "slot"], "left").join(heads, "eff")
-        .join(precision.select(F.col("id").alias("d_id"), F.col("value").alias("d_prec")), "d_id", "left")
-        .join(precision.select(F.col("id").alias("eff"), F.col("value").alias("u_prec")), "eff", "left")
-        .withColumn("nd", normalize(F.col("d_val")))
-    )
-    old = objects.where("status = 'superseded'").join(slots.where(is_set(F.col("value"))), "id")
+    asked = pairs.where("d_id IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("slots"), F.lit(1))))).where("i <= size(slots)")
+    at = lambda c: F.element_at(c, F.col("i"))
+    asked = asked.withColumns({"slot": at("slots"), "own": at("own_vals"), "d_val": at("d_vals")}).drop("slots", "own_vals", "d_vals", "i")
+    have, walk = asked.where(is_set(F.col("own"))), asked.where(~F.coalesce(is_set(F.col("own")), F.lit(False)))
+    facts = have.withColumns({"walked": F.lit(False), "u_val": F.col("own"), "eff": F.col("id"), "rank": F.col("authority"), "eff_stage": F.col("stage"), "eff_type": F.col("type"), "u_prec": F.col("own_prec")})
+    near = nearest_values(relations, known.select("id", F.explode("values").alias("slot", "value")), walk.select(F.col("id").alias("root"), "slot"))
+    heads = known.select(F.col("id").alias("owner"), F.col("authority").alias("rank"), F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), F.element_at("values", F.lit("due_date_precision")).alias("u_prec"))
+    near = near.join(heads, "owner").select(F.col("root").alias("id"), "slot", F.col("value").alias("u_val"), F.col("owner").alias("eff"), "rank", "eff_stage", "eff_type", "u_prec")
+    facts = facts.select(_FACT).union(walk.join(near, ["id", "slot"]).withColumn("walked", F.lit(True)).select(_FACT)).withColumn("nd", normalize(F.col("d_val")))
+    old = known.where("status = 'superseded'").select("*", F.explode("values").alias("slot", "value")).where(is_set(F.col("value")))
     old = old.select(*KEY, F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), "slot", normalize(F.col("value")).alias("nd"), "id")
     old = old.groupBy(*KEY, "eff_stage", "eff_type", "slot", "nd").agg(F.min("id").alias("stale_id"))
     # The statement itself may be superseded; its own value is equal, which is settled before.
@@ -121,19 +139,21 @@ def propagate_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, f
     return lost.select(GAP + TOLD).union(kept.select(GAP + TOLD))
 
 
+_FACT = [*KEY, "contract", "field", "importance", "conflict", "d_id", "slot", "d_val", "d_prec", "walked", "u_val", "eff", "rank", "eff_stage", "eff_type", "u_prec"]
+
+
 def _untold() -> list[Column]:
     return [F.lit(None).cast("long" if c == "stale_id" else "string").alias(c) for c in TOLD]
 
 
-def present_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
-    """What must be there downstream and isn't: a link, a customer contact or a slot."""
-    rows = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(fields.where("check = 'present'"), "to_stage").where(F.array_contains("types", F.col("type")))
+def present_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
+    """What must be there downstream and isn't: a link, a customer contact or a slot; `known` is packed()."""
+    rows = known.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(fields.where("check = 'present'"), "to_stage").where(F.array_contains("types", F.col("type")))
     linked = relations.select(F.col("from_id").alias("id")).distinct()
-    contact = objects.where("type = 'dependency' AND role = 'customer'").select("tenant_id", "entity_id", F.col("stage").alias("to_stage")).distinct()
-    have = slots.where(is_set(F.col("value"))).select("id", "slot")
+    contact = known.where("type = 'dependency' AND role = 'customer'").select("tenant_id", "entity_id", F.col("stage").alias("to_stage")).distinct()
     no_link = rows.where("rule = 'has_derived_from'").join(linked, "id", "left_anti").withColumn("slot", F.lit(None).cast("string"))
     no_contact = rows.where("rule = 'has_customer_contact'").join(contact, ["tenant_id", "entity_id", "to_stage"], "left_anti").withColumn("slot", F.lit(None).cast("string"))
-    no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).join(have, ["id", "slot"], "left_anti")
+    no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).where(~F.coalesce(is_set(F.element_at("values", F.col("slot"))), F.lit(False)))
     pick = [*KEY, "contract", "field", F.lit(None).cast("long").alias("upstream_id"), F.col("id").alias("downstream_id"), "slot", F.lit("missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), F.lit(False).alias("conflict"), *_untold()[:-1], "rule"]
     found = no_link.select(pick).union(no_contact.select(pick)).union(no_slot.select(pick))
     return found.select(GAP + TOLD)
@@ -142,11 +162,18 @@ def present_gaps(objects: DataFrame, slots: DataFrame, relations: DataFrame, fie
 def validate(objects: DataFrame, slots: DataFrame, fields: DataFrame, relations: DataFrame | None = None) -> DataFrame:
     """All gaps of all contracts, scored, with what their sentences need. `as_of` is not a filter: validation sees the current state."""
     relations = edges(objects) if relations is None else relations
-    gaps = propagate_gaps(objects, slots, relations, fields).union(present_gaps(objects, slots, relations, fields))
+    known = packed(objects, slots)
+    gaps = propagate_gaps(known, relations, fields).union(present_gaps(known, relations, fields))
     value = severity(F.col("importance"), F.col("rank"), F.col("outcome"))
     return gaps.withColumn("severity", value).withColumn("band", band(F.col("severity")))
 
 
+def join_known(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `side` has of `key`, a left join that deals rows without a key out to all tasks, not to one."""
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("_spread", spread).join(side.withColumn("_spread", F.lit(0).cast("long")), [key, "_spread"], "left").drop("_spread")
+
+
 def explain(gaps: DataFrame, objects: DataFrame) -> DataFrame:
     """`gaps` of validate() with a sentence for each: what was lost, from whom, what stands there instead, which contract wants it.
 
@@ -161,8 +188,8 @@ def explain(gaps: DataFrame, objects: DataFrame) -> DataFrame:
     )
     day = F.to_date("valid_from").cast("string").alias("day")
     side = lambda p: objects.select(F.col("id").alias(f"{p}stream_id"), F.struct("type", "content", "role", F.col("authority").cast("string").alias("rank"), "stage", day).alias(p))
-    told = gaps.join(side("up"), "upstream_id", "left").join(side("down"), "downstream_id", "left")
-    told = told.join(objects.select(F.col("id").alias("stale_id"), F.col("content").alias("_old")), "stale_id", "left")
+    told = join_known(join_known(gaps, side("up"), "upstream_id"), side("down"), "downstream_id")
+    told = join_known(told, objects.select(F.col("id").alias("stale_id"), F.col("content").alias("_old")), "stale_id")
     verb = F.when(F.col("outcome") == "generalized", "generalizes this to").when(F.col("outcome") == "missing", "drops this — it is absent in").when(F.col("outcome") == "contradicted", "contradicts this with").otherwise("still cites a superseded value:")
     note = F.coalesce(F.col("note"), F.concat(F.lit('matches superseded value "'), F.col("_old"), F.lit('"')))
     contract = F.format_string("Contract `%s.%s` (%s) requires this", "contract", "field", "importance")
@@ -211,15 +238,19 @@ def input_tree(objects: DataFrame, by: list[str]) -> DataFrame:
     """
     most = objects.agg(F.max(F.greatest(F.abs("id"), F.lit(1)))).first()[0] or 1
     said = F.concat_ws(":", F.col("id").cast("string"), F.col("version").cast("string"))
-    level = objects.select(*by, F.col("id").alias("at"), said.alias("hash"), F.lit(True).alias("leaf"))
-    for _ in range(-(-int(most).bit_length() // FANOUT) + 1):
-        up = level.groupBy(*by, F.shiftright("at", FANOUT).alias("up"), "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("kids"))
-        joined = F.sha2(F.array_join(F.col("kids.hash"), "|"), 256)
-        node = F.when(F.col("leaf") | (F.size("kids") > 1), joined).otherwise(F.element_at("kids.hash", 1))
-        level = up.select(*by, F.col("up").alias("at"), node.alias("hash"), F.lit(False).alias("leaf"))
+    level = objects.select(*by, F.col("id").alias("at"), said.alias("hash"))
+    # Between levels hashes are their 32 bytes. Leaves are shuffled by range, what is above them once more, by `by` alone.
+    told = F.array_join(F.transform("kids.hash", lambda x: F.lower(F.hex(x))), "|")
+    kids = F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("kids")
+    up = level.groupBy(*by, F.shiftright("at", FANOUT).alias("up")).agg(kids)
+    level = up.select(*by, F.col("up").alias("at"), F.unhex(F.sha2(F.array_join(F.col("kids.hash"), "|"), 256)).alias("hash")).repartition(*by)
+    for _ in range(-(-int(most).bit_length() // FANOUT)):
+        up = level.groupBy(*by, F.shiftright("at", FANOUT).alias("up")).agg(kids)
+        node = F.when(F.size("kids") > 1, F.unhex(F.sha2(told, 256))).otherwise(F.element_at("kids.hash", 1))
+        level = up.select(*by, F.col("up").alias("at"), node.alias("hash"))
     # Ids below and above 0 end in two nodes.
-    roots = level.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("kids"))
-    return roots.select(*by, F.when(F.size("kids") > 1, F.sha2(F.array_join(F.col("kids.hash"), "|"), 256)).otherwise(F.element_at("kids.hash", 1)).alias("tree"))
+    roots = level.groupBy(*by).agg(kids)
+    return roots.select(*by, F.when(F.size("kids") > 1, F.sha2(told, 256)).otherwise(F.lower(F.hex(F.element_at("kids.hash", 1)))).alias("tree"))
 
 
 def stage_trees(objects: DataFrame, fields: DataFrame) -> DataFrame:

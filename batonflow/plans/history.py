@@ -48,9 +48,9 @@ def validate_changed(objects: DataFrame, slots: DataFrame, fields: DataFrame, re
     """(runs, gaps) to append: of the accounts and contracts whose fingerprint isn't that of their latest run.
 
     A pair that is validated without a gap has a run with zeros. An account whose
-    statements are all gone keeps its last run, as nothing is deleted. Statements,
-    slots and lineage of unchanged accounts are left out by semi-joins before
-    anything is computed of them. Without `runs`, or with none, all pairs are new.
+    statements are all gone keeps its last run, as nothing is deleted. Statements and
+    lineage of unchanged accounts are left out by semi-joins before anything is
+    computed of them, slots as they are packed. Without `runs`, or with none, all pairs are new.
     """
     now = stage(fingerprints(objects, fields), "fingerprints")
     hashes = ["account_hash", "contract_hash"]
@@ -58,11 +58,10 @@ def validate_changed(objects: DataFrame, slots: DataFrame, fields: DataFrame, re
     moved = stage(moved, "moved")
     open_objects = stage(objects.join(moved.select(*ACCOUNT).distinct(), ACCOUNT, "left_semi"), "open-objects")
     ids = open_objects.select("id")
-    open_slots = stage(slots.join(ids, "id", "left_semi"), "open-slots")
     # Lineage stays within an account, so one end tells.
     open_relations = stage(relations.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi"), "open-lineage")
     asked = fields.join(F.broadcast(moved.select("contract").distinct()), "contract", "left_semi")  # at most as many as there are contracts
-    gaps = handoff.validate(open_objects, open_slots, asked, open_relations).join(moved.select(*PAIR), PAIR, "left_semi")
+    gaps = handoff.validate(open_objects, slots, asked, open_relations).join(moved.select(*PAIR), PAIR, "left_semi")
     gaps = stage(gaps.withColumns({"run_no": F.lit(run_no), "status": F.lit("open")}), "gaps")
     told = moved.join(handoff.summary(gaps), PAIR, "left").fillna(0, COUNTS)
     return stage(told.withColumns({"run_no": F.lit(run_no), "as_of": F.lit(as_of)}), "runs"), gaps

@@ -50,3 +50,24 @@ def test_packs_are_handed_on_a_few_at_a_time(spark):
     rows = spark.createDataFrame([(1, i, [1.0, float(i % 5)]) for i in range(40)], "block int, id long, vector array<float>")
     assert similar.similar_vectors(rows, 0.9999999, pack=3).count() == 5 * 8 * 7 // 2
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == similar.BATCH
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    from batonflow.plans import handoff
+
+    rows = spark.range(400).selectExpr("id", "CASE WHEN id = 7 THEN 1 END AS stale_id")
+    found = handoff.join_known(rows, spark.createDataFrame([(1, "old")], "stale_id long, content string"), "stale_id")
+    assert sorted((r.id, r.content) for r in found.collect() if r.content or r.id == 8) == [(7, "old"), (8, None)]
+    assert "_spread" in plan(found)
+
+
+def test_slots_of_a_root_walk_together(spark, monkeypatch):
+    from batonflow.operators import lineage
+
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1)], "from_id long, to_id long")
+    slots = spark.createDataFrame([(1, "a", ""), (2, "b", "2"), (3, "b", "3"), (4, "a", "4"), (4, "b", "x"), (4, "c", "5")], "id long, slot string, value string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "d"), (1, None), (9, "a")], "root long, slot string")
+    want = [(1, "a", "4", 4, 2), (1, "b", "2", 2, 1)]
+    assert sorted(map(tuple, lineage.nearest_values(edges, slots, asked).collect())) == want
+    monkeypatch.setattr(lineage, "TOGETHER", 1)
+    assert sorted(map(tuple, lineage.nearest_values(edges, slots, asked).collect())) == want
