@@ -99,8 +99,14 @@ def _alike(new: dict, old: dict, same: float, near: float):
         yield ("relation", new["id"], old["id"], "duplicate_of", None, False, "system:dedup", round(close, 2))
 
 
+#: Pairs up to which plain loops are faster than whole arrays; most keys have a statement or two.
+FEW = 16
+
+
 def _compatible(olds: list[dict], news: list[dict]) -> np.ndarray:
     """(old, new): slots_compatible() of each two, found once for each two different texts of attributes."""
+    if len(olds) * len(news) <= FEW:
+        return np.array([slots_compatible(y["attributes"], x["attributes"]) for x in olds for y in news], bool).reshape(len(olds), len(news))
     kinds, codes = {}, []
     for rows in (olds, news):
         codes.append(np.array([kinds.setdefault(r["text"], (len(kinds), r["attributes"]))[0] for r in rows], np.int64))
@@ -111,6 +117,9 @@ def _compatible(olds: list[dict], news: list[dict]) -> np.ndarray:
 
 def _close(olds: list[dict], news: list[dict], near: float) -> np.ndarray:
     """(old, new): whether two embeddings may be as close as `near`, by one product of both blocks."""
+    if len(olds) * len(news) <= FEW:
+        alike = lambda a, b: a is not None and b is not None and len(a) == len(b) and cosine(a, b) >= near - 1e-9
+        return np.array([alike(x["embedding"], y["embedding"]) for x in olds for y in news], bool).reshape(len(olds), len(news))
     out = np.zeros((len(olds), len(news)), bool)
     sizes = {len(r["embedding"]) for r in olds if r["embedding"] is not None} & {len(r["embedding"]) for r in news if r["embedding"] is not None}
     for size in sizes:
@@ -142,6 +151,8 @@ def meet(olds: list[dict], news: list[dict], same: float, near: float) -> list[t
 
 def settle(news: list[dict], same: float, near: float) -> list[tuple]:
     """Events of a block of arrivals among themselves, after meet() with all that was active before: also the version that each is created with."""
+    if len(news) == 1:
+        return [("version", news[0]["id"], None, news[0]["status"], 1, None, "created", None)]
     fits, close, active, out = _compatible(news, news), _close(news, news, near), [], []
     for k, new in enumerate(news):
         left = []
@@ -165,7 +176,7 @@ def _row(r) -> dict:
     text = r.attributes or "{}"
     return {
         "id": r.id, "authority": r.authority, "stage": clean(r.stage), "person_id": clean(r.person_id), "confidence": r.confidence, "status": r.status,
-        "valid_from": r.valid_from, "text": text, "attributes": json.loads(text), "embedding": None if r.embedding is None else np.asarray(r.embedding, float).tolist(), "version": 1,
+        "valid_from": r.valid_from, "text": text, "attributes": json.loads(text), "embedding": None if r.embedding is None else [float(x) for x in r.embedding], "version": 1,
     }
 
 

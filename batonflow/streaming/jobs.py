@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import pickle
 import tempfile
@@ -26,7 +27,7 @@ def _in_order(frames, by: list[str]):
 
     A key comes in several frames, each full Arrow batch one, and no order holds
     between them. So each is sorted into a file of the task and all are merged: what
-    is held is one frame, then CHUNK rows of each.
+    is held is two frames, then CHUNK rows of each. A single frame is only sorted.
     """
 
     def place(r):
@@ -37,9 +38,17 @@ def _in_order(frames, by: list[str]):
             file.seek(at)
             yield from pickle.load(file).itertuples(index=False)
 
+    frames = iter(frames)
+    first, second = next(frames, None), next(frames, None)
+    if first is None:
+        return
+    if second is None:
+        # The common case: a key whose rows are one frame needs no file and no merge.
+        yield from (first.sort_values(by) if len(first) > 1 else first).itertuples(index=False)
+        return
     with tempfile.TemporaryFile() as file:
         runs = []
-        for f in frames:
+        for f in itertools.chain((first, second), frames):
             f, starts = f.sort_values(by), []
             for a in range(0, len(f), CHUNK):
                 starts.append(file.tell())

@@ -61,6 +61,24 @@ def test_rows_without_a_key_are_dealt_out(spark):
     assert "_spread" in plan(found)
 
 
+def test_a_single_frame_needs_no_file(monkeypatch):
+    import pandas as pd
+
+    from batonflow.streaming import jobs
+
+    monkeypatch.setattr(jobs.tempfile, "TemporaryFile", lambda: 1 / 0)
+    assert [r.at for r in jobs._in_order([pd.DataFrame({"at": [3, 1, 2]})], ["at"])] == [1, 2, 3]
+
+
+def test_few_statements_meet_as_many_do(monkeypatch):
+    from batonflow.operators import fold
+
+    rows = [{"id": i, "text": f'{{"plan": "{i % 3}"}}', "attributes": {"plan": str(i % 3)}, "embedding": [[1.0, i * 0.4], None, [0.0, 0.0], [1.0]][i % 4]} for i in range(4)]
+    few = fold._compatible(rows, rows).tolist(), fold._close(rows, rows, 0.8).tolist()
+    monkeypatch.setattr(fold, "FEW", 0)
+    assert few == (fold._compatible(rows, rows).tolist(), fold._close(rows, rows, 0.8).tolist())
+
+
 def test_slots_of_a_root_walk_together(spark, monkeypatch):
     from batonflow.operators import lineage
 
