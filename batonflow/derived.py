@@ -5,7 +5,7 @@ One SQL text serves both engines, so a query and its oracle start from the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Statements: an event says something about a capability (props.k) of a user's account.
 OBJ = """
@@ -26,24 +26,27 @@ SRC = """
 SELECT CAST(s AS BIGINT) AS source_id, CASE CAST(s % 4 AS INT) WHEN 0 THEN 'slack' WHEN 1 THEN 'email' WHEN 2 THEN 'drive' ELSE 'call' END AS kind,
   CASE CAST(s % 3 AS INT) WHEN 0 THEN '*' WHEN 1 THEN 'team:sales-private' ELSE 'team:engineering' END AS reader FROM (SELECT DISTINCT event_id % 997 AS s FROM events) x"""
 
-# Slots of the statements, one row each.
-SLOTS = """
-SELECT id, slot, value FROM (
-  SELECT id, 'protocol' AS slot, CASE id % 6 WHEN 0 THEN 'SAML' WHEN 1 THEN 'OIDC' WHEN 2 THEN ' saml 2.0' WHEN 3 THEN 'sso' WHEN 4 THEN '' END AS value FROM obj
-  UNION ALL SELECT id, 'idp', CASE k % 3 WHEN 0 THEN 'Okta' WHEN 1 THEN 'Entra' END FROM obj
-  UNION ALL SELECT id, 'region', CASE id % 7 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' WHEN 2 THEN 'US' WHEN 3 THEN 'eu-west-1' WHEN 4 THEN 'EU' WHEN 5 THEN 'ap-1' END FROM obj
-  UNION ALL SELECT id, 'due_date', CASE WHEN k % 4 <> 0 THEN concat('2024-0', CAST(id % 9 + 1 AS VARCHAR(2)), '-15') END FROM obj
-  UNION ALL SELECT id, 'due_date_precision', CASE id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' END FROM obj
-  UNION ALL SELECT id, 'priority', CASE WHEN id % 3 <> 0 THEN concat('P', CAST(k % 3 AS VARCHAR(2))) END FROM obj
-  UNION ALL SELECT id, 'quantity', CAST((k % 5) * 50 AS VARCHAR(8)) FROM obj
-  UNION ALL SELECT id, 'plan', CASE WHEN id % 2 = 0 THEN concat('plan ', CAST(k % 2 AS VARCHAR(2))) END FROM obj
-  UNION ALL SELECT id, 'rationale', CASE WHEN id % 5 <> 1 THEN concat('because ', CAST(k % 4 AS VARCHAR(2))) END FROM obj
-  UNION ALL SELECT id, 'root_cause', CASE WHEN id % 3 = 0 THEN concat('cause ', CAST(k % 6 AS VARCHAR(2))) END FROM obj
-  UNION ALL SELECT id, 'integrations', CASE id % 5 WHEN 0 THEN '["Okta","Jira"]' WHEN 1 THEN '["jira", " okta "]' WHEN 2 THEN '["Okta"]' WHEN 3 THEN '[]' END FROM obj
-  UNION ALL SELECT id, 'impact', CASE id % 4 WHEN 0 THEN '{"data_loss":"none","customers":"12"}' WHEN 1 THEN '{"customers":"40","data_loss":"None"}' WHEN 2 THEN '{"data_loss":"partial"}' ELSE '{}' END FROM obj
-  UNION ALL SELECT id, 'time_window', CASE id % 3 WHEN 0 THEN '{"start":"09:00","end":"10:00"}' WHEN 1 THEN '{"end":"11:00","start":"09:00"}' WHEN 2 THEN 'all day' END FROM obj
-  UNION ALL SELECT id, 'acceptance_criteria', CASE WHEN id % 2 = 1 THEN '["done"]' ELSE '[]' END FROM obj
-) x WHERE value IS NOT NULL"""
+# Values of the statements' slots.
+VALUES = {
+    "protocol": "CASE id % 6 WHEN 0 THEN 'SAML' WHEN 1 THEN 'OIDC' WHEN 2 THEN ' saml 2.0' WHEN 3 THEN 'sso' WHEN 4 THEN '' END",
+    "idp": "CASE k % 3 WHEN 0 THEN 'Okta' WHEN 1 THEN 'Entra' END",
+    "region": "CASE id % 7 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' WHEN 2 THEN 'US' WHEN 3 THEN 'eu-west-1' WHEN 4 THEN 'EU' WHEN 5 THEN 'ap-1' END",
+    "due_date": "CASE WHEN k % 4 <> 0 THEN concat('2024-0', CAST(id % 9 + 1 AS VARCHAR(2)), '-15') END",
+    "due_date_precision": "CASE id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' END",
+    "priority": "CASE WHEN id % 3 <> 0 THEN concat('P', CAST(k % 3 AS VARCHAR(2))) END",
+    "quantity": "CAST((k % 5) * 50 AS VARCHAR(8))",
+    "plan": "CASE WHEN id % 2 = 0 THEN concat('plan ', CAST(k % 2 AS VARCHAR(2))) END",
+    "rationale": "CASE WHEN id % 5 <> 1 THEN concat('because ', CAST(k % 4 AS VARCHAR(2))) END",
+    "root_cause": "CASE WHEN id % 3 = 0 THEN concat('cause ', CAST(k % 6 AS VARCHAR(2))) END",
+    "integrations": """CASE id % 5 WHEN 0 THEN '["Okta","Jira"]' WHEN 1 THEN '["jira", " okta "]' WHEN 2 THEN '["Okta"]' WHEN 3 THEN '[]' END""",
+    "impact": """CASE id % 4 WHEN 0 THEN '{"data_loss":"none","customers":"12"}' WHEN 1 THEN '{"customers":"40","data_loss":"None"}' WHEN 2 THEN '{"data_loss":"partial"}' ELSE '{}' END""",
+    "time_window": """CASE id % 3 WHEN 0 THEN '{"start":"09:00","end":"10:00"}' WHEN 1 THEN '{"end":"11:00","start":"09:00"}' WHEN 2 THEN 'all day' END""",
+    "acceptance_criteria": """CASE WHEN id % 2 = 1 THEN '["done"]' ELSE '[]' END""",
+}
+
+# Slots of the statements, one row each; the first names the columns.
+_PARTS = [f"SELECT id, '{slot}'{' AS slot' if not i else ''}, {value}{' AS value' if not i else ''} FROM obj" for i, (slot, value) in enumerate(VALUES.items())]
+SLOTS = "\nSELECT id, slot, value FROM (\n  " + "\n  UNION ALL ".join(_PARTS) + "\n) x WHERE value IS NOT NULL"
 
 # Upstream and downstream statements on one subject, by stage and strictly by time.
 PAIRS = "SELECT * FROM (VALUES ('sales','product'),('product','engineering'),('sales','customer_success'),('engineering','sales'),('engineering','customer_success')) AS p(up, down)"
@@ -71,7 +74,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SRC.replace("FROM events)", "FROM {events})"), events=read(spark, sf_dir, "events"))
 
 
+def with_values(objects: DataFrame) -> DataFrame:
+    """`objects` with `values`, a struct of its slots, null where one isn't given: a statement's slots are of its own row, so none is shuffled."""
+    return objects.withColumn("values", F.struct(*[F.expr(value).alias(slot) for slot, value in VALUES.items()]))
+
+
 def slots_long(objects: DataFrame) -> DataFrame:
-    # The values' own braces are doubled for the formatter that puts the table in.
-    text = SLOTS.replace("{", "{{").replace("}", "}}").replace("FROM obj", "FROM {obj}")
-    return objects.sparkSession.sql(text, obj=objects)
+    """SLOTS in one scan of `objects`."""
+    rows = objects.select("id", F.inline(F.array(*[F.struct(F.lit(slot).alias("slot"), F.expr(value).alias("value")) for slot, value in VALUES.items()])))
+    return rows.where("value IS NOT NULL")

@@ -64,29 +64,59 @@ def note_of(outcome: Column, slot: Column, subject: Column, d: Column, u_precisi
     )
 
 
-def packed(objects: DataFrame, slots: DataFrame) -> DataFrame:
-    """`objects` with `values`, a map of their slots, written: slots are shuffled once, and what asks for a slot reads its statement's row.
+def slot_names(fields: DataFrame) -> list[str]:
+    """The slots that validation reads: what the fields ask for, and the due date's precision."""
+    return sorted({s for r in fields.select("slots").collect() for s in r["slots"] or [] if s is not None} | {"due_date_precision"})  # contracts are configuration
 
-    A statement's slots are a fixed vocabulary, so the map is small. Of a slot that
-    is given twice the greater value counts.
+
+def packed(objects: DataFrame, slots: DataFrame | None, names: list[str]) -> DataFrame:
+    """`objects` with `values`, a struct of the slots `names`, written: slots are shuffled once, and what asks for a slot reads that column of its statement's row.
+
+    Of a slot that is given twice the greater value counts. Without `slots`, `objects`
+    is a stored table that has `values` already, and nothing is shuffled or written.
     """
-    rows = slots.where("id IS NOT NULL AND slot IS NOT NULL").select("id", "slot", "value").repartition("id").groupBy("id", "slot").agg(F.max("value").alias("value"))
-    maps = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("values"))
-    return stage(objects.join(maps, "id", "left"), "packed")
+    if slots is None:
+        return objects
+    rows = slots.where(F.col("slot").isin(names)).where("id IS NOT NULL").select("id", F.struct("slot", "value").alias("one"))
+    # Only the lists are sorted: the last of a slot, by value, is its greatest, and null is the least.
+    lists = rows.groupBy("id").agg(F.sort_array(F.collect_list("one")).alias("all"))
+    last = F.filter("all", lambda x, i: ~x["slot"].eqNullSafe(F.get(F.col("all"), i + 1)["slot"]))
+    maps = lists.select("id", F.map_from_entries(last).alias("values"))
+    return stage(objects.join(maps, "id", "left").withColumn("values", F.struct(*[F.element_at("values", F.lit(n)).alias(n) for n in names])), "packed")
+
+
+def _value(rows: DataFrame, slot: Column) -> Column:
+    """The value of `slot` in packed() rows."""
+    names = rows.schema["values"].dataType.names
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(slot == n, F.col("values")[n]) for n in names])
+
+
+def _all_values(rows: DataFrame, names: list[str]) -> Column:
+    """A generator of (slot, value) of packed() rows, for those of `names` that they have."""
+    found = [n for n in names if n in rows.schema["values"].dataType.names]
+    one = [F.struct(F.lit(n).alias("slot"), F.col("values")[n].alias("value")) for n in found]
+    return F.inline(F.array(*one).cast("array<struct<slot: string, value: string>>"))
+
+
+def _precision(rows: DataFrame) -> Column:
+    return F.col("values")["due_date_precision"] if "due_date_precision" in rows.schema["values"].dataType.names else F.lit(None).cast("string")
 
 
 def _asked_values(rows: DataFrame, side: str) -> DataFrame:
     """Of packed() rows that have met a field: only the values that it asks for, in the order of its slots, and the due date's precision."""
     if "values" not in rows.columns:
         return rows
-    vals = F.transform("slots", lambda s: F.element_at("values", s))
-    return rows.withColumns({f"{side}_vals": vals, f"{side}_prec": F.element_at("values", F.lit("due_date_precision"))}).drop("values")
+    vals = F.transform("slots", lambda s: _value(rows, s))
+    return rows.withColumns({f"{side}_vals": vals, f"{side}_prec": _precision(rows)}).drop("values")
 
 
 def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
-    """The upstream statement that stands for each subject of a propagating field, and whether any is in conflict."""
+    """The upstream statement that stands for each subject of a propagating field, and whether any is in conflict.
+
+    Fields are configuration and go to the statements: dealt by stage, all statements would lie in as many tasks as there are stages.
+    """
     up = objects.where(F.col("status").isin("active", "conflicting")).withColumnRenamed("stage", "from_stage")
-    rows = up.join(fields.where("check = 'propagate'"), "from_stage").where(F.array_contains("types", F.col("type")) & (F.col("authority") >= F.col("least")))
+    rows = up.join(F.broadcast(fields.where("check = 'propagate'")), "from_stage").where(F.array_contains("types", F.col("type")) & (F.col("authority") >= F.col("least")))
     by = ["contract", "field", *KEY]
     rows = _asked_values(rows, "own")
     best = Window.partitionBy(*by).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
@@ -97,15 +127,15 @@ def reference_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
 def counterpart_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """The downstream statement that answers for a subject of a field."""
     down = objects.where("status = 'active'").withColumnRenamed("stage", "to_stage")
-    rows = down.join(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types", "slots"), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = down.join(F.broadcast(fields.where("check = 'propagate'").select("contract", "field", "to_stage", "types", "slots")), "to_stage").where(F.array_contains("types", F.col("type")))
     rows = _asked_values(rows, "d")
     told = [c for c in ("d_vals", "d_prec") if c in rows.columns]
     best = Window.partitionBy("contract", "field", *KEY).orderBy(F.desc("authority"), F.desc("valid_from"), "id")
     return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract", "field", *KEY, F.col("id").alias("d_id"), *told)
 
 
-def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
-    """Gaps of propagating fields; `known` is packed()."""
+def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
+    """Gaps of propagating fields; `known` is packed() with the slots `names`."""
     pairs = reference_picks(known, fields).join(counterpart_picks(known, fields), ["contract", "field", *KEY], "left")
     pick = [*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "authority", "stage", "type", "slots", "own_vals", "own_prec", "d_vals", "d_prec"]
     pairs = stage(pairs.withColumnRenamed("from_stage", "stage").select(pick), "pairs")
@@ -120,11 +150,11 @@ def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) ->
     asked = asked.withColumns({"slot": at("slots"), "own": at("own_vals"), "d_val": at("d_vals")}).drop("slots", "own_vals", "d_vals", "i")
     have, walk = asked.where(is_set(F.col("own"))), asked.where(~F.coalesce(is_set(F.col("own")), F.lit(False)))
     facts = have.withColumns({"walked": F.lit(False), "u_val": F.col("own"), "eff": F.col("id"), "rank": F.col("authority"), "eff_stage": F.col("stage"), "eff_type": F.col("type"), "u_prec": F.col("own_prec")})
-    near = nearest_values(relations, known.select("id", F.explode("values").alias("slot", "value")), walk.select(F.col("id").alias("root"), "slot"))
-    heads = known.select(F.col("id").alias("owner"), F.col("authority").alias("rank"), F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), F.element_at("values", F.lit("due_date_precision")).alias("u_prec"))
+    near = nearest_values(relations, known.select("id", _all_values(known, names)), walk.select(F.col("id").alias("root"), "slot"))
+    heads = known.select(F.col("id").alias("owner"), F.col("authority").alias("rank"), F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), _precision(known).alias("u_prec"))
     near = near.join(heads, "owner").select(F.col("root").alias("id"), "slot", F.col("value").alias("u_val"), F.col("owner").alias("eff"), "rank", "eff_stage", "eff_type", "u_prec")
     facts = facts.select(_FACT).union(walk.join(near, ["id", "slot"]).withColumn("walked", F.lit(True)).select(_FACT)).withColumn("nd", normalize(F.col("d_val")))
-    old = known.where("status = 'superseded'").select("*", F.explode("values").alias("slot", "value")).where(is_set(F.col("value")))
+    old = known.where("status = 'superseded'").select("*", _all_values(known, names)).where(is_set(F.col("value")))
     old = old.select(*KEY, F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), "slot", normalize(F.col("value")).alias("nd"), "id")
     old = old.groupBy(*KEY, "eff_stage", "eff_type", "slot", "nd").agg(F.min("id").alias("stale_id"))
     # The statement itself may be superseded; its own value is equal, which is settled before.
@@ -148,22 +178,26 @@ def _untold() -> list[Column]:
 
 def present_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) -> DataFrame:
     """What must be there downstream and isn't: a link, a customer contact or a slot; `known` is packed()."""
-    rows = known.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(fields.where("check = 'present'"), "to_stage").where(F.array_contains("types", F.col("type")))
+    rows = known.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(F.broadcast(fields.where("check = 'present'")), "to_stage").where(F.array_contains("types", F.col("type")))
     linked = relations.select(F.col("from_id").alias("id")).distinct()
     contact = known.where("type = 'dependency' AND role = 'customer'").select("tenant_id", "entity_id", F.col("stage").alias("to_stage")).distinct()
     no_link = rows.where("rule = 'has_derived_from'").join(linked, "id", "left_anti").withColumn("slot", F.lit(None).cast("string"))
     no_contact = rows.where("rule = 'has_customer_contact'").join(contact, ["tenant_id", "entity_id", "to_stage"], "left_anti").withColumn("slot", F.lit(None).cast("string"))
-    no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).where(~F.coalesce(is_set(F.element_at("values", F.col("slot"))), F.lit(False)))
+    no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).where(~F.coalesce(is_set(_value(known, F.col("slot"))), F.lit(False)))
     pick = [*KEY, "contract", "field", F.lit(None).cast("long").alias("upstream_id"), F.col("id").alias("downstream_id"), "slot", F.lit("missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), F.lit(False).alias("conflict"), *_untold()[:-1], "rule"]
     found = no_link.select(pick).union(no_contact.select(pick)).union(no_slot.select(pick))
     return found.select(GAP + TOLD)
 
 
-def validate(objects: DataFrame, slots: DataFrame, fields: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """All gaps of all contracts, scored, with what their sentences need. `as_of` is not a filter: validation sees the current state."""
+def validate(objects: DataFrame, slots: DataFrame | None, fields: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """All gaps of all contracts, scored, with what their sentences need. `as_of` is not a filter: validation sees the current state.
+
+    `slots`: id, slot, value; None if `objects` has them as packed() does.
+    """
     relations = edges(objects) if relations is None else relations
-    known = packed(objects, slots)
-    gaps = propagate_gaps(known, relations, fields).union(present_gaps(known, relations, fields))
+    names = slot_names(fields)
+    known = packed(objects, slots, names)
+    gaps = propagate_gaps(known, relations, fields, names).union(present_gaps(known, relations, fields))
     value = severity(F.col("importance"), F.col("rank"), F.col("outcome"))
     return gaps.withColumn("severity", value).withColumn("band", band(F.col("severity")))
 

@@ -44,7 +44,7 @@ def latest_runs(runs: DataFrame, when: datetime | None = None) -> DataFrame:
     return known.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def validate_changed(objects: DataFrame, slots: DataFrame, fields: DataFrame, relations: DataFrame, runs: DataFrame | None, run_no: int, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+def validate_changed(objects: DataFrame, slots: DataFrame | None, fields: DataFrame, relations: DataFrame, runs: DataFrame | None, run_no: int, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """(runs, gaps) to append: of the accounts and contracts whose fingerprint isn't that of their latest run.
 
     A pair that is validated without a gap has a run with zeros. An account whose

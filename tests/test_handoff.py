@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from batonflow import fixed
+from batonflow import derived, fixed
 from batonflow.operators import lineage
 from batonflow.plans import handoff
 
@@ -113,3 +113,33 @@ def test_lists_and_objects(spark):
 def test_empty_tables(spark, slot):
     objects, slots = tables(spark, [], [(1, slot, "x")])
     assert handoff.validate(objects, slots, handoff.contract_fields(spark)).count() == 0
+
+
+def test_statements_are_not_dealt_by_stage(spark, capsys):
+    # Five stages would be five tasks, however many statements there are.
+    objects, slots = tables(spark, [SALES, PRODUCT], OWN)
+    fields = handoff.contract_fields(spark)
+    known = handoff.packed(objects, slots, handoff.slot_names(fields))
+    for found in (handoff.reference_picks(known, fields), handoff.counterpart_picks(known, fields), handoff.present_gaps(known, lineage.edges(objects), fields)):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin [from_stage" in plan or "BroadcastHashJoin [to_stage" in plan
+        assert "hashpartitioning(from_stage" not in plan and "hashpartitioning(to_stage" not in plan
+
+
+def test_values_of_the_row_are_the_slots(spark):
+    rows = derived.objects(spark, "/root/testdata/sf0.001")
+    wide, long = derived.with_values(rows), derived.slots_long(rows)
+    told = {(r.id, s, v) for r in wide.select("id", "values").collect() for s, v in r["values"].asDict().items() if v is not None}
+    sql = spark.sql(derived.SLOTS.replace("{", "{{").replace("}", "}}").replace("FROM obj", "FROM {obj}"), obj=rows)
+    assert told == set(map(tuple, long.collect())) == set(map(tuple, sql.collect())) and long.count() == sql.count()
+    fields = handoff.contract_fields(spark)
+    found = [sorted(map(str, handoff.validate(o, s, fields).collect())) for o, s in ((wide, None), (rows, long))]
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_the_greatest_of_a_slot_counts(spark):
+    objects, slots = tables(spark, [SALES, PRODUCT], [(1, "idp", "a"), (1, "idp", None), (1, "idp", "b"), (1, "plan", None), (2, "other", "x"), (None, "idp", "z"), (1, None, "y")])
+    got = {r.id: r["values"].asDict() for r in handoff.packed(objects, slots, ["idp", "plan", "due_date_precision"]).collect()}
+    none = {"idp": None, "plan": None, "due_date_precision": None}
+    assert got == {1: none | {"idp": "b"}, 2: none}
