@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from batonflow.llm.bpe import default_path, id_cache
+from batonflow.llm.bpe import default_path, encode_all, id_cache
 from batonflow.llm.text import in_batches
 from batonflow.staging import stage
 
@@ -178,7 +178,6 @@ def plan(histogram: dict[int, int], size: int = SIZE, step: int = STEP) -> pd.Da
 
 
 def _cut(path: str, size: int):
-    end = array("I", [END]).tobytes()
     names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
@@ -186,12 +185,12 @@ def _cut(path: str, size: int):
 
         ids, row = id_cache(path), count(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            tokens, crc = array("q"), array("q")
-            for text in batch[1]:  # one text is a Python string at a time
-                raw = ids.encode(text.as_py() or "") + end
-                tokens.append(len(raw) // 4)
-                crc.extend(zlib.crc32(raw[4 * s : 4 * (s + size)]) for s in range(0, len(raw) // 4, size))
-            n = np.array(tokens, np.int64)
+            # Ids of a batch, of at most text.BATCH or of one text, are an array; each text's own are followed by END.
+            flat, n = encode_all(ids, [text or "" for text in batch[1].to_pylist()])
+            upto, crc, n = np.cumsum(n), array("q"), n + 1
+            raw = np.insert(flat, upto, END).astype("<u4").tobytes()
+            for a, z in zip((4 * (np.cumsum(n) - n)).tolist(), (4 * np.cumsum(n)).tolist(), strict=True):
+                crc.extend(zlib.crc32(raw[s : min(s + 4 * size, z)]) for s in range(a, z, 4 * size))
             times = -(-n // size)
             whole, doc = np.repeat(n, times), np.repeat(np.arange(len(n)), times)
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)) * size

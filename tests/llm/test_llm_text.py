@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from batonflow.llm import chat, mixing, packing, quality, tokens, urls
+from batonflow.llm import bpe as bpes, chat, mixing, packing, quality, tokens, urls
 from batonflow.llm.bpe import bpe, default_path, id_cache
 
 ODD = [
@@ -38,6 +38,29 @@ def test_ids_are_the_librarys():
         assert cache.encode(text) == array("I", ids_of(text)).tobytes(), repr(text)
 
 
+@pytest.mark.parametrize("slice_", [40, 1 << 18])
+def test_ids_of_many_texts_are_the_librarys(monkeypatch, slice_):
+    monkeypatch.setattr(bpes, "SLICE", slice_)
+    rng, cache = random.Random(2), bpes.IdCache(bpe(default_path()), most=20_000)
+    kinds = ["abAB'stdmrevl''  09.!-<|\n", "abAB'stdmrevl 09²½ªµßÀÿ×\x00\x7f\x1c\x85\xa0é.\t", "aé̀İΣςﬁ①漢ひ\u200d👍' .<|startoftext|>"]
+    texts = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(0, 14))) + rng.choice(["", "<|endoftext|>", "we'LL", " internationally'S"]) for _ in range(3000)]
+    texts += ["", "x" * 500, "it's " * 200, "é" * 100]
+    flat, counts = bpes.encode_all(cache, texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
+    assert [len(x) for x in bpes.encode_all(cache, [])] == [0, 0]
+
+
+def test_a_word_is_made_once_whatever_stands_beside_it(monkeypatch):
+    """Words that are asked for again and again stay, however many others come between."""
+    coder, asked = bpe(default_path()), []
+    cache = bpes.IdCache(coder, most=400 * bpes.IdCache.ENTRY)
+    monkeypatch.setattr(type(coder), "word_ids", lambda self, w: asked.append(w) or [1])
+    for i in range(2000):
+        other = "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q"
+        bpes.encode_all(cache, [f"stays, stays. (Stays) {other}{'!?;:'[i % 4]}"])
+    assert asked.count("stays") == 1 and len(asked) < 2020
+
+
 def test_token_counts(spark):
     got = sorted(map(tuple, tokens.count_tokens(docs(spark)).select(F.coalesce("doc_id", F.lit(-1)), "n_bytes", "n_tokens", "over_limit").collect()))
     assert got == sorted((-1 if i is None else i, len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 2048) for i, t in ODD)
