@@ -32,6 +32,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 #: A shingle with more documents than this is joined as a frequent one.
 LARGE = 256
 FRAGMENTS = 8
+#: Pairs that a task makes at a time; of four times as many the counts are then added up.
+PAIRS = 1 << 18
 #: Shingles of one block of a family, before it meets another block.
 BLOCK = 250_000
 
@@ -120,27 +122,33 @@ def _meet(share: int, large: int):
         gram, number = gram[fresh], number[fresh]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         length = np.diff(np.append(start, len(gram)))
-        keys, times, held = [], [], 0
+        keys, held = [], 0
+        pairs, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def merged():
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, weights=np.concatenate(times)).astype(np.int64)
+            """`pairs`, ascending, and `counts`, with those of `keys`."""
+            k, c = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            at = np.searchsorted(pairs, k)
+            old = at < len(pairs)
+            old[old] = pairs[at[old]] == k[old]
+            counts[at[old]] += c[old]
+            return np.insert(pairs, at[~old], k[~old]), np.insert(counts, at[~old], c[~old])
 
         for g in np.unique(length[(length > 1) & (length <= large)]):
             i, j = np.triu_indices(g, 1)
-            at = start[length == g]
-            for s in range(0, len(at), max(1, 2_000_000 // len(i))):
-                rows = number[at[s : s + max(1, 2_000_000 // len(i)), None] + np.arange(g)]
+            at, step = start[length == g], max(1, PAIRS // len(i))
+            for s in range(0, len(at), step):
+                rows = number[at[s : s + step, None] + np.arange(g)]
                 a, b = rows[:, i].ravel(), rows[:, j].ravel()
                 near = np.minimum(sizes[a], sizes[b]) * 100 >= share * np.maximum(sizes[a], sizes[b])
                 keys.append(a[near] * len(own) + b[near])
-                times.append(np.ones(int(near.sum()), np.int64))
-                if (held := held + len(keys[-1])) > 8_000_000:
-                    k, t = merged()
-                    keys, times, held = [k], [t], 0
+                if (held := held + len(keys[-1])) > 4 * PAIRS:
+                    (pairs, counts), held = merged(), 0
         if keys:
-            k, c = merged()
-            a, b = k // len(own), k % len(own)
+            pairs, counts = merged()
+        for s in range(0, len(pairs), PAIRS):
+            a, b, c = pairs[s : s + PAIRS] // len(own), pairs[s : s + PAIRS] % len(own), counts[s : s + PAIRS]
             yield pack(own[a], sizes[a], own[b], sizes[b], c, np.zeros(len(c), np.int64))
         many = np.repeat(length > large, length)
         if many.any():
@@ -301,7 +309,8 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SH
     if not again.isEmpty():
         once, many = parted(docs, again, "doc_id")
         once = once.union(many.join(again, "doc_id", "left_anti").select(*docs.columns))
-        many = _firsts(many.join(again, "doc_id", "left_semi").select(*docs.columns), found.join(again, "doc_id", "left_semi"), words)
+        # Merged: the shuffle keeps parted() and _keyed out of one task, which would hold a Python worker for each.
+        many = _firsts(many.join(again.hint("merge"), "doc_id", "left_semi").select(*docs.columns), found.join(again, "doc_id", "left_semi"), words)
     sure, may = parted(once, gone, "doc_id")
     kept = sure.union(may.join(gone, "doc_id", "left_anti").select(*docs.columns))
     return kept if many is None else kept.union(many)

@@ -259,7 +259,9 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     found = _passages(rows.select(F.col("doc_id").cast("long"), "text", F.col("_row").alias("row")), passage, gram)
     spans = stage(found.groupBy("doc_id", F.col("row").alias("_row")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans")), "spans")
     whole, cut = parted(rows, spans.select("doc_id"), "doc_id")
-    return whole.select(*docs.columns).union(cut.join(spans, ["doc_id", "_row"], "left").select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema))
+    # Merged, though spans may be few: the shuffle keeps parted() and _cut out of one task, which would hold a Python worker for each.
+    cut = cut.join(spans.hint("merge"), ["doc_id", "_row"], "left").select(*docs.columns, "_spans")
+    return whole.select(*docs.columns).union(cut.mapInArrow(_cut, docs.schema))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

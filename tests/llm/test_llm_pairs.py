@@ -307,3 +307,19 @@ def test_media_column(spark):
     said = spark.createDataFrame([(1, "some words " * 30), (2, None), (3, "")], "rec_id long, text string")
     got = {r.rec_id: r for r in said.select("rec_id", audio.fingerprints(audio.render(F.col("text"))).alias("m"), audio.spoken_fingerprints(F.col("text")).alias("s")).collect()}
     assert got[1].m.prints == got[1].s.prints and len(got[1].m.prints) == 44 and got[2].m.one is None and got[3].s.prints == []
+
+
+def test_pairs_of_a_large_family_are_counted_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    # 400 shingles that the same 250 sets share: 12 million pairs, of which 31,125 differ.
+    columns = np.repeat(np.arange(400), 250), np.tile(np.arange(250), 400), np.full(100_000, 400, np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "set_id", "n"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(jaccard._meet(75, 256)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 250 * 249 // 2 and set(found["c"].to_pylist()) == {400}
+    assert peak < 100e6

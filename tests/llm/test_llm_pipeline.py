@@ -92,6 +92,53 @@ def test_repeated_passages_of_repeated_ids(spark, repeated_ids, parts):
     assert sorted(map(str, got)) in [sorted(map(str, rest + f)) for f in first]
 
 
+def workers(node, tasks: list[int]) -> int:
+    """Python workers that one task holds at `node`; `tasks` gets the number at each node."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        return workers(node.executedPlan(), tasks)
+    below = [workers(node.children().apply(i), tasks) for i in range(node.children().size())]
+    held = max(below, default=0) if node.nodeName() == "Union" else sum(below)
+    tasks.append(held + bool(re.search("Arrow|Python|Pandas", node.nodeName())))
+    return 0 if "Exchange" in node.nodeName() else tasks[-1]
+
+
+@pytest.fixture
+def held(monkeypatch):
+    """The most workers that one task holds in each staged plan, by its name; to be called with a last plan."""
+    from batonflow.llm import jaccard, packing, quality, suffixes
+
+    seen = {}
+
+    def looked(df, name, *more, put=jaccard.stage):
+        workers(df._jdf.queryExecution().executedPlan(), seen.setdefault(name, []))
+        return put(df, name, *more)
+
+    for module in (jaccard, packing, quality, suffixes):
+        monkeypatch.setattr(module, "stage", looked)
+
+    def most(df):
+        looked(df, "out")
+        return {name: max(found) for name, found in seen.items()}
+
+    return most
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "repeated_passages", "packing"])
+def test_a_task_holds_one_python_worker(spark, folder, stage, held):
+    """Workers are kept for later tasks: a single plan with two of them to a task doubles what executors hold from then on."""
+    import corpus_pipeline as p
+
+    found = held(dict(p.STAGES)[stage](spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0]))
+    assert max(found.values()) == 1, found
+
+
+def test_near_duplicates_of_repeated_ids_hold_one_python_worker(spark, repeated_ids, held):
+    import corpus_pipeline as p
+
+    found = held(p.near_duplicates(spark, repeated_ids[0], ""))
+    assert max(found.values()) == 1 and "repeated" in found, found
+
+
 def odd_docs(spark, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long, gram string, rank int, copy int"
     return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), "clash", 1, 7) for i, t, s in rows], schema)
