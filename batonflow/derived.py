@@ -5,7 +5,9 @@ One SQL text serves both engines, so a query and its oracle start from the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from batonflow.staging import grown
 
 # Statements: an event says something about a capability (props.k) of a user's account.
 OBJ = """
@@ -79,7 +81,17 @@ def with_values(objects: DataFrame) -> DataFrame:
     return objects.withColumn("values", F.struct(*[F.expr(value).alias(slot) for slot, value in VALUES.items()]))
 
 
-def slots_long(objects: DataFrame) -> DataFrame:
-    """SLOTS in one scan of `objects`."""
-    rows = objects.select("id", F.inline(F.array(*[F.struct(F.lit(slot).alias("slot"), F.expr(value).alias("value")) for slot, value in VALUES.items()])))
-    return rows.where("value IS NOT NULL")
+def slots_long(objects: DataFrame, *names: str) -> DataFrame:
+    """SLOTS in one scan of `objects`: all, or those of `names`."""
+    rows = objects.select("id", F.inline(F.array(*[F.struct(F.lit(slot).alias("slot"), F.expr(VALUES[slot]).alias("value")) for slot in names or VALUES])))
+    return grown(rows.where("value IS NOT NULL"))
+
+
+def join_values(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """`rows` with `values` of with_values(), by id: what SLOTS give them by id, shuffled as a row a statement. See each_value()."""
+    return rows.join(grown(with_values(objects).select("id", "values")), "id")
+
+
+def each_value() -> Column:
+    """A generator of (slot, value) of join_values(), null values among them."""
+    return F.inline(F.array(*[F.struct(F.lit(slot).alias("slot"), F.col("values")[slot].alias("value")) for slot in VALUES]))

@@ -48,6 +48,17 @@ def stage(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """`df`, which grows with the input: a join that has it as a side shuffles, and broadcasts it at no size.
+
+    Without this Spark goes by the size of the files under `df`. They are compressed, and
+    rows that a generator adds aren't counted, so tables of many times the limit for
+    broadcasts would pass whole through the driver. A side that is small by nature is
+    broadcast as before where it is marked by F.broadcast.
+    """
+    return df.hint("merge")
+
+
 #: What this process has staged and not removed.
 _STAGED: list[str] = []
 

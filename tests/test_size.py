@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from glob import glob
 
 import pyarrow.parquet as pq
+import pytest
 
 from batonflow.operators import similar
 from batonflow.plans import evals, reads
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -89,3 +94,14 @@ def test_slots_of_a_root_walk_together(spark, monkeypatch):
     assert sorted(map(tuple, lineage.nearest_values(edges, slots, asked).collect())) == want
     monkeypatch.setattr(lineage, "TOGETHER", 1)
     assert sorted(map(tuple, lineage.nearest_values(edges, slots, asked).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["q_stale_reference"])
+def test_what_grows_is_not_broadcast(spark, name):
+    """However small the files are: their size says little of the rows that are made of them."""
+    from batonflow.queries import QUERIES
+
+    planned = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in planned
+    assert "BroadcastHashJoin" not in planned
