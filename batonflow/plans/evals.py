@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow.operators.similar import top_similar
+from batonflow.staging import grown
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -147,9 +148,10 @@ def match_probes(probes: DataFrame, items: DataFrame) -> DataFrame:
     then those with the smaller item_id.
     """
     p = probes.select("probe_id", "fixture", "capability", F.col("type").alias("_type"))
-    # The least of a pair: an aggregate, so a fixture of any size is summed before it is shuffled.
+    # The least of a pair, and of a type before: aggregates, so a fixture of any size is summed before it is shuffled.
     rank = F.struct((~F.col("type").eqNullSafe(F.col("_type"))).alias("other"), F.col("item_id").alias("i"))
-    best = p.join(items.select("fixture", "capability", "type", "item_id"), ["fixture", "capability"]).groupBy("probe_id").agg(F.min(rank).alias("m"))
+    least = items.groupBy("fixture", "capability", "type").agg(F.min("item_id").alias("item_id"))
+    best = p.join(grown(least), ["fixture", "capability"]).groupBy("probe_id").agg(F.min(rank).alias("m"))
     return p.join(best, "probe_id", "left").select("probe_id", F.col("m.i").alias("item_id"))
 
 
@@ -159,7 +161,7 @@ def score_probes(matched: DataFrame, expected: DataFrame, slots: DataFrame) -> D
     `expected`: probe_id, slot, want, where "<non-null>" is any value; `slots`: id, slot,
     value. A probe without an item hits nothing, one that expects nothing has total 0.
     """
-    asked = matched.join(expected, "probe_id", "left").join(slots.select(F.col("id").alias("item_id"), "slot", "value"), ["item_id", "slot"], "left")
+    asked = matched.join(expected, "probe_id", "left").join(grown(slots.select(F.col("id").alias("item_id"), "slot", "value")), ["item_id", "slot"], "left")
     hit = F.col("value").isNotNull() & ((F.col("want") == "<non-null>") | (F.col("value") == F.col("want")))
     return asked.groupBy("probe_id", "item_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), F.count("slot").alias("total"))
 

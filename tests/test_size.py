@@ -97,7 +97,7 @@ def test_slots_of_a_root_walk_together(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["q_stale_reference", "q_slots_compatible"])
+@pytest.mark.parametrize("name", ["q_stale_reference", "q_slots_compatible", "q_probe_match"])
 def test_what_grows_is_not_broadcast(spark, name):
     """However small the files are: their size says little of the rows that are made of them."""
     from batonflow.queries import QUERIES
