@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from batonflow import fixed
 from batonflow.plans import handoff
-from batonflow.staging import stage
+from batonflow.staging import grown, stage
 
 ACCOUNT = ["tenant_id", "entity_id"]
 PAIR = [*ACCOUNT, "contract"]
@@ -34,7 +34,7 @@ def fingerprints(objects: DataFrame, fields: DataFrame) -> DataFrame:
     of all of an account's statements: what a gap inherits may come from any stage.
     """
     of_account = handoff.input_tree(objects.select(*ACCOUNT, "id", "version"), ACCOUNT).withColumnRenamed("tree", "account_hash")
-    return handoff.stage_trees(objects, fields).join(of_account, ACCOUNT).join(F.broadcast(contract_versions(fields)), "contract")
+    return handoff.stage_trees(objects, fields).join(grown(of_account), ACCOUNT).join(F.broadcast(contract_versions(fields)), "contract")
 
 
 def latest_runs(runs: DataFrame, when: datetime | None = None) -> DataFrame:
@@ -54,16 +54,16 @@ def validate_changed(objects: DataFrame, slots: DataFrame | None, fields: DataFr
     """
     now = stage(fingerprints(objects, fields), "fingerprints")
     hashes = ["account_hash", "contract_hash"]
-    moved = now if runs is None else now.join(latest_runs(runs).select(*PAIR, *hashes), [*PAIR, *hashes], "left_anti")
+    moved = now if runs is None else now.join(grown(latest_runs(runs).select(*PAIR, *hashes)), [*PAIR, *hashes], "left_anti")
     moved = stage(moved, "moved")
-    open_objects = stage(objects.join(moved.select(*ACCOUNT).distinct(), ACCOUNT, "left_semi"), "open-objects")
+    open_objects = stage(objects.join(grown(moved.select(*ACCOUNT).distinct()), ACCOUNT, "left_semi"), "open-objects")
     ids = open_objects.select("id")
     # Lineage stays within an account, so one end tells.
-    open_relations = stage(relations.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi"), "open-lineage")
+    open_relations = stage(relations.join(grown(ids.withColumnRenamed("id", "from_id")), "from_id", "left_semi"), "open-lineage")
     asked = fields.join(F.broadcast(moved.select("contract").distinct()), "contract", "left_semi")  # at most as many as there are contracts
-    gaps = handoff.validate(open_objects, slots, asked, open_relations).join(moved.select(*PAIR), PAIR, "left_semi")
+    gaps = handoff.validate(open_objects, slots, asked, open_relations).join(grown(moved.select(*PAIR)), PAIR, "left_semi")
     gaps = stage(gaps.withColumns({"run_no": F.lit(run_no), "status": F.lit("open")}), "gaps")
-    told = moved.join(handoff.summary(gaps), PAIR, "left").fillna(0, COUNTS)
+    told = moved.join(grown(handoff.summary(gaps)), PAIR, "left").fillna(0, COUNTS)
     return stage(told.withColumns({"run_no": F.lit(run_no), "as_of": F.lit(as_of)}), "runs"), gaps
 
 
@@ -75,7 +75,7 @@ def append(table: DataFrame, path: str) -> DataFrame:
 
 def gaps_at(runs: DataFrame, gaps: DataFrame, when: datetime | None = None) -> DataFrame:
     """The gaps that stood at `when` (default: now): those of the latest run of each account and contract up to then."""
-    return gaps.join(latest_runs(runs, when).select(*PAIR, "run_no"), [*PAIR, "run_no"], "left_semi")
+    return gaps.join(grown(latest_runs(runs, when).select(*PAIR, "run_no")), [*PAIR, "run_no"], "left_semi")
 
 
 def changes(runs: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def changes(runs: DataFrame, gaps: DataFrame) -> DataFrame:
     name = [*PAIR, "field", "subject_key", "slot", "outcome"]
     by = Window.partitionBy(*PAIR).orderBy("as_of", "run_no")
     order = runs.select(*PAIR, "run_no", F.lead("run_no").over(by).alias("next_no"), F.lag("run_no").over(by).alias("last_no"))
-    seen = gaps.select(*name, "run_no").distinct().join(order, [*PAIR, "run_no"])
+    seen = gaps.select(*name, "run_no").distinct().join(grown(order), [*PAIR, "run_no"])
     # A gap of run n is expected in the next one: what is there and wasn't expected was opened, what was and isn't was closed.
     there = seen.select(*name, "run_no", F.lit(1).alias("is"), F.lit(0).alias("was"))
     expected = seen.where("next_no IS NOT NULL").select(*name, F.col("next_no").alias("run_no"), F.lit(0).alias("is"), F.lit(1).alias("was"))
