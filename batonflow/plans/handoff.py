@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from batonflow import fixed
 from batonflow.functions.scalars import band, capability_of, either, is_set, nested, normalize, severity, shown
 from batonflow.operators.lineage import edges, nearest_values
-from batonflow.staging import stage
+from batonflow.staging import grown, stage
 
 KEY = ["tenant_id", "entity_id", "subject_key"]
 FIELDS = "contract string, from_stage string, to_stage string, field string, check string, types array<string>, slots array<string>, importance string, least int, rule string"
@@ -82,7 +82,7 @@ def packed(objects: DataFrame, slots: DataFrame | None, names: list[str]) -> Dat
     lists = rows.groupBy("id").agg(F.sort_array(F.collect_list("one")).alias("all"))
     last = F.filter("all", lambda x, i: ~x["slot"].eqNullSafe(F.get(F.col("all"), i + 1)["slot"]))
     maps = lists.select("id", F.map_from_entries(last).alias("values"))
-    return stage(objects.join(maps, "id", "left").withColumn("values", F.struct(*[F.element_at("values", F.lit(n)).alias(n) for n in names])), "packed")
+    return stage(objects.join(grown(maps), "id", "left").withColumn("values", F.struct(*[F.element_at("values", F.lit(n)).alias(n) for n in names])), "packed")
 
 
 def _value(rows: DataFrame, slot: Column) -> Column:
@@ -136,7 +136,7 @@ def counterpart_picks(objects: DataFrame, fields: DataFrame) -> DataFrame:
 
 def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
     """Gaps of propagating fields; `known` is packed() with the slots `names`."""
-    pairs = reference_picks(known, fields).join(counterpart_picks(known, fields), ["contract", "field", *KEY], "left")
+    pairs = reference_picks(known, fields).join(grown(counterpart_picks(known, fields)), ["contract", "field", *KEY], "left")
     pick = [*KEY, "contract", "field", "importance", "conflict", "id", "d_id", "authority", "stage", "type", "slots", "own_vals", "own_prec", "d_vals", "d_prec"]
     pairs = stage(pairs.withColumnRenamed("from_stage", "stage").select(pick), "pairs")
     lost = pairs.where("d_id IS NULL").select(
@@ -150,15 +150,15 @@ def propagate_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame, na
     asked = asked.withColumns({"slot": at("slots"), "own": at("own_vals"), "d_val": at("d_vals")}).drop("slots", "own_vals", "d_vals", "i")
     have, walk = asked.where(is_set(F.col("own"))), asked.where(~F.coalesce(is_set(F.col("own")), F.lit(False)))
     facts = have.withColumns({"walked": F.lit(False), "u_val": F.col("own"), "eff": F.col("id"), "rank": F.col("authority"), "eff_stage": F.col("stage"), "eff_type": F.col("type"), "u_prec": F.col("own_prec")})
-    near = nearest_values(relations, known.select("id", _all_values(known, names)), walk.select(F.col("id").alias("root"), "slot"))
+    near = nearest_values(relations, known.select("id", "values"), walk.select(F.col("id").alias("root"), "slot"))
     heads = known.select(F.col("id").alias("owner"), F.col("authority").alias("rank"), F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), _precision(known).alias("u_prec"))
-    near = near.join(heads, "owner").select(F.col("root").alias("id"), "slot", F.col("value").alias("u_val"), F.col("owner").alias("eff"), "rank", "eff_stage", "eff_type", "u_prec")
-    facts = facts.select(_FACT).union(walk.join(near, ["id", "slot"]).withColumn("walked", F.lit(True)).select(_FACT)).withColumn("nd", normalize(F.col("d_val")))
+    near = near.join(grown(heads), "owner").select(F.col("root").alias("id"), "slot", F.col("value").alias("u_val"), F.col("owner").alias("eff"), "rank", "eff_stage", "eff_type", "u_prec")
+    facts = facts.select(_FACT).union(walk.join(grown(near), ["id", "slot"]).withColumn("walked", F.lit(True)).select(_FACT)).withColumn("nd", normalize(F.col("d_val")))
     old = known.where("status = 'superseded'").select("*", _all_values(known, names)).where(is_set(F.col("value")))
     old = old.select(*KEY, F.col("stage").alias("eff_stage"), F.col("type").alias("eff_type"), "slot", normalize(F.col("value")).alias("nd"), "id")
     old = old.groupBy(*KEY, "eff_stage", "eff_type", "slot", "nd").agg(F.min("id").alias("stale_id"))
     # The statement itself may be superseded; its own value is equal, which is settled before.
-    facts = facts.join(old, [*KEY, "eff_stage", "eff_type", "slot", "nd"], "left")
+    facts = facts.join(grown(old), [*KEY, "eff_stage", "eff_type", "slot", "nd"], "left")
     facts = stage(facts.withColumns({"nu": normalize(F.col("u_val")), "same_key": alike(F.col("slot"), F.col("u_val"), F.col("d_val"))}), "facts")
     outcome = classify(*map(F.col, ("slot", "subject_key", "nu", "nd", "d_val", "same_key", "u_prec", "d_prec")), F.col("stale_id").isNotNull())
     note = note_of(F.col("outcome"), F.col("slot"), F.col("subject_key"), F.col("d_val"), F.col("u_prec"), F.col("d_prec"))
@@ -181,8 +181,8 @@ def present_gaps(known: DataFrame, relations: DataFrame, fields: DataFrame) -> D
     rows = known.where("status = 'active'").withColumnRenamed("stage", "to_stage").join(F.broadcast(fields.where("check = 'present'")), "to_stage").where(F.array_contains("types", F.col("type")))
     linked = relations.select(F.col("from_id").alias("id")).distinct()
     contact = known.where("type = 'dependency' AND role = 'customer'").select("tenant_id", "entity_id", F.col("stage").alias("to_stage")).distinct()
-    no_link = rows.where("rule = 'has_derived_from'").join(linked, "id", "left_anti").withColumn("slot", F.lit(None).cast("string"))
-    no_contact = rows.where("rule = 'has_customer_contact'").join(contact, ["tenant_id", "entity_id", "to_stage"], "left_anti").withColumn("slot", F.lit(None).cast("string"))
+    no_link = rows.where("rule = 'has_derived_from'").join(grown(linked), "id", "left_anti").withColumn("slot", F.lit(None).cast("string"))
+    no_contact = rows.where("rule = 'has_customer_contact'").join(grown(contact), ["tenant_id", "entity_id", "to_stage"], "left_anti").withColumn("slot", F.lit(None).cast("string"))
     no_slot = rows.where("rule IS NULL").withColumn("slot", F.explode("slots")).where(~F.coalesce(is_set(_value(known, F.col("slot"))), F.lit(False)))
     pick = [*KEY, "contract", "field", F.lit(None).cast("long").alias("upstream_id"), F.col("id").alias("downstream_id"), "slot", F.lit("missing").alias("outcome"), "importance", F.col("authority").alias("rank"), F.lit(False).alias("inherited"), F.lit(False).alias("conflict"), *_untold()[:-1], "rule"]
     found = no_link.select(pick).union(no_contact.select(pick)).union(no_slot.select(pick))
@@ -205,7 +205,7 @@ def validate(objects: DataFrame, slots: DataFrame | None, fields: DataFrame, rel
 def join_known(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """`rows` with what `side` has of `key`, a left join that deals rows without a key out to all tasks, not to one."""
     spread = F.when(F.col(key).isNull(), F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("_spread", spread).join(side.withColumn("_spread", F.lit(0).cast("long")), [key, "_spread"], "left").drop("_spread")
+    return rows.withColumn("_spread", spread).join(grown(side.withColumn("_spread", F.lit(0).cast("long"))), [key, "_spread"], "left").drop("_spread")
 
 
 def explain(gaps: DataFrame, objects: DataFrame) -> DataFrame:

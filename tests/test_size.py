@@ -118,3 +118,29 @@ def test_nearest_values_read_slots_as_one_row(spark):
         found = [lineage.nearest_values(edges, slots, of) for slots in (wide, long)]
         assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) != []
         assert all("BroadcastHashJoin" not in f._jdf.queryExecution().sparkPlan().toString() for f in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_no_file_size_decides_on_broadcasts_in_validation(spark, monkeypatch):
+    """Of all that two runs stage, and of their changes: the same joins broadcast whether Spark may go by the size of files or not."""
+    from batonflow import queries
+    from batonflow.operators import lineage
+    from batonflow.plans import handoff, history
+
+    seen = {}
+
+    def looked(df, name, group=None):
+        counts = []
+        for most in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            counts.append(df.select("*")._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin"))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        seen.setdefault(name, set()).add(tuple(counts))
+        return stage(df, name, group)
+
+    stage = handoff.stage
+    for module in (queries, lineage, handoff, history):
+        monkeypatch.setattr(module, "stage", looked)
+    looked(queries.q_gap_changes(spark, SF), "changes")
+    assert {"pairs", "facts", "steps", "level", "moved", "open-lineage", "gaps", "runs", "changes"} <= set(seen)
+    assert {name: counts for name, counts in seen.items() if any(a != b for a, b in counts)} == {}
