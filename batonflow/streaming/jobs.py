@@ -17,9 +17,13 @@ from batonflow import fixed
 from batonflow.operators import fold, lineage
 
 JOB_STATE = "job_id long, status string, attempts int, run_after double"
-FOLD_STATE = "authority long, stage string, person_id long, confidence double, version long, valid_from long, attributes string, embedding binary"
-#: Rows of a sorted frame that are held at once while frames are merged, and statements of a subject that are compared at once.
+FOLD_STATE = "more boolean, kept binary"
+#: Rows of a sorted frame that are held at once while frames are merged, and active statements that are read at once.
 CHUNK, STATE_CHUNK = 64, 2_000
+#: Subjects are dealt by hash to cells, one call of Python each, and within a cell to parts, one entry of state each as long as it has no more than STATE_CHUNK statements. A checkpoint holds for these numbers.
+CELLS, PARTS = 1 << 10, 1 << 8
+#: Events that are handed back at once.
+EVENTS_AT_ONCE = 10_000
 
 
 def _in_order(frames, by: list[str]):
@@ -87,53 +91,95 @@ def enqueue(jobs: DataFrame, key: str = "idempotency_key") -> DataFrame:
 
 
 class Fold(StatefulProcessor):
-    """The lifecycle fold of one subject: its active statements are a map in the state store, read in chunks.
+    """The lifecycle fold of the subjects of a cell: their active statements are a map in the state store, by part of the cell, read in chunks.
 
-    A block of arrivals meets the chunks one after the other, so what is held is one
-    block and one chunk, however many statements a subject has active.
+    A call, a frame and an entry of state cost some milliseconds whatever they hold, and most
+    subjects have a statement or two, so subjects share them. A part is read when a subject
+    of it has arrivals. A block of arrivals of a subject meets the part's chunks one after the
+    other, so what is held is one block and one chunk, however many statements are active.
     """
 
     columns = [c.split()[0] for c in fold.EVENTS.split(", ")]
 
     def init(self, handle) -> None:
-        self.active = handle.getMapState("active", "id long", FOLD_STATE)
+        self.active = handle.getMapState("active", "part int, chunk int", FOLD_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        news = []
-        for r in _in_order(rows, ["arrival_seq", "id"]):
-            news.append(fold._row(r))
-            if len(news) >= fold.BLOCK:
-                yield pd.DataFrame(self._block(news), columns=self.columns)
+        self.at = self.chunk = None  # the chunk that is held, [more, statements, changed], and its place
+        out, news, now = [], [], None
+        for r in _in_order(rows, ["part", *fold.KEY, "arrival_seq", "id"]):
+            subject = (int(r.part), *(None if pd.isna(v) else v for v in (getattr(r, c) for c in fold.KEY)))
+            if news and (subject != now or len(news) >= fold.BLOCK):
+                out += self._block(now, news)
                 news = []
+                if len(out) >= EVENTS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=self.columns)
+                    out = []
+            now = subject
+            news.append(fold._row(r))
         if news:
-            yield pd.DataFrame(self._block(news), columns=self.columns)
-
-    def _block(self, news: list[dict]) -> list[tuple]:
-        out, gone, chunk = [], [], []
-
-        def compare():
-            out.extend(fold.meet(chunk, news, fixed.SAME_TEXT, fixed.NEAR_TEXT))
-            gone.extend(o["id"] for o in chunk if o["status"] != "active")
-
-        for (number,), kept in self.active.iterator():
-            chunk.append(self._read(number, kept))
-            if len(chunk) >= STATE_CHUNK:
-                compare()
-                chunk = []
-        compare()
+            out += self._block(now, news)
+        self._keep()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def _block(self, now: tuple, news: list[dict]) -> list[tuple]:
+        """Events of arrivals `news` of the subject `now`, which begins with its part."""
+        part, subject = now[0], now[1:]
+        out, n, room = [], 0, None
+        while chunk := self._hold(part, n):
+            olds = [self._read(kept) for kept in chunk[1] if kept[0] == subject]
+            out += fold.meet(olds, news, fixed.SAME_TEXT, fixed.NEAR_TEXT)
+            if gone := {o["id"] for o in olds if o["status"] != "active"}:
+                chunk[1], chunk[2] = [kept for kept in chunk[1] if kept[0] != subject or kept[1] not in gone], True
+            if room is None and len(chunk[1]) < STATE_CHUNK:
+                room = n
+            n += 1
+            if not chunk[0]:
+                break
         out += fold.settle(news, fixed.SAME_TEXT, fixed.NEAR_TEXT)
-        for number in gone:
-            self.active.removeKey((number,))
-        for r in news:
-            if r["status"] == "active":
-                vector = None if r["embedding"] is None else np.array(r["embedding"], np.float32).tobytes()
-                person = None if r["person_id"] is None else int(r["person_id"])
-                self.active.updateValue((int(r["id"]),), (int(r["authority"]), r["stage"], person, float(r["confidence"]), r["version"], r["valid_from"].value, r["text"], vector))
+        left = [self._kept(subject, r) for r in news if r["status"] == "active"]
+        while left:
+            if room is None:
+                if n:
+                    chunk = self._hold(part, n - 1)
+                    chunk[0] = chunk[2] = True
+                    self._keep()
+                self.at, self.chunk, room, n = (part, n), [False, [], True], n, n + 1
+            chunk = self._hold(part, room)
+            space = STATE_CHUNK - len(chunk[1])
+            if space > 0:
+                chunk[1], chunk[2], left = chunk[1] + left[:space], True, left[space:]
+            room = room + 1 if chunk[0] else None
         return out
 
+    def _hold(self, part: int, n: int) -> list | None:
+        """A part's chunk, read if it isn't the one that is held; None if there is none."""
+        if self.at != (part, n):
+            self._keep()
+            found = self.active.getValue((part, n))
+            self.at, self.chunk = (part, n), None if found is None else [found[0], pickle.loads(found[1]), False]
+        return self.chunk
+
+    def _keep(self) -> None:
+        """Writes the chunk that is held, if it has changed."""
+        if self.chunk is not None and self.chunk[2]:
+            more, kept, _ = self.chunk
+            if kept or more or self.at[1]:
+                self.active.updateValue(self.at, (more, pickle.dumps(kept, protocol=5)))
+            elif self.active.containsKey(self.at):
+                self.active.removeKey(self.at)
+        self.at = self.chunk = None
+
+    @staticmethod
+    def _kept(subject: tuple, r: dict) -> tuple:
+        vector = None if r["embedding"] is None else np.array(r["embedding"], np.float32).tobytes()
+        person = None if r["person_id"] is None else int(r["person_id"])
+        return (subject, int(r["id"]), int(r["authority"]), r["stage"], person, float(r["confidence"]), r["version"], r["valid_from"].value, r["text"], vector)
+
     @staticmethod
-    def _read(number: int, kept) -> dict:
-        authority, stage, person, confidence, version, at, text, vector = kept
+    def _read(kept: tuple) -> dict:
+        _, number, authority, stage, person, confidence, version, at, text, vector = kept
         return {
             "id": number, "authority": authority, "stage": stage, "person_id": person, "confidence": confidence, "status": "active", "version": version,
             "valid_from": pd.Timestamp(at), "text": text, "attributes": json.loads(text), "embedding": None if vector is None else np.frombuffer(vector, np.float32).astype(float).tolist(),
@@ -149,7 +195,9 @@ def fold_stream(items: DataFrame) -> DataFrame:
     Statements of an earlier time are compared when they arrive, never dropped. The
     session's state store must be RocksDB's: see `with_state`.
     """
-    return with_state(items).groupBy(*fold.KEY).transformWithStateInPandas(Fold(), fold.EVENTS, "Append", "None")
+    place = F.xxhash64(*fold.KEY)
+    dealt = with_state(items).withColumns({"cell": F.pmod(place, F.lit(CELLS)).cast("int"), "part": F.pmod(F.shiftright(place, 20), F.lit(PARTS)).cast("int")})
+    return dealt.groupBy("cell").transformWithStateInPandas(Fold(), fold.EVENTS, "Append", "None")
 
 
 def with_state(df: DataFrame) -> DataFrame:

@@ -144,3 +144,49 @@ def test_no_file_size_decides_on_broadcasts_in_validation(spark, monkeypatch):
     looked(queries.q_gap_changes(spark, SF), "changes")
     assert {"pairs", "facts", "steps", "level", "moved", "open-lineage", "gaps", "runs", "changes"} <= set(seen)
     assert {name: counts for name, counts in seen.items() if any(a != b for a, b in counts)} == {}
+
+
+@pytest.mark.parametrize(("block", "chunk", "rows"), [(256, 2_000, 500), (4, 3, 500), (3, 1, 7)])
+def test_subjects_share_calls_and_state(monkeypatch, block, chunk, rows):
+    """Two micro-batches of forty subjects in one call each, in frames of any size: the events of subjects that are folded alone, and one entry of state a part where it has room."""
+    import json
+    import random
+
+    import pandas as pd
+
+    from batonflow.operators import fold
+    from batonflow.streaming import jobs
+
+    class Kept(dict):
+        getValue, containsKey, removeKey = dict.get, dict.__contains__, dict.pop
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Kept()
+
+    rng = random.Random(11)
+    made = [(1, s // 9, "decision", None if s % 13 == 5 else f"s{s}", s % 3, i, i, rng.choice(["sales", "product"]), rng.randint(1, 3), rng.choice([1, 2, None]), 0.9, rng.choice(["active", "active", "candidate"]), pd.Timestamp("2026-01-01") + pd.Timedelta(rng.randint(0, 99), "h"), json.dumps({"plan": rng.choice("aab")}), rng.choice([None, [1.0, 0.5 * (i % 3)]])) for i in range(600) for s in [rng.randint(0, 39)]]
+    every = pd.DataFrame(made, columns=[*fold.KEY, "part", "id", "arrival_seq", "stage", "authority", "person_id", "confidence", "status", "valid_from", "attributes", "embedding"]).astype({"person_id": "Int64", "embedding": "object"})
+    want = []
+    for _, alone in every.groupby(fold.KEY, dropna=False):
+        active = []
+        for r in alone.astype({"person_id": "float"}).itertuples(index=False):
+            new = fold._row(r)
+            want += fold.meet(active, [new], 0.92, 0.80) + fold.settle([new], 0.92, 0.80)
+            active = [o for o in [*active, new] if o["status"] == "active"]
+    monkeypatch.setattr(fold, "BLOCK", block)
+    monkeypatch.setattr(jobs, "STATE_CHUNK", chunk)
+    folding, got = jobs.Fold(), []
+    folding.init(Handle())
+    for batch in (every[:300], every[300:]):
+        batch = batch.astype({"person_id": "float"}).sample(frac=1, random_state=1)
+        for out in folding.handleInputRows((0,), iter([batch[a : a + rows] for a in range(0, len(batch), rows)]), None):
+            got += out.itertuples(index=False, name=None)
+    plain = lambda e: repr([None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v for v in e])
+    assert sorted(map(plain, got)) == sorted(map(plain, want))
+    held = sum(len(jobs.pickle.loads(kept)) for _, kept in folding.active.values())
+    assert held > 10 and (chunk < held or len(folding.active) == 3)
+    assert all(len(jobs.pickle.loads(kept)) <= chunk for _, kept in folding.active.values())
